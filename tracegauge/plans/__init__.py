@@ -8,6 +8,7 @@ MODULES = (
     "views",
     "serving",
     "telemetry",
+    "gate",
 )
 
 

@@ -31,11 +31,29 @@ def with_views(views: tuple[str, ...], body: str) -> str:
         add(v)
     ctes = [f"{v} AS ({SQL_VIEWS[v][1]})" for v in order]
     text = body.strip()
-    if text.upper().startswith("WITH RECURSIVE "):
-        return "WITH RECURSIVE " + ",\n".join([*ctes, text[15:]])
-    if text.upper().startswith("WITH "):
-        return "WITH " + ",\n".join([*ctes, text[5:]])
-    return ("WITH " + ",\n".join(ctes) + "\n" if ctes else "") + text
+    own = ""
+    for head in ("WITH RECURSIVE ", "WITH "):
+        if text.upper().startswith(head):
+            own = text[len(head):]
+            break
+    if own:
+        return "WITH RECURSIVE " + ",\n".join([*ctes, own])
+    return ("WITH RECURSIVE " + ",\n".join(ctes) + "\n" if ctes else "") + text
+
+
+def t_quantile_ctes(source: str, name: str = "tq", p: float = 0.95) -> str:
+    """SQL for the Student-t quantile of every df in ``source``: halve the angle, Simpson's rule.
+
+    Yields ``name``(df9, q) with df rounded to 9 digits as the join key.
+    """
+    return f"""
+    {name}_step AS (SELECT df9, 0.0::DOUBLE AS lo, pi() / 2 AS hi, 0 AS i
+        FROM (SELECT DISTINCT round(df, 9) AS df9 FROM {source} WHERE df IS NOT NULL)
+      UNION ALL SELECT df9, CASE WHEN below THEN a ELSE lo END, CASE WHEN below THEN hi ELSE a END, i + 1 FROM (
+        SELECT *, 0.5 + exp(lgamma((df9 + 1) / 2) - lgamma(df9 / 2)) / sqrt(pi()) * a / 1200.0 * list_sum(list_transform(
+          range(0, 401), lambda j: (CASE WHEN j = 0 OR j = 400 THEN 1 WHEN j % 2 = 1 THEN 4 ELSE 2 END) * pow(cos(a * j / 400.0), df9 - 1))) < {p} AS below
+        FROM (SELECT *, (lo + hi) / 2 AS a FROM {name}_step WHERE i < 50))),
+    {name} AS (SELECT df9, sqrt(df9) * tan((lo + hi) / 2) AS q FROM {name}_step WHERE i = 50)"""
 
 
 def query(name: str, *views: str, sql: str | None = None) -> Callable[[Query], Query]:
