@@ -9,6 +9,9 @@ MODULES = (
     "serving",
     "telemetry",
     "gate",
+    "evals",
+    "optimizer",
+    "prefix",
 )
 
 

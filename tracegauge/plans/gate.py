@@ -113,7 +113,7 @@ def a13t(spark, d):
     sql="""
     WITH p AS (SELECT trial, side, run, quantile_cont(ttft_ms, 0.95) AS p95 FROM gate_samples GROUP BY ALL),
     s AS (SELECT trial, side, median(p95) AS med, min(p95) AS mn, max(p95) AS mx, count(*) AS runs FROM p GROUP BY ALL)
-    SELECT o.trial, o.side AS other, round(b.med, 7) AS baseline, round(o.med, 7) AS value,
+    SELECT o.trial, o.side AS other, round(b.med, 9) AS baseline, round(o.med, 9) AS value,
       round((o.med - b.med) / b.med * 100, 6) AS change_pct, o.mn > b.mx AS separated,
       CASE WHEN (o.med - b.med) / b.med * 100 > 25 AND (o.mn > b.mx OR b.runs = 1) THEN 'block'
         WHEN (o.med - b.med) / b.med * 100 > 10 THEN 'warn' ELSE 'pass' END AS verdict
@@ -121,7 +121,7 @@ def a13t(spark, d):
 )
 def a14(spark, d):
     p = G.point_rule(V.gate_samples(spark, d), "base", ["head", "candidate"])
-    return p.select("trial", "other", F.round("baseline", 7).alias("baseline"), F.round("value", 7).alias("value"), *r6("change_pct"), "separated", "verdict")
+    return p.select("trial", "other", F.round("baseline", 9).alias("baseline"), F.round("value", 9).alias("value"), *r6("change_pct"), "separated", "verdict")
 
 
 @query(
