@@ -12,6 +12,8 @@ MODULES = (
     "evals",
     "optimizer",
     "prefix",
+    "scan_views",
+    "claims_joins",
 )
 
 

@@ -11,7 +11,7 @@ from tracegauge.plans import views as V
 from tracegauge.plans.registry import query, sql_view, t_quantile_ctes
 
 BASELINE = "1-URGENT"
-POLICY = O.ChoicePolicy(quality_tol_pts=8.0, max_failure_rate=0.42, slo_ttft_p95_ms=460000.0)
+POLICY = O.ChoicePolicy(quality_tol_pts=12.0, max_failure_rate=0.42, slo_ttft_p95_ms=480000.0)
 
 
 def _orders(spark, d):
@@ -69,10 +69,10 @@ DIFF_CTES = "WITH " + t_quantile_ctes("quality_diffs", "qd_tq") + """, qd AS (SE
     diff_pts + CASE WHEN sd = 0 THEN 0 ELSE q * sd / sqrt(questions) END AS hi_pts FROM quality_diffs g JOIN qd_tq ON df9 = round(g.df, 9)),
   med AS (SELECT grid, config, count(*) AS runs, median(goodput_rps) AS goodput_rps, min(goodput_rps) AS goodput_lo, max(goodput_rps) AS goodput_hi,
     median(ttft_p95_ms) AS ttft_p95_ms, median(failure_rate) AS failure_rate FROM config_runs GROUP BY ALL),
-  feas AS (SELECT m.*, qp.quality_pct, failure_rate > 0.42 AS fails, ttft_p95_ms > 460000 AS too_slow, x.missed > 0 AS quality_not_shown,
-    NOT (failure_rate > 0.42 OR ttft_p95_ms > 460000 OR x.missed > 0) AS feasible FROM med m
+  feas AS (SELECT m.*, qp.quality_pct, failure_rate > 0.42 AS fails, ttft_p95_ms > 480000 AS too_slow, x.missed > 0 AS quality_not_shown,
+    NOT (failure_rate > 0.42 OR ttft_p95_ms > 480000 OR x.missed > 0) AS feasible FROM med m
     JOIN (SELECT grid, config, 100 * avg(share) AS quality_pct FROM config_quality GROUP BY ALL) qp USING (grid, config)
-    JOIN (SELECT grid, config, count(*) FILTER (config <> '1-URGENT' AND lo_pts < -8) AS missed FROM qd GROUP BY ALL) x USING (grid, config)),
+    JOIN (SELECT grid, config, count(*) FILTER (config <> '1-URGENT' AND lo_pts < -12) AS missed FROM qd GROUP BY ALL) x USING (grid, config)),
   top AS (SELECT grid, config AS pick, goodput_lo AS top_lo FROM (SELECT *, row_number() OVER (PARTITION BY grid ORDER BY goodput_rps DESC, config DESC) AS rn FROM feas WHERE feasible) WHERE rn = 1),
   ties AS (SELECT f.grid, count(*) AS n_ties, bool_or(f.config = '1-URGENT') AS bt FROM feas f JOIN top USING (grid) WHERE f.feasible AND f.config <> pick AND f.goodput_hi >= top_lo GROUP BY f.grid),
   sel AS (SELECT g.grid, pick, coalesce(n_ties, 0) AS n_ties, CASE WHEN pick IS NULL THEN 'no config meets the constraints'

@@ -66,3 +66,23 @@ def query(name: str, *views: str, sql: str | None = None) -> Callable[[Query], Q
         return fn
 
     return register
+
+
+def shared_view(name: str, text: str, *needs: str) -> None:
+    """A derived table whose SQL reads the same in Spark and in the check; ``{x}`` names a source."""
+    names = {n: n for n in (*_TABLES, *needs)}
+    sql_view(name, text.format(**names), *needs)
+    SHARED[name] = (text, needs)
+
+
+_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents",
+           "embeddings", "pages", "benchmark", "labels", "conversations")
+SHARED: dict[str, tuple[str, tuple[str, ...]]] = {}
+
+
+def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """Spark side of a shared view."""
+    text, needs = SHARED[name]
+    frames = {n: view(spark, sf_dir, n) for n in needs}
+    frames |= {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in _TABLES if "{" + t + "}" in text}
+    return spark.sql(text, **frames)
