@@ -14,6 +14,7 @@ MODULES = (
     "prefix",
     "scan_views",
     "claims_joins",
+    "graph",
 )
 
 
