@@ -15,6 +15,7 @@ MODULES = (
     "scan_views",
     "claims_joins",
     "graph",
+    "findings",
 )
 
 

@@ -42,7 +42,7 @@ shared_view(
     """SELECT scan, key || '#llm0' AS key, key AS function_key, path, line_start AS line, is_test, 'chat.completions.create' AS api,
       'endpoint:app/clients.py::client' || CAST(c % 3 AS STRING) || '@' || scan AS endpoint_key,
       CASE c % 5 WHEN 0 THEN 'lab' WHEN 1 THEN 'gpt-4o-mini' WHEN 2 THEN 'Qwen2.5-0.5B' ELSE NULL END AS model_effective,
-      c % 8 = 1 AS has_timeout, c % 3 = 0 AS stream, c AS id FROM {fn} WHERE c_mktsegment IN ('BUILDING', 'MACHINERY')""",
+      c % 8 = 1 AS has_timeout, c % 3 = 0 AS stream, c AS id FROM {fn} WHERE c_mktsegment IN ('BUILDING', 'MACHINERY') AND (NOT is_test OR c % 25 < 12)""",
     "fn",
 )
 shared_view(
@@ -87,7 +87,7 @@ shared_view(
 shared_view(
     "dependency",
     """SELECT 's' || CAST(p_partkey % 25 AS STRING) AS scan, p_partkey AS id,
-      CASE p_type WHEN 'ECONOMY' THEN 'rank_bm25' WHEN 'STANDARD' THEN 'PgVector[extra]' WHEN 'PROMO' THEN 'opentelemetry-sdk' WHEN 'SMALL' THEN 'tenacity' WHEN 'MEDIUM' THEN 'deepeval' ELSE 'left-pad' END
+      CASE WHEN p_type = 'ECONOMY' THEN 'rank_bm25' WHEN p_type = 'STANDARD' THEN 'PgVector[extra]' WHEN p_type = 'PROMO' AND p_partkey % 25 < 15 THEN 'opentelemetry-sdk' WHEN p_type = 'SMALL' THEN 'tenacity' WHEN p_type = 'MEDIUM' AND p_partkey % 25 < 8 THEN 'deepeval' ELSE 'left-pad' END
         || CASE WHEN p_size % 3 = 0 THEN '>=' || CAST(p_size AS STRING) || '.0' WHEN p_size % 3 = 1 THEN ' == 1.2 # pinned' ELSE '' END AS line, p_brand, p_size
     FROM {part} WHERE p_retailprice >= 900""",
 )
