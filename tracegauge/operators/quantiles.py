@@ -94,3 +94,41 @@ def average_ranks(df: DataFrame, keys: Sequence[str], value: str, out: str) -> D
     upto = running_sum(counts, keys, [F.col(value)], log_bucket(F.col(value)), F.col("_c"), "_upto")
     rank = F.col("_upto") - (F.col("_c") - 1).cast("double") / 2.0
     return upto.select(*keys, value, rank.alias(out), "_c")
+
+
+def values_at_ranks(df: DataFrame, keys: Sequence[str], value: str, ranks: DataFrame) -> DataFrame:
+    """Order statistics: ``ranks`` (keys, rank; 0-based, below the group's count) with their value ``x``.
+
+    Two as-of steps: a rank finds its histogram bucket, then its value inside the bucket.
+    """
+    keys = list(keys)
+    counts = (
+        df.where(F.col(value).isNotNull())
+        .groupBy(*keys, F.col(value).cast("double").alias("_x"))
+        .agg(F.count("*").alias("_c"))
+        .withColumn(BUCKET, log_bucket(F.col("_x")))
+    )
+    prior = Window.partitionBy(*keys).orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
+    hist = counts.groupBy(*keys, BUCKET).agg(F.sum("_c").alias("_bc")).select(
+        *keys, F.coalesce(F.sum("_bc").over(prior), F.lit(0)).alias("_pos"), F.lit(0).alias("_side"), F.col(BUCKET).alias("_hb")
+    )
+    r = ranks.select(*keys, F.col("rank").cast("long").alias("_pos")).distinct().withColumn("_side", F.lit(1))
+    seen = Window.partitionBy(*keys).orderBy("_pos", "_side").rowsBetween(Window.unboundedPreceding, 0)
+    placed = (
+        hist.unionByName(r, allowMissingColumns=True)
+        .withColumns({
+            BUCKET: F.last("_hb", ignorenulls=True).over(seen),
+            "_base": F.last(F.when(F.col("_side") == 0, F.col("_pos")), ignorenulls=True).over(seen),
+        })
+        .where("_side = 1")
+        .select(*keys, BUCKET, (F.col("_pos") - F.col("_base")).alias("_pos"), F.lit(1).alias("_side"), F.col("_pos").alias("rank"))
+    )
+    inside = Window.partitionBy(*keys, BUCKET).orderBy("_x").rowsBetween(Window.unboundedPreceding, 0)
+    start = counts.select(*keys, BUCKET, (F.sum("_c").over(inside) - F.col("_c")).alias("_pos"), F.lit(0).alias("_side"), "_x")
+    asof = Window.partitionBy(*keys, BUCKET).orderBy("_pos", "_side").rowsBetween(Window.unboundedPreceding, 0)
+    return (
+        start.unionByName(placed, allowMissingColumns=True)
+        .withColumn("x", F.last("_x", ignorenulls=True).over(asof))
+        .where("_side = 1")
+        .select(*keys, "rank", "x")
+    )

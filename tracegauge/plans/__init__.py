@@ -16,6 +16,8 @@ MODULES = (
     "claims_joins",
     "graph",
     "findings",
+    "sources",
+    "misc",
 )
 
 
