@@ -25,7 +25,7 @@ ARCHITECTURE_DOC = r"(?i)(^|/)(readme|architecture|design|overview|system|contri
 
 def doc_mentions(docs: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, line, kind, value) per mention; the pattern list is a constant, not a joined table."""
-    lines = docs.select(*keys, F.posexplode(F.split("text", "\n")).alias("i", "l"))
+    lines = docs.select(*keys, F.posexplode_outer(F.split("text", "\n")).alias("i", "l"))
     item = lambda kind, v: F.struct(F.lit(kind).alias("kind"), v.alias("value"))
     found = []
     for p in MODEL_PATTERNS.values():
@@ -36,4 +36,4 @@ def doc_mentions(docs: DataFrame, keys: list[str]) -> DataFrame:
     first = F.slice(F.regexp_extract_all("l", F.lit(RETRIEVAL), F.lit(1)), 1, 1)
     found.append(F.transform(first, lambda v: item("retrieval", v)))
     m = lines.select(*keys, (F.col("i") + 1).alias("line"), F.concat(*found).alias("_m"))
-    return m.select(*keys, "line", F.explode("_m").alias("m")).select(*keys, "line", "m.*")
+    return m.select(*keys, "line", F.explode_outer("_m").alias("m")).where("m IS NOT NULL").select(*keys, "line", "m.*")

@@ -62,7 +62,8 @@ def reconcile(
     conflict = F.substring(F.sha2(F.concat_ws("|", *keys), 256), 1, 12)
     return per.join(total, keys).select(
         *keys, "value", F.col("_norm").alias("normalized"),
-        F.round(support * (1.0 - CONTRADICTION_WEIGHT * oppose), 3).alias("confidence"),
+        # the first rounding removes the noise of the logarithms, so exact halves round alike
+        F.round(F.round(support * (1.0 - CONTRADICTION_WEIGHT * oppose), 9), 3).alias("confidence"),
         F.when(F.size(methods) == 1, F.get(methods, F.lit(0))).otherwise("reconciled").alias("method"),
         F.when(F.col("_direct"), "direct_observation").otherwise("inference").alias("observation"),
         F.when(F.col("_n") > 1, "contested").otherwise("supported").alias("status"),

@@ -1,8 +1,8 @@
 """Edge-table traversals, many graphs (scans) at once.
 
 Each round joins the frontier with the edges, keeps one row per new node (combined before the
-shuffle) and checkpoints, so lineage stays short and a lost executor costs one round. The driver
-only asks whether the frontier is empty.
+shuffle) and checkpoints, so lineage stays short and a lost executor costs one round. The edges are
+checkpointed once. The driver only asks whether the frontier is empty.
 """
 
 from __future__ import annotations
@@ -28,7 +28,8 @@ def traverse(
     """
     ensure_checkpoint_dir(edges.sparkSession)
     ids = [*keys, *([source] if source else []), "node"]
-    e = edges.select(*keys, F.col("src_key").alias("node"), F.col("dst_key").alias("_to")).distinct()
+    # written once, spread by the join key: every round reads it, none derives it again
+    e = edges.select(*keys, F.col("src_key").alias("node"), F.col("dst_key").alias("_to")).distinct().repartition(*keys, "node").checkpoint()
     first = starts.select(*ids).distinct().withColumn("hop", F.lit(0))
     if with_path:
         first = first.withColumn("path", F.array("node"))

@@ -54,9 +54,9 @@ def mentions(files: DataFrame, names: DataFrame) -> DataFrame:
 
     Quoted words of every line are cut into path segments, so the lookup is an equality join.
     """
-    src = files.where(F.col("path").endswith(".py")).select("scan", "path", F.posexplode(F.split("text", "\n")).alias("i", "l"))
-    quoted = src.select("scan", "path", "i", F.explode(F.regexp_extract_all("l", F.lit(r"[\"']([^\"'\n]*)[\"']"), F.lit(1))).alias("q"))
-    seg = quoted.select("scan", "path", (F.col("i") + 1).alias("line"), F.explode(F.split("q", r"[/\\]")).alias("name")).distinct()
+    src = files.where(F.col("path").endswith(".py")).select("scan", "path", F.posexplode_outer(F.split("text", "\n")).alias("i", "l"))
+    quoted = src.select("scan", "path", "i", F.explode_outer(F.regexp_extract_all("l", F.lit(r"[\"']([^\"'\n]*)[\"']"), F.lit(1))).alias("q"))
+    seg = quoted.select("scan", "path", (F.col("i") + 1).alias("line"), F.explode_outer(F.split("q", r"[/\\]")).alias("name")).distinct()
     return seg.join(names, ["scan", "name"]).groupBy("scan", "name").agg(F.min(F.struct("path", "line")).alias("at")).select(
         "scan", "name", F.concat("at.path", F.lit(":"), F.col("at.line").cast("string")).alias("at")
     )

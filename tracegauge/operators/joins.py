@@ -50,7 +50,7 @@ def tree_diff(base: DataFrame, head: DataFrame, keys: Sequence[str], digest: str
 def line_changes(base: DataFrame, head: DataFrame, keys: Sequence[str], text: str) -> DataFrame:
     """Added and removed lines per file by a line-hash multiset difference."""
     lines = lambda df, tag: (
-        df.select(*keys, F.explode(F.split(text, "\n")).alias("_l")).groupBy(*keys, F.md5("_l").alias("_lh")).agg(F.count("*").alias(tag))
+        df.select(*keys, F.explode_outer(F.split(text, "\n")).alias("_l")).where("_l IS NOT NULL").groupBy(*keys, F.md5("_l").alias("_lh")).agg(F.count("*").alias(tag))
     )
     j = lines(base, "_b").join(lines(head, "_h"), [*keys, "_lh"], "full_outer")
     b, h = F.coalesce("_b", F.lit(0)), F.coalesce("_h", F.lit(0))

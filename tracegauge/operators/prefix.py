@@ -16,7 +16,8 @@ def prompt_blocks(prompts: DataFrame, block: int = 16, tokens: Column | None = N
     t = approx_tokens(F.col("prompt")) if tokens is None else tokens
     # the token array is its own column: inside the fold it would be computed again for every block
     split = prompts.select("seq", t.alias("_tok"))
-    return split.select("seq", F.posexplode(prefix_block_digests(F.col("_tok"), block)).alias("pos", "digest"))
+    rows = split.select("seq", F.posexplode_outer(prefix_block_digests(F.col("_tok"), block)).alias("pos", "digest"))
+    return rows.where("pos IS NOT NULL")
 
 
 def prefix_reuse(prompts: DataFrame, block: int = 16) -> DataFrame:

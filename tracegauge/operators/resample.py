@@ -49,7 +49,7 @@ def quantile_replicates(df: DataFrame, keys: Sequence[str], value: str, prob: fl
     keys = list(keys)
     n = df.where(F.col(value).isNotNull()).groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") >= MIN_SAMPLES)
     s = F.xxhash64(F.lit(seed), F.lit(prob), *[F.col(k) for k in keys])
-    d = n.withColumn("_s", s).withColumn("_d", _draws(prob, reps)("_n", "_s")).select(*keys, F.explode("_d").alias("d")).select(*keys, "d.*")
+    d = n.withColumn("_s", s).withColumn("_d", _draws(prob, reps)("_n", "_s")).select(*keys, F.explode_outer("_d").alias("d")).select(*keys, "d.*")
     need = d.select(*keys, F.col("lo").alias("rank")).unionByName(d.select(*keys, F.col("hi").alias("rank"))).distinct()
     at = values_at_ranks(df, keys, value, need)
     lo = at.withColumnsRenamed({"rank": "lo", "x": "_a"})

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracegauge.session import ensure_checkpoint_dir
+
 # Okapi parameters and the floor for terms that occur in more than half of the chunks.
 K1, B, EPSILON = 1.5, 0.75, 0.25
 
@@ -12,7 +14,7 @@ K1, B, EPSILON = 1.5, 0.75, 0.25
 def sections(docs: DataFrame) -> DataFrame:
     """``## heading`` sections of each document (text before the first heading is no section)."""
     parts = F.slice(F.split("text", r"(?m)^## "), 2, 2147483647)
-    s = docs.select("doc_id", F.posexplode(parts).alias("section", "s"))
+    s = docs.select("doc_id", F.posexplode_outer(parts).alias("section", "s")).where("section IS NOT NULL")
     return s.select(
         "doc_id", "section", F.trim(F.split_part("s", F.lit("\n"), F.lit(1))).alias("heading"),
         F.trim(F.when(F.instr("s", "\n") > 0, F.expr("substring(s, instr(s, '\n') + 1)")).otherwise("")).alias("body"),
@@ -26,20 +28,27 @@ def terms(text: Column) -> Column:
 def bm25(chunks: DataFrame, queries: DataFrame, top_k: int) -> DataFrame:
     """Top chunks per query. ``chunks``: chunk_id, text; ``queries``: query_id, text.
 
-    Postings are combined to (term, chunk, tf) before any join, and scores per (query, chunk) are
-    summed map-side; only the top k per query leave a task.
+    The text is tokenized once into postings (chunk, term, tf, length), which are written to the
+    checkpoint folder laid out by chunk. Document frequencies, the corpus size and the scores all
+    read that table. The number of partitions is explicit: postings are small but fan out to one row
+    per query and term, so merging them into few tasks would leave most cores idle, and all parts of
+    a (query, chunk) score meet without another shuffle. Only the top k per query leave a task.
     """
+    spark = chunks.sparkSession
+    ensure_checkpoint_dir(spark)
+    width = int(spark.conf.get("spark.sql.shuffle.partitions"))
     tok = chunks.select("chunk_id", terms(F.col("text")).alias("_t"))
-    tf = tok.select("chunk_id", F.explode("_t").alias("term")).groupBy("term", "chunk_id").agg(F.count("*").alias("tf"))
-    length = tok.select("chunk_id", F.size("_t").alias("len"))
-    stats = length.agg(F.count("*").alias("N"), F.avg("len").alias("avg_len"))
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
+    rows = tok.select("chunk_id", F.size("_t").alias("len"), F.explode_outer("_t").alias("term"))
+    posted = rows.groupBy("chunk_id", "len", "term").agg(F.count("*").alias("tf")).repartition(width, "chunk_id").checkpoint()
+    # a chunk without any token has one row with a NULL term: it counts for the corpus size only
+    stats = posted.groupBy("chunk_id").agg(F.first("len").alias("len")).agg(F.count("*").alias("N"), F.avg("len").alias("avg_len"))
     n, avg_len = stats.select("N").scalar(), stats.select("avg_len").scalar()
+    df = posted.where("term IS NOT NULL").groupBy("term").agg(F.count("*").alias("df"))
     raw = df.withColumn("idf", F.log(n - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     mean_idf = raw.agg(F.avg("idf")).scalar()
     idf = raw.withColumn("idf", F.when(F.col("idf") < 0, mean_idf * EPSILON).otherwise(F.col("idf")))
-    q = queries.select("query_id", F.explode(terms(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
-    hits = q.join(idf.select("term", "idf"), "term").join(tf, "term").join(length, "chunk_id")
+    q = queries.select("query_id", F.explode_outer(terms(F.col("text"))).alias("term")).where("term IS NOT NULL").groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
+    hits = posted.join(q.join(idf.select("term", "idf"), "term"), "term")
     part = F.col("qtf") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / avg_len))
     scores = hits.groupBy("query_id", "chunk_id").agg(F.sum(part).alias("score"))
     w = Window.partitionBy("query_id").orderBy(F.round("score", 9).desc(), "chunk_id")

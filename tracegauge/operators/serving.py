@@ -84,7 +84,7 @@ def error_map(requests: DataFrame, keys: Sequence[str] = LEVEL_KEYS) -> DataFram
 
 
 def gap_percentiles(requests: DataFrame, keys: Sequence[str] = LEVEL_KEYS) -> DataFrame:
-    gaps = requests.where("ok").select(*keys, F.explode("chunk_gaps_ms").alias("gap_ms"))
+    gaps = requests.where("ok").select(*keys, F.explode_outer("chunk_gaps_ms").alias("gap_ms"))
     return exact_quantiles(gaps, keys, "gap_ms", PERCENTILES, mean="mean")
 
 

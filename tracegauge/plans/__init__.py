@@ -18,6 +18,7 @@ MODULES = (
     "findings",
     "sources",
     "misc",
+    "streams",
 )
 
 

@@ -25,7 +25,7 @@ def claims_ctes(source: str, keys: str, name: str = "claims", n: str = "1") -> s
       arg_max(value, {PRIOR_SQL} * 1e9 - fact_id) AS value, list_sort(list_distinct(list(source))) AS sources,
       bool_or(direct AND source IN ('ast', 'config', 'trace')) AS d, count(DISTINCT CASE source WHEN 'llm' THEN 'llm' ELSE 'deterministic' END) AS nm, max(CASE source WHEN 'llm' THEN 'llm' ELSE 'deterministic' END) AS mm
       FROM {source} GROUP BY {keys}, lower(trim(value))),
-    {name} AS (SELECT a.*, b.n AS n_values, round((1 - exp(ls)) * (1 - 0.5 * CASE WHEN b.n > 1 THEN 1 - exp(b.total - ls) ELSE 0 END), 3) AS confidence,
+    {name} AS (SELECT a.*, b.n AS n_values, round(round((1 - exp(ls)) * (1 - 0.5 * CASE WHEN b.n > 1 THEN 1 - exp(b.total - ls) ELSE 0 END), 9), 3) AS confidence,
       CASE WHEN nm = 1 THEN mm ELSE 'reconciled' END AS method, CASE WHEN d THEN 'direct_observation' ELSE 'inference' END AS observation,
       CASE WHEN b.n > 1 THEN 'contested' ELSE 'supported' END AS status
       FROM {name}_p a JOIN (SELECT {keys}, sum(ls) AS total, count(*) AS n FROM {name}_p GROUP BY {keys}) b ON {on})"""

@@ -255,7 +255,7 @@ def p22(spark, d):
 def p25(spark, d):
     """Quoted 40-character names (the data quotes hexadecimal tokens) and where each is first quoted."""
     fl = view(spark, d, "files")
-    words = fl.select("scan", F.explode(F.regexp_extract_all("text", F.lit(r"[0-9a-f]{40}"), F.lit(0))).alias("name"))
+    words = fl.select("scan", F.explode_outer(F.regexp_extract_all("text", F.lit(r"[0-9a-f]{40}"), F.lit(0))).alias("name"))
     return I.mentions(fl, words.where(F.length("name") == 40).distinct())
 
 

@@ -84,5 +84,7 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Spark side of a shared view."""
     text, needs = SHARED[name]
     frames = {n: view(spark, sf_dir, n) for n in needs}
-    frames |= {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in _TABLES if "{" + t + "}" in text}
+    from tracegauge.plans.views import table
+
+    frames |= {t: table(spark, sf_dir, t) for t in _TABLES if "{" + t + "}" in text}
     return spark.sql(text, **frames)

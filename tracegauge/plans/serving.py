@@ -234,7 +234,7 @@ def w7(spark, d):
     t = F.col("send_ts") + F.col("ttft_ms") / 1000.0 + F.col("off") / 1000.0
     return (
         r.select("run_id", "send_ts", "ttft_ms", (F.col("output_tokens") / F.col("n_chunks")).alias("per"),
-                 F.explode(sums).alias("off"))
+                 F.explode_outer(sums).alias("off"))
         .groupBy("run_id", F.floor(t).alias("sec"))
         .agg(F.round(F.sum("per"), 6).alias("tokens"))
     )

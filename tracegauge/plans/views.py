@@ -12,8 +12,18 @@ EPOCH = 1704067200.0  # 2024-01-01, the origin of the relative clock
 REQUEST_SLO = SLO(ttft_ms=200.0, tpot_ms=12.0, e2e_ms=900.0)
 
 
+TEXT_TABLES = ("documents", "pages", "conversations")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A given table. Text work is CPU-bound per row, so a text table that arrives in fewer splits
+    than there are cores (one small file, one row group) is spread; a large one is left as it is."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    if name in TEXT_TABLES:
+        cores = spark.sparkContext.defaultParallelism
+        if df.rdd.getNumPartitions() < cores:
+            return df.repartition(cores)
+    return df
 
 
 def clock(ts: Column) -> Column:

@@ -22,8 +22,8 @@ def parse_telemetry(lines: DataFrame, column: str = "value") -> DataFrame:
     m = F.from_json(F.col(column), "map<string,double>")
     rest = [c for c in lines.columns if c != column]
     return lines.select(*rest, m.alias("_m")).select(
-        *rest, F.col("_m")["t"].alias("t"), F.explode(F.map_filter("_m", lambda k, v: (k != "t") & v.isNotNull() & ~F.isnan(v))).alias("metric", "value")
-    )
+        *rest, F.col("_m")["t"].alias("t"), F.explode_outer(F.map_filter("_m", lambda k, v: (k != "t") & v.isNotNull() & ~F.isnan(v))).alias("metric", "value")
+    ).where("metric IS NOT NULL")
 
 
 def read_telemetry(spark: SparkSession, path: str) -> DataFrame:
@@ -31,7 +31,7 @@ def read_telemetry(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _metric_lines(snapshots: DataFrame, keys: Sequence[str], body: str) -> DataFrame:
-    line = snapshots.select(*keys, F.explode(F.split(body, "\n")).alias("_l")).select(*keys, F.trim("_l").alias("_l"))
+    line = snapshots.select(*keys, F.explode_outer(F.split(body, "\n")).alias("_l")).select(*keys, F.trim("_l").alias("_l"))
     return line.where((F.col("_l") != "") & ~F.col("_l").startswith("#"))
 
 
@@ -55,7 +55,7 @@ def strict_counter(snapshots: DataFrame, name: str, keys: Sequence[str] = ("snap
     # the name stands alone, with labels, and possibly with a timestamp after the value
     quoted = "".join(c if c.isalnum() or c in "_:" else "\\" + c for c in name)
     pattern = rf"^{quoted}(?:\{{[^\n]*\}})?\s+(\S+)(?:\s+\S+)?$"
-    l = snapshots.select(*keys, F.explode(F.split(body, "\n")).alias("_l"))
+    l = snapshots.select(*keys, F.explode_outer(F.split(body, "\n")).alias("_l"))
     v = l.select(*keys, F.when(F.col("_l").rlike(pattern), F.regexp_extract("_l", pattern, 1)).alias("raw")).withColumn("x", F.col("raw").try_cast("double"))
     bad = F.col("raw").isNotNull() & (F.col("x").isNull() | F.isnan("x") | (F.abs("x") == float("inf")) | (F.col("x") < 0))
     g = v.groupBy(*keys).agg(F.count("raw").alias("_n"), F.count_if(bad).alias("_bad"), F.sum("x").alias("_sum"))

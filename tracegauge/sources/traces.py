@@ -102,8 +102,8 @@ def flatten_json(df: DataFrame, column: str, depth: int = 8) -> DataFrame:
     v = df.withColumn("_v", strict_json(F.col(column))).where("_v IS NOT NULL")
     keep = [c for c in df.columns if c != column]
     return v.select(*keep, F.slice(leaves(F.col("_v"), None, depth), 1, MAX_KEYS).alias("_l")).select(
-        *keep, F.explode("_l").alias("l")
-    ).select(*keep, "l.*")
+        *keep, F.explode_outer("_l").alias("l")
+    ).where("l IS NOT NULL").select(*keep, "l.*")
 
 
 def campaign_catalog(paths: DataFrame, wanted: dict[str, str]) -> DataFrame:
