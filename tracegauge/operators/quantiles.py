@@ -58,7 +58,9 @@ def exact_quantiles(
         F.filter(wanted, lambda r: (r >= F.col("_before")) & (r < F.col("_before") + F.col("_bc"))),
     ).where(F.size("_ranks") > 0).withColumnRenamed(BUCKET, "_hb")
     held = held.select(*[F.col(k).alias(f"_h_{k}") for k in keys], "_hb", "_before", "n", "_sum", "_ranks")
-    cond = [counts[k].eqNullSafe(held[f"_h_{k}"]) for k in keys] + [counts[BUCKET] == held["_hb"]]
+    # null-safe on the bucket too: a plain equality would add a filter below one of the two uses of
+    # ``counts`` only, and the counting shuffle could no longer be shared
+    cond = [counts[k].eqNullSafe(held[f"_h_{k}"]) for k in keys] + [counts[BUCKET].eqNullSafe(held["_hb"])]
     in_bucket = Window.partitionBy(*keys, BUCKET).orderBy("_x").rowsBetween(Window.unboundedPreceding, 0)
     found = (
         counts.join(held, cond)

@@ -175,7 +175,7 @@ shared_view(
 )
 def j11(spark, d):
     e = view(spark, d, "deliveries")
-    at = lambda s: F.to_timestamp(F.lit(s))
+    at = lambda s: F.to_timestamp_ntz(F.lit(s))
     known = e.where(F.col("delivered_at") < at("2024-01-10 00:00:00")).select("delivery_id")
     rejected = e.where("event_type = 'error'").select("delivery_id")
     return JB.unseen_deliveries(e, known, rejected, at("2024-01-16 00:00:00")).select("delivery_id", "seq")

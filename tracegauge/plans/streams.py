@@ -49,7 +49,7 @@ def t2(spark, d):
 
 def _deliveries(spark, d):
     e = read_table(spark, d, "events")
-    return e.select(F.md5(F.concat(F.col("user_id").cast("string"), "props")).alias("delivery_id"), F.col("ts").cast("timestamp").alias("delivered_at"), "event_type")
+    return e.select(F.md5(F.concat(F.col("user_id").cast("string"), "props")).alias("delivery_id"), V.utc_instant(F.col("ts")).alias("delivered_at"), "event_type")
 
 
 @query("T3_delivery_dedupe", sql="SELECT DISTINCT md5(user_id::VARCHAR || props) AS delivery_id FROM events")
@@ -61,7 +61,7 @@ def t3(spark, d):
 
 @query("T4_lookback", sql="SELECT ts < TIMESTAMP '2024-01-15 12:00:00' - INTERVAL 10 MINUTE AS late, count(*) AS n FROM events GROUP BY 1")
 def t4(spark, d):
-    s = SJ.within_lookback(_deliveries(spark, d), F.to_timestamp(F.lit("2024-01-15 12:00:00")))
+    s = SJ.within_lookback(_deliveries(spark, d), V.utc_instant(F.to_timestamp_ntz(F.lit("2024-01-15 12:00:00"))))
     return run_available(s).groupBy("late").agg(F.count("*").alias("n"))
 
 
@@ -87,7 +87,7 @@ def t5(spark, d):
 def t6(spark, d):
     use_rocksdb(spark)
     e = read_table(spark, d, "events").where("event_type = 'click'").select(
-        F.col("user_id").alias("job"), F.col("ts").cast("timestamp").alias("at"), (F.col("event_id") % 4).cast("int").alias("attempts")
+        F.col("user_id").alias("job"), V.utc_instant(F.col("ts")).alias("at"), (F.col("event_id") % 4).cast("int").alias("attempts")
     )
     return run_available(SJ.lost_leases(e, 86400, 3))
 
@@ -106,8 +106,8 @@ def t8(spark, d):
 def t11(spark, d):
     """Closed windows only: a window is written once the watermark has passed its end."""
     e = read_table(spark, d, "events").select(
-        F.col("ts").cast("timestamp").alias("at"), F.concat(F.lit("r"), (F.col("user_id") % 12).cast("string")).alias("run_id"),
+        V.utc_instant(F.col("ts")).alias("at"), F.concat(F.lit("r"), (F.col("user_id") % 12).cast("string")).alias("run_id"),
         (F.col("event_type") != "error").alias("ok"), F.when(F.col("event_type") != "error", F.col("value")).alias("ttft_ms"),
     )
     r = run_available(SL.run_windows(e))
-    return r.select(F.floor(V.clock(F.col("start")) / 86400).alias("day"), "run_id", "n", "n_ok", F.round("failure_rate", 8).alias("failure_rate"))
+    return r.select(F.floor((F.unix_micros("start") / 1e6 - V.EPOCH) / 86400).alias("day"), "run_id", "n", "n_ok", F.round("failure_rate", 8).alias("failure_rate"))

@@ -26,9 +26,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return df
 
 
+def utc_micros(ts: Column) -> Column:
+    """Microseconds since 1970 of a zone-less timestamp read as UTC, whatever the session's time zone."""
+    origin = F.to_timestamp_ntz(F.lit("1970-01-01 00:00:00"))
+    return F.timestamp_diff("MICROSECOND", origin, ts)
+
+
+def utc_instant(ts: Column) -> Column:
+    """The same as a timestamp with time zone, as watermarks need it."""
+    return F.timestamp_micros(utc_micros(ts))
+
+
 def clock(ts: Column) -> Column:
-    """Seconds since EPOCH as double (microsecond timestamps)."""
-    return F.unix_micros(ts.cast("timestamp")) / 1e6 - EPOCH
+    """Seconds since EPOCH as double."""
+    return utc_micros(ts) / 1e6 - EPOCH
 
 
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
