@@ -259,3 +259,18 @@ def containment_candidates(expected: DataFrame, emitted: DataFrame) -> DataFrame
     named = F.contains("symbol_text", "symbol")
     inside = F.col("line").between(F.col("lo"), F.coalesce("hi", "lo"))
     return j.where(F.coalesce(named, F.lit(False)) | F.coalesce(inside, F.lit(False))).select("t", "p")
+
+
+def call_site_candidates(truth: DataFrame, pred: DataFrame) -> DataFrame:
+    """Candidate pairs (t, p) of labelled call sites and predicted keys: same file, and the function,
+    an accepted alias or the qualified name agrees; a label for module level accepts any function.
+
+    ``truth``: t, file, function, also_accept (array). ``pred``: p, key. Pair them with
+    :func:`tracegauge.operators.joins.match_greedy`.
+    """
+    from tracegauge.functions.change import key_file, key_symbol, qualname
+
+    k = pred.select("p", key_file(F.col("key")).alias("file"), key_symbol(F.col("key")).alias("_s"), qualname(F.col("key")).alias("_q"))
+    names = F.concat(F.array("function"), F.coalesce("also_accept", F.array().cast("array<string>")))
+    ok = (F.col("function") == "<module>") | F.array_contains(names, F.col("_s")) | F.array_contains(names, F.col("_q"))
+    return truth.join(k, "file").where(ok).select("t", "p")

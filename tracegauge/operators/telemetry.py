@@ -190,7 +190,7 @@ def _weighted_ranks(pairs: DataFrame, keys: Sequence[str], value: str, out: str)
     return upto.select(*keys, value, (F.col("_upto") - (F.col("_c") - 1).cast("double") / 2.0).alias(out))
 
 
-def sliding_count(events: DataFrame, keys: Sequence[str], t: str, seconds: float, out: str) -> DataFrame:
+def sliding_count(events: DataFrame, keys: Sequence[str], t: str, seconds: int, out: str) -> DataFrame:
     """Events of the key in the ``seconds`` before and including each row.
 
     Each bucket also sees a copy of the bucket before it, so a busy key is cut along time.
