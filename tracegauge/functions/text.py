@@ -42,6 +42,11 @@ PLACEHOLDER = r"(?i)^(?:x+|\*+|changeme|your[_-].*|<.*>|\$\{.*\}|example.*|dummy
 MIN_SECRET_ENTROPY = 3.5
 
 
+def strip(text: Column) -> Column:
+    """Without leading and trailing white space of any kind (``trim`` removes blanks only)."""
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
+
+
 def approx_tokens(text: Column) -> Column:
     """Words and single punctuation marks, in order."""
     return F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0))
@@ -210,7 +215,7 @@ def facts_pass(reference: Column, answer: Column) -> Column:
 def question_of(user: Column) -> Column:
     """Text after the first ``QUESTION:`` of the user message, or the whole message."""
     q = F.regexp_extract(user, r"(?s)QUESTION:\s*(.+)\s*$", 1)
-    return F.when(user.rlike(r"(?s)QUESTION:\s*.+"), F.trim(F.regexp_replace(q, r"^\s+|\s+$", ""))).otherwise(user)
+    return F.when(user.rlike(r"(?s)QUESTION:\s*.+"), strip(q)).otherwise(user)
 
 
 def context_of(user: Column) -> Column:
@@ -220,7 +225,7 @@ def context_of(user: Column) -> Column:
 
 
 def normalize_value(v: Column) -> Column:
-    return F.lower(F.trim(v))
+    return F.lower(strip(v))
 
 
 def normalize_model(v: Column) -> Column:

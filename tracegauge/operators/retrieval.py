@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracegauge.functions.text import strip
 from tracegauge.session import ensure_checkpoint_dir
 
 # Okapi parameters and the floor for terms that occur in more than half of the chunks.
@@ -16,8 +17,8 @@ def sections(docs: DataFrame) -> DataFrame:
     parts = F.slice(F.split("text", r"(?m)^## "), 2, 2147483647)
     s = docs.select("doc_id", F.posexplode_outer(parts).alias("section", "s")).where("section IS NOT NULL")
     return s.select(
-        "doc_id", "section", F.trim(F.split_part("s", F.lit("\n"), F.lit(1))).alias("heading"),
-        F.trim(F.when(F.instr("s", "\n") > 0, F.expr("substring(s, instr(s, '\n') + 1)")).otherwise("")).alias("body"),
+        "doc_id", "section", strip(F.split_part("s", F.lit("\n"), F.lit(1))).alias("heading"),
+        strip(F.when(F.instr("s", "\n") > 0, F.expr("substring(s, instr(s, '\n') + 1)")).otherwise("")).alias("body"),
     )
 
 

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tracegauge.functions.text import strip
+
 # Engine metric names per canonical name, preferred alias first.
 METRIC_ALIASES = {
     "running": ["vllm:num_requests_running"],
@@ -31,7 +33,7 @@ def read_telemetry(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _metric_lines(snapshots: DataFrame, keys: Sequence[str], body: str) -> DataFrame:
-    line = snapshots.select(*keys, F.explode_outer(F.split(body, "\n")).alias("_l")).select(*keys, F.trim("_l").alias("_l"))
+    line = snapshots.select(*keys, F.explode_outer(F.split(body, "\n")).alias("_l")).select(*keys, strip(F.col("_l")).alias("_l"))
     return line.where((F.col("_l") != "") & ~F.col("_l").startswith("#"))
 
 
