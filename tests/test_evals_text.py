@@ -193,6 +193,13 @@ def test_reuse_counts_shared_leading_blocks(spark):
     assert (r.reused_tokens, r.total_tokens) == (32, 144)
 
 
+def test_own_tokenizer(spark):
+    p = spark.createDataFrame([(0, "a" * 40), (1, "a" * 20 + "b" * 12)], "seq long, prompt string")
+    chars = lambda c: F.filter(F.split(c, ""), lambda x: x != "")
+    r = {x.seq: (x.n_tokens, x.reused_blocks) for x in P.prefix_reuse(p, 16, chars).collect()}
+    assert r == {0: (40, 0), 1: (32, 1)}
+
+
 def test_same_blocks_elsewhere_do_not_count(spark):
     p = spark.createDataFrame([(0, words(tok("a", 16), tok("s", 16))), (1, words(tok("b", 16), tok("s", 16)))], "seq long, prompt string")
     assert P.reuse_ratio(P.prefix_reuse(p)).first().reused_tokens == 0

@@ -75,6 +75,20 @@ def test_bucketed_windows_equal_plain_windows(spark, width):
     assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
 
 
+def test_bucket_size_follows_the_largest_key(spark, monkeypatch):
+    monkeypatch.setattr(O, "ROWS_PER_BUCKET", 20)
+    df = events(spark, 300, 9)
+    b = df.select("k", "seq", O.order_bucket(df, ["k"], "t").alias("b"))
+    most = b.groupBy("k", "b").count().agg(F.max("count")).first()[0]
+    assert most < 60 and b.select("b").distinct().count() > 8
+    order = [F.col("t"), F.col("seq")]
+    got = O.neighbour(df, ["k"], order, O.order_bucket(df, ["k"], "t"), F.col("v"), "p").select("k", "seq", "p")
+    want = df.select("k", "seq", F.lag("v").over(Window.partitionBy("k").orderBy("t", "seq")).alias("p"))
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
+    monkeypatch.setattr(O, "ROWS_PER_BUCKET", 10**9)
+    assert df.select(O.order_bucket(df, ["k"], "t")).distinct().count() == 1
+
+
 def test_tpot(spark):
     df = spark.createDataFrame([(100.0, 1090.0, 100), (100.0, 200.0, 1), (None, 200.0, 5), (1.0, 2.0, None)], "a double, b double, n int")
     assert [r[0] for r in df.select(tpot_ms(F.col("a"), F.col("b"), F.col("n"))).collect()] == [10.0, None, None, None]

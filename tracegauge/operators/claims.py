@@ -96,6 +96,12 @@ def contradictions(claims: DataFrame, keys: Sequence[str] = ("subject", "predica
     )
 
 
+def top_claim(claims: DataFrame, keys: Sequence[str] = ("subject", "predicate")) -> DataFrame:
+    """Top-confidence value per subject as one combined aggregate, without the alternatives."""
+    best = F.min_by(F.struct("value", "confidence"), F.struct((-F.col("confidence")).alias("o"), "normalized"))
+    return claims.groupBy(*keys).agg(best.alias("_t")).select(*keys, "_t.value", "_t.confidence")
+
+
 def primary(claims: DataFrame, keys: Sequence[str] = ("subject", "predicate")) -> DataFrame:
     """Top-confidence value with the others as alternatives."""
     strength = F.struct((-F.col("confidence")).alias("o"), F.col("normalized").alias("normalized"), "value", "confidence")

@@ -10,8 +10,6 @@ from tracegauge.operators import serving as S
 from tracegauge.operators.prefix import prefix_reuse, reuse_ratio
 from tracegauge.operators.quantiles import exact_quantiles
 
-HOUR = 3600.0
-
 
 def traffic_class(
     *, streaming: Column | None = None, input_p95: Column | None = None, output_p95: Column | None = None,
@@ -40,8 +38,8 @@ def fingerprint(traces: DataFrame) -> DataFrame:
         "start", F.col("ts") - F.coalesce("latency_ms", F.lit(0.0)) / 1000.0
     )
     timed = t.where("ts IS NOT NULL").select(one, "start", "ts")
-    arrivals = S.arrival_stats(timed, ["w"], "start", HOUR).drop("n")
-    steps = S.concurrency_steps(timed, ["w"], F.col("start"), F.col("ts"), HOUR)
+    arrivals = S.arrival_stats(timed, ["w"], "start").drop("n")
+    steps = S.concurrency_steps(timed, ["w"], F.col("start"), F.col("ts"))
     peak = S.peak_concurrency(steps, ["w"])
     counted = approx_token_count(F.col("prompt"))
     n_in = F.coalesce(F.col("prompt_tokens"), counted) if "prompt_tokens" in t.columns else counted

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracegauge.functions.stats import percent_change, t_quantile, welch
-from tracegauge.operators.ordered import log_bucket, neighbour, position, running_sum, time_bucket
+from tracegauge.operators.ordered import log_bucket, neighbour, order_bucket, position, running_sum
 from tracegauge.operators.quantiles import exact_quantiles
 
 MIN_SAMPLES_PER_RUN = 20
@@ -204,10 +204,10 @@ def run_statistics(samples: DataFrame, keys: Sequence[str] = RUN_KEYS) -> DataFr
     return base.join(q, keys).join(trim, keys)
 
 
-def within_run_dependence(samples: DataFrame, keys: Sequence[str] = RUN_KEYS, width: float = 65536.0) -> DataFrame:
+def within_run_dependence(samples: DataFrame, keys: Sequence[str] = RUN_KEYS, width: float | None = None) -> DataFrame:
     """Share of consecutive samples within 3 % and lag-1 autocorrelation of ln(sample), per run."""
     keys = list(keys)
-    prev = neighbour(samples, keys, [F.col("seq"), F.col("ttft_ms")], time_bucket(F.col("seq"), width), F.col("ttft_ms"), "_p")
+    prev = neighbour(samples, keys, [F.col("seq"), F.col("ttft_ms")], order_bucket(samples, keys, "seq", width), F.col("ttft_ms"), "_p")
     means = samples.groupBy(*keys).agg(F.avg(F.log("ttft_ms")).alias("_m"))
     j = prev.join(means, keys)
     x, p = F.log("ttft_ms") - F.col("_m"), F.log("_p") - F.col("_m")
@@ -295,10 +295,10 @@ def effect_sizes(run_logs: DataFrame, main: str) -> DataFrame:
     )
 
 
-def slowest_positions(samples: DataFrame, keys: Sequence[str] = RUN_KEYS, top: int = 4, width: float = 65536.0) -> DataFrame:
+def slowest_positions(samples: DataFrame, keys: Sequence[str] = RUN_KEYS, top: int = 4, width: float | None = None) -> DataFrame:
     """Send position of the ``top`` slowest requests of each run (a top-k report)."""
     keys = list(keys)
-    placed = position(samples, keys, [F.col("seq"), F.col("ttft_ms")], time_bucket(F.col("seq"), width), "position")
+    placed = position(samples, keys, [F.col("seq"), F.col("ttft_ms")], order_bucket(samples, keys, "seq", width), "position")
     w = Window.partitionBy(*keys).orderBy(F.col("ttft_ms").desc(), F.col("seq"))
     return placed.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top)
 

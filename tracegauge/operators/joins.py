@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracegauge.operators.ordered import position, time_bucket
+from tracegauge.operators.ordered import order_bucket, position
 from tracegauge.session import ensure_checkpoint_dir
 
 
@@ -80,12 +80,12 @@ def attribute_diff(base: DataFrame, head: DataFrame, keys: Sequence[str]) -> Dat
     return d.where(~F.col("in_base") | ~F.col("in_head") | (F.size("changes") > 0))
 
 
-def match_one_to_one(truth: DataFrame, pred: DataFrame, keys: Sequence[str], id_col: str, width: float = 65536.0) -> DataFrame:
+def match_one_to_one(truth: DataFrame, pred: DataFrame, keys: Sequence[str], id_col: str, width: float | None = None) -> DataFrame:
     """Pair the n-th truth of a key with its n-th prediction; the rest is missed or extra.
 
     Ids are numeric; numbering runs inside id blocks, so one frequent key does not fill a task.
     """
-    number = lambda df, tag: position(df.select(*keys, id_col), keys, [F.col(id_col)], time_bucket(F.col(id_col), width), "_n").select(
+    number = lambda df, tag: position(df.select(*keys, id_col), keys, [F.col(id_col)], order_bucket(df, keys, id_col, width), "_n").select(
         *keys, "_n", F.col(id_col).alias(f"{tag}_id")
     )
     j = number(truth, "truth").join(number(pred, "pred"), [*keys, "_n"], "full_outer")

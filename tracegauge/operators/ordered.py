@@ -22,7 +22,25 @@ def time_bucket(t: Column, width: float) -> Column:
     return F.floor(t / F.lit(float(width))).cast("long")
 
 
-def log_bucket(v: Column, per_e: int = 256) -> Column:
+ROWS_PER_BUCKET = 2_000_000
+
+
+def order_bucket(df: DataFrame, keys: Sequence[str], t: str, width: float | None = None) -> Column:
+    """Bucket of the numeric column ``t``: of a given width, or sized from the data.
+
+    Sized from the data, every key above ROWS_PER_BUCKET rows is cut into pieces of about that many
+    (the narrowest width any of them needs); while no key is that large there is one bucket. The
+    size is a scalar subquery over one combined count per key, so nothing runs on the driver.
+    """
+    if width is not None:
+        return time_bucket(F.col(t), width)
+    per = df.groupBy(*keys).agg(F.count("*").alias("_n"), F.min(t).alias("_a"), F.max(t).alias("_b"))
+    hot = per.where((F.col("_n") > ROWS_PER_BUCKET) & (F.col("_b") > F.col("_a")))
+    need = hot.agg(F.min((F.col("_b") - F.col("_a")) / F.ceil(F.col("_n") / ROWS_PER_BUCKET)))
+    return F.floor(F.col(t) / F.coalesce(need.scalar(), F.lit(float("inf")))).cast("long")
+
+
+def log_bucket(v: Column, per_e: int = 1024) -> Column:
     """Monotone bucket of any finite double with about 1/per_e relative width, sign kept.
 
     Needs no pass over the data, and heavy tails do not crowd one bucket as fixed widths would.

@@ -2,34 +2,43 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracegauge.functions.text import approx_token_count, approx_tokens, common_prefix_length, prefix_block_digests
-from tracegauge.operators.ordered import neighbour, time_bucket
+from tracegauge.operators.ordered import neighbour, order_bucket
 
 
-def prompt_blocks(prompts: DataFrame, block: int = 16, tokens: Column | None = None) -> DataFrame:
-    """(seq, pos, digest) for every full leading block of every prompt."""
-    t = approx_tokens(F.col("prompt")) if tokens is None else tokens
+Tokenizer = Callable[[Column], Column]
+
+
+def prompt_blocks(prompts: DataFrame, block: int = 16, tokenize: Tokenizer = approx_tokens) -> DataFrame:
+    """(seq, pos, digest) for every full leading block of every prompt.
+
+    ``tokenize`` maps the text column to its token array; any Column function (also an Arrow UDF
+    around a model's tokenizer) can stand in for the default words-and-punctuation split.
+    """
+    t = tokenize(F.col("prompt"))
     # the token array is its own column: inside the fold it would be computed again for every block
     split = prompts.select("seq", t.alias("_tok"))
     rows = split.select("seq", F.posexplode_outer(prefix_block_digests(F.col("_tok"), block)).alias("pos", "digest"))
     return rows.where("pos IS NOT NULL")
 
 
-def prefix_reuse(prompts: DataFrame, block: int = 16) -> DataFrame:
+def prefix_reuse(prompts: DataFrame, block: int = 16, tokenize: Tokenizer = approx_tokens) -> DataFrame:
     """Per prompt: tokens, full blocks and leading blocks already seen in an earlier prompt.
 
     A chained digest is new only where it occurs first, and a prompt's reuse ends at its first new
     block. So one combined aggregate finds first occurrences and a second one the first miss per
     prompt; the blocks themselves are never joined back, however often one prefix repeats.
     """
-    firsts = prompt_blocks(prompts, block).groupBy("digest").agg(F.min(F.struct("seq", "pos")).alias("f"))
+    firsts = prompt_blocks(prompts, block, tokenize).groupBy("digest").agg(F.min(F.struct("seq", "pos")).alias("f"))
     miss = firsts.groupBy(F.col("f.seq").alias("seq")).agg(F.min("f.pos").alias("_miss"))
-    size = prompts.select("seq", approx_token_count(F.col("prompt")).cast("long").alias("n_tokens")).withColumn(
+    text = F.col("prompt")
+    n = approx_token_count(text) if tokenize is approx_tokens else F.size(tokenize(text))
+    size = prompts.select("seq", n.cast("long").alias("n_tokens")).withColumn(
         "n_blocks", F.floor(F.col("n_tokens") / block)
     )
     return size.join(miss, "seq", "left").select(
@@ -44,14 +53,15 @@ def reuse_ratio(reuse: DataFrame, block: int = 16, keys: Sequence[str] = ()) ->
     return g.withColumn("ratio", F.when(F.col("total_tokens") > 0, F.col("reused_tokens") / F.col("total_tokens")).otherwise(0.0))
 
 
-def reuse_gap_curve(prompts: DataFrame, gaps: Sequence[int], block: int = 16, span: float = 4096.0) -> DataFrame:
+def reuse_gap_curve(prompts: DataFrame, gaps: Sequence[int], block: int = 16, span: float | None = None) -> DataFrame:
     """Reused tokens when only prefixes used within the last ``g`` prompts count, for several g.
 
     ``seq`` must be a dense prompt number. The previous use of a block is looked up inside spans of
-    ``span`` prompts, so a block that every prompt shares does not fill one task.
+    prompts, so a block that every prompt shares does not fill one task.
     """
     blocks = prompt_blocks(prompts, block)
-    prev = neighbour(blocks, ["digest"], [F.col("seq")], time_bucket(F.col("seq"), span), F.col("seq"), "_prev")
+    bucket = order_bucket(blocks, ["digest"], "seq", span)
+    prev = neighbour(blocks, ["digest"], [F.col("seq")], bucket, F.col("seq"), "_prev")
     age = F.col("seq") - F.col("_prev")
     first_miss = [F.min(F.when(age.isNull() | (age > g), F.col("pos"))).alias(f"m{g}") for g in gaps]
     per = prev.groupBy("seq").agg(F.count("*").alias("_n"), *first_miss)

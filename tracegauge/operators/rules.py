@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracegauge.operators import claims as C
@@ -120,7 +120,7 @@ def no_fallback(c: Context) -> DataFrame:
 @rule
 def grounding(c: Context) -> DataFrame:
     claims = C.reconcile(B.retrieval_candidates(c.facts, c.dependencies), ["scan", "predicate"])
-    present = C.primary(claims, ["scan", "predicate"]).where("value = 'true'").select("scan", "confidence")
+    present = C.top_claim(claims, ["scan", "predicate"]).where("value = 'true'").select("scan", "confidence")
     cites = c.facts.prompt.where(F.col("text").rlike(CITATION_INSTRUCTION)).groupBy("scan").agg(F.min_by("key", "id").alias("key"))
     contract = finding(cites.join(present, "scan"), "eval.citation_contract", "P1", 0.85, "eval_citation_required", F.col("key"))
     judge = finding(present, "eval.grounding_judge", "P1", F.col("confidence") * 0.9, "eval_grounding_judge")
@@ -173,7 +173,7 @@ def context_budget(c: Context) -> DataFrame:
 @rule
 def no_serving_baseline(c: Context) -> DataFrame:
     cand = B.engine_candidates(c.facts, c.clients)
-    top = C.primary(C.reconcile(cand, ["scan", "subject", "predicate"]), ["scan", "subject", "predicate"])
+    top = C.top_claim(C.reconcile(cand, ["scan", "subject", "predicate"]), ["scan", "subject", "predicate"])
     hosted = top.where(F.col("value").isin(*SELF_HOSTED)).groupBy("scan").agg(F.count("*").alias("n"))
     return finding(hosted, "inf.serving_baseline", "P1", 0.9, "benchmark_workloads", n_sites=F.col("n"))
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracegauge.functions.serving import TIMEOUT_ERRORS, ratio
-from tracegauge.operators.ordered import neighbour, running_sum, time_bucket
+from tracegauge.operators.ordered import neighbour, order_bucket, running_sum
 from tracegauge.operators.quantiles import exact_quantiles
 
 LEVEL_KEYS = ("run_id", "level", "repeat")
@@ -88,13 +88,13 @@ def gap_percentiles(requests: DataFrame, keys: Sequence[str] = LEVEL_KEYS) -> Da
     return exact_quantiles(gaps, keys, "gap_ms", PERCENTILES, mean="mean")
 
 
-def interarrival_gaps(df: DataFrame, keys: Sequence[str], start: str, width: float, out: str = "gap") -> DataFrame:
+def interarrival_gaps(df: DataFrame, keys: Sequence[str], start: str, width: float | None = None, out: str = "gap") -> DataFrame:
     """Difference to the previous start of the same key (NULL for the first)."""
-    prev = neighbour(df, keys, [F.col(start)], time_bucket(F.col(start), width), F.col(start), "_before")
+    prev = neighbour(df, keys, [F.col(start)], order_bucket(df, keys, start, width), F.col(start), "_before")
     return prev.withColumn(out, F.col(start) - F.col("_before")).drop("_before")
 
 
-def arrival_stats(df: DataFrame, keys: Sequence[str], start: str, width: float) -> DataFrame:
+def arrival_stats(df: DataFrame, keys: Sequence[str], start: str, width: float | None = None) -> DataFrame:
     """n, window, mean rate (n-1)/window and the population CV of inter-arrival gaps."""
     g = interarrival_gaps(df, keys, start, width).groupBy(*keys).agg(
         F.count("*").alias("n"),
@@ -112,7 +112,7 @@ def arrival_stats(df: DataFrame, keys: Sequence[str], start: str, width: float)
     )
 
 
-def concurrency_steps(df: DataFrame, keys: Sequence[str], start: Column, end: Column, width: float) -> DataFrame:
+def concurrency_steps(df: DataFrame, keys: Sequence[str], start: Column, end: Column, width: float | None = None) -> DataFrame:
     """Running number of open intervals after every start/end instant, and how long it held.
 
     Equal instants are merged per direction first; ends sort before starts at the same time.
@@ -121,9 +121,9 @@ def concurrency_steps(df: DataFrame, keys: Sequence[str], start: Column, end: Co
         F.struct(start.alias("t"), F.lit(1).alias("d")), F.struct(end.alias("t"), F.lit(-1).alias("d"))
     )).alias("m")).select(*keys, "m.t", "m.d")
     marks = marks.groupBy(*keys, "t", "d").agg(F.sum("d").alias("_step"))
-    order = [F.col("t"), F.col("d")]
-    open_ = running_sum(marks, keys, order, time_bucket(F.col("t"), width), F.col("_step"), "open")
-    nxt = neighbour(open_, keys, order, time_bucket(F.col("t"), width), F.col("t"), "_next", following=True)
+    order, bucket = [F.col("t"), F.col("d")], order_bucket(marks, keys, "t", width)
+    open_ = running_sum(marks, keys, order, bucket, F.col("_step"), "open")
+    nxt = neighbour(open_, keys, order, bucket, F.col("t"), "_next", following=True)
     return nxt.select(*keys, "t", "d", "open", (F.col("_next") - F.col("t")).alias("held_s"))
 
 
@@ -142,7 +142,8 @@ def distribution_edges(df: DataFrame, keys: Sequence[str], value: str, bins: int
     """n, mean, p50/p95/p99, min, max and the distinct quantile edges of ``bins`` equal-mass bins."""
     probs = {f"e{i}": i / bins for i in range(bins + 1)}
     q = exact_quantiles(df, keys, value, {**probs, "p50": 0.5, "p95": 0.95, "p99": 0.99}, mean="mean")
-    edges = F.array_distinct(F.array(*[F.col(f"e{i}") for i in range(bins + 1)]))
+    # interpolation noise is rounded off, so a value that equals an edge falls into the bin it opens
+    edges = F.array_distinct(F.array(*[F.round(f"e{i}", 9) for i in range(bins + 1)]))
     return q.select(
         *keys, "n", "mean", "p50", "p95", "p99", F.col("e0").alias("min"), F.col(f"e{bins}").alias("max"),
         edges.alias("edges"),

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracegauge.functions.serving import counter_delta, ratio
-from tracegauge.operators.ordered import last_known, log_bucket, neighbour, running_sum, time_bucket
+from tracegauge.operators.ordered import last_known, log_bucket, neighbour, order_bucket, running_sum, time_bucket
 
 # The metrics a server may expose.
 GAUGES = (
@@ -19,7 +19,7 @@ COUNTERS = ("prefix_cache_queries", "prefix_cache_hits")
 
 
 def state_at_send(
-    requests: DataFrame, samples: DataFrame, fields: Sequence[str], *, run: str = "run_id", width: float = 3600.0
+    requests: DataFrame, samples: DataFrame, fields: Sequence[str], *, run: str = "run_id", width: float | None = None
 ) -> DataFrame:
     """As-of join: each request with the last sample of its run at or before ``send_ts``.
 
@@ -36,13 +36,13 @@ def state_at_send(
     )
     both = carried.unionByName(sample, allowMissingColumns=True)
     order = [F.col("_t"), F.col("_side"), F.col("_seq")]
-    done = last_known(both, [run], order, time_bucket(F.col("_t"), width), F.col("_sample"), "_at")
+    done = last_known(both, [run], order, order_bucket(both, [run], "_t", width), F.col("_sample"), "_at")
     return done.where("_side = 1").select(run, "_req.*", "_at.*")
 
 
 def counters_at(
     instants: DataFrame, samples: DataFrame, counters: Sequence[str], at: str, *, run: str = "run_id",
-    width: float = 3600.0,
+    width: float | None = None,
 ) -> DataFrame:
     """Last non-NULL value of each counter at or before ``at`` (NULL samples are skipped here)."""
     left = instants.select(
@@ -52,8 +52,9 @@ def counters_at(
     right = samples.select(run, F.col("t").alias("_t"), F.lit(0).alias("_side"), F.col("seq").cast("long").alias("_seq"), *counters)
     both = left.unionByName(right, allowMissingColumns=True)
     order = [F.col("_t"), F.col("_side"), F.col("_seq")]
+    bucket = order_bucket(both, [run], "_t", width)
     for c in counters:
-        both = last_known(both, [run], order, time_bucket(F.col("_t"), width), F.col(c), f"{c}_at")
+        both = last_known(both, [run], order, bucket, F.col(c), f"{c}_at")
     return both.where("_side = 1").select(run, "_row.*", *[f"{c}_at" for c in counters])
 
 
@@ -89,7 +90,7 @@ def window_gauges(
     )
 
 
-def window_counters(windows: DataFrame, samples: DataFrame, *, run: str = "run_id", width: float = 3600.0) -> DataFrame:
+def window_counters(windows: DataFrame, samples: DataFrame, *, run: str = "run_id", width: float | None = None) -> DataFrame:
     """Counter deltas over each window and the prefix-cache hit rate."""
     marks = windows.select(run, "window_id", F.explode(F.array(
         F.struct(F.lit("a").alias("edge"), F.col("t0").alias("at")),
@@ -112,11 +113,11 @@ def not_exposed(telemetry: DataFrame, *, run: str = "run_id") -> DataFrame:
 
 
 def counter_rates(
-    samples: DataFrame, keys: Sequence[str], counters: Sequence[str], t: str = "t", width: float = 3600.0
+    samples: DataFrame, keys: Sequence[str], counters: Sequence[str], t: str = "t", width: float | None = None
 ) -> DataFrame:
     """Delta of every counter to the previous sample (NULL across a restart or a missing value)."""
     prev = neighbour(
-        samples, keys, [F.col(t), F.col("seq")], time_bucket(F.col(t), width),
+        samples, keys, [F.col(t), F.col("seq")], order_bucket(samples, keys, t, width),
         F.struct(F.col(t).alias("t"), *[F.col(c) for c in counters]), "_p",
     )
     return prev.select(
@@ -126,7 +127,7 @@ def counter_rates(
     )
 
 
-def live_rates(samples: DataFrame, keys: Sequence[str], width: float = 3600.0) -> DataFrame:
+def live_rates(samples: DataFrame, keys: Sequence[str], width: float | None = None) -> DataFrame:
     """Hit rate over the last interval, hit rate in total, generated tokens per second."""
     c = ("prefix_cache_queries", "prefix_cache_hits", "generation_tokens")
     r = counter_rates(samples, keys, c, width=width)
@@ -140,7 +141,7 @@ def live_rates(samples: DataFrame, keys: Sequence[str], width: float = 3600.0) -
     )
 
 
-def per_second(samples: DataFrame, keys: Sequence[str], width: float = 3600.0) -> DataFrame:
+def per_second(samples: DataFrame, keys: Sequence[str], width: float | None = None) -> DataFrame:
     """One row per second: peak queue depth, mean gauges, hit rate between the last samples."""
     order = F.struct("t", "seq")
     sec = samples.groupBy(*keys, F.floor("t").alias("sec")).agg(
@@ -149,7 +150,7 @@ def per_second(samples: DataFrame, keys: Sequence[str], width: float = 3600.0) -
         F.avg("kv_cache_usage").alias("kv_cache_usage"),
         F.max_by(F.struct(*COUNTERS), order).alias("_last"),
     ).select(*keys, "sec", "running", "waiting", "kv_cache_usage", "_last.*")
-    prev = neighbour(sec, keys, [F.col("sec")], time_bucket(F.col("sec"), width), F.struct(*COUNTERS), "_p")
+    prev = neighbour(sec, keys, [F.col("sec")], order_bucket(sec, keys, "sec", width), F.struct(*COUNTERS), "_p")
     dq = counter_delta(F.col(COUNTERS[0]), F.col(f"_p.{COUNTERS[0]}"))
     dh = counter_delta(F.col(COUNTERS[1]), F.col(f"_p.{COUNTERS[1]}"))
     return prev.select(

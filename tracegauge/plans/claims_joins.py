@@ -8,13 +8,13 @@ from tracegauge.operators import claims as C
 from tracegauge.operators import joins as J
 from tracegauge.plans import scan_views  # noqa: F401  registers the shared views
 from tracegauge.plans import views as V
-from tracegauge.plans.registry import query, shared_view, sql_view, view
+from tracegauge.plans.registry import query, shared_view, view
 
 shared_view(
     "claim_candidates",
     """SELECT p_brand AS subject, 'type' AS predicate, CASE WHEN p_partkey % 2 = 0 THEN ' ' || lower(p_type) ELSE p_type END AS value,
       CASE WHEN p_size < 10 THEN 'ast' WHEN p_size < 20 THEN 'config' WHEN p_size < 30 THEN 'readme' WHEN p_size < 40 THEN 'dependency' ELSE 'llm' END AS source,
-      p_partkey AS fact_id, p_size % 2 = 0 AS direct FROM {part} WHERE p_retailprice BETWEEN 900 AND 1000 OR p_size IN (3, 13, 23, 33, 43)""",
+      p_partkey AS fact_id, p_size % 2 = 0 AS direct FROM {part}""",
 )
 PRIOR_SQL = "CASE source WHEN 'ast' THEN 0.95 WHEN 'ast_heuristic' THEN 0.7 WHEN 'config' THEN 0.9 WHEN 'dependency' THEN 0.6 WHEN 'readme' THEN 0.5 WHEN 'absence' THEN 0.6 ELSE 0.4 END::DOUBLE"
 
@@ -258,8 +258,8 @@ def s12(spark, d):
 )
 def w15(spark, d):
     """First fact of each (key, location) and a dense short id per scan, numbered inside order blocks."""
-    from tracegauge.operators.ordered import position, time_bucket
+    from tracegauge.operators.ordered import order_bucket, position
 
     u = V.table(spark, d, "lineitem").groupBy((F.col("l_partkey") % 25).alias("scan"), F.col("l_suppkey").alias("key"), F.col("l_linenumber").alias("line")).agg(F.min("l_orderkey").alias("first_seq"))
-    p = position(u, ["scan"], [F.col("first_seq"), F.col("key"), F.col("line")], time_bucket(F.col("first_seq"), 4096), "short_id")
+    p = position(u, ["scan"], [F.col("first_seq"), F.col("key"), F.col("line")], order_bucket(u, ["scan"], "first_seq"), "short_id")
     return p.select("scan", "key", "line", "short_id")

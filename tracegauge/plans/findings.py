@@ -10,9 +10,9 @@ from tracegauge.operators import impact as I
 from tracegauge.operators import joins as J
 from tracegauge.operators import rules as R
 from tracegauge.plans import views as V
-from tracegauge.plans.graph import ACTIONS, ALL, CALLS, CLIENTS, DEPS, EDGES, GRAPH_VIEWS, REACH, facts, graph
+from tracegauge.plans.graph import ACTIONS, ALL, CALLS, DEPS, EDGES, GRAPH_VIEWS, REACH, facts, graph
 from tracegauge.plans.claims_joins import claims_ctes
-from tracegauge.plans.registry import query, shared_view, sql_view, view
+from tracegauge.plans.registry import query, shared_view, view
 
 sql = lambda s: s.replace("'", "''")
 COLS = "scan, rule_id, priority, confidence, subject, n_sites, action"
@@ -118,7 +118,7 @@ def j9(spark, d):
 
 shared_view(
     "links",
-    """SELECT p_partkey AS finding_id, p_partkey * 3 % 1100 AS fact_id FROM {part} WHERE p_size > 40""",
+    """SELECT p_partkey AS finding_id, p_partkey * 3 % 1100 AS fact_id FROM {part}""",
 )
 shared_view(
     "doc_facts",

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tracegauge.functions.stats import clopper_pearson, wilson
 from tracegauge.operators import gate as G
-from tracegauge.operators import serving as S
+from tracegauge.operators.audit import close, verdict_mismatches
 from tracegauge.operators.quantiles import exact_quantiles
 from tracegauge.plans import views as V
 from tracegauge.plans.registry import query, sql_view, t_quantile_ctes
@@ -399,8 +399,6 @@ def v1(spark, d):
         (F.col("pub_p50") * F.when(F.col("run") == 2, 1 + PUBLISHED_NUDGE).otherwise(1.0)).alias("pub_p50"), "pub_p95",
     )
     q = exact_quantiles(s, G.RUN_KEYS, "ttft_ms", {"p50": 0.5, "p95": 0.95})
-    from tracegauge.operators.audit import close
-
     return q.join(pub, list(G.RUN_KEYS)).select(
         *G.RUN_KEYS, close(F.col("p50"), F.col("pub_p50")).alias("p50_matches"),
         close(F.col("p95"), F.col("pub_p95")).alias("p95_matches"),
@@ -416,8 +414,6 @@ def v1(spark, d):
 )
 def v3(spark, d):
     """Stored verdicts (one trial tampered, one bound shifted) that a recomputation does not confirm."""
-    from tracegauge.operators.audit import verdict_mismatches
-
     t = _trials(spark, d).select("set", "trial", "verdict", "ci_lo", "ci_hi")
     stored = t.select(
         "set", "trial", F.when(F.col("trial") == 6, "pass").otherwise(F.col("verdict")).alias("verdict"),

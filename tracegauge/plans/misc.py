@@ -148,7 +148,7 @@ def d1(spark, d):
 def d2(spark, d):
     ev = V.table(spark, d, "events").select("event_id")
     rows = SY.log_normal_lengths(ev, "event_id", 40.0, 160.0)
-    return SY.generate_requests(rows, "event_id", [("support", 0.5, 24), ("search", 0.3, 12)], ["alpha", "beta", "gamma", "delta", "kiln", "order", "ship", "error"])
+    return SY.generate_requests(rows, "event_id", [("support", 0.5, 24), ("search", 0.3, 12)], ["alpha", "beta", "gamma", "delta", "oven", "order", "ship", "error"])
 
 
 @query(

@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from tracegauge.functions.text import TOKEN, approx_token_count
 from tracegauge.operators import prefix as P
-from tracegauge.operators import serving as S
 from tracegauge.plans import views as V
 from tracegauge.plans.registry import query, sql_view
 

@@ -89,7 +89,7 @@ shared_view(
     """SELECT 's' || CAST(p_partkey % 25 AS STRING) AS scan, p_partkey AS id,
       CASE WHEN p_type = 'ECONOMY' THEN 'rank_bm25' WHEN p_type = 'STANDARD' THEN 'PgVector[extra]' WHEN p_type = 'PROMO' AND p_partkey % 25 < 15 THEN 'opentelemetry-sdk' WHEN p_type = 'SMALL' THEN 'tenacity' WHEN p_type = 'MEDIUM' AND p_partkey % 25 < 8 THEN 'deepeval' ELSE 'left-pad' END
         || CASE WHEN p_size % 3 = 0 THEN '>=' || CAST(p_size AS STRING) || '.0' WHEN p_size % 3 = 1 THEN ' == 1.2 # pinned' ELSE '' END AS line, p_brand, p_size
-    FROM {part} WHERE p_retailprice >= 900""",
+    FROM {part}""",
 )
 shared_view(
     "config_key",

@@ -6,13 +6,9 @@ from pyspark.sql import functions as F
 
 from tracegauge.functions.serving import SLO, slo_ok, tpot_ms
 from tracegauge.operators import serving as S
-from tracegauge.operators.ordered import time_bucket
 from tracegauge.plans import views as V
 from tracegauge.plans.registry import query
 
-HOUR = 3600.0
-DAY = 86400.0
-
 
 def r6(*cols):
     return [F.round(F.col(c), 6).alias(c) for c in cols]
@@ -113,7 +109,7 @@ def a5(spark, d):
     "requests",
     sql="""
     WITH v AS (SELECT level, value FROM (SELECT level, e2e_ms::DOUBLE AS value FROM requests WHERE ok)),
-    e AS (SELECT level, list_distinct(list_transform(range(0, 13), lambda i: quantile_cont_l[i + 1])) AS edges FROM (
+    e AS (SELECT level, list_distinct(list_transform(range(0, 13), lambda i: round(quantile_cont_l[i + 1], 9))) AS edges FROM (
       SELECT level, quantile_cont(value, [0.0, 1.0/12, 2.0/12, 3.0/12, 4.0/12, 5.0/12, 6.0/12, 7.0/12, 8.0/12, 9.0/12,
         10.0/12, 11.0/12, 1.0]) AS quantile_cont_l FROM v GROUP BY level)),
     s AS (SELECT level, list_sort(edges) AS edges FROM e),
@@ -148,7 +144,7 @@ def a7s(spark, d):
       round(stddev_pop(gap) / avg(gap), 6) AS cv_interarrival FROM g GROUP BY run_id""",
 )
 def a8(spark, d):
-    a = S.arrival_stats(V.requests(spark, d).select("run_id", "send_ts"), ["run_id"], "send_ts", HOUR)
+    a = S.arrival_stats(V.requests(spark, d).select("run_id", "send_ts"), ["run_id"], "send_ts")
     return a.select("run_id", "n", *r6("window_s"), F.round("mean_rps", 9).alias("mean_rps"), *r6("cv_interarrival"))
 
 
@@ -160,7 +156,7 @@ def a8(spark, d):
 )
 def w5(spark, d):
     r = V.requests(spark, d).select("run_id", "idx", "send_ts")
-    return S.interarrival_gaps(r, ["run_id"], "send_ts", HOUR, "gap_s").select("run_id", "idx", *r6("gap_s"))
+    return S.interarrival_gaps(r, ["run_id"], "send_ts", out="gap_s").select("run_id", "idx", *r6("gap_s"))
 
 
 CONCURRENCY_SQL = """
@@ -175,7 +171,7 @@ CONCURRENCY_SQL = """
 def _steps(spark, d):
     r = V.requests(spark, d).select("run_id", "send_ts", "e2e_ms")
     end = F.col("send_ts") + F.coalesce(F.col("e2e_ms"), F.lit(0.0)) / 1000.0 * 3600
-    return S.concurrency_steps(r, ["run_id"], F.col("send_ts"), end, HOUR)
+    return S.concurrency_steps(r, ["run_id"], F.col("send_ts"), end)
 
 
 @query(
