@@ -62,14 +62,14 @@ def reliability(points: DataFrame, bins: int = 5) -> DataFrame:
     return t.withColumn("gap", share * F.abs(F.col("mean_conf") - F.col("accuracy")))
 
 
-def hash_order(df: DataFrame, id_col: str, seed: int, buckets: int = 4096) -> DataFrame:
+def hash_order(df: DataFrame, id_col: str, seed: int) -> DataFrame:
     """Dense 0-based position in a seeded order, without one global sort task.
 
-    The order key is md5(seed:id); rows are ranked inside its leading 12 bits and offset by the
-    counts of the buckets before (a table of at most ``buckets`` rows).
+    The order key is md5(seed:id); rows are ranked inside its leading 16 bits and offset by the
+    counts of the buckets before (a table of at most 65,536 rows).
     """
     key = F.md5(F.concat(F.lit(f"{seed}:"), F.col(id_col).cast("string")))
-    rows = df.withColumn("_k", key).withColumn(BUCKET, F.conv(F.substring("_k", 1, 3), 16, 10).cast("int"))
+    rows = df.withColumn("_k", key).withColumn(BUCKET, F.conv(F.substring("_k", 1, 4), 16, 10).cast("int"))
     sizes = rows.groupBy(BUCKET).agg(F.count("*").alias("_c"))
     before = Window.orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
     offs = sizes.select(

@@ -74,14 +74,15 @@ def reuse_gap_curve(prompts: DataFrame, gaps: Sequence[int], block: int = 16, sp
 def shared_prefix(prompts: DataFrame, key: str, text: str = "prompt", order: str = "seq") -> DataFrame:
     """Shortest prefix every prompt of the key shares with the key's first prompt."""
     first = prompts.groupBy(key).agg(F.min_by(text, order).alias("_first"))
-    j = prompts.select(key, text).distinct().join(first, key)
+    # the first prompts are few and the comparison is combined map-side: the texts need no shuffle
+    j = prompts.select(key, text).join(first, key)
     return j.groupBy(key).agg(F.min(common_prefix_length(F.col(text), F.col("_first"))).alias("shared"))
 
 
 def snapshot_prefix_check(base: DataFrame, head: DataFrame, key: str) -> DataFrame:
     """PASS if the head keeps 90 % of the base's shared prefix; INCONCLUSIVE if that is not meaningful
     or the two snapshots do not ask the same distinct questions."""
-    asked = lambda df, tag: df.groupBy(key, "question").agg(F.count("*").alias(tag))
+    asked = lambda df, tag: df.groupBy(key, F.md5("question").alias("question")).agg(F.count("*").alias(tag))
     both = asked(base, "_b").join(asked(head, "_h"), [key, "question"], "full_outer")
     same = both.groupBy(key).agg(F.bool_and((F.coalesce("_b", F.lit(0)) == 1) & (F.coalesce("_h", F.lit(0)) == 1)).alias("_same"))
     role = base.groupBy(key).agg(F.min_by("first_role", "seq").alias("_role"))
@@ -104,7 +105,7 @@ def prefix_groups(prompts: DataFrame) -> DataFrame:
     total = prompts.agg(F.count("*").alias("_all"))
     g = prompts.where(F.length("system") > 0).withColumn("prefix_hash", F.substring(F.sha2("system", 256), 1, 12))
     first = g.groupBy("prefix_hash").agg(F.count("*").alias("n"), F.min_by("prompt", "seq").alias("_first")).where("n >= 2")
-    j = g.select("prefix_hash", "prompt").distinct().join(first, "prefix_hash").select(
+    j = g.select("prefix_hash", "prompt").join(first, "prefix_hash").select(
         "prefix_hash", "n", approx_tokens(F.col("prompt")).alias("_a"), approx_tokens(F.col("_first")).alias("_b")
     )
     a, b = F.col("_a"), F.col("_b")

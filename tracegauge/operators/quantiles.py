@@ -126,7 +126,9 @@ def values_at_ranks(df: DataFrame, keys: Sequence[str], value: str, ranks: DataF
         .select(*keys, BUCKET, (F.col("_pos") - F.col("_base")).alias("_pos"), F.lit(1).alias("_side"), F.col("_pos").alias("rank"))
     )
     inside = Window.partitionBy(*keys, BUCKET).orderBy("_x").rowsBetween(Window.unboundedPreceding, 0)
-    start = counts.select(*keys, BUCKET, (F.sum("_c").over(inside) - F.col("_c")).alias("_pos"), F.lit(0).alias("_side"), "_x")
+    wanted = placed.select(*[F.col(k).alias(f"_w_{k}") for k in keys], F.col(BUCKET).alias("_wb")).distinct()
+    cond = [counts[k].eqNullSafe(wanted[f"_w_{k}"]) for k in keys] + [counts[BUCKET].eqNullSafe(wanted["_wb"])]
+    start = counts.join(wanted, cond, "left_semi").select(*keys, BUCKET, (F.sum("_c").over(inside) - F.col("_c")).alias("_pos"), F.lit(0).alias("_side"), "_x")
     asof = Window.partitionBy(*keys, BUCKET).orderBy("_pos", "_side").rowsBetween(Window.unboundedPreceding, 0)
     return (
         start.unionByName(placed, allowMissingColumns=True)

@@ -213,3 +213,86 @@ def positional_model(serving: DataFrame) -> DataFrame:
         lambda x: ~x["w"].startswith("--") & (x["w"] != "serve") & ~(F.coalesce(x["prev"].startswith("--") & ~x["prev"].contains("="), F.lit(False))),
     )
     return serving.select("scan", "key", F.get(kept, F.lit(0))["w"].alias("model"))
+
+
+def _edge(df: DataFrame, kind: str, src: Column, dst: Column) -> DataFrame:
+    return df.select("scan", F.lit(kind).alias("kind"), src.alias("src_key"), dst.alias("dst_key"))
+
+
+def _node(df: DataFrame, kind: str, key: Column) -> DataFrame:
+    return df.select("scan", key.alias("key"), F.lit(kind).alias("kind"))
+
+
+def capabilities(f: Facts) -> DataFrame:
+    """Capability members per route: (scan, route, workflow, capability, member).
+
+    Calls with retrieval answer from documents, calls alone generate, and every tool a route reaches
+    is an action of its own.
+    """
+    starts = f.route.select("scan", F.col("key").alias("source"), F.col("handler_key").alias("node"))
+    reach = traverse(f.call_edge, starts, source="source").select("scan", F.col("source").alias("route"), F.col("node").alias("function_key"))
+    tag = lambda df, what, name: df.select("scan", "function_key", F.lit(what).alias("what"), F.col("key").alias("member"), name.alias("name"))
+    none = F.lit(None).cast("string")
+    things = tag(f.llm_call, "llm", none).unionByName(tag(f.retriever, "retriever", none)).unionByName(
+        tag(f.side_effect_fn.where("NOT observability_only"), "tool", F.col("name")))
+    hits = reach.join(things, ["scan", "function_key"]).select("scan", "route", "what", "member", "name").distinct()
+    per = hits.groupBy("scan", "route").agg(F.bool_or(F.col("what") == "llm").alias("_llm"), F.bool_or(F.col("what") == "retriever").alias("_ret"))
+    j = hits.join(per, ["scan", "route"]).join(f.route.select("scan", F.col("key").alias("route"), "path", "label"), ["scan", "route"])
+    kind = (
+        F.when(F.col("what") == "tool", F.concat(F.lit("action_"), "name"))
+        .when(F.col("_llm") & F.col("_ret"), "rag_answer")
+        .when(F.col("_llm") & (F.col("what") == "llm"), "llm_generation")
+    )
+    key = F.concat(F.lit("capability:"), "route", F.lit("::"), kind)
+    return j.where(kind.isNotNull()).select(
+        "scan", "route", F.concat(F.lit("workflow:"), "path", F.lit("::"), "label").alias("workflow"), key.alias("capability"), "member"
+    )
+
+
+def full_graph(f: Facts) -> tuple[DataFrame, DataFrame]:
+    """All nodes (scan, key, kind) and edges of the application graphs, from routes to workflows."""
+    reach = route_reach(f)
+    comps = components(f, reach).select("scan", "key").checkpoint()
+    # derived facts that feed several kinds of nodes and edges are written once
+    clients, flags = resolve_clients(f).checkpoint(), parse_flags(f.serving)
+    tools, caps = actions(f, reach).checkpoint(), capabilities(f).checkpoint()
+    calls = call_models(f, clients, flags).checkpoint()
+    model = F.concat(F.lit("model:"), "model")
+    boundary = F.concat(F.lit("boundary:"), "path", F.lit("::"), "name", F.lit("#approval"))
+    served = clients.where("serving_key IS NOT NULL")
+    flag_key = F.concat(F.lit("config:docker-compose.yml#"), "service", F.lit(".--"), "flag")
+    flag_rows = flags.join(f.serving.select("scan", "key", "service"), ["scan", "key"]).join(
+        served.select("scan", F.col("serving_key").alias("key")).distinct(), ["scan", "key"], "left_semi"
+    )
+    reads = f.config_access.join(comps, ["scan", "key"], "left_semi").join(
+        f.config_key.select("scan", "keypath", F.col("key").alias("config")), ["scan", "keypath"]
+    )
+    refs = f.system_message.join(f.prompt.where("NOT is_test").select("scan", F.col("name").alias("ref_prompt"), F.col("key").alias("prompt_key")), ["scan", "ref_prompt"])
+    c = F.col
+    nodes = [
+        _node(comps, "component", c("key")), _node(calls, "component", c("key")), _node(f.route, "route", c("key")),
+        _node(f.prompt.where("NOT is_test"), "prompt", c("key")), _node(f.system_message, "prompt", c("key")), _node(clients, "endpoint", c("key")),
+        _node(served, "serving_config", c("serving_key")), _node(calls.where("model IS NOT NULL"), "model", model), _node(f.retriever, "retriever", c("key")),
+        _node(tools, "tool", c("key")), _node(tools.where("gated"), "security_boundary", boundary), _node(reads, "config_key", c("config")),
+        _node(flag_rows, "config_key", flag_key), _node(caps, "capability", c("capability")), _node(caps, "workflow", c("workflow")),
+    ]
+    handlers = caps.select("scan", c("route").alias("key"), "capability").distinct().join(f.route.select("scan", "key", "handler_key"), ["scan", "key"])
+    edges = [
+        _edge(f.call_edge, "calls", c("src_key"), c("dst_key")), _edge(calls, "calls", c("function_key"), c("key")), _edge(f.route, "routes_to", c("key"), c("handler_key")),
+        _edge(f.system_message, "uses_prompt", c("component_key"), c("key")), _edge(f.prompt, "uses_prompt", c("function_key"), c("key")), _edge(refs, "depends_on", c("key"), c("prompt_key")),
+        _edge(served, "configured_by", c("key"), c("serving_key")), _edge(reads, "configured_by", c("key"), c("config")), _edge(flag_rows, "configured_by", c("key"), flag_key),
+        _edge(calls.where("model IS NOT NULL"), "uses_model", c("key"), model), _edge(calls.where("model IS NOT NULL"), "served_by", model, c("endpoint_key")),
+        _edge(f.retriever, "retrieves_via", c("function_key"), c("key")), _edge(tools, "invokes_tool", c("function_key"), c("key")), _edge(tools.where("gated"), "guarded_by", c("key"), boundary),
+        _edge(caps, "implements", c("member"), c("capability")), _edge(handlers, "implements", c("handler_key"), c("capability")), _edge(caps, "implements", c("capability"), c("workflow")),
+    ]
+    n, e = nodes[0], edges[0]
+    for x in nodes[1:]:
+        n = n.unionByName(x)
+    for x in edges[1:]:
+        e = e.unionByName(x)
+    n = n.distinct().checkpoint()  # three readers below: both edge ends and the caller
+    have = n.select("scan", "key").distinct()
+    e = e.distinct().join(have.withColumnRenamed("key", "src_key"), ["scan", "src_key"], "left_semi").join(
+        have.withColumnRenamed("key", "dst_key"), ["scan", "dst_key"], "left_semi"
+    )
+    return n, e.select("scan", "kind", "src_key", "dst_key")

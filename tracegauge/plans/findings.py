@@ -19,7 +19,7 @@ COLS = "scan, rule_id, priority, confidence, subject, n_sites, action"
 
 
 def f(rule_id, prio, conf, src, action, subject="'app'", n="1"):
-    act = "NULL" if action is None else f"'{action}'"
+    act = "NULL::VARCHAR" if action is None else f"'{action}'"
     return f"SELECT scan, '{rule_id}' AS rule_id, {prio} AS priority, ({conf})::DOUBLE AS confidence, {subject} AS subject, ({n})::BIGINT AS n_sites, {act} AS action FROM {src}"
 
 

@@ -378,3 +378,37 @@ def o1(spark, d):
     head = n.where("key NOT LIKE 'part:%7'")
     base = n.where("key NOT LIKE 'order:%3'").withColumn("kind", F.when(F.col("kind") == "tool", "old").otherwise(F.col("kind")))
     return G.merged_graph(base, head, e, e)[0].select("key", "kind")
+
+
+# ---------------------------------------------------------------- the whole application graph
+
+FULL = f"""{REACH}, {ACTIONS}, {INTERESTING}, {CALLS},
+  fl AS (SELECT scan, key AS route, handler_key AS fk FROM route UNION SELECT f.scan, f.route, e.dst_key FROM fl f JOIN call_edge e ON e.scan = f.scan AND e.src_key = f.fk),
+  hit AS (SELECT DISTINCT fl.scan, route, 'llm' AS what, l.key AS member, NULL::VARCHAR AS name FROM fl JOIN llm_call l ON l.scan = fl.scan AND l.function_key = fk
+    UNION SELECT fl.scan, route, 'retriever', l.key, NULL::VARCHAR FROM fl JOIN retriever l ON l.scan = fl.scan AND l.function_key = fk
+    UNION SELECT fl.scan, route, 'tool', l.key, l.name FROM fl JOIN side_effect_fn l ON l.scan = fl.scan AND l.function_key = fk AND NOT l.observability_only),
+  caps AS (SELECT * FROM (SELECT h.scan, h.route, 'workflow:' || r.path || '::' || r.label AS workflow, 'capability:' || h.route || '::' || CASE WHEN what = 'tool' THEN 'action_' || h.name WHEN p.l AND p.t THEN 'rag_answer' WHEN p.l AND what = 'llm' THEN 'llm_generation' END AS capability, member, r.handler_key
+    FROM hit h JOIN (SELECT scan, route, bool_or(what = 'llm') AS l, bool_or(what = 'retriever') AS t FROM hit GROUP BY ALL) p ON p.scan = h.scan AND p.route = h.route JOIN route r ON r.scan = h.scan AND r.key = h.route) WHERE capability IS NOT NULL),
+  sv AS (SELECT scan, key, serving_key FROM resolved WHERE serving_key IS NOT NULL),
+  fr AS (SELECT f.scan, f.key, 'config:docker-compose.yml#' || s.service || '.--' || f.flag AS fkey FROM flags f JOIN serving s USING (scan, key) WHERE EXISTS (SELECT 1 FROM sv WHERE sv.scan = f.scan AND sv.serving_key = f.key)),
+  rd AS (SELECT a.scan, a.key, k.key AS config FROM config_access a JOIN comps c ON c.scan = a.scan AND c.key = a.key JOIN config_key k ON k.scan = a.scan AND k.keypath = a.keypath),
+  gn AS (SELECT scan, key, 'component' AS kind FROM comps UNION SELECT scan, key, 'component' FROM calls UNION SELECT scan, key, 'route' FROM route UNION SELECT scan, key, 'prompt' FROM prompt WHERE NOT is_test
+    UNION SELECT scan, key, 'prompt' FROM system_message UNION SELECT scan, key, 'endpoint' FROM llm_client UNION SELECT scan, serving_key, 'serving_config' FROM sv UNION SELECT scan, 'model:' || model, 'model' FROM calls WHERE model IS NOT NULL
+    UNION SELECT scan, key, 'retriever' FROM retriever UNION SELECT scan, key, 'tool' FROM actions UNION SELECT scan, 'boundary:' || path || '::' || name || '#approval', 'security_boundary' FROM actions WHERE gated
+    UNION SELECT scan, config, 'config_key' FROM rd UNION SELECT scan, fkey, 'config_key' FROM fr UNION SELECT scan, capability, 'capability' FROM caps UNION SELECT scan, workflow, 'workflow' FROM caps),
+  ge AS (SELECT scan, 'calls' AS kind, src_key, dst_key FROM call_edge UNION SELECT scan, 'calls', function_key, key FROM calls UNION SELECT scan, 'routes_to', key, handler_key FROM route UNION SELECT scan, 'uses_prompt', component_key, key FROM system_message
+    UNION SELECT scan, 'uses_prompt', function_key, key FROM prompt UNION SELECT s.scan, 'depends_on', s.key, p.key FROM system_message s JOIN prompt p ON p.scan = s.scan AND p.name = s.ref_prompt AND NOT p.is_test
+    UNION SELECT scan, 'configured_by', key, serving_key FROM sv UNION SELECT scan, 'configured_by', key, config FROM rd UNION SELECT scan, 'configured_by', key, fkey FROM fr UNION SELECT scan, 'uses_model', key, 'model:' || model FROM calls WHERE model IS NOT NULL
+    UNION SELECT scan, 'served_by', 'model:' || model, endpoint_key FROM calls WHERE model IS NOT NULL UNION SELECT scan, 'retrieves_via', function_key, key FROM retriever UNION SELECT scan, 'invokes_tool', function_key, key FROM actions
+    UNION SELECT scan, 'guarded_by', key, 'boundary:' || path || '::' || name || '#approval' FROM actions WHERE gated UNION SELECT scan, 'implements', member, capability FROM caps UNION SELECT scan, 'implements', handler_key, capability FROM caps UNION SELECT scan, 'implements', capability, workflow FROM caps),
+  gx AS (SELECT e.* FROM ge e WHERE EXISTS (SELECT 1 FROM gn n WHERE n.scan = e.scan AND n.key = e.src_key) AND EXISTS (SELECT 1 FROM gn n WHERE n.scan = e.scan AND n.key = e.dst_key))"""
+
+
+@query("G8_application_nodes", *ALL, "flags", sql=f"WITH {FULL} SELECT scan, key, kind FROM gn")
+def g8a(spark, d):
+    return B.full_graph(facts(spark, d))[0]
+
+
+@query("G9_application_edges", *ALL, "flags", sql=f"WITH {FULL} SELECT scan, kind, src_key, dst_key FROM gx")
+def g9a(spark, d):
+    return B.full_graph(facts(spark, d))[1]
