@@ -44,7 +44,7 @@ MIN_SECRET_ENTROPY = 3.5
 
 def strip(text: Column) -> Column:
     """Without leading and trailing white space of any kind (``trim`` removes blanks only)."""
-    return F.regexp_replace(text, r"^\s+|\s+$", "")
+    return F.btrim(text, F.lit(" \t\n\r\x0b\x0c"))
 
 
 def approx_tokens(text: Column) -> Column:

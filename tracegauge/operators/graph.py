@@ -28,8 +28,10 @@ def traverse(
     """
     ensure_checkpoint_dir(edges.sparkSession)
     ids = [*keys, *([source] if source else []), "node"]
-    # written once, spread by the join key: every round reads it, none derives it again
-    e = edges.select(*keys, F.col("src_key").alias("node"), F.col("dst_key").alias("_to")).distinct().repartition(*keys, "node").checkpoint()
+    # Written once, every round reads it. Spread by whole edges, not by node: a hub's edges then lie in
+    # many partitions, where a small (broadcast) frontier meets them in parallel; for a large frontier
+    # AQE splits the hub in the shuffled join.
+    e = edges.select(*keys, F.col("src_key").alias("node"), F.col("dst_key").alias("_to")).distinct().checkpoint()
     first = starts.select(*ids).distinct().withColumn("hop", F.lit(0))
     if with_path:
         first = first.withColumn("path", F.array("node"))
@@ -60,7 +62,7 @@ def upward_edges(nodes: DataFrame, edges: DataFrame, keys: Sequence[str] = ("sca
         *keys, F.col("dst_key").alias("src_key"), F.col("src_key").alias("dst_key")
     )
     stop = nodes.where(F.col("kind").isin("capability", "workflow")).select(*keys, F.col("key").alias("src_key"))
-    return forward.unionByName(backward.join(stop, [*keys, "src_key"], "left_anti")).distinct()
+    return forward.unionByName(backward.join(stop, [*keys, "src_key"], "left_anti"))
 
 
 def affected(nodes: DataFrame, edges: DataFrame, touched: DataFrame, keys: Sequence[str] = ("scan",)) -> DataFrame:
