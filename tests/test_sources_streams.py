@@ -151,6 +151,28 @@ def test_one_active_job_across_micro_batches(spark, sf, tmp_path):
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, one_active_job(t).select("key", "seq", "outcome").collect()))
 
 
+def test_rate_limit_across_micro_batches_replays(spark, sf, tmp_path):
+    use_rocksdb(spark)
+    e = V.table(spark, sf, "events").select((F.col("user_id") % 5).alias("key"), F.col("event_id").alias("seq"), V.clock(F.col("ts")).alias("t"))
+    s = stream_of(spark, e, str(tmp_path), ["seq < 300", "seq >= 300 AND seq < 600", "seq >= 600"])
+    got = {r.seq: r.accepted for r in run_available(SJ.rate_limit(s, 3, 20000.0)).collect()}
+    hits, want = {}, {}
+    for r in sorted(e.collect(), key=lambda r: (r.t, r.seq)):
+        live = [x for x in hits.get(r.key, []) if r.t - x <= 20000.0]
+        want[r.seq] = len(live) < 3
+        hits[r.key] = live + [r.t] * want[r.seq]
+    assert got == want and len(set(got.values())) == 2
+
+
+def test_secret_spans_in_sql(spark):
+    from tracegauge.functions.tables import register
+
+    register(spark)
+    spark.createDataFrame([(1, "key AKIA" + "A1" * 8), (2, "nothing"), (3, None)], "id int, text string").createOrReplaceTempView("secret_docs_view")
+    rows = spark.sql("SELECT d.id, s.* FROM secret_docs_view d, LATERAL secret_spans(d.text) s").collect()
+    assert [tuple(r) for r in rows] == [(1, "aws_access_key_id", 4, 24, 1)]
+
+
 def test_recent_history_is_bounded_and_newest(spark, sf, tmp_path):
     use_rocksdb(spark)
     w = V.telemetry_wide(spark, sf).withColumn("run_id", F.lit("one"))

@@ -92,6 +92,15 @@ def t6(spark, d):
     return run_available(SJ.lost_leases(e, 86400, 3))
 
 
+@query("T9_rate_limit_stream")
+def t9(spark, d):
+    """Accepted and refused requests per client; a refusal depends on the acceptances before it, so there
+    is no plain SQL twin (the tests replay it)."""
+    use_rocksdb(spark)
+    e = read_table(spark, d, "events").select(F.col("user_id").alias("key"), F.col("event_id").alias("seq"), V.clock(F.col("ts")).alias("t"))
+    return run_available(SJ.rate_limit(e, 3, 14400.0))
+
+
 @query("T8_event_feed", sql="SELECT event_id AS id, user_id AS job, event_type AS status, event_type IN ('purchase', 'error') AS closes FROM events WHERE event_id > 500")
 def t8(spark, d):
     e = read_table(spark, d, "events").select(F.col("event_id").alias("id"), F.col("user_id").alias("job"), F.col("event_type").alias("status"))

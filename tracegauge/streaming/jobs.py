@@ -95,6 +95,39 @@ def lost_leases(heartbeats: DataFrame, lease_s: int, max_attempts: int, late: st
     )
 
 
+class _RateLimit(StatefulProcessor):
+    """State per client: the times of the last accepted requests, at most ``limit`` of them."""
+
+    def __init__(self, limit: int, window_s: float) -> None:
+        self.limit, self.window_s = limit, window_s
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.hits = handle.getListState("hits", "t DOUBLE")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        p = pd.concat(list(rows)).sort_values(["t", "seq"])
+        hits = [x[0] for x in self.hits.get()] if self.hits.exists() else []
+        accepted = []
+        for t in p["t"]:
+            hits = [x for x in hits if t - x <= self.window_s]
+            accepted.append(len(hits) < self.limit)
+            if accepted[-1]:
+                hits.append(float(t))
+        self.hits.put([(x,) for x in hits]) if hits else self.hits.clear()
+        yield pd.DataFrame({"key": key[0], "seq": p["seq"], "accepted": accepted})
+
+    def close(self) -> None:
+        pass
+
+
+def rate_limit(requests: DataFrame, limit: int = 3, window_s: float = 600.0) -> DataFrame:
+    """Accept at most ``limit`` requests of a client per window; refused ones do not count (key, seq, t)."""
+    return requests.select("key", "seq", "t").groupBy("key").transformWithStateInPandas(
+        statefulProcessor=_RateLimit(limit, window_s), outputStructType="key BIGINT, seq BIGINT, accepted BOOLEAN",
+        outputMode="Append", timeMode="None",
+    )
+
+
 def event_feed(events: DataFrame, after_id: int, terminal: tuple[str, ...] = ("done", "failed")) -> DataFrame:
     """Events after an id; a terminal status closes the feed of its job. The checkpoint is the offset."""
     return events.where(F.col("id") > after_id).withColumn("closes", F.col("status").isin(*terminal))
