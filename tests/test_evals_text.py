@@ -172,8 +172,8 @@ def test_tokens_follow_unicode_words(spark):
 
 
 def test_strict_json(spark):
-    df = spark.createDataFrame([(t,) for t in ('{"a":1}', '{"a":1} x', "1] [2", '1} {"b":2', "", "3", "1,2")], "t string")
-    assert [r[0] for r in df.select(X.strict_json(F.col("t")).isNotNull()).collect()] == [True, False, False, False, False, True, False]
+    df = spark.createDataFrame([(t,) for t in ('{"a":1}', '{"a":1} x', "1] [2", '1} {"b":2', "", "3", "1,2", ' [1] ', "null")], "t string")
+    assert [r[0] for r in df.select(X.strict_json(F.col("t")).isNotNull()).collect()] == [True, False, False, False, False, True, False, True, True]
 
 
 # ------------------------------------------------------------------ prefix reuse
