@@ -237,9 +237,8 @@ def pairing_gain(run_logs: DataFrame, base: str, other: str, value: str = "log_m
     )
     means = both.groupBy("trial", "side").agg(F.avg(value).alias("_m"))
     resid = both.join(means, ["trial", "side"]).select((F.col(value) - F.col("_m")).alias("e"))
-    left = paired.agg(F.stddev_samp("d").alias("sd_paired")).withColumn("_one", F.lit(1))
-    right = resid.agg((F.sqrt(F.lit(2.0)) * F.stddev_samp("e")).alias("sd_unpaired")).withColumn("_one", F.lit(1))
-    return left.join(right, "_one").drop("_one")
+    unpaired = resid.agg(F.sqrt(F.lit(2.0)) * F.stddev_samp("e")).scalar()
+    return paired.agg(F.stddev_samp("d").alias("sd_paired")).select("sd_paired", unpaired.alias("sd_unpaired"))
 
 
 def aggregation_spread(samples: DataFrame, base: str, other: str) -> DataFrame:

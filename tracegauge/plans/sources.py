@@ -40,8 +40,8 @@ def s1(spark, d):
 @query("S9_split_broken", "traces", sql="SELECT count(*) FILTER (seq % 7 <> 0) AS complete, count(*) FILTER (seq % 7 = 0) AS broken FROM traces")
 def s9(spark, d):
     good, bad = T.split_broken(trace_lines(spark, d))
-    one = good.agg(F.count("*").alias("complete")).withColumn("_k", F.lit(1))
-    return one.join(bad.agg(F.count("*").alias("broken")).withColumn("_k", F.lit(1)), "_k").drop("_k")
+    broken = bad.agg(F.count("*")).scalar()
+    return good.agg(F.count("*").alias("complete")).select("complete", broken.alias("broken"))
 
 
 @query("S2_request_records", "requests", sql="SELECT run_id, idx::INTEGER AS idx, level, repeat, ok, error, round(send_ts, 6) AS send_ts, ttft_ms, output_tokens, len(coalesce(chunk_gaps_ms, []))::INTEGER AS n_gaps FROM requests")
