@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracegauge.llm import quality
+from tracegauge.llm import decontaminate, licenses, quality
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -58,3 +58,38 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = quality.assess(documents(spark, sf_dir))
     cols = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
     return q.select("doc_id", *(F.col("quality")[c].alias(c) for c in cols))
+
+
+@query("op2_license_scans")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(documents(spark, sf_dir))
+    places, base = F.col("base_words"), F.col("base_labels")
+    both = F.array_sort(F.array_union(base, F.array_distinct(F.transform("matches", lambda m: m["label"]))))
+    return found.select(
+        "doc_id", "n_words", F.size(places).cast("long").alias("n_base"), F.array_min(places).alias("first_word"),
+        F.array_max(places).alias("last_word"), F.array_join(base, ",").alias("base_labels"), F.array_join(both, ",").alias("labels"), "score",
+    )
+
+
+@query("op3_benchmark_decontamination", r"""
+    WITH dw AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+            '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '') AS words FROM documents),
+    bw AS (SELECT item_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+            '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '') AS words FROM benchmark),
+    bi AS (SELECT item_id, words, unnest(range(1, greatest(len(words) - 12, 1) + 1)) AS i FROM bw WHERE len(words) > 0),
+    win AS (SELECT DISTINCT item_id, least(13, len(words)) AS n, array_to_string(words[i:i + 12], ' ') AS w FROM bi),
+    sizes AS (SELECT DISTINCT n FROM win),
+    di AS (SELECT doc_id, n, words, unnest(range(1, len(words) - n + 2)) AS i FROM dw, sizes WHERE len(words) >= n),
+    hit AS (SELECT d.doc_id, d.i, d.n, w.item_id FROM di d JOIN win w ON w.n = d.n AND w.w = array_to_string(d.words[d.i:d.i + d.n - 1], ' ')),
+    pos AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM hit) GROUP BY doc_id),
+    it AS (SELECT doc_id, count(*) AS n_items, string_agg(s, ',' ORDER BY s) AS ids FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS s FROM hit) GROUP BY doc_id)
+    SELECT doc_id, len(words) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
+      coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(words) AS contaminated
+    FROM dw LEFT JOIN pos USING (doc_id) LEFT JOIN it USING (doc_id)""")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hits = F.col("hits")
+    marked = decontaminate.annotate(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return marked.select(
+        "doc_id", hits["n_words"].alias("n_words"), decontaminate.n_hit(hits).alias("n_hit"), F.size(hits["items"]).cast("long").alias("n_items"),
+        F.sha2(F.array_join(hits["items"], ","), 256).alias("items_sha256"), decontaminate.contaminated(hits).alias("contaminated"),
+    )
