@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracegauge.llm import decontaminate, licenses, quality
+from tracegauge.llm import decontaminate, licenses, packing, pii, quality
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -93,3 +93,19 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", hits["n_words"].alias("n_words"), decontaminate.n_hit(hits).alias("n_hit"), F.size(hits["items"]).cast("long").alias("n_items"),
         F.sha2(F.array_join(hits["items"], ","), 256).alias("items_sha256"), decontaminate.contaminated(hits).alias("contaminated"),
     )
+
+
+@query("op7_best_fit_packing")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(documents(spark, sf_dir))
+
+
+@query("op8_pii")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def shown(spans: str) -> Column:
+        rank = F.create_map(*(F.lit(x) for i, k in enumerate(pii.KINDS) for x in (k, i)))
+        ordered = F.array_sort(F.transform(spans, lambda x: F.struct(x["start"].alias("a"), rank[x["kind"]].alias("r"), x["end"].alias("b"), x["kind"].alias("k"))))
+        return F.array_join(F.transform(ordered, lambda x: F.concat_ws(":", x["k"], x["a"], x["b"])), ",")
+
+    counts = (F.size(F.filter("base", lambda x, kind=k: x["kind"] == kind)).cast("long").alias(f"n_{k}") for k in pii.KINDS)
+    return pii.scan(documents(spark, sf_dir)).select("doc_id", *counts, F.sha2(shown("base"), 256).alias("base_sha256"), shown("spans").alias("spans"))
