@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracegauge.llm import decontaminate, licenses, packing, pii, quality
+from tracegauge.llm import decontaminate, licenses, packing, pii, quality, simhash
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -109,3 +109,9 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     counts = (F.size(F.filter("base", lambda x, kind=k: x["kind"] == kind)).cast("long").alias(f"n_{k}") for k in pii.KINDS)
     return pii.scan(documents(spark, sf_dir)).select("doc_id", *counts, F.sha2(shown("base"), 256).alias("base_sha256"), shown("spans").alias("spans"))
+
+
+@query("op1_simhash_near_dedup")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.classes(documents(spark, sf_dir))
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("component").alias("component_id"))
