@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracegauge.llm import decontaminate, licenses, packing, pii, quality, simhash, urls, warc
+from tracegauge.llm import decontaminate, licenses, packing, pii, quality, relative_lz, simhash, suffixes, urls, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -144,3 +144,32 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
       CASE WHEN first <> page_id THEN first END AS refers_to FROM p LEFT JOIN f USING (payload_digest)""")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
+@query("op6_suffix_array_dedup", """
+    WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+    w AS (SELECT doc_id, i, md5(substr(h, (2 * i + 1)::BIGINT, 100)) AS v FROM (SELECT doc_id, h, unnest(range(0, n - 49)) AS i FROM d WHERE n >= 50)),
+    dup AS (SELECT doc_id, i FROM (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY v) AS first FROM w) WHERE doc_id > first),
+    edge AS (SELECT doc_id, i, i > coalesce(lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 50, -1) AS opens FROM dup),
+    run AS (SELECT doc_id, min(i) AS a, max(i) + 50 AS b FROM (SELECT doc_id, i, sum(opens::INT) OVER (PARTITION BY doc_id ORDER BY i) AS g FROM edge) GROUP BY doc_id, g),
+    gap AS (SELECT r.doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY r.doc_id ORDER BY a), 0) AS prev FROM run r),
+    kept AS (SELECT doc_id, string_agg(substr(h, (2 * prev + 1)::BIGINT, (2 * (a - prev))::BIGINT), '' ORDER BY a) AS k, max(b) AS last, sum(b - a) AS gone, count(*) AS runs
+             FROM gap JOIN d USING (doc_id) GROUP BY doc_id)
+    SELECT doc_id, n AS n_bytes, coalesce(gone, 0)::BIGINT AS n_removed, coalesce(runs, 0) AS n_spans,
+      sha256(unhex(coalesce(k, '') || substr(h, (2 * coalesce(last, 0) + 1)::BIGINT))) AS kept_sha256 FROM d LEFT JOIN kept USING (doc_id)""")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = suffixes.remove_repeats(documents(spark, sf_dir))
+    return done.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query("op10_substring_dedup", r"""
+    WITH d AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS words FROM documents),
+    w AS (SELECT doc_id, i, md5(array_to_string(words[i:i + 49], ' ')) AS v FROM (SELECT doc_id, words, unnest(range(1, len(words) - 48)) AS i FROM d WHERE len(words) >= 50)),
+    dup AS (SELECT doc_id, i FROM (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY v) AS first FROM w) WHERE doc_id > first),
+    gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS p FROM dup),
+    word AS (SELECT doc_id, unnest(words) AS x, unnest(range(1, len(words) + 1)) AS p FROM d),
+    kept AS (SELECT doc_id, string_agg(x, ' ' ORDER BY p) AS k, count(*) AS c FROM word ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id)
+    SELECT doc_id, len(words) AS n_words, len(words) - coalesce(c, 0) AS n_removed, sha256(coalesce(k, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (doc_id)""")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = relative_lz.remove_repeats(documents(spark, sf_dir))
+    return done.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
