@@ -72,7 +72,7 @@ class Reference:
                 upto = at + size - self.length + 1
 
 
-def solve(strings: list[bytes], least: list[int]) -> list[tuple[int, int, int, int]]:
+def solve(strings: list[bytes], least: list[int]) -> list[tuple[int, int, int]]:
     seqs = [np.frombuffer(s, np.uint64) for s in strings]
     sizes = np.array([len(s) for s in seqs])
     starts = np.cumsum(np.r_[0, sizes[:-1]])
@@ -92,7 +92,7 @@ def solve(strings: list[bytes], least: list[int]) -> list[tuple[int, int, int, i
                 reference.add(seqs[j], runs[j], least[j])
             waiting = []
         waiting.append(i)  # sequences of one document are no reference for each other
-        out += ((i, a, b - a, m) for a, b, m in reference.parse(seqs[i], runs[i]))
+        out += ((i, a, b) for a, b, _ in reference.parse(seqs[i], runs[i]))
     return out
 
 

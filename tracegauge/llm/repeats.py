@@ -5,8 +5,9 @@ run of that many units holds an anchor: the unit ``gram`` with the least hash am
 content alone. Equal runs have equal anchors, so:
 
 1. anchors of all texts are counted by hash; those in one text only take no further part;
-2. each remaining anchor's surroundings (all runs that hold it lie in them) go to the solver by the gram together with
-   half of its right surroundings, and with half of its left: a run reaches that far on one side at least;
+2. each remaining anchor's surroundings (all runs that hold it lie in them) go to the solver by the gram; those of a gram
+   with more than HOT_GROUP of them go by the gram together with half of what a run may reach on its right, and again
+   with as much on its left, since a run reaches that far on one side at least;
 3. the solver (the operator's own method) finds which stretches of a surrounding stand in which earliest document;
 4. answers go back to every occurrence, and are united per text.
 
@@ -32,6 +33,8 @@ _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 #: Units hashed at once, and bytes of surroundings solved at once (whole groups).
 CHUNK = 1 << 19
 BLOCK_BYTES = 2 << 20
+#: Surroundings of one gram beyond which they are dealt out by more than the gram.
+HOT_GROUP = 50_000
 LAST = (1 << 63) - 1
 
 
@@ -192,67 +195,87 @@ def shared_anchors(rows: DataFrame, shape: Shape) -> DataFrame:
 
 
 def surroundings(rows: DataFrame, firsts: DataFrame, shared: DataFrame, shape: Shape) -> DataFrame:
-    """One row per shared anchor of each distinct text: its surroundings, their start, and the keys they are solved under."""
+    """One row per shared anchor of each distinct text: its gram's hash, its surroundings with their hash (c1, c2) and start, and its place in them."""
     places = shared.groupBy("k1").agg(F.flatten(F.collect_list("at")).alias("at"))
     texts = rows.join(firsts.join(places, "k1"), ["k1", "k2", "ord"]).select("k1", "k2", "ord", "at", "text")
-    digest = xxhash.xxh64_intdigest
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for lo in range(0, b.num_rows, 256):
-                yield from part(b.slice(lo, 256))
+                if (out := part(b.slice(lo, 256))) is not None:
+                    yield out
 
-    def part(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        out: list[tuple] = []
+    def part(b: pa.RecordBatch) -> pa.RecordBatch | None:
+        row, start, at, body, gram = [], [], [], [], []
         for r in range(b.num_rows):
             units = shape.units(b.column(4)[r].as_py())
             width, n, raw = units.itemsize, len(units), units.tobytes()
-            for p in sorted(set(b.column(3)[r].as_py())):
-                lo, hi = max(0, p - shape.beside), min(n, p + shape.length)
-                if hi - lo < shape.length or p + shape.gram > n:
-                    continue
-                body = raw[lo * width:hi * width]
-                left = raw[(p - shape.half) * width:(p + shape.gram) * width] if p >= shape.half else None
-                right = raw[p * width:(p + shape.gram + shape.half) * width] if p + shape.gram + shape.half <= n else None
-                out.append((r, lo, body, _signed(digest(body, 1)), _signed(digest(body, 2)),
-                            None if left is None else _signed(digest(left, 3)), None if right is None else _signed(digest(right, 4))))
-        if out:
-            r, lo, body, c1, c2, left, right = zip(*out, strict=True)
-            own = [b.column(i).take(pa.array(r)) for i in range(3)]
-            yield pa.RecordBatch.from_arrays(
-                [*own, pa.array(lo, pa.int64()), pa.array(body, pa.binary()), *(pa.array(x, pa.int64()) for x in (c1, c2, left, right))],
-                names=["k1", "k2", "ord", "start", "body", "c1", "c2", "left", "right"])
-
-    return texts.mapInArrow(cut, "k1 bigint, k2 bigint, ord bigint, start bigint, body binary, c1 bigint, c2 bigint, left bigint, right bigint")
-
-
-def _signed(x: int) -> int:
-    return x - (1 << 64) if x >= 1 << 63 else x
-
-
-#: A solver sees distinct surroundings (bytes) with the smallest id each stands in, and returns
-#: (number, offset, length, id): this stretch of that one also stands in the document with that (smaller) id.
-Solver = Callable[[list[bytes], list[int]], list[tuple[int, int, int, int]]]
+            found = np.unique(b.column(3)[r].values.to_numpy())
+            low, high = np.maximum(found - shape.beside, 0), np.minimum(found + shape.length, n)
+            fits = (high - low >= shape.length) & (found + shape.gram <= n)
+            for p, lo, hi in zip(found[fits].tolist(), low[fits].tolist(), high[fits].tolist(), strict=True):
+                row.append(r)
+                start.append(lo)
+                at.append(p - lo)
+                body.append(raw[lo * width:hi * width])
+                gram.append(raw[p * width:(p + shape.gram) * width])
+        if not row:
+            return None
+        own = [b.column(i).take(pa.array(row)) for i in range(3)]
+        content = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, body)), "<i8").reshape(-1, 2)
+        grams = np.frombuffer(b"".join(map(xxhash.xxh3_64_digest, gram)), "<i8")
+        cols = [pa.array(start, pa.int64()), pa.array(at, pa.int32()), pa.array(body, pa.binary()), pa.array(content[:, 0].copy()), pa.array(content[:, 1].copy()), pa.array(grams)]
+        return pa.RecordBatch.from_arrays([*own, *cols], names=["k1", "k2", "ord", "start", "at", "body", "c1", "c2", "gram"])
+
+    return texts.mapInArrow(cut, "k1 bigint, k2 bigint, ord bigint, start bigint, at int, body binary, c1 bigint, c2 bigint, gram bigint")
+
+
+#: A solver sees distinct surroundings (bytes) with the smallest id each stands in, and returns (number, start, end) of
+#: stretches that also stand in a document with a smaller id than that.
+Solver = Callable[[list[bytes], list[int]], list[tuple[int, int, int]]]
 
 
 def answers(places: DataFrame, shape: Shape, solve: Solver) -> DataFrame:
-    """(c1, c2, offset, length, ord): stretches of distinct surroundings, and the smallest document id they are known from."""
+    """(c1, c2, least, spans): the smallest id that distinct surroundings stand in, and their stretches known from smaller ones."""
     n = partitions(places.sparkSession)
+    crowded = materialize(places.groupBy("gram").count().where(F.col("count") > HOT_GROUP).select("gram"), "crowded")
+    none = crowded.isEmpty()
+    ready = places.withColumn("hot", F.lit(False)) if none else places.join(crowded.withColumn("hot", F.lit(True)), "gram", "left")
+    digest = xxhash.xxh3_64_digest
+
+    def sides(body: bytes, at: int, width: int) -> Iterator[bytes]:
+        """What a run around a crowded gram surely holds: the gram and half of what it may reach on its left, or on its right."""
+        if at >= shape.half:
+            yield b"<" + body[(at - shape.half) * width:(at + shape.gram) * width]
+        if len(body) >= (at + shape.gram + shape.half) * width:
+            yield b">" + body[at * width:(at + shape.gram + shape.half) * width]
 
     def thin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Equal surroundings of a batch become one row per key."""
+        width = shape.units("").itemsize
         for b in batches:
-            least: dict[tuple, list] = {}
-            for o, body, c1, c2, left, right in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if (entry := least.get((c1, c2))) is None:
-                    least[c1, c2] = [o, o, body, left, right]
-                else:
-                    entry[0], entry[1] = min(entry[0], o), max(entry[1], o)
-            rows = [(key, o, top, body, c1, c2) for (c1, c2), (o, top, body, *keys) in least.items() for key in keys if key is not None]
-            if rows:
-                cols = list(zip(*rows, strict=True))
-                types = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["key", "ord", "top", "body", "c1", "c2"])
+            if not b.num_rows:
+                continue
+            o, c1, c2, gram = (b.column(i).to_numpy() for i in (0, 1, 2, 3))
+            order = np.lexsort((o, gram, c2, c1))
+            new = np.r_[True, (np.diff(c1[order]) != 0) | (np.diff(c2[order]) != 0) | (np.diff(gram[order]) != 0)]
+            heads = np.nonzero(new)[0]
+            ends = np.r_[heads[1:], len(order)] - 1
+            pick = order[heads]
+            rows = b.take(pa.array(pick))
+            least, top, key = o[pick], o[order[ends]], gram[pick].copy()
+            hot = rows.column(4).to_numpy(zero_copy_only=False)
+            parts = [(np.arange(len(pick)), key)]
+            if (crowd := np.nonzero(hot == True)[0]).size:  # noqa: E712  null is not hot
+                pairs = [(i, int.from_bytes(digest(s), "little", signed=True))
+                         for i in crowd.tolist() for s in sides(rows.column(6)[i].as_py(), rows.column(5)[i].as_py(), width)]
+                calm = np.setdiff1d(np.arange(len(pick)), crowd)
+                parts = [(calm, key[calm]), (np.array([i for i, _ in pairs], np.int64), np.array([k for _, k in pairs], np.int64))]
+            for take, keys in parts:
+                if len(take):
+                    t = rows.take(pa.array(take))
+                    yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(least[take]), pa.array(top[take]), t.column(6), t.column(1), t.column(2)],
+                                                     names=["key", "ord", "top", "body", "c1", "c2"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[tuple[int, int], list] = {}
@@ -271,18 +294,39 @@ def answers(places: DataFrame, shape: Shape, solve: Solver) -> DataFrame:
         if held:
             yield from solved(held)
 
-    def solved(held: dict[tuple[int, int], list]) -> Iterator[pa.RecordBatch]:
-        keys, least, top, bodies = list(held), *(list(x) for x in zip(*held.values(), strict=True))
-        width = shape.units("").itemsize
-        rows = [(keys[i][0], keys[i][1], offset, size, m) for i, offset, size, m in solve(bodies, least)]
-        rows += [(c1, c2, 0, len(body) // width, m) for (c1, c2), m, t, body in zip(keys, least, top, bodies, strict=True) if t > m]
-        if rows:
-            types = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64())
-            cols = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)]
-            yield pa.RecordBatch.from_arrays(cols, names=["c1", "c2", "offset", "length", "known"])
+    span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
-    thinned = places.select("ord", "body", "c1", "c2", "left", "right").mapInArrow(thin, "key bigint, ord bigint, top bigint, body binary, c1 bigint, c2 bigint")
-    return thinned.repartition(n, "key").sortWithinPartitions("key").mapInArrow(run, "c1 bigint, c2 bigint, offset int, length int, known bigint")
+    def solved(held: dict[tuple[int, int], list]) -> Iterator[pa.RecordBatch]:
+        keys, (least, top, bodies) = list(held), (list(x) for x in zip(*held.values(), strict=True))
+        spans: dict[int, list[dict]] = {}
+        for i, a, b in solve(bodies, least):
+            spans.setdefault(i, []).append({"start": a, "end": b})
+        told = [i for i in range(len(keys)) if i in spans or top[i] > least[i]]
+        if told:
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([keys[i][0] for i in told], pa.int64()), pa.array([keys[i][1] for i in told], pa.int64()),
+                 pa.array([least[i] for i in told], pa.int64()), pa.array([spans.get(i, []) for i in told], span)], names=["c1", "c2", "least", "spans"])
+
+    thinned = ready.select("ord", "c1", "c2", "gram", "hot", "at", "body").mapInArrow(
+        thin, "key bigint, ord bigint, top bigint, body binary, c1 bigint, c2 bigint")
+    return thinned.repartition(n, "key").sortWithinPartitions("key").mapInArrow(
+        run, "c1 bigint, c2 bigint, least bigint, spans array<struct<start: bigint, end: bigint>>")
+
+
+def covered(starts: np.ndarray, total: int, number: np.ndarray, first: np.ndarray, last: np.ndarray) -> list[tuple[int, int, int]]:
+    """Overlapping stretches (number, first, last) of concatenated strings united; ``starts`` are the strings' places."""
+    change = np.zeros(total + 1, np.int64)
+    np.add.at(change, starts[number] + first, 1)
+    np.add.at(change, starts[number] + last, -1)
+    inside = np.cumsum(change) > 0
+    # strings touch: a stretch at the end of one is not joined to one at the beginning of the next
+    edges = np.r_[inside[0], inside[1:] != inside[:-1]]
+    cuts = np.zeros(total + 1, bool)
+    cuts[starts] = True
+    begin = np.nonzero(inside & (edges | cuts))[0]
+    finish = np.nonzero(inside[:-1] & (~inside[1:] | cuts[1:]))[0] + 1
+    owner = np.searchsorted(starts, begin, side="right") - 1
+    return list(zip(owner.tolist(), (begin - starts[owner]).tolist(), (finish - starts[owner]).tolist(), strict=True))
 
 
 def repeats(docs: DataFrame, shape: Shape, solve: Solver, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -293,10 +337,13 @@ def repeats(docs: DataFrame, shape: Shape, solve: Solver, id_col: str = "doc_id"
     firsts = rows.groupBy("k1", "k2").agg(F.min("ord").alias("ord"))
     shared = materialize(shared_anchors(rows, shape), "anchors")
     places = materialize(surroundings(rows, firsts, shared, shape), "surroundings")
-    told = answers(places, shape, solve)
-    spans = places.select("k1", "k2", "ord", "start", "c1", "c2").join(told, ["c1", "c2"]).where("known < ord").select(
-        "k1", "k2", "ord", F.struct((F.col("start") + F.col("offset")).alias("start"), (F.col("start") + F.col("offset") + F.col("length")).alias("end")).alias("span"))
-    spans = materialize(spans.groupBy("k1", "k2", "ord").agg(F.collect_set("span").alias("spans")), "spans")
+    told = materialize(answers(places, shape, solve), "answers")
+    width = shape.units("").itemsize
+    all_of = F.struct(F.col("start").alias("start"), (F.col("start") + F.col("size")).alias("end"))
+    parts = F.transform("spans", lambda x: F.struct((F.col("start") + x["start"]).alias("start"), (F.col("start") + x["end"]).alias("end")))
+    met = places.select("k1", "k2", "ord", "start", "c1", "c2", (F.octet_length("body") / width).cast("long").alias("size")).join(told, ["c1", "c2"])
+    spans = met.select("k1", "k2", "ord", F.when(F.col("ord") > F.col("least"), F.array(all_of)).otherwise(parts).alias("spans")).where(F.size("spans") > 0)
+    spans = materialize(spans.groupBy("k1", "k2", "ord").agg(F.flatten(F.collect_list("spans")).alias("spans")), "spans")
     release_shuffles(spark)
     decided = firsts.join(spans, ["k1", "k2", "ord"], "left").withColumn("own", F.lit(True))
     return rows.join(decided, ["k1", "k2", "ord"], "left").select(

@@ -19,14 +19,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from tracegauge.llm.decontaminate import merged
-from tracegauge.llm.repeats import Shape, gram_hashes, repeats
+from tracegauge.llm.repeats import Shape, covered, gram_hashes, repeats
 
 LENGTH = 50
 GRAM = 16
 SHAPE = Shape(lambda text: np.frombuffer((text or "").encode(), np.uint8), LENGTH, GRAM)
 
 
-def maximal_repeats(strings: list[bytes], length: int) -> Iterator[tuple[int, list[int], list[int]]]:
+def maximal_repeats(strings: list[bytes], length: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(depth, string numbers, offsets) of every left-diverse group of suffixes that share ``depth`` >= ``length`` bytes and no more."""
     sizes = np.array([len(s) for s in strings])
     if not len(sizes) or sizes.max() < length:
@@ -66,7 +66,7 @@ def maximal_repeats(strings: list[bytes], length: int) -> Iterator[tuple[int, li
         if hi - lo > 1 and one != two:
             for depth, a, b in _intervals(common[lo:hi - 1].tolist(), left[lo:hi].tolist()):
                 group = suffix[lo + a:lo + b + 1]
-                yield depth, owner[group].tolist(), (group - starts[owner[group]]).tolist()
+                yield depth, owner[group], group - starts[owner[group]]
 
 
 def _intervals(common: list[int], left: list[int]) -> Iterator[tuple[int, int, int]]:
@@ -87,12 +87,17 @@ def _intervals(common: list[int], left: list[int]) -> Iterator[tuple[int, int, i
             stack.append([depth, first, seen])
 
 
-def solve(strings: list[bytes], least: list[int]) -> list[tuple[int, int, int, int]]:
-    out = []
+def solve(strings: list[bytes], least: list[int]) -> list[tuple[int, int, int]]:
+    """Of each string, what its repeats with strings of smaller ids cover: all occurrences of a group but those of its smallest id."""
+    ids, sizes = np.array(least), np.array([len(s) for s in strings])
+    found = [(np.empty(0, np.int64),) * 3]
     for depth, numbers, offsets in maximal_repeats(strings, LENGTH):
-        m = min(least[i] for i in numbers)
-        out += ((i, o, depth, m) for i, o in zip(numbers, offsets, strict=True) if least[i] > m)
-    return out
+        own = ids[numbers]
+        later = own > own.min()
+        if later.any():
+            found.append((numbers[later], offsets[later], offsets[later] + depth))
+    number, first, last = (np.concatenate(x) for x in zip(*found, strict=True))
+    return covered(np.cumsum(np.r_[0, sizes[:-1]]), int(sizes.sum()), number, first, last) if len(number) else []
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
