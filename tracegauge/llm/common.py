@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import time
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -29,19 +30,34 @@ def shared_path(spark: SparkSession, name: str) -> str:
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it back: lineage ends, lost executors cost nothing."""
-    spark = df.sparkSession
+    """Write ``df`` as a table in the shared folder and read it back: lineage ends, lost executors cost nothing.
+
+    Pass the frame without keeping it: its shuffle files can go as soon as the table is there.
+    """
+    spark, schema = df.sparkSession, df.schema
     path = shared_path(spark, name)
-    schema = df.schema
     df.write.parquet(path)
+    del df
     release_shuffles(spark)
-    return spark.read.schema(schema).parquet(path)
+    out = spark.read.schema(schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete written tables of ``materialize`` that nothing reads any more."""
+    for t in tables:
+        jvm = t.sparkSession.sparkContext._jvm
+        path = jvm.org.apache.hadoop.fs.Path(t._scratch)
+        path.getFileSystem(t.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def release_shuffles(spark: SparkSession) -> None:
     """Let the context cleaner delete shuffle files of frames that nothing refers to any more."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.1)
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:

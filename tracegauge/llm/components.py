@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracegauge.llm.common import materialize
+from tracegauge.llm.common import discard, materialize
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -33,7 +33,9 @@ def components(edges: DataFrame) -> DataFrame:
     edges = materialize(edges.where("a != b").distinct(), "links")
     before = None
     while True:
-        edges = materialize(_star(_star(edges, True), False), "stars")
+        after = materialize(_star(_star(edges, True), False), "stars")
+        discard(edges)
+        edges = after
         state = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.sum(F.hash("b", "a").cast("long"))).first()
         if state == before:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).union(

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracegauge.llm.common import materialize, partitions, release_shuffles
+from tracegauge.llm.common import discard, materialize, partitions, release_shuffles
 
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 #: Units hashed at once, and bytes of surroundings solved at once (whole groups).
@@ -332,19 +332,24 @@ def covered(starts: np.ndarray, total: int, number: np.ndarray, first: np.ndarra
 def repeats(docs: DataFrame, shape: Shape, solve: Solver, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, text, whole, spans) for every row of ``docs``: ``whole`` marks later copies of a text, ``spans`` the unit
     intervals (start, end; unsorted, may overlap) that repeat a document with a smaller id. Null text comes back empty."""
-    spark = docs.sparkSession
     rows = keyed(docs, id_col, text)
     firsts = rows.groupBy("k1", "k2").agg(F.min("ord").alias("ord"))
     shared = materialize(shared_anchors(rows, shape), "anchors")
     places = materialize(surroundings(rows, firsts, shared, shape), "surroundings")
+    discard(shared)
     told = materialize(answers(places, shape, solve), "answers")
     width = shape.units("").itemsize
     all_of = F.struct(F.col("start").alias("start"), (F.col("start") + F.col("size")).alias("end"))
     parts = F.transform("spans", lambda x: F.struct((F.col("start") + x["start"]).alias("start"), (F.col("start") + x["end"]).alias("end")))
     met = places.select("k1", "k2", "ord", "start", "c1", "c2", (F.octet_length("body") / width).cast("long").alias("size")).join(told, ["c1", "c2"])
     spans = met.select("k1", "k2", "ord", F.when(F.col("ord") > F.col("least"), F.array(all_of)).otherwise(parts).alias("spans")).where(F.size("spans") > 0)
-    spans = materialize(spans.groupBy("k1", "k2", "ord").agg(F.flatten(F.collect_list("spans")).alias("spans")), "spans")
-    release_shuffles(spark)
+    del met
+    gathered = spans.groupBy("k1", "k2", "ord").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+    del spans
+    spans = materialize(gathered, "spans")
+    del gathered
+    discard(places, told)
+    release_shuffles(docs.sparkSession)
     decided = firsts.join(spans, ["k1", "k2", "ord"], "left").withColumn("own", F.lit(True))
     return rows.join(decided, ["k1", "k2", "ord"], "left").select(
         F.col("id").alias(id_col), "text", F.col("own").isNull().alias("whole"), "spans")
