@@ -122,7 +122,7 @@ def _packed(n: int, no: np.ndarray, keys: np.ndarray, h: np.ndarray, at: np.ndar
 
 
 def shared_anchors(rows: DataFrame, shape: Shape) -> DataFrame:
-    """(k1, at): for every text, the places of its anchors that stand in another text as well."""
+    """(k1, at): one row per text that has any, with the places of its anchors that stand in another text as well."""
     n = partitions(rows.sparkSession)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -182,22 +182,36 @@ def shared_anchors(rows: DataFrame, shape: Shape) -> DataFrame:
             ends = np.r_[heads[1:], len(order)] - 1
             shared[order] |= (key[order][ends] != key[order][heads])[np.cumsum(new) - 1]
         key, at = key[shared], at[shared]
-        order = np.argsort(key, kind="stable")
+        target = key % n
+        order = np.argsort(target, kind="stable")
+        target, key, at = target[order], key[order], at[order]
+        if len(key):
+            cuts = np.nonzero(np.diff(target))[0] + 1
+            cols = [pa.array([x.tobytes() for x in np.split(c, cuts)], pa.binary()) for c in (key, at.astype("<u4"))]
+            yield pa.RecordBatch.from_arrays([pa.array(target[np.r_[0, cuts]].astype(np.int32)), *cols], names=["target", "key", "at"])
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [[np.concatenate([np.frombuffer(x, t) for x in c.to_pylist()]) for c, t in zip(b.columns[1:], ("<i8", "<u4"), strict=True)]
+                 for b in batches if b.num_rows]
+        if not parts:
+            return
+        key, at = (np.concatenate(x) for x in zip(*parts, strict=True))
+        order = np.lexsort((at, key))
         key, at = key[order], at[order]
-        cuts = np.nonzero(np.diff(key))[0] + 1
-        for lo in range(0, len(cuts) + 1 if len(key) else 0, 20_000):
-            edges = np.r_[0, cuts, len(key)][lo:lo + 20_001]
-            spans = pa.ListArray.from_arrays(pa.array((edges - edges[0]).astype(np.int32)), pa.array(at[edges[0]:edges[-1]].astype(np.int32)))
-            yield pa.RecordBatch.from_arrays([pa.array(key[edges[:-1]]), spans], names=["k1", "at"])
+        edges = np.r_[0, np.nonzero(np.diff(key))[0] + 1, len(key)]
+        for lo in range(0, len(edges) - 1, 4096):
+            e = edges[lo:lo + 4097]
+            spans = pa.ListArray.from_arrays(pa.array((e - e[0]).astype(np.int32)), pa.array(at[e[0]:e[-1]].astype(np.int32)))
+            yield pa.RecordBatch.from_arrays([pa.array(key[e[:-1]]), spans], names=["k1", "at"])
 
     packed = rows.select("k1", "text").mapInArrow(emit, "bucket int, key binary, hash binary, at binary, known binary")
-    return packed.repartition(n, "bucket").mapInArrow(meet, "k1 bigint, at array<int>")
+    asked = packed.repartition(n, "bucket").mapInArrow(meet, "target int, key binary, at binary")
+    return asked.repartition(n, "target").mapInArrow(gather, "k1 bigint, at array<int>")
 
 
 def surroundings(rows: DataFrame, firsts: DataFrame, shared: DataFrame, shape: Shape) -> DataFrame:
     """One row per shared anchor of each distinct text: its gram's hash, its surroundings with their hash (c1, c2) and start, and its place in them."""
-    places = shared.groupBy("k1").agg(F.flatten(F.collect_list("at")).alias("at"))
-    texts = rows.join(firsts.join(places, "k1"), ["k1", "k2", "ord"]).select("k1", "k2", "ord", "at", "text")
+    texts = rows.join(firsts.join(shared, "k1"), ["k1", "k2", "ord"]).select("k1", "k2", "ord", "at", "text")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
