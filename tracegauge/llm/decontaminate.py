@@ -93,7 +93,10 @@ SPANS = "array<struct<start: bigint, end: bigint>>"
 
 def annotate(docs: DataFrame, items: DataFrame, text: str = "text", into: str = "hits", item_id: str = "item_id",
              item_text: str = "text", block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """``docs`` with a struct column ``into``: n_words, hit word intervals, item ids (as strings, sorted), spans in the original text."""
+    """``docs`` with a struct column ``into``: n_words, hit word intervals, item ids (as strings, sorted), spans in the original text.
+
+    A column of that name is replaced.
+    """
     out, first = docs, True
     for block in item_blocks(items, item_id, item_text, block_chars):
         out = _pass(out if first else materialize(out, "decontaminate"), block, text, into, first)
@@ -104,7 +107,7 @@ def annotate(docs: DataFrame, items: DataFrame, text: str = "text", into: str =
 def _pass(docs: DataFrame, items: list[tuple[str, str]], text: str, into: str, first: bool) -> DataFrame:
     pair = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
     kind = pa.struct([("n_words", pa.int64()), ("hit", pair), ("items", pa.list_(pa.string())), ("spans", pair)])
-    names = docs.columns if first else [c for c in docs.columns if c != into]
+    names = [c for c in docs.columns if c != into]
 
     def make() -> Callable[[pa.RecordBatch], pa.RecordBatch]:
         scanner = Scanner(items)
