@@ -122,7 +122,7 @@ shared_view(
     "hunks",
     """SELECT 's' || CAST(o_custkey % 25 AS STRING) AS scan, 'app/m' || CAST(o_custkey % 7 AS STRING) || '.py' AS path, o_orderkey AS hunk_id,
       o_orderkey * 13 % 970 + 1 AS new_start, o_orderkey % 4 AS new_lines, o_orderkey * 13 % 970 + 1 + o_orderkey % 2 AS old_start, o_custkey % 3 AS old_lines
-    FROM {orders} WHERE o_orderstatus = 'P' AND o_orderpriority = '1-URGENT'""",
+    FROM {orders}""",
 )
 shared_view(
     "spans",
