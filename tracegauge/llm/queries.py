@@ -107,8 +107,10 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
         ordered = F.array_sort(F.transform(spans, lambda x: F.struct(x["start"].alias("a"), rank[x["kind"]].alias("r"), x["end"].alias("b"), x["kind"].alias("k"))))
         return F.array_join(F.transform(ordered, lambda x: F.concat_ws(":", x["k"], x["a"], x["b"])), ",")
 
-    counts = (F.size(F.filter("base", lambda x, kind=k: x["kind"] == kind)).cast("long").alias(f"n_{k}") for k in pii.KINDS)
-    return pii.scan(documents(spark, sf_dir)).select("doc_id", *counts, F.sha2(shown("base"), 256).alias("base_sha256"), shown("spans").alias("spans"))
+    def count(kind: str) -> Column:
+        return F.size(F.filter("base", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return pii.scan(documents(spark, sf_dir)).select("doc_id", *map(count, pii.KINDS), F.sha2(shown("base"), 256).alias("base_sha256"), shown("spans").alias("spans"))
 
 
 @query("op1_simhash_near_dedup")
