@@ -10,7 +10,7 @@ import pytest
 import regex
 from pyspark.sql import functions as F
 
-from tracegauge.llm import decontaminate, licenses, packing, pii, quality, relative_lz, repeats, suffixes, urls, warc
+from tracegauge.llm import decontaminate, licenses, packing, pii, quality, queries, relative_lz, repeats, suffixes, urls, warc
 
 DOC = "doc_id bigint, text string, quality string, hits int"
 
@@ -81,6 +81,11 @@ def test_pii(spark):
         base = pii.base_spans(text)
         brute = [(*m.span(), "email") for m in pii.EMAIL.finditer(text)]
         assert [s for s in base if s[2] == "email"] == brute
+    rng = random.Random(4)
+    for _ in range(3000):
+        text = "".join(rng.choice("a0.@_-% 1+") for _ in range(rng.randint(0, 24)))
+        assert list(pii.emails(text)) == [m.span() for m in pii.EMAIL.finditer(text)]
+    assert pii.base_spans("a" * 300_000 + "@" + "1" * 300_000) == []
     crf = pii.train()
     held = pii.sentences(300, 123)
     hits = sum(len(set(g) & set(crf.best(t))) for t, g in held)
@@ -93,6 +98,15 @@ def test_pii(spark):
     assert pii.scan(df).count() == len(texts) and pii.scan(df.limit(0)).count() == 0
 
 
+def test_pii_query(spark, tmp_path):
+    texts = [(0, None), (1, "a@b.co or 10.0.0.1, +1 (017) 555-7713"), (2, "4111 1111 1111 1111 x@y.org")]
+    frame(spark, texts).write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r for r in queries.QUERIES["op8_pii"](spark, str(tmp_path)).collect()}
+    assert [(r.n_email, r.n_ip, r.n_card, r.n_phone) for r in map(got.get, range(3))] == [(0, 0, 0, 0), (1, 1, 0, 1), (1, 0, 1, 0)]
+    shown = {0: "", 1: "email:0:6,ip:10:18,phone:20:37", 2: "card:0:19,email:20:27"}
+    assert all(got[i].base_sha256 == hashlib.sha256(s.encode()).hexdigest() and set(s.split(",")) <= set(got[i].spans.split(",")) for i, s in shown.items())
+
+
 def test_packing(spark):
     rng = random.Random(4)
     texts = [(i % 60, " ".join(rng.choice(("alpha", "Beta,", "été", "x1")) for _ in range(rng.choice((0, 3, 30, 200, 2100))))) for i in range(120)] + [(None, None), (7, "")]

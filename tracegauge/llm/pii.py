@@ -28,7 +28,10 @@ Span = tuple[int, int, str]
 
 # The base patterns of each kind.
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-IP = re.compile(r"([0-9]+)\.([0-9]+)\.([0-9]+)\.([0-9]+)")
+LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
+DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
+#: No match starts inside a run of digits: the whole run would match too.
+IP = re.compile(r"(?<![0-9])([0-9]+)\.([0-9]+)\.([0-9]+)\.([0-9]+)")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
@@ -51,19 +54,23 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
-def base_spans(text: str) -> list[Span]:
-    """Leftmost non-overlapping matches of each pattern; matches that fail their check are dropped."""
-    out: list[Span] = []
+def emails(text: str) -> Iterator[tuple[int, int]]:
+    """Matches of EMAIL, found from their signs: a search from every start would be quadratic in unbroken text."""
+    free = 0
     at = text.find("@")
     while at >= 0:
-        # an address holds no white space: search the unbroken stretch around the sign
-        lo, hi = at, at
-        while lo > 0 and not text[lo - 1].isspace():
+        lo = at
+        while lo > free and text[lo - 1] in LOCAL:
             lo -= 1
-        while hi < len(text) and not text[hi].isspace():
-            hi += 1
-        out += ((m.start() + lo, m.end() + lo, "email") for m in EMAIL.finditer(text[lo:hi]))
-        at = text.find("@", hi)
+        if lo < at and (domain := DOMAIN.match(text, at + 1)):
+            free = domain.end()
+            yield lo, free
+        at = text.find("@", at + 1)
+
+
+def base_spans(text: str) -> list[Span]:
+    """Leftmost non-overlapping matches of each pattern; matches that fail their check are dropped."""
+    out: list[Span] = [(a, b, "email") for a, b in emails(text)]
     for m in IP.finditer(text):
         if all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or 0) <= 255 for p in m.groups()):
             out.append((*m.span(), "ip"))
