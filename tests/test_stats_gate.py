@@ -83,8 +83,22 @@ def test_fewer_than_three_runs_are_inconclusive(spark):
     assert g.verdict == "inconclusive" and g.ci_lo is None
 
 
-def test_a_run_with_few_samples_gives_no_comparison(spark):
-    assert gate(spark, runs("base", n=19, seed=1), runs("head", n=34, seed=2)) is None
+def test_a_run_with_few_samples_is_judged_by_the_point_rule(spark):
+    short = gate(spark, runs("base", n=19, seed=1), runs("head", n=34, seed=2))
+    assert short.rule == "point" and short.ci_lo is None and short.verdict == "pass" and not short.failed_more
+    slow = gate(spark, runs("base", n=19, seed=1), runs("head", 10, n=34, seed=2))
+    assert slow.verdict == "block" and slow.separated
+    failing = gate(spark, runs("base", n=34, seed=1), runs("head", 0.5, n=10, seed=2, fail=0.5))
+    assert failing.rule == "point" and failing.verdict == "block" and failing.failed_more
+
+
+def test_a_side_without_success_is_an_error_and_keeps_its_row(spark):
+    dead = [(1, "head", i, 0.0, True) for i in range(3) for _ in range(30)]
+    g = gate(spark, runs("base", seed=1), dead)
+    assert g.verdict == "error" and g.value is None and g.failed_more
+    # one dead run of three: the others are judged, and the failures block
+    g = gate(spark, runs("base", seed=1), runs("head", 0.5, k=2, seed=2) + [(1, "head", 2, 0.0, True)] * 30)
+    assert g.rule == "point" and g.o_runs == 3 and g.verdict == "block"
 
 
 def test_failing_requests_block_however_fast(spark):

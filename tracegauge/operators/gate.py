@@ -102,21 +102,31 @@ def failure_rates(samples: DataFrame, keys: Sequence[str] = ("trial",)) -> DataF
 def gate(
     samples: DataFrame, base: str, others: Sequence[str], policy: GatePolicy = GatePolicy(), keys: Sequence[str] = ("trial",)
 ) -> DataFrame:
-    """Verdict per comparison. ``samples``: keys, side, run, ttft_ms and, where known, failed."""
-    has_failures = "failed" in samples.columns
-    ok = samples.where("NOT failed") if has_failures else samples
-    runs = run_log_means(ok, [*keys, "side", "run"])
-    pairs = pair_sides(side_stats(runs, "log_mean", keys), base, others, keys)
-    w = with_welch(pairs.where("b_complete AND o_complete"), policy.confidence)
-    enough = F.least("b_runs", "o_runs") >= policy.min_runs
-    verdict = F.when(enough, interval_verdict(F.col("ci_lo"), F.col("ci_hi"), F.col("change_pct"), policy)).otherwise("inconclusive")
+    """Verdict per comparison. ``samples``: keys, side, run, ttft_ms and, where known, failed.
+
+    Every pair of sides gives a row. Where a run of either side lacks samples, the point rule decides
+    (``rule`` = 'point'), and a side without any successful request gives 'error'.
+    """
+    keys, has_failures = list(keys), "failed" in samples.columns
+    # a failed request has no latency, but its run counts
+    seen = samples.withColumn("ttft_ms", F.when(~F.col("failed"), F.col("ttft_ms"))) if has_failures else samples
+    pairs = pair_sides(side_stats(run_log_means(seen, [*keys, "side", "run"]), "log_mean", keys), base, others, keys)
+    whole = F.col("b_complete") & F.col("o_complete")
+    short = pairs.where(~whole).select(*keys).distinct()
+    points = point_rule(seen.where("ttft_ms IS NOT NULL").join(short, keys, "left_semi"), base, others, policy, keys)
+    points = points.select(*keys, "other", *(F.col(c).alias(f"p_{c}") for c in ("baseline", "value", "change_pct", "separated", "verdict")))
+    w = with_welch(pairs, policy.confidence).join(points, [*keys, "other"], "left")
+    enough = whole & (F.least("b_runs", "o_runs") >= policy.min_runs)
+    of_runs = F.when(enough, interval_verdict(F.col("ci_lo"), F.col("ci_hi"), F.col("change_pct"), policy)).otherwise("inconclusive")
+    either = lambda x, point: F.when(whole, x).otherwise(F.col(point))
     out = w.select(
-        *keys, "base", "other", "b_runs", "o_runs",
-        F.exp("b_mean").alias("baseline"), F.exp("o_mean").alias("value"),
-        "d", "se", "df", "change_pct",
+        *keys, "base", "other", "b_runs", "o_runs", F.when(whole, "interval").otherwise("point").alias("rule"),
+        either(F.exp("b_mean"), "p_baseline").alias("baseline"), either(F.exp("o_mean"), "p_value").alias("value"),
+        *(F.when(whole, F.col(c)).alias(c) for c in ("d", "se", "df")),
+        either(F.col("change_pct"), "p_change_pct").alias("change_pct"),
         F.when(enough, F.col("ci_lo")).alias("ci_lo"), F.when(enough, F.col("ci_hi")).alias("ci_hi"),
-        (F.round(F.exp("o_min"), 1) > F.round(F.exp("b_max"), 1)).alias("separated"),
-        verdict.alias("verdict"),
+        either(F.round(F.exp("o_min"), 1) > F.round(F.exp("b_max"), 1), "p_separated").alias("separated"),
+        F.coalesce(either(of_runs, "p_verdict"), F.lit("error")).alias("verdict"),
     )
     if not has_failures:
         return out.withColumn("failed_more", F.lit(False))
@@ -126,7 +136,7 @@ def gate(
     j = out.join(f, [*keys, "other"], "left")
     worse = F.coalesce(F.col("o_failure_rate") - F.col("b_failure_rate") > policy.max_extra_failure_rate, F.lit(False))
     return j.withColumn("failed_more", worse).withColumn(
-        "verdict", F.when(worse, "block").otherwise(F.col("verdict"))
+        "verdict", F.when(worse & (F.col("verdict") != "error"), "block").otherwise(F.col("verdict"))
     )
 
 
@@ -139,13 +149,15 @@ def tail_advisory(samples: DataFrame, base: str, others: Sequence[str], policy:
     )
 
 
-def point_rule(samples: DataFrame, base: str, others: Sequence[str], policy: GatePolicy = GatePolicy()) -> DataFrame:
+def point_rule(
+    samples: DataFrame, base: str, others: Sequence[str], policy: GatePolicy = GatePolicy(), keys: Sequence[str] = ("trial",)
+) -> DataFrame:
     """Rule for summaries without samples: medians of the run p95 and whether the runs separate."""
-    p95 = exact_quantiles(samples, RUN_KEYS, "ttft_ms", {"p95": 0.95})
-    s = p95.groupBy("trial", "side").agg(
+    p95 = exact_quantiles(samples, [*keys, "side", "run"], "ttft_ms", {"p95": 0.95})
+    s = p95.groupBy(*keys, "side").agg(
         F.median("p95").alias("med"), F.min("p95").alias("min"), F.max("p95").alias("max"), F.count("*").alias("runs")
     )
-    j = pair_sides(s, base, others)
+    j = pair_sides(s, base, others, keys)
     change = (F.col("o_med") - F.col("b_med")) / F.col("b_med") * 100
     sep = F.col("o_min") > F.col("b_max")
     verdict = (
@@ -154,7 +166,7 @@ def point_rule(samples: DataFrame, base: str, others: Sequence[str], policy: Gat
         .otherwise("pass")
     )
     return j.select(
-        "trial", "other", F.col("b_med").alias("baseline"), F.col("o_med").alias("value"),
+        *keys, "other", F.col("b_med").alias("baseline"), F.col("o_med").alias("value"),
         change.alias("change_pct"), sep.alias("separated"), verdict.alias("verdict"),
     )
 

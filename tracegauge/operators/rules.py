@@ -111,9 +111,7 @@ def call_without_timeout(c: Context) -> DataFrame:
 
 @rule
 def no_fallback(c: Context) -> DataFrame:
-    retry = c.dependencies.where("category = 'retry'").select("scan")
-    imports = c.facts.fn.where("name LIKE '%7'").select("scan")
-    has = retry.join(imports, "scan", "left_semi")
+    has = B.retry_libraries(c.facts, c.dependencies).select("scan")
     return finding(c.with_calls().join(has, "scan", "left_anti"), "rel.fallback_gateway", "P2", 0.8, None, n_sites=F.col("n_sites"))
 
 

@@ -37,6 +37,7 @@ class Facts:
     config_key: DataFrame
     config_access: DataFrame
     doc_mention: DataFrame
+    retry_import: DataFrame
 
     @classmethod
     def names(cls) -> list[str]:
@@ -161,6 +162,15 @@ def app_model_candidates(f: Facts, calls: DataFrame) -> DataFrame:
     )
 
 
+def retry_libraries(f: Facts, dependencies: DataFrame) -> DataFrame:
+    """(scan, name) of the retry libraries that a scan depends on and its code imports.
+
+    A dependency alone proves nothing: frozen requirements list what other packages pull in.
+    """
+    imported = f.retry_import.select("scan", F.col("library").alias("name")).distinct()
+    return dependencies.where("category = 'retry'").select("scan", "name").distinct().join(imported, ["scan", "name"], "left_semi")
+
+
 def dependency_names(f: Facts) -> DataFrame:
     """Requirement lines to normalized distribution names with their known category."""
     name = F.lower(F.regexp_replace(F.trim(F.regexp_extract("line", r"^\s*([A-Za-z0-9][A-Za-z0-9._-]*)", 1)), "_", "-"))

@@ -37,7 +37,7 @@ RULE_SQL = {
     "tool_without_approval": f("sec.tool_approval_boundary", "'P0'", "0.6", "actions WHERE side_effect IN ('write', 'external') AND NOT gated", "add_approval_boundary", "key"),
     "approval_regression_guard": f("sec.approval_gate_regression_test", "'P1'", "0.7", "actions WHERE gated", "security_test_approval_gate", "key"),
     "call_without_timeout": f("rel.llm_timeout", "'P0'", "0.9", "calls WHERE NOT has_timeout GROUP BY scan", "add_llm_timeout", n="count(*)"),
-    "no_fallback": f("rel.fallback_gateway", "'P2'", "0.8", "wc WHERE scan NOT IN (SELECT d.scan FROM deps d WHERE category = 'retry' AND d.scan IN (SELECT scan FROM fn WHERE name LIKE '%7'))", None, n="n"),
+    "no_fallback": f("rel.fallback_gateway", "'P2'", "0.8", "wc WHERE NOT EXISTS (SELECT 1 FROM deps d JOIN retry_import i ON i.scan = d.scan AND i.library = d.name WHERE d.category = 'retry' AND d.scan = wc.scan)", None, n="n"),
     "grounding": f("eval.citation_contract", "'P1'", "0.85", f"(SELECT scan, arg_min(key, id) AS key FROM prompt WHERE regexp_matches(text, '{R.CITATION_INSTRUCTION}') AND scan IN (SELECT scan FROM present) GROUP BY scan)", "eval_citation_required", "key")
     + " UNION ALL " + f("eval.grounding_judge", "'P1'", "c * 0.9", "present", "eval_grounding_judge"),
     "no_regression_suite": f("eval.regression_suite", "'P1'", "0.85", "wc WHERE scan NOT IN (SELECT scan FROM deps WHERE category = 'eval') AND scan NOT IN (SELECT scan FROM llm_call WHERE is_test)", "eval_regression_suite", n="n"),

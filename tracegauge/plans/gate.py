@@ -54,12 +54,26 @@ def _verdict_ctes(tag: str) -> str:
     )
 
 
-GATE_CTES = _verdict_ctes("gate") + """, gate_verdicts AS (SELECT g.*, o.fr - b.fr > 0.01 AS failed_more,
-    CASE WHEN o.fr - b.fr > 0.01 THEN 'block' WHEN least(b_runs, o_runs) < 3 THEN 'inconclusive' WHEN ci_hi <= 10 THEN 'pass'
-      WHEN ci_lo > 10 AND change_pct > 25 THEN 'block' WHEN ci_lo > 10 THEN 'warn' ELSE 'inconclusive' END AS verdict
-    FROM gate_ci g JOIN failure_rates b ON b.trial = g.trial AND b.side = g.base
-    JOIN failure_rates o ON o.trial = g.trial AND o.side = g.other)"""
-GATE = ("gate_pairs", "failure_rates")
+sql_view(
+    "gate_sides",
+    """SELECT trial, side, count(*) AS runs, bool_and(ok >= 20) AS complete, median(p95) AS med, min(p95) AS mn, max(p95) AS mx, count(p95) AS known FROM (
+         SELECT trial, side, run, count(*) FILTER (NOT failed) AS ok, quantile_cont(ttft_ms, 0.95) FILTER (NOT failed) AS p95 FROM gate_samples GROUP BY ALL)
+       GROUP BY ALL""",
+    "gate_samples",
+)
+GATE_CTES = _verdict_ctes("gate") + """, every_pair AS (SELECT b.trial, b.side AS base, o.side AS other, b.runs AS b_runs, o.runs AS o_runs,
+      b.complete AND o.complete AS whole, b.med AS p0, o.med AS p1, (o.med - b.med) / b.med * 100 AS p_change, o.mn > b.mx AS p_sep, b.known = 1 AS p_one, fo.fr - fb.fr > 0.01 AS failed_more
+      FROM gate_sides b JOIN gate_sides o ON b.trial = o.trial AND (b.side, o.side) IN (('base', 'head'), ('base', 'candidate'), ('head', 'candidate'))
+      JOIN failure_rates fb ON fb.trial = b.trial AND fb.side = b.side JOIN failure_rates fo ON fo.trial = o.trial AND fo.side = o.side),
+    gate_verdicts AS (SELECT e.trial, e.base, e.other, failed_more, ci_lo, ci_hi,
+      CASE WHEN whole THEN exp(b_mean) ELSE p0 END AS baseline, CASE WHEN whole THEN exp(o_mean) ELSE p1 END AS value, CASE WHEN whole THEN change_pct ELSE p_change END AS change_pct,
+      CASE WHEN whole THEN round(exp(o_min), 1) > round(exp(b_max), 1) ELSE p_sep END AS separated,
+      CASE WHEN NOT whole AND p_change IS NULL THEN 'error' WHEN failed_more THEN 'block'
+        WHEN NOT whole THEN CASE WHEN p_change > 25 AND (p_sep OR p_one) THEN 'block' WHEN p_change > 10 THEN 'warn' ELSE 'pass' END
+        WHEN least(e.b_runs, e.o_runs) < 3 THEN 'inconclusive' WHEN ci_hi <= 10 THEN 'pass'
+        WHEN ci_lo > 10 AND change_pct > 25 THEN 'block' WHEN ci_lo > 10 THEN 'warn' ELSE 'inconclusive' END AS verdict
+      FROM every_pair e LEFT JOIN gate_ci g ON whole AND g.trial = e.trial AND g.base = e.base AND g.other = e.other)"""
+GATE = ("gate_pairs", "failure_rates", "gate_sides")
 
 
 def r6(*cols):
@@ -87,9 +101,8 @@ def a12(spark, d):
 
 @query(
     "A13_gate_verdict", *GATE,
-    sql="WITH " + GATE_CTES + """SELECT trial, other, round(exp(b_mean), 6) AS baseline, round(exp(o_mean), 6) AS value,
-      round(change_pct, 6) AS change_pct, round(ci_lo, 5) AS ci_lo, round(ci_hi, 5) AS ci_hi,
-      round(exp(o_min), 1) > round(exp(b_max), 1) AS separated, failed_more, verdict FROM gate_verdicts WHERE base = 'base'""",
+    sql="WITH " + GATE_CTES + """SELECT trial, other, round(baseline, 6) AS baseline, round(value, 6) AS value,
+      round(change_pct, 6) AS change_pct, round(ci_lo, 5) AS ci_lo, round(ci_hi, 5) AS ci_hi, separated, failed_more, verdict FROM gate_verdicts WHERE base = 'base'""",
 )
 def a13(spark, d):
     g = G.gate(V.gate_samples(spark, d), "base", ["head", "candidate"])
@@ -127,7 +140,7 @@ def a14(spark, d):
 @query(
     "A15_repair_acceptance", *GATE,
     sql="WITH " + GATE_CTES + """SELECT hb.trial, ch.ci_hi < 0 AS faster_than_head, cb.ci_hi < 25 AS bounded_vs_base,
-      cb.ci_hi <= 10 AS within_tolerance, NOT cb.failed_more AND ch.ci_hi < 0 AND cb.ci_hi < 25 AS accepted
+      cb.ci_hi <= 10 AS within_tolerance, coalesce(NOT cb.failed_more AND ch.ci_hi < 0 AND cb.ci_hi < 25, FALSE) AS accepted
       FROM gate_verdicts hb JOIN gate_verdicts cb ON hb.trial = cb.trial JOIN gate_verdicts ch ON hb.trial = ch.trial
       WHERE hb.base = 'base' AND hb.other = 'head' AND cb.base = 'base' AND cb.other = 'candidate' AND ch.base = 'head'""",
 )
@@ -138,8 +151,7 @@ def a15(spark, d):
 # ---------------------------------------------------------------- trial sets (A37-A39, O3, V3)
 
 sql_view("affected_trials", "SELECT DISTINCT 'head' AS set, trial FROM gate_samples WHERE trial % 4 = 3", "gate_samples")
-TRIALS_SQL = GATE_CTES + """, trials AS (SELECT other AS set, trial, change_pct, ci_lo, ci_hi, verdict,
-    round(exp(o_min), 1) > round(exp(b_max), 1) AS separated FROM gate_verdicts WHERE base = 'base')"""
+TRIALS_SQL = GATE_CTES + """, trials AS (SELECT other AS set, trial, change_pct, ci_lo, ci_hi, verdict, separated FROM gate_verdicts WHERE base = 'base')"""
 
 
 def _trials(spark, d):

@@ -179,10 +179,10 @@ def g16(spark, d):
 
 
 @query(
-    "G18_reliability", *CALL_VIEWS, "dependency", "fn",
+    "G18_reliability", *CALL_VIEWS, "dependency", "retry_import",
     sql=f"""WITH {CALLS}, {DEPS} SELECT DISTINCT scan, 'eval_framework' AS predicate, name AS value FROM deps WHERE category = 'eval'
       UNION SELECT DISTINCT scan, 'tracing_library', name FROM deps WHERE category = 'tracing'
-      UNION SELECT DISTINCT d.scan, 'retry_library', name FROM deps d WHERE category = 'retry' AND EXISTS (SELECT 1 FROM fn f WHERE f.scan = d.scan AND f.name LIKE '%7')
+      UNION SELECT DISTINCT d.scan, 'retry_library', name FROM deps d WHERE category = 'retry' AND EXISTS (SELECT 1 FROM retry_import i WHERE i.scan = d.scan AND i.library = d.name)
       UNION SELECT scan, 'llm_in_tests', 'tests call an LLM (' || count(*)::VARCHAR || ' call sites)' FROM llm_call WHERE is_test GROUP BY scan
       UNION SELECT scan, 'timeout', key FROM calls WHERE has_timeout""",
 )
@@ -190,13 +190,12 @@ def g18(spark, d):
     """Existing reliability measures; a retry dependency counts only where the code imports it."""
     f = facts(spark, d)
     deps = B.dependency_names(f).select("scan", "name", "category").distinct()
-    imports = f.fn.where("name LIKE '%7'").select("scan").distinct()
     row = lambda df, p, v: df.select("scan", F.lit(p).alias("predicate"), v.alias("value"))
     tests = f.llm_call.where(B.is_test_path(F.col("path"))).groupBy("scan").agg(F.count("*").alias("n"))
     return (
         row(deps.where("category = 'eval'"), "eval_framework", F.col("name"))
         .unionByName(row(deps.where("category = 'tracing'"), "tracing_library", F.col("name")))
-        .unionByName(row(deps.where("category = 'retry'").join(imports, "scan", "left_semi"), "retry_library", F.col("name")))
+        .unionByName(row(B.retry_libraries(f, deps), "retry_library", F.col("name")))
         .unionByName(row(tests, "llm_in_tests", F.concat(F.lit("tests call an LLM ("), F.col("n").cast("string"), F.lit(" call sites)"))))
         .unionByName(row(_calls(f).where("has_timeout"), "timeout", F.col("key")))
     )

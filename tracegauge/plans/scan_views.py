@@ -91,6 +91,12 @@ shared_view(
         || CASE WHEN p_size % 3 = 0 THEN '>=' || CAST(p_size AS STRING) || '.0' WHEN p_size % 3 = 1 THEN ' == 1.2 # pinned' ELSE '' END AS line, p_brand, p_size
     FROM {part}""",
 )
+# retry libraries that a scan's files import; some scans depend on one and import none, or another
+shared_view(
+    "retry_import",
+    """SELECT DISTINCT scan, path, CASE WHEN c % 25 < 10 THEN 'tenacity' ELSE 'backoff' END AS library FROM {fn} WHERE c % 25 < 16 AND c_acctbal > 5000""",
+    "fn",
+)
 shared_view(
     "config_key",
     """SELECT scan, 'config:config.yaml#' || keypath AS key, 'config.yaml' AS file, keypath, CAST(v AS STRING) AS value, id FROM (

@@ -144,8 +144,12 @@ sql_view(
 )
 
 
+#: One base run and one candidate run without a successful request.
+DEAD_RUNS = "(l_suppkey % 8 = 6 AND l_returnflag = 'A' AND month(l_shipdate) % 4 = 2 OR l_suppkey % 8 = 7 AND l_returnflag = 'R' AND month(l_shipdate) % 4 = 1)"
+
+
 def gate_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per-request TTFT samples of three revisions over trials and runs, from ``lineitem``."""
+    """Per-request TTFT samples of three revisions over trials and runs, from ``lineitem``. In two runs every request fails."""
     li = table(spark, sf_dir, "lineitem")
     side = F.expr("CASE l_returnflag WHEN 'A' THEN 'base' WHEN 'N' THEN 'head' ELSE 'candidate' END")
     trial = (F.col("l_suppkey") % 8).cast("int")
@@ -156,18 +160,18 @@ def gate_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.month("l_shipdate") % 4).cast("int").alias("run"),
         (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("seq"),
         (F.col("l_extendedprice") / 100.0 * drift).alias("ttft_ms"),
-        (F.col("l_discount") >= 0.099).alias("failed"),
+        F.expr(f"l_discount >= 0.099 OR {DEAD_RUNS}").alias("failed"),
     )
 
 
 sql_view(
     "gate_samples",
-    """
+    f"""
     SELECT (l_suppkey % 8)::INTEGER AS trial,
       CASE l_returnflag WHEN 'A' THEN 'base' WHEN 'N' THEN 'head' ELSE 'candidate' END AS side,
       (month(l_shipdate) % 4)::INTEGER AS run, l_orderkey * 8 + l_linenumber AS seq,
       l_extendedprice / 100.0 * CASE WHEN l_returnflag = 'N' THEN 1.0 + (l_suppkey % 8) * 0.06 ELSE 1.0 END AS ttft_ms,
-      l_discount >= 0.099 AS failed
+      l_discount >= 0.099 OR {DEAD_RUNS} AS failed
     FROM lineitem
     """,
 )
