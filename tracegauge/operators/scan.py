@@ -11,12 +11,28 @@ from tracegauge.operators.graph import traverse
 
 # Hosts, ports and clients whose serving engine is known; dependency categories.
 LOCAL_HOSTS = ("localhost", "127.0.0.1", "0.0.0.0", "host.docker.internal")  # noqa: S104 - names matched in URLs
-API_HOSTS = {"api.openai.com": "openai", "api.anthropic.com": "anthropic", "api.groq.com": "groq", "openrouter.ai": "openrouter"}
+API_HOSTS = {
+    "api.openai.com": "openai", "api.anthropic.com": "anthropic", "api.groq.com": "groq", "openrouter.ai": "openrouter",
+    "generativelanguage.googleapis.com": "google", "api.mistral.ai": "mistral", "api.together.xyz": "together", "api.fireworks.ai": "fireworks",
+}
 ENGINE_PORTS = {11434: "ollama", 30000: "sglang"}
-SDK_ENGINES = ("openai", "anthropic", "azure_openai", "groq")
+SDK_ENGINES = ("openai", "anthropic", "groq", "ollama", "bedrock", "cohere", "google", "huggingface", "llama_cpp", "mistral", "replicate")
+# Names as they are after normalization (lower case, "-" for "_").
 DEPENDENCIES = {
-    "rank-bm25": "retrieval", "pgvector": "vector_store", "opentelemetry-sdk": "tracing", "tenacity": "retry", "deepeval": "eval",
+    "openai": "llm_sdk", "anthropic": "llm_sdk", "@anthropic-ai/sdk": "llm_sdk", "groq": "llm_sdk", "groq-sdk": "llm_sdk", "mistralai": "llm_sdk",
+    "google-generativeai": "llm_sdk", "google-genai": "llm_sdk", "@google/genai": "llm_sdk", "cohere": "llm_sdk", "ollama": "llm_sdk", "litellm": "llm_sdk",
+    "ai": "llm_framework", "@ai-sdk/openai": "llm_sdk", "langchain": "llm_framework", "langchain-openai": "llm_framework",
+    "langchain-community": "llm_framework", "@langchain/openai": "llm_framework", "llama-index": "llm_framework",
+    "instructor": "validation", "guardrails-ai": "validation", "vllm": "serving", "sglang": "serving", "transformers": "serving",
+    "rank-bm25": "retrieval", "pgvector": "vector_store", "chromadb": "vector_store", "qdrant-client": "vector_store", "pinecone": "vector_store",
+    "pinecone-client": "vector_store", "faiss-cpu": "vector_store", "weaviate-client": "vector_store", "sentence-transformers": "retrieval",
+    "ragas": "eval", "deepeval": "eval", "promptfoo": "eval", "langfuse": "tracing", "langsmith": "tracing", "opentelemetry-api": "tracing",
+    "opentelemetry-sdk": "tracing", "@opentelemetry/api": "tracing", "arize-phoenix": "tracing",
+    "fastapi": "web", "flask": "web", "django": "web", "express": "web", "next": "web", "tenacity": "retry", "backoff": "retry",
+    "pytest": "testing", "vitest": "testing", "jest": "testing",
 }
+#: A requirement line's name: a distribution, or a scoped package.
+DEPENDENCY_NAME = r"^\s*(@[A-Za-z0-9._-]+/[A-Za-z0-9._-]+|[A-Za-z0-9][A-Za-z0-9._-]*)"
 
 
 @dataclass
@@ -91,8 +107,9 @@ def components(f: Facts, reach: DataFrame) -> DataFrame:
 
 def resolve_clients(f: Facts) -> DataFrame:
     """Serving config and engine of each client: service host, published local port, API host, engine port."""
-    host = F.lower(F.regexp_extract("base_url", r"^[a-z]+://([^/:]+)", 1))
-    port = F.regexp_extract("base_url", r"^[a-z]+://[^/:]+:(\d+)", 1)
+    authority = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?(\[[^\]/]*\]|[^/:?#\[\]]+)(?::(\d+))?"
+    host = F.regexp_replace(F.lower(F.regexp_extract("base_url", authority, 1)), r"[\[\]]", "")
+    port = F.regexp_extract("base_url", authority, 2)
     c = f.llm_client.withColumns({"host": host, "port": F.when(port != "", port.cast("long"))})
     s = f.serving.select("scan", F.col("key").alias("serving_key"), F.lower("service").alias("service"), "engine", "host_port", F.col("id").alias("serving_id"))
     pick = F.struct(F.lit(1).alias("rule"), "serving_id", "serving_key", "engine")
@@ -173,7 +190,7 @@ def retry_libraries(f: Facts, dependencies: DataFrame) -> DataFrame:
 
 def dependency_names(f: Facts) -> DataFrame:
     """Requirement lines to normalized distribution names with their known category."""
-    name = F.lower(F.regexp_replace(F.trim(F.regexp_extract("line", r"^\s*([A-Za-z0-9][A-Za-z0-9._-]*)", 1)), "_", "-"))
+    name = F.lower(F.regexp_replace(F.trim(F.regexp_extract("line", DEPENDENCY_NAME, 1)), "_", "-"))
     d = f.dependency.where(~F.trim("line").rlike(r"^[#-]")).withColumn("name", name).where("name <> ''")
     known = F.element_at(F.create_map(*[F.lit(x) for kv in DEPENDENCIES.items() for x in kv]), F.col("name"))
     return d.select("scan", "id", "name", F.coalesce(known, F.lit("other")).alias("category"))

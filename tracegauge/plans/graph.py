@@ -133,8 +133,9 @@ def g12m(spark, d):
     return C.reconcile(cand, ["scan", "predicate"]).select("scan", "value", "confidence", "status", "n_support")
 
 
-DEPS = r"""deps AS (SELECT scan, id, name, CASE name WHEN 'rank-bm25' THEN 'retrieval' WHEN 'pgvector' THEN 'vector_store' WHEN 'opentelemetry-sdk' THEN 'tracing' WHEN 'tenacity' THEN 'retry' WHEN 'deepeval' THEN 'eval' ELSE 'other' END AS category
-      FROM (SELECT scan, id, lower(replace(regexp_extract(line, '^\s*([A-Za-z0-9][A-Za-z0-9._-]*)', 1), '_', '-')) AS name FROM dependency))"""
+_CATEGORY = " ".join(f"WHEN '{n}' THEN '{c}'" for n, c in B.DEPENDENCIES.items())
+DEPS = rf"""deps AS (SELECT scan, id, name, CASE name {_CATEGORY} ELSE 'other' END AS category
+      FROM (SELECT scan, id, lower(replace(regexp_extract(line, '{B.DEPENDENCY_NAME}', 1), '_', '-')) AS name FROM dependency))"""
 
 
 @query("P28_dependency_rows", "dependency", sql=f"WITH {DEPS} SELECT scan, id, name, category FROM deps")

@@ -6,8 +6,12 @@ both engines.
 
 from __future__ import annotations
 
+from tracegauge.operators.scan import DEPENDENCIES
 from tracegauge.plans.registry import shared_view
 
+# every known package occurs, in the first scans
+_PACKAGES = " ".join(f"WHEN {i} THEN '{name}'" for i, name in enumerate(DEPENDENCIES))
+
 shared_view(
     "fn",
     """SELECT c_custkey AS c, CAST(floor(c_custkey / 25) AS BIGINT) AS i, 's' || CAST(c_custkey % 25 AS STRING) AS scan,
@@ -86,10 +90,10 @@ shared_view(
 )
 shared_view(
     "dependency",
-    """SELECT 's' || CAST(p_partkey % 25 AS STRING) AS scan, p_partkey AS id,
-      CASE WHEN p_type = 'ECONOMY' THEN 'rank_bm25' WHEN p_type = 'STANDARD' THEN 'PgVector[extra]' WHEN p_type = 'PROMO' AND p_partkey % 25 < 15 THEN 'opentelemetry-sdk' WHEN p_type = 'SMALL' THEN 'tenacity' WHEN p_type = 'MEDIUM' AND p_partkey % 25 < 8 THEN 'deepeval' ELSE 'left-pad' END
+    f"""SELECT 's' || CAST(p_partkey % 25 AS STRING) AS scan, p_partkey AS id,
+      CASE WHEN p_type = 'ECONOMY' THEN 'rank_bm25' WHEN p_type = 'STANDARD' THEN 'PgVector[extra]' WHEN p_type = 'PROMO' AND p_partkey % 25 < 15 THEN 'opentelemetry-sdk' WHEN p_type = 'SMALL' THEN 'tenacity' WHEN p_type = 'MEDIUM' AND p_partkey % 25 < 8 THEN 'deepeval' WHEN p_partkey % 25 < 8 THEN CASE CAST(floor(p_partkey / 25) AS BIGINT) % {len(DEPENDENCIES)} {_PACKAGES} END ELSE 'left-pad' END
         || CASE WHEN p_size % 3 = 0 THEN '>=' || CAST(p_size AS STRING) || '.0' WHEN p_size % 3 = 1 THEN ' == 1.2 # pinned' ELSE '' END AS line, p_brand, p_size
-    FROM {part}""",
+    FROM {{part}}""",
 )
 # retry libraries that a scan's files import; some scans depend on one and import none, or another
 shared_view(
