@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tracegauge.operators.graph import traverse
 
 # Hosts, ports and clients whose serving engine is known; dependency categories.
-LOCAL_HOSTS = ("localhost", "127.0.0.1", "0.0.0.0", "host.docker.internal")  # noqa: S104 - names matched in URLs
+LOCAL_HOSTS = ("localhost", "127.0.0.1", "0.0.0.0", "::1", "host.docker.internal")  # noqa: S104 - names matched in URLs
 API_HOSTS = {
     "api.openai.com": "openai", "api.anthropic.com": "anthropic", "api.groq.com": "groq", "openrouter.ai": "openrouter",
     "generativelanguage.googleapis.com": "google", "api.mistral.ai": "mistral", "api.together.xyz": "together", "api.fireworks.ai": "fireworks",

@@ -58,10 +58,12 @@ def g17(spark, d):
     return a.select("scan", "key", "side_effect", "gated", guard.alias("guarded_by"))
 
 
-CLIENTS = """clients AS (SELECT c.*, regexp_extract(coalesce(base_url, ''), '^[a-z]+://([^/:]+)', 1) AS host, try_cast(nullif(regexp_extract(coalesce(base_url, ''), '^[a-z]+://[^/:]+:([0-9]+)', 1), '') AS BIGINT) AS port FROM llm_client c),
+CLIENTS = r"""places AS (SELECT c.*, lower(split_part(regexp_replace(regexp_replace(coalesce(base_url, ''), '^.*://', ''), '[/?#].*$', ''), '@', -1)) AS place FROM llm_client c),
+    clients AS (SELECT * EXCLUDE (place), CASE WHEN starts_with(place, '[') THEN split_part(substr(place, 2), ']', 1) ELSE split_part(place, ':', 1) END AS host,
+      try_cast(regexp_extract(place, ':([0-9]+)$', 1) AS BIGINT) AS port FROM places),
     matched AS (SELECT scan, key, arg_min(skey, sid) AS serving_key, arg_min(seng, sid) AS s_engine FROM (
-      SELECT c.scan, c.key, s.key AS skey, s.engine AS seng, s.id AS sid FROM clients c JOIN serving s ON s.scan = c.scan AND (lower(s.service) = lower(c.host) OR (c.host IN ('localhost', '127.0.0.1') AND s.host_port = c.port))) GROUP BY ALL),
-    resolved AS (SELECT c.*, m.serving_key, coalesce(s_engine, CASE lower(host) WHEN 'api.openai.com' THEN 'openai' WHEN 'api.anthropic.com' THEN 'anthropic' WHEN 'api.groq.com' THEN 'groq' END,
+      SELECT c.scan, c.key, s.key AS skey, s.engine AS seng, s.id AS sid FROM clients c JOIN serving s ON s.scan = c.scan AND (lower(s.service) = lower(c.host) OR (c.host IN ('localhost', '127.0.0.1', '::1') AND s.host_port = c.port))) GROUP BY ALL),
+    resolved AS (SELECT c.*, m.serving_key, coalesce(s_engine, CASE lower(host) WHEN 'api.openai.com' THEN 'openai' WHEN 'api.anthropic.com' THEN 'anthropic' WHEN 'api.groq.com' THEN 'groq' WHEN 'api.mistral.ai' THEN 'mistral' WHEN 'openrouter.ai' THEN 'openrouter' END,
       CASE port WHEN 11434 THEN 'ollama' WHEN 30000 THEN 'sglang' END, CASE WHEN base_url IS NULL THEN sdk END) AS engine FROM clients c LEFT JOIN matched m USING (scan, key)),
     eng_cand AS (SELECT scan || '/' || key AS subject, 'serving_engine' AS predicate, coalesce(engine, 'unknown') AS value, CASE WHEN serving_key IS NOT NULL THEN 'config' ELSE 'ast' END AS source, id AS fact_id, serving_key IS NULL AS direct, 1 AS n
       FROM resolved WHERE engine IS NOT NULL OR base_url IS NOT NULL

@@ -35,16 +35,17 @@ shared_view(
 )
 shared_view(
     "llm_client",
-    """SELECT scan, 'endpoint:app/clients.py::client' || CAST(i AS STRING) || '@' || scan AS key, CASE WHEN i < 2 THEN 'openai' ELSE 'anthropic' END AS sdk,
-      CASE i WHEN 0 THEN 'http://vllm-' || scan || ':8000/v1' WHEN 1 THEN CASE WHEN c % 2 = 0 THEN 'http://localhost:' || CAST(8100 + c % 25 AS STRING) ELSE 'http://10.0.0.5:11434/v1' END
-        ELSE CASE WHEN c % 3 = 0 THEN 'https://api.groq.com/openai/v1' WHEN c % 3 = 1 THEN 'http://10.1.1.1:9999' END END AS base_url,
-      c % 4 = 0 AS has_timeout, c AS id FROM {fn} WHERE i < 3""",
+    """SELECT scan, 'endpoint:app/clients.py::client' || CAST(i AS STRING) || '@' || scan AS key, CASE WHEN i % 3 < 2 THEN 'openai' ELSE 'anthropic' END AS sdk,
+      CASE i % 3 WHEN 0 THEN 'http://vllm-' || scan || ':8000/v1' WHEN 1 THEN CASE WHEN c % 2 = 0 THEN 'http://localhost:' || CAST(8100 + c % 25 AS STRING) ELSE 'http://10.0.0.5:11434/v1' END
+        ELSE CASE WHEN c % 3 = 0 THEN CASE i % 4 WHEN 0 THEN 'https://api.groq.com/openai/v1' WHEN 1 THEN 'HTTPS://user@API.mistral.ai/v1' WHEN 2 THEN 'http://[::1]:8104/v1' ELSE 'https://openrouter.ai?v=1' END
+          WHEN c % 3 = 1 THEN 'http://10.1.1.1:9999' END END AS base_url,
+      c % 4 = 0 AS has_timeout, c AS id FROM {fn}""",
     "fn",
 )
 shared_view(
     "llm_call",
     """SELECT scan, key || '#llm0' AS key, key AS function_key, path, line_start AS line, is_test, 'chat.completions.create' AS api,
-      'endpoint:app/clients.py::client' || CAST(c % 3 AS STRING) || '@' || scan AS endpoint_key,
+      'endpoint:app/clients.py::client' || CAST(i AS STRING) || '@' || scan AS endpoint_key,
       CASE c % 5 WHEN 0 THEN 'lab' WHEN 1 THEN 'gpt-4o-mini' WHEN 2 THEN 'Qwen2.5-0.5B' ELSE NULL END AS model_effective,
       c % 8 = 1 AS has_timeout, c % 3 = 0 AS stream, c AS id FROM {fn} WHERE c_mktsegment IN ('BUILDING', 'MACHINERY') AND (NOT is_test OR c % 25 < 12)""",
     "fn",
