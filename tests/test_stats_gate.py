@@ -52,73 +52,73 @@ def test_wilson_is_null_without_data(spark):
 SAMPLE = "trial int, side string, run int, ttft_ms double, failed boolean"
 
 
-def runs(side, scale=1.0, n=34, k=3, spread=0.12, seed=0, fail=0.0, tail=1.0, offsets=None):
-    rng = np.random.default_rng(seed)
+def ramp(side, run_levels, n=40, width=0.05, failing=0, trial=1, slow_last=0):
+    """Evenly spaced latencies around each run's level, then failed requests; the last ``slow_last`` take five times as long."""
     out = []
-    for i in range(k):
-        x = np.sort(np.exp(rng.normal(np.log(80), spread, n)) * scale * (offsets[i] if offsets else 1.0))
-        if tail != 1.0:
-            x[-6:] *= tail
-        out += [(1, side, i, float(v), False) for v in x] + [(1, side, i, 0.0, True)] * round(n * fail)
+    for run, level in enumerate(run_levels):
+        for i in range(n):
+            v = level * (1 + width * (2 * i / max(1, n - 1) - 1)) * (5 if i >= n - slow_last else 1)
+            out.append((trial, side, run, v, False))
+        out += [(trial, side, run, 0.0, True)] * failing
     return out
 
 
+STEADY = (200.0, 201.0, 199.0)
+
+
+def times(levels, factor):
+    return tuple(x * factor for x in levels)
+
+
 def gate(spark, base, other, **kw):
     return G.gate(spark.createDataFrame(base + other, SAMPLE), "base", ["head"], **kw).first()
 
 
-def test_gate_verdicts(spark):
-    same = gate(spark, runs("base", seed=1, n=200, spread=0.03), runs("head", seed=2, n=200, spread=0.03))
-    assert same.verdict == "pass" and same.ci_lo <= 0 <= same.ci_hi <= 10
-    big = gate(spark, runs("base", seed=1), runs("head", 10, seed=2))
-    assert big.verdict == "block" and big.separated and big.ci_lo > 10
-    small = gate(spark, runs("base", seed=1, n=300, spread=0.02), runs("head", 1.18, seed=2, n=300, spread=0.02))
-    assert small.verdict == "warn" and small.ci_lo > 10 and small.change_pct < 25
-    noisy = gate(spark, runs("base", seed=1, spread=0.3), runs("head", 1.08, seed=2, spread=0.3))
-    assert noisy.verdict == "inconclusive" and noisy.ci_lo <= 10 < noisy.ci_hi
+@pytest.mark.parametrize("base,factor,verdict", [
+    (STEADY, 1.01, "pass"), (STEADY, 0.6, "pass"), (STEADY, 1.16, "warn"), (STEADY, 1.9, "block"), ((150.0, 200.0, 265.0), 1.12, "inconclusive"),
+])
+def test_interval_verdicts(spark, base, factor, verdict):
+    g = gate(spark, ramp("base", base), ramp("head", times(base, factor)))
+    assert g.rule == "interval" and g.verdict == verdict
+    assert g.change_pct == pytest.approx((factor - 1) * 100, abs=1e-6) and g.ci_lo < g.change_pct < g.ci_hi
+    assert g.separated == (min(times(base, factor)) > max(base))
 
 
-def test_fewer_than_three_runs_are_inconclusive(spark):
-    g = gate(spark, runs("base", k=2, seed=1), runs("head", 10, k=2, seed=2))
-    assert g.verdict == "inconclusive" and g.ci_lo is None
+def test_two_runs_a_side_leave_no_interval(spark):
+    g = gate(spark, ramp("base", STEADY[:2]), ramp("head", times(STEADY[:2], 4)))
+    assert (g.verdict, g.ci_lo, g.ci_hi) == ("inconclusive", None, None)
 
 
-def test_a_run_with_few_samples_is_judged_by_the_point_rule(spark):
-    short = gate(spark, runs("base", n=19, seed=1), runs("head", n=34, seed=2))
-    assert short.rule == "point" and short.ci_lo is None and short.verdict == "pass" and not short.failed_more
-    slow = gate(spark, runs("base", n=19, seed=1), runs("head", 10, n=34, seed=2))
-    assert slow.verdict == "block" and slow.separated
-    failing = gate(spark, runs("base", n=34, seed=1), runs("head", 0.5, n=10, seed=2, fail=0.5))
-    assert failing.rule == "point" and failing.verdict == "block" and failing.failed_more
+@pytest.mark.parametrize("factor,failing,verdict", [(1.0, 0, "pass"), (3.0, 0, "block"), (0.7, 12, "block")])
+def test_runs_without_enough_samples_go_to_the_point_rule(spark, factor, failing, verdict):
+    g = gate(spark, ramp("base", STEADY), ramp("head", times(STEADY, factor), n=12, failing=failing))
+    assert (g.rule, g.verdict, g.ci_lo) == ("point", verdict, None) and g.failed_more == (failing > 0)
 
 
 def test_a_side_without_success_is_an_error_and_keeps_its_row(spark):
-    dead = [(1, "head", i, 0.0, True) for i in range(3) for _ in range(30)]
-    g = gate(spark, runs("base", seed=1), dead)
+    g = gate(spark, ramp("base", STEADY), ramp("head", STEADY, n=0, failing=25))
     assert g.verdict == "error" and g.value is None and g.failed_more
     # one dead run of three: the others are judged, and the failures block
-    g = gate(spark, runs("base", seed=1), runs("head", 0.5, k=2, seed=2) + [(1, "head", 2, 0.0, True)] * 30)
+    dead = [(1, "head", 2, 0.0, True)] * 25
+    g = gate(spark, ramp("base", STEADY), ramp("head", STEADY[:2]) + dead)
     assert g.rule == "point" and g.o_runs == 3 and g.verdict == "block"
 
 
-def test_failing_requests_block_however_fast(spark):
-    g = gate(spark, runs("base", seed=1), runs("head", 0.5, seed=2, fail=0.1))
-    assert g.verdict == "block" and g.failed_more
+def test_more_failures_block_a_faster_side(spark):
+    g = gate(spark, ramp("base", STEADY), ramp("head", times(STEADY, 0.8), failing=8))
+    assert g.rule == "interval" and g.change_pct < 0 and g.failed_more and g.verdict == "block"
 
 
-def test_tail_only_regression_shows_in_the_advisory_only(spark):
-    s = spark.createDataFrame(runs("base", seed=1, n=100, spread=0.02) + runs("head", seed=2, n=100, spread=0.02, tail=3.0), SAMPLE)
-    assert G.gate(s, "base", ["head"]).first().verdict == "pass"
-    assert G.tail_advisory(s, "base", ["head"]).first().ci_lo > 100
+def test_a_slow_tail_shows_in_the_advisory(spark):
+    s = spark.createDataFrame(ramp("base", STEADY, n=200) + ramp("head", STEADY, n=200, slow_last=12), SAMPLE)
+    assert G.tail_advisory(s, "base", ["head"]).first().ci_lo > 200
+    assert G.gate(s, "base", ["head"]).first().verdict in ("pass", "inconclusive", "warn")
 
 
-def test_the_run_is_the_unit(spark):
-    w = []
-    for n in (34, 3400):
-        g = gate(spark, runs("base", n=n, spread=0.02, seed=5, offsets=(0.9, 1.0, 1.1)), runs("head", n=n, spread=0.02, seed=5, offsets=(0.95, 1.05, 1.15)))
-        w.append(g.ci_hi - g.ci_lo)
-        verdict = g.verdict
-    assert w[1] > 0.8 * w[0] and verdict == "inconclusive"
+def test_more_requests_do_not_narrow_the_interval(spark):
+    spread = (180.0, 200.0, 225.0)
+    widths = [g.ci_hi - g.ci_lo for n in (25, 1000) for g in [gate(spark, ramp("base", spread, n=n), ramp("head", times(spread, 1.03), n=n))]]
+    assert widths[1] == pytest.approx(widths[0], rel=0.01)
 
 
 def test_welch_hand_computed(spark):
@@ -130,17 +130,20 @@ def test_welch_hand_computed(spark):
     assert (r.ci_lo, r.ci_hi) == (pytest.approx((math.exp(0.1 - half) - 1) * 100, abs=0.02), pytest.approx((math.exp(0.1 + half) - 1) * 100, abs=0.02))
 
 
-def test_point_rule_needs_separation(spark):
-    mk = lambda side, xs: [(1, side, i, x, False) for i, x in enumerate(xs)]
-    p = lambda b, o: G.point_rule(spark.createDataFrame(mk("base", b) + mk("head", o), SAMPLE), "base", ["head"]).first()
-    assert p([600.0, 620.0, 610.0], [1500.0, 1480.0, 1520.0]).verdict == "block"
-    r = p([300.0, 600.0, 450.0], [420.0, 900.0, 500.0])
-    assert r.verdict == "warn" and not r.separated
+@pytest.mark.parametrize("base,head,verdict,separated", [
+    ((50.0, 52.0, 54.0), (90.0, 95.0, 99.0), "block", True), ((50.0, 70.0, 90.0), (75.0, 100.0, 140.0), "warn", False), ((50.0, 70.0, 90.0), (52.0, 71.0, 95.0), "pass", False),
+])
+def test_point_rule_blocks_only_separated_runs(spark, base, head, verdict, separated):
+    rows = [(1, side, i, x, False) for side, xs in (("base", base), ("head", head)) for i, x in enumerate(xs)]
+    r = G.point_rule(spark.createDataFrame(rows, SAMPLE), "base", ["head"]).first()
+    assert (r.verdict, r.separated) == (verdict, separated)
 
 
-def test_a_against_a_never_blocks(spark):
-    s = spark.createDataFrame([(t, side, i, float(v), False) for t in range(8) for side, sd in (("base", t), ("head", t)) for (_, _, i, v, _) in runs("x", seed=sd)], SAMPLE)
-    assert {r.verdict for r in G.gate(s, "base", ["head"]).collect()} <= {"pass", "inconclusive"}
+def test_equal_sides_never_block(spark):
+    levels = [(100.0 + 7 * t, 104.0 + 3 * t, 97.0 + 5 * t) for t in range(6)]
+    rows = [r for t, ls in enumerate(levels) for side in ("base", "head") for r in ramp(side, ls, trial=t)]
+    got = G.gate(spark.createDataFrame(rows, SAMPLE), "base", ["head"]).collect()
+    assert len(got) == 6 and {g.verdict for g in got} <= {"pass", "inconclusive"}
 
 
 def test_trimmed_mean_and_percentiles_match_numpy(spark):

@@ -5,8 +5,11 @@ A suite is one projection of N structs followed by one explode; cases are never
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
+from functools import reduce
+from operator import or_
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
@@ -65,8 +68,17 @@ _TYPES = {
 }
 
 
+#: Judged, and (the last three) read over.
+KEYWORDS = {
+    "type", "required", "properties", "enum", "minimum", "maximum", "minLength", "maxLength", "pattern", "minItems", "maxItems",
+    "title", "description", "$schema",
+}
+
+
 def schema_violation(v: Column, schema: dict[str, Any], path: str = "$") -> Column:
-    """First violation of a JSON schema subset (type, required, properties, enum, minimum, maximum)."""
+    """First violation of a JSON schema subset: the keywords in ``KEYWORDS``; any other raises ``ValueError``."""
+    if unknown := sorted(set(schema) - KEYWORDS):
+        raise ValueError(f"unsupported schema keyword {', '.join(unknown)}")
     here = v if path == "$" else F.try_variant_get(v, path, "variant")
     kind = F.schema_of_variant(here)
     label = F.lit("(root)" if path == "$" else path[2:].replace(".", "/"))
@@ -80,8 +92,16 @@ def schema_violation(v: Column, schema: dict[str, Any], path: str = "$") -> Colu
             x = F.try_variant_get(v, path, "double")
             out = x < schema[key] if op == "<" else x > schema[key]
             rules.append((F.coalesce(out, F.lit(False)), F.concat(label, F.lit(f" outside {key}"))))
+    word, items = F.try_variant_get(v, path, "string"), F.try_variant_get(v, path, "array<variant>")
+    for key, of, size in (("Length", "STRING", F.length(word)), ("Items", "ARRAY", F.size(items))):
+        for end, out in (("min", lambda n, m: n < m), ("max", lambda n, m: n > m)):
+            if end + key in schema:
+                rules.append((kind.startswith(of) & out(size, schema[end + key]), F.concat(label, F.lit(f" breaks {end}{key}"))))
+    if "pattern" in schema:
+        rules.append(((kind == "STRING") & ~word.rlike(schema["pattern"]), F.concat(label, F.lit(" does not match the pattern"))))
     if "enum" in schema:
-        rules.append((~F.try_variant_get(v, path, "string").isin([str(e) for e in schema["enum"]]), F.concat(label, F.lit(" not in enum"))))
+        same = [F.to_json(here) == F.lit(json.dumps(e, ensure_ascii=False, separators=(",", ":"))) for e in schema["enum"]]
+        rules.append((~reduce(or_, same, F.lit(False)), F.concat(label, F.lit(" not in enum"))))
     own = F.coalesce(*[F.when(c, m) for c, m in rules]) if rules else F.lit(None).cast("string")
     nested = [
         F.when(F.try_variant_get(v, f"{path}.{name}", "variant").isNotNull(), schema_violation(v, sub, f"{path}.{name}"))
@@ -193,7 +213,7 @@ def run_suite(cases: DataFrame, evaluators: Sequence[Evaluator], id_col: str = "
         else:
             try:
                 r = CHECKS[e.check](**e.params)
-            except TypeError as exc:
+            except (TypeError, ValueError) as exc:
                 r = result("ERROR", f"bad parameters for {e.check}: {exc}")
         return F.struct(F.lit(e.key).alias("evaluator"), r.alias("result"))
 

@@ -1,15 +1,11 @@
-"""Column builders over prompts and answers. Everything stays in the JVM except secret spans."""
+"""Column builders over prompts and answers. Everything stays in the JVM."""
 
 from __future__ import annotations
 
-import math
-import re
-from collections import Counter
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
 # ---- Fixed values: token, citation, refusal, personal-data and secret patterns.
 TOKEN = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s\p{Z}]"
@@ -125,7 +121,7 @@ def has_card_number(text: Column) -> Column:
 def assigned_secrets(text: Column) -> Column:
     """Values of name = "value" assignments that look like secrets."""
     values = F.regexp_extract_all(text, F.lit(SECRET_ASSIGNMENT), F.lit(3))
-    return F.filter(values, lambda v: ~v.rlike(PLACEHOLDER) & (shannon_entropy(v) >= MIN_SECRET_ENTROPY))
+    return F.filter(values, _real_secret)
 
 
 def has_secret(text: Column) -> Column:
@@ -136,62 +132,74 @@ def has_secret(text: Column) -> Column:
     return any_vendor | (F.size(assigned_secrets(text)) > 0)
 
 
-SPANS = ArrayType(StructType([
-    StructField("kind", StringType()), StructField("start", LongType()),
-    StructField("end", LongType()), StructField("line", LongType()),
-]))
+SPANS = "array<struct<kind:string,start:bigint,end:bigint,line:bigint>>"
+_FOUND = "array<struct<start:bigint,neg_end:bigint,rank:int,kind:string>>"
 
 
-def _spans(text: str) -> list[dict]:
-    """Spans of one text; of two overlapping spans the earlier, then the longer, stays."""
-    found = []
-    for order, (kind, pattern) in enumerate(SECRET_PATTERNS.items()):
-        group = 1 if kind == "db_url_password" else 0
-        found += [(m.start(group), -m.end(group), order, kind) for m in re.finditer(pattern, text)]
-    for m in re.finditer(SECRET_ASSIGNMENT, text):
-        v = m.group(3)
-        share = [c / len(v) for c in Counter(v).values()]
-        if not re.match(PLACEHOLDER, v) and -sum(p * math.log2(p) for p in share) >= MIN_SECRET_ENTROPY:
-            found.append((m.start(3), -m.end(3), len(SECRET_PATTERNS), "assigned_secret"))
-    kept: list[dict] = []
-    for start, neg_end, _, kind in sorted(found):
-        if not kept or start >= kept[-1]["end"]:
-            kept.append({"kind": kind, "start": start, "end": -neg_end, "line": text.count("\n", 0, start) + 1})
-    return kept
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` over a value computed once: a lambda variable is bound, a column would be inlined."""
+    return F.transform(F.array(value), body)[0]
 
 
-@F.pandas_udf(SPANS)
-def _spans_udf(text: pd.Series) -> pd.Series:
-    return text.map(lambda t: [] if t is None else _spans(t))
+def _located(text: Column, kind: str, rank: int, pattern: str, group: int = 0, closing: int = 0, wanted=None) -> Column:
+    """Where one pattern's values stand: the texts between its matches (``split``) and the matches add up to offsets.
 
+    The value is a group that ends ``closing`` characters before its match does.
+    """
+    sizes = F.zip_with(
+        F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1), lambda m, gap: (F.length(gap) + F.length(m)).cast("bigint"))
+    steps = F.filter(
+        F.zip_with(sizes, F.regexp_extract_all(text, F.lit(pattern), F.lit(group)), lambda n, v: F.struct(n.alias("n"), v.alias("v"))),
+        lambda x: x["v"].isNotNull())
 
-@F.pandas_udf(StringType())
-def _redact_udf(text: pd.Series) -> pd.Series:
-    def one(t):
-        out, at = [], 0
-        for s in _spans(t):
-            out += [t[at:s["start"]], f"[REDACTED:{s['kind']}]"]
-            at = s["end"]
-        return "".join([*out, t[at:]])
+    def add(acc: Column, x: Column) -> Column:
+        at = acc["at"] + x["n"]
+        here = F.struct((at - closing - F.length(x["v"])).alias("start"), (F.lit(closing).cast("bigint") - at).alias("neg_end"),
+                        F.lit(rank).alias("rank"), F.lit(kind).alias("kind"))
+        more = F.array_append(acc["found"], here)
+        return F.struct(at.alias("at"), (more if wanted is None else F.when(wanted(x["v"]), more).otherwise(acc["found"])).alias("found"))
 
-    return text.map(lambda t: None if t is None else one(t))
+    zero = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast(_FOUND).alias("found"))
+    return F.when(text.rlike(pattern), F.aggregate(steps, zero, add)["found"]).otherwise(F.array().cast(_FOUND))
 
 
-def may_hold_secret(text: Column) -> Column:
-    """Regex-only prefilter: every text with a secret passes (lambdas may not feed an Arrow function)."""
-    hit = text.rlike(SECRET_ASSIGNMENT)
-    for p in SECRET_PATTERNS.values():
-        hit = hit | text.rlike(p)
-    return hit
+def _real_secret(value: Column) -> Column:
+    return ~value.rlike(PLACEHOLDER) & (shannon_entropy(value) >= MIN_SECRET_ENTROPY)
 
 
 def find_secrets(text: Column) -> Column:
-    """Secret spans. Only texts that pass the JVM prefilter reach Python (Spark has no all-match offsets)."""
-    return F.coalesce(_spans_udf(F.when(may_hold_secret(text), text)), F.array().cast(SPANS))
+    """Secret spans, in order, in the JVM; of two overlapping ones the earlier, then the longer, stays.
+
+    Texts that no pattern fits cost one search a pattern. NULL has no spans.
+    """
+    found = [
+        _located(text, kind, rank, pattern, *((1, 1) if kind == "db_url_password" else ()))
+        for rank, (kind, pattern) in enumerate(SECRET_PATTERNS.items())
+    ]
+    found.append(_located(text, "assigned_secret", len(found), SECRET_ASSIGNMENT, 3, 1, _real_secret))
+
+    def take(kept: Column, c: Column) -> Column:
+        before = text.substr(F.lit(1), c["start"].cast("int"))
+        span = F.struct(c["kind"].alias("kind"), c["start"].alias("start"), (-c["neg_end"]).alias("end"),
+                        (F.length(before) - F.length(F.replace(before, F.lit("\n"), F.lit(""))) + 1).cast("bigint").alias("line"))
+        free = c["start"] >= F.coalesce(F.try_element_at(kept, F.lit(-1))["end"], F.lit(0))
+        return F.when(free, F.array_append(kept, span)).otherwise(kept)
+
+    return F.coalesce(F.aggregate(F.array_sort(F.flatten(F.array(*found))), F.array().cast(SPANS), take), F.array().cast(SPANS))
 
 
 def redact(text: Column) -> Column:
-    return F.coalesce(_redact_udf(F.when(may_hold_secret(text), text)), text)
+    """The text with every secret span replaced by its kind in brackets."""
+
+    def rebuilt(spans: Column) -> Column:
+        def part(s: Column, i: Column) -> Column:
+            after = F.when(i > 0, F.get(spans, i - 1)["end"]).otherwise(F.lit(0))
+            return F.concat(text.substr((after + 1).cast("int"), (s["start"] - after).cast("int")), F.lit("[REDACTED:"), s["kind"], F.lit("]"))
+
+        rest = text.substr((F.try_element_at(spans, F.lit(-1))["end"] + 1).cast("int"), F.length(text))
+        return F.when(F.size(spans) == 0, text).otherwise(F.concat(F.array_join(F.transform(spans, part), ""), rest))
+
+    return _let(find_secrets(text), rebuilt)
 
 
 def strict_json(text: Column) -> Column:

@@ -86,12 +86,16 @@ def evidence(candidates: DataFrame, claims: DataFrame, keys: Sequence[str] = ("s
 
 
 def contradictions(claims: DataFrame, keys: Sequence[str] = ("subject", "predicate")) -> DataFrame:
-    """Every value of every conflict group, marking the strongest (rows, so a group may be long)."""
+    """Every value of every conflict group, marking the strongest (rows, so a group may be long).
+
+    Groups are told apart by the keys; ``conflict_group`` is their short name.
+    """
+    keys = list(keys)
     c = claims.where("conflict_group IS NOT NULL")
-    top = c.groupBy("conflict_group").agg(
+    top = c.groupBy(*keys).agg(
         F.count("*").alias("n_values"), F.min_by("normalized", F.struct(-F.col("confidence"), F.col("normalized"))).alias("_top")
     )
-    return c.join(top, "conflict_group").select(
+    return c.join(top, keys).select(
         *keys, "conflict_group", "n_values", "value", "confidence", (F.col("normalized") == F.col("_top")).alias("strongest")
     )
 

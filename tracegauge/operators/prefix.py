@@ -103,7 +103,7 @@ def snapshot_prefix_check(base: DataFrame, head: DataFrame, key: str) -> DataFra
 def prefix_groups(prompts: DataFrame) -> DataFrame:
     """Requests sharing an identical system prompt (at least two): share of all and common prefix tokens."""
     total = prompts.agg(F.count("*").alias("_all"))
-    g = prompts.where(F.length("system") > 0).withColumn("prefix_hash", F.substring(F.sha2("system", 256), 1, 12))
+    g = prompts.where(F.length("system") > 0).withColumn("prefix_hash", F.sha2("system", 256))
     first = g.groupBy("prefix_hash").agg(F.count("*").alias("n"), F.min_by("prompt", "seq").alias("_first")).where("n >= 2")
     j = g.select("prefix_hash", "prompt").join(first, "prefix_hash").select(
         "prefix_hash", "n", approx_tokens(F.col("prompt")).alias("_a"), approx_tokens(F.col("_first")).alias("_b")
@@ -112,4 +112,5 @@ def prefix_groups(prompts: DataFrame) -> DataFrame:
     differs = F.array_position(F.zip_with(a, b, lambda x, y: x.eqNullSafe(y)), False)
     common = F.when(differs > 0, differs - 1).otherwise(F.least(F.size(a), F.size(b)))
     per = j.groupBy("prefix_hash").agg(F.min(common.cast("long")).alias("tokens"), F.max("n").alias("n"))
-    return per.select("prefix_hash", "n", "tokens", (F.col("n") / total.scalar()).alias("share"))
+    # grouped by the whole digest, shown short
+    return per.select(F.substring("prefix_hash", 1, 12).alias("prefix_hash"), "n", "tokens", (F.col("n") / total.scalar()).alias("share"))

@@ -228,20 +228,25 @@ def validate_evidence(links: DataFrame, facts: DataFrame, files: DataFrame) -> D
     """Problem of each finding-to-fact link, or 'ok'.
 
     ``facts``: fact_id, path, line_start, line_end, excerpt. ``files``: path, text. The excerpt must
-    occur, whitespace aside, in the cited lines widened by one on each side (its first 60 characters,
-    as excerpts are cut at storage time). An excerpt equal to the path cites the file itself.
+    occur as stored, whitespace aside, in the cited lines widened by one on each side. Without lines the
+    whole file is cited; a fact without a path has nothing to check. An excerpt equal to the path cites the file itself.
     """
-    j = links.join(facts, "fact_id", "left").join(files.select("path", "text"), "path", "left")
+    known = facts.withColumn("_known", F.lit(True))
+    j = links.join(known, "fact_id", "left").join(files.select("path", "text"), "path", "left")
     lines = F.split("text", "\n")
+    whole = F.col("line_start").isNull()
+    last = F.coalesce("line_end", "line_start")
     lo = F.greatest(F.col("line_start") - 1, F.lit(1))
-    cut = F.slice(lines, lo.cast("int"), (F.col("line_end") + 1 - lo + 1).cast("int"))
+    cut = F.slice(lines, lo.cast("int"), F.greatest(last + 1 - lo + 1, F.lit(0)).cast("int"))
+    cited = F.when(whole, F.col("text")).otherwise(F.array_join(cut, " "))
     squeeze = lambda x: F.trim(F.regexp_replace(x, r"\s+", " "))
     problem = (
-        F.when(F.col("line_start").isNull(), "missing fact")
+        F.when(F.col("_known").isNull(), "missing fact")
+        .when(F.col("path").isNull(), "ok")
         .when(F.col("text").isNull(), "missing file")
         .when(F.trim("excerpt") == F.col("path"), "ok")
-        .when((F.col("line_start") < 1) | (F.col("line_end") > F.size(lines)), "range outside file")
-        .when(~F.contains(squeeze(F.array_join(cut, " ")), F.substring(squeeze(F.col("excerpt")), 1, 60)), "excerpt not at location")
+        .when(~whole & ((F.col("line_start") < 1) | (F.col("line_start") > last) | (last > F.size(lines))), "range outside file")
+        .when(~F.contains(squeeze(cited), squeeze(F.col("excerpt"))), "excerpt not at location")
         .otherwise("ok")
     )
     return j.select("finding_id", "fact_id", problem.alias("problem"))

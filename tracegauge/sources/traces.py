@@ -75,14 +75,11 @@ def split_broken(lines: DataFrame, column: str = "value") -> tuple[DataFrame, Da
     return v.where("record IS NOT NULL"), v.where("record IS NULL").drop("record")
 
 
-MAX_KEYS = 500
-
-
-def flatten_json(df: DataFrame, column: str, depth: int = 8) -> DataFrame:
-    """Leaf values of nested JSON objects as (keypath, value) rows, at most 500 per document.
+def flatten_json(df: DataFrame, column: str, depth: int = 16, max_keys: int | None = None) -> DataFrame:
+    """Leaf values of nested JSON objects as (keypath, value) rows; ``max_keys`` keeps the first ones per document.
 
     Arrays are no leaves and are left out. The nesting is unrolled to ``depth`` levels inside one
-    expression, so a document is read once and nothing is shuffled.
+    expression, so a document is read once and nothing is shuffled; an object below that is one leaf, as JSON text.
     """
     leaf_type = "array<struct<keypath:string,value:string>>"
 
@@ -94,14 +91,16 @@ def flatten_json(df: DataFrame, column: str, depth: int = 8) -> DataFrame:
             kind = F.schema_of_variant(e["value"])
             leaf = F.array(F.struct(path.alias("keypath"), F.try_variant_get(e["value"], "$", "string").alias("value")))
             none = F.array().cast(leaf_type)
-            deeper = leaves(e["value"], path, left - 1) if left > 1 else none
+            rest = F.array(F.struct(path.alias("keypath"), F.to_json(e["value"]).alias("value")))
+            deeper = leaves(e["value"], path, left - 1) if left > 1 else rest
             return F.when(kind.startswith("OBJECT"), deeper).when(kind.startswith("ARRAY"), none).otherwise(leaf)
 
         return F.flatten(F.transform(entries, one))
 
     v = df.withColumn("_v", strict_json(F.col(column))).where("_v IS NOT NULL")
     keep = [c for c in df.columns if c != column]
-    return v.select(*keep, F.slice(leaves(F.col("_v"), None, depth), 1, MAX_KEYS).alias("_l")).select(
+    found = leaves(F.col("_v"), None, depth)
+    return v.select(*keep, (found if max_keys is None else F.slice(found, 1, max_keys)).alias("_l")).select(
         *keep, F.explode_outer("_l").alias("l")
     ).where("l IS NOT NULL").select(*keep, "l.*")
 

@@ -5,22 +5,23 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.types import StructType
 
 from tracegauge.session import ensure_checkpoint_dir
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def read_table(spark: SparkSession, sf_dir: str, name: str, files_per_trigger: int = 1000) -> DataFrame:
-    """A folder's parquet files of one table as a stream; the trigger size bounds a micro-batch."""
-    schema: StructType = spark.read.parquet(f"{sf_dir}/{name}.parquet").schema
-    return (
-        spark.readStream.schema(schema)
-        .option("pathGlobFilter", f"{name}.parquet")
-        .option("maxFilesPerTrigger", files_per_trigger)
-        .parquet(sf_dir)
-    )
+def read_table(spark: SparkSession, sf_dir: str, name: str, bytes_per_trigger: int = 4 << 30) -> DataFrame:
+    """One table as a stream, whether it is a folder of part files or one file; bytes bound a micro-batch.
+
+    Of the inputs of one trigger at least one file is read, so a single larger file is one batch.
+    """
+    path = f"{sf_dir}/{name}.parquet"
+    reader = spark.readStream.schema(spark.read.parquet(path).schema).option("maxBytesPerTrigger", bytes_per_trigger)
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(hadoop).isDirectory():
+        return reader.parquet(path)
+    return reader.option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
 
 
 def use_rocksdb(spark: SparkSession) -> None:
