@@ -253,8 +253,12 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> Data
 
 def clean(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """One document of each component: the smallest id, then the smallest text key; repeated rows of it once."""
+    return keep_one(docs, classes(docs, id_col, text), id_col, text)
+
+
+def keep_one(docs: DataFrame, found: DataFrame, id_col: str, text: str) -> DataFrame:
+    """The chosen document of each root in ``found`` (id, key, root)."""
     key = "_".join(["key", *docs.columns])
-    found = classes(docs, id_col, text)
     # one row per component; nulls last among the ids
     chosen = found.groupBy("root").agg(F.min(F.struct(F.col(id_col).isNull().alias("n"), F.col(id_col).alias("i"), F.col("key").alias("k"))).alias("s"))
     kept = chosen.select(F.col("s.i").alias("kept_id"), F.col("s.k").alias("kept_key"))
