@@ -288,3 +288,15 @@ def test_bootstrap_needs_twenty_samples_and_ignores_partitioning(spark):
     a = RS.percentile_ci(df, ["k"], "v", {"p95": 0.95}, reps=100).collect()
     b = RS.percentile_ci(df.repartition(9), ["k"], "v", {"p95": 0.95}, reps=100).collect()
     assert [r.k for r in a] == ["many"] and a == b
+
+
+def test_subsets_of_a_trial_with_many_runs(spark):
+    rng = np.random.default_rng(5)
+    rows = [(t, side, r, float(rng.normal(4.6 + (side == "head") * 0.02, 0.03)))
+            for t, n in (("few", 2), ("some", 5), ("many", 14)) for side in ("base", "head") for r in range(n)]
+    df = spark.createDataFrame(rows, "trial string, side string, run int, log_mean double")
+    for k in (3, 4):
+        got = G.subset_characteristics(df, "base", "head", k).first()
+        assert got.subsets == math.comb(5, k) + math.comb(14, k)
+        assert got["pass"] + got.inconclusive + got.fail == pytest.approx(1)
+        assert got.median_width_pts > 0

@@ -273,27 +273,23 @@ def aggregation_spread(samples: DataFrame, base: str, other: str) -> DataFrame:
 
 
 def subset_characteristics(run_logs: DataFrame, base: str, other: str, k: int, policy: GatePolicy = GatePolicy()) -> DataFrame:
-    """Verdict shares over all k-run subsets of each trial.
-
-    Runs per trial are few by design (a handful); the subset count 2^runs is guarded at 12 runs.
-    """
+    """Verdict shares over all k-run subsets of each trial: C(runs, k) rows per trial, whatever the number of runs."""
     w = Window.partitionBy("trial", "side").orderBy("run")
     runs = run_logs.where(F.col("side").isin(base, other)).withColumn("_i", F.row_number().over(w) - 1)
-    size = runs.groupBy("trial").agg((F.max("_i") + 1).alias("_n"))
-    masks = size.where((F.col("_n") >= k) & (F.col("_n") <= 12)).select(
-        "trial",
-        F.explode(F.expr("sequence(0L, shiftleft(1L, _n) - 1)")).alias("mask"),
-    ).where(F.bit_count("mask") == k)
-    chosen = runs.join(masks, "trial").where(F.expr("(shiftright(mask, _i) & 1) = 1"))
-    pairs = pair_sides(side_stats(chosen, "log_mean", ["trial", "mask"]), base, [other], ["trial", "mask"])
-    v = with_welch(pairs, policy.confidence)
+    subsets = runs.groupBy("trial").agg((F.max("_i") + 1).alias("_n")).where(F.col("_n") >= k).withColumn("subset", F.expr("array()").cast("array<int>"))
+    for j in range(k):  # ascending positions, each with room for those that follow
+        after = F.coalesce(F.element_at("subset", -1) + 1, F.lit(0)) if j else F.lit(0)
+        grown = subsets.select("trial", "_n", "subset", F.explode(F.sequence(after, F.col("_n") - k + j)).alias("_i"))
+        subsets = grown.select("trial", "_n", F.array_append("subset", F.col("_i")).alias("subset"))
+    chosen = subsets.select("trial", "subset", F.explode("subset").alias("_i")).join(runs, ["trial", "_i"])
+    pairs = pair_sides(side_stats(chosen, "log_mean", ["trial", "subset"]), base, [other], ["trial", "subset"])
     label = F.when(F.col("ci_hi") <= policy.warn_pct, "pass").when(F.col("ci_lo") > policy.warn_pct, "fail").otherwise("inconclusive")
-    share = lambda x: F.avg((label == x).cast("double"))
-    return v.agg(
-        F.lit(k).alias("runs_per_side"), F.count("*").alias("subsets"), share("pass").alias("pass"),
-        share("inconclusive").alias("inconclusive"), share("fail").alias("fail"),
-        F.median(F.col("ci_hi") - F.col("ci_lo")).alias("median_width_pts"),
-    )
+    v = with_welch(pairs, policy.confidence).select(
+        F.lit(k).alias("runs_per_side"), label.alias("label"), (F.col("ci_hi") - F.col("ci_lo")).alias("width"))
+    share = lambda x: F.avg((F.col("label") == x).cast("double")).alias(x)
+    shares = v.agg(F.lit(k).alias("runs_per_side"), F.count("*").alias("subsets"), share("pass"), share("inconclusive"), share("fail"))
+    width = exact_quantiles(v, ["runs_per_side"], "width", {"median_width_pts": 0.5}).select("runs_per_side", "median_width_pts")
+    return shares.join(width, "runs_per_side", "left")
 
 
 def effect_sizes(run_logs: DataFrame, main: str) -> DataFrame:

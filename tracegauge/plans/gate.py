@@ -300,9 +300,7 @@ def a43(spark, d):
     return s.select("statistic", "aggregate", F.round("sd_log_ratio", 8).alias("sd_log_ratio"), *r6("max_abs_change_pct"))
 
 
-@query(
-    "A44_subset_characteristics", "run_logs",
-    sql="""
+_SUBSETS_SQL = """
     WITH i AS (SELECT *, row_number() OVER (PARTITION BY trial, side ORDER BY run) - 1 AS i FROM run_logs WHERE side IN ('base', 'head')),
     mk AS (SELECT trial, unnest(range(0, (1 << (max(i) + 1))::BIGINT)) AS mask FROM i GROUP BY trial),
     s AS (SELECT i.trial, mask, side, count(*) AS runs, avg(log_mean) AS m, var_samp(log_mean) AS v FROM i JOIN mk USING (trial)
@@ -316,15 +314,32 @@ def a43(spark, d):
       FROM p LEFT JOIN tq ON df9 = round(df, 9))
     SELECT 3 AS runs_per_side, count(*) AS subsets, round(avg((hi <= 10)::INTEGER), 8) AS pass,
       round(avg((hi > 10 AND lo <= 10)::INTEGER), 8) AS inconclusive, round(avg((lo > 10)::INTEGER), 8) AS fail,
-      round(median(hi - lo), 5) AS median_width_pts FROM c""",
-)
-def a44(spark, d):
-    runs = G.run_log_means(V.gate_samples(spark, d).where("NOT failed"))
-    s = G.subset_characteristics(runs, "base", "head", 3)
+      round(median(hi - lo), 5) AS median_width_pts FROM c"""
+
+
+def _subset_shares(runs, k):
+    s = G.subset_characteristics(runs, "base", "head", k)
     return s.select("runs_per_side", "subsets", *[F.round(c, 8).alias(c) for c in ("pass", "inconclusive", "fail")],
                     F.round("median_width_pts", 5).alias("median_width_pts"))
 
 
+@query("A44_subset_characteristics", "run_logs", sql=_SUBSETS_SQL)
+def a44(spark, d):
+    return _subset_shares(G.run_log_means(V.gate_samples(spark, d).where("NOT failed")), 3)
+
+
+def _other_subsets(view: str, logs, k: int) -> None:
+    sql = _SUBSETS_SQL.replace("bit_count(mask) = 3", f"bit_count(mask) = {k}").replace("SELECT 3 AS", f"SELECT {k} AS").replace("FROM run_logs ", f"FROM {view} ")
+    tag = "" if view == "run_logs" else "_p95"
+    query(f"A44_subset_characteristics{tag}_k{k}", view, sql=sql)(
+        lambda spark, d: _subset_shares(logs(V.gate_samples(spark, d).where("NOT failed")), k))
+
+
+for _view, _logs, _sizes in (("run_logs", G.run_log_means, (4, 5)), ("run_logs_p95", G.run_log_p95, (3, 4, 5))):
+    for _k in _sizes:
+        _other_subsets(_view, _logs, _k)
+
+
 @query(
     "A51_effect_sizes", "run_logs",
     sql="""
