@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracegauge.llm import decontaminate, licenses, packing, pii, quality, relative_lz, simhash, suffixes, urls, warc
+from tracegauge.llm import decontaminate, licenses, lloyd, packing, pii, quality, relative_lz, simhash, suffixes, topk, urls, warc, whitening
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -175,3 +175,48 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = relative_lz.remove_repeats(documents(spark, sf_dir))
     return done.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding")
+
+
+#: Vectors without nulls and non-finite components, in SQL.
+_SOUND = "embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0"
+
+
+@query("op11_exact_top_k", f"""
+    WITH v AS (SELECT vec_id, list_transform(embedding, lambda c: floor(1024 * c::DOUBLE)::BIGINT) AS x FROM embeddings WHERE {_SOUND}),
+    s AS (SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(list_zip(q.x, c.x), lambda t: t[1] * t[2]))::BIGINT AS score
+          FROM v q JOIN v c ON q.vec_id % 100 = 0 AND c.vec_id <> q.vec_id),
+    r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s)
+    SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10""")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.search(embeddings(spark, sf_dir))
+
+
+@query("op12_embedding_whitening")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(embeddings(spark, sf_dir))
+
+
+def _lloyd_sql(rounds: int = 3, k: int = 16) -> str:
+    steps = [f"""v AS (SELECT vec_id, list_transform(embedding, lambda c: floor(64 * c::DOUBLE)::BIGINT) AS x FROM embeddings WHERE len(embedding) = 64 AND {_SOUND}),
+    c0 AS (SELECT (row_number() OVER (ORDER BY h) - 1)::INTEGER AS i, x FROM
+           (SELECT x, sha256('1:' || vec_id::VARCHAR) AS h FROM v ORDER BY h LIMIT {k}))"""]
+    for r in range(rounds + 1):
+        steps.append(f"""a{r} AS (SELECT vec_id, any_value(v.x) AS x, min((d, i)) AS b FROM
+           (SELECT vec_id, v.x, i, list_sum(list_transform(list_zip(v.x, c{r}.x), lambda t: (t[1] - t[2]) * (t[1] - t[2])))::BIGINT AS d FROM v, c{r}) AS v GROUP BY vec_id)""")
+        if r < rounds:
+            steps.append(f"""u{r} AS (SELECT i, p, sum(e) AS s, count(*) AS n FROM (SELECT b[2] AS i, unnest(x) AS e, unnest(range(1, 65)) AS p FROM a{r}) GROUP BY i, p),
+    m{r} AS (SELECT i, list(((s - ((s % n) + n) % n) // n)::BIGINT ORDER BY p) AS x FROM u{r} GROUP BY i),
+    c{r + 1} AS (SELECT c.i, coalesce(m.x, c.x) AS x FROM c{r} c LEFT JOIN m{r} m USING (i))""")
+    return "WITH " + ",\n    ".join(steps) + f"""
+    SELECT vec_id, b[2]::INTEGER AS cluster, b[1]::BIGINT AS distance, sum(b[1]) OVER (PARTITION BY b[2])::BIGINT AS cluster_inertia,
+      sum(b[1]) OVER ()::BIGINT AS inertia, sha256(array_to_string(c.x, ',')) AS centroid_sha256
+    FROM a{rounds} JOIN c{rounds} c ON c.i = b[2]"""
+
+
+@query("op13_centroid_clustering", _lloyd_sql())
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lloyd.cluster(embeddings(spark, sf_dir))
