@@ -39,6 +39,24 @@ def test_traverse_against_a_queue(spark, seed):
     assert got == want
 
 
+def test_paths_are_the_smallest_shortest_ones(spark):
+    rnd = random.Random(8)
+    nodes = [f"n{i}" for i in range(40)]
+    e = [("a", rnd.choice(nodes), rnd.choice(nodes)) for _ in range(75)] + [("b", f"m{i}", f"m{i + 1}") for i in range(21)] + [("b", "m3", "m3")]
+    starts = [("a", "n1"), ("a", "n7"), ("b", "m0")]
+    got = {(r.scan, r.node): r.path for r in G.traverse(spark.createDataFrame(e, "scan string, src_key string, dst_key string"), spark.createDataFrame(starts, "scan string, node string"), with_path=True).collect()}
+    want, front = {s: [s[1]] for s in starts}, {s: [s[1]] for s in starts}
+    while front:
+        reached = {}
+        for (sc, a), path in front.items():
+            for s, x, y in e:
+                if (s, x) == (sc, a) and (s, y) not in want:
+                    reached[s, y] = min(reached.get((s, y), [*path, y]), [*path, y])
+        want |= reached
+        front = reached
+    assert got == want and len(got["b", "m21"]) == 22
+
+
 def test_node_merge_and_edge_insert(spark):
     w = spark.createDataFrame(
         [("s", "k", 1, "component", "first", 1.0, {"a": "1", "b": "1"}), ("s", "k", 2, "tool", "second", 0.5, {"b": "2"})],
@@ -123,8 +141,29 @@ def test_reconcile_discounts_rivals(spark):
     assert a.confidence == round(gpt * (1 - 0.5 * llama), 3) and b.confidence == round(llama * (1 - 0.5 * gpt), 3)
     assert (a.value, a.method, a.observation, a.status) == ("GPT ", "deterministic", "direct_observation", "contested") and a.conflict_group == b.conflict_group
     assert (x.confidence, x.method, x.observation, x.status, x.conflict_group) == (0.4, "llm", "inference", "supported", None)
-    st = {(r.normalized, r.fact_id): r.stance for r in C.evidence(df, C.reconcile(df)).where("subject = 'app'").collect()}
+    members = C.members(df)
+    st = {(r.normalized, r.fact_id): r.stance for r in C.evidence(members, C.reconcile(df)).where("subject = 'app'").collect()}
     assert st[("gpt", 1)] == st[("gpt", 2)] == "supports" and st[("gpt", 3)] == "contradicts"
+    assert members.count() == 4 and len(st) == 6
+    n = {(r.subject, r.normalized): (r.n_supports, r.n_contradicts) for r in C.evidence_counts(members).collect()}
+    assert n == {("app", "gpt"): (2, 1), ("app", "llama"): (1, 2), ("x", "v"): (1, 0)}
+
+
+def test_factored_evidence_equals_the_listed_bridge(spark):
+    """Stored rows grow with the facts; the bridge, facts times claims, is only derived."""
+    rnd = random.Random(4)
+    rows = [(f"s{rnd.randrange(3)}", "p", f"v{rnd.randrange(6)} ", "ast", rnd.randrange(60), True) for _ in range(150)] + [("s0", "p", "V1", "ast", 77, True)]
+    df = spark.createDataFrame(rows, CAND)
+    members, claims = C.members(df), C.reconcile(df)
+    own = {(s, v.strip().lower(), f) for s, _, v, _, f, _ in rows}
+    assert {(r.subject, r.normalized, r.fact_id) for r in members.collect()} == own and members.count() == len(own)
+    got = {(r.subject, r.normalized, r.fact_id): r.stance for r in C.evidence(members, claims).collect()}
+    want = {(s, v, f): "supports" if (s, v, f) in own else "contradicts" for s, v in {(s, v) for s, v, _ in own} for f in {f for t, _, f in own if t == s}}
+    assert got == want
+    one = C.evidence(members, claims.where("subject = 's1' AND normalized = 'v2'"))
+    assert {(r.fact_id, r.stance) for r in one.collect()} == {(f, x) for (s, v, f), x in want.items() if (s, v) == ("s1", "v2")}
+    n = {(r.subject, r.normalized): (r.n_supports, r.n_contradicts) for r in C.evidence_counts(members).collect()}
+    assert n == {k: tuple(sum(1 for (s, v, _), x in want.items() if (s, v) == k and x == y) for y in ("supports", "contradicts")) for k in n}
 
 
 def test_counted_candidates_equal_listed_ones(spark):

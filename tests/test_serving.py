@@ -9,7 +9,8 @@ from tracegauge.functions.serving import SLO, counter_delta, slo_ok, tpot_ms
 from tracegauge.operators import ordered as O
 from tracegauge.operators import serving as S
 from tracegauge.operators import telemetry as T
-from tracegauge.operators.quantiles import average_ranks, exact_quantiles, values_at_ranks
+from tracegauge.operators import quantiles as Q
+from tracegauge.operators.quantiles import average_ranks, exact_quantiles, values_at_ranks, with_value_bucket
 
 
 def test_percentiles_of_1_to_100(spark):
@@ -50,6 +51,40 @@ def test_average_ranks_share_ties(spark):
     assert {r.v: r.r for r in average_ranks(df, ["k"], "v", "r").collect()} == {10.0: 1.0, 20.0: 2.5, 30.0: 4.0}
 
 
+def crowded(spark):
+    """One key holds half of the rows, and all its values lie within 0.1 %; a few values repeat."""
+    rng = np.random.default_rng(11)
+    hot = 1000.0 * (1 + rng.beta(0.3, 2, 20_000) * 1e-3)
+    hot[:500] = hot[500]
+    cold = rng.lognormal(3, 1, 20_000)
+    rows = [("hot", float(v)) for v in hot] + [(f"k{i % 9}" if i % 50 else None, float(v)) for i, v in enumerate(cold)]
+    return spark.createDataFrame(rows, "k string, v double").repartition(6), rows
+
+
+def test_a_crowded_value_range_is_divided(spark):
+    df, rows = crowded(spark)
+    counts = df.groupBy("k", "v").agg(F.count("*").alias("c"))
+    pieces = with_value_bucket(counts, ["k"], "v", 200).withColumnRenamed(O.BUCKET, "b").groupBy("k", "b").agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+    hot = sorted((r for r in pieces.collect() if r.k == "hot"), key=lambda r: r.b)
+    sizes = [r.n for r in hot]
+    assert len(sizes) > 60 and max(sizes) <= 3 * np.median(sizes) and sum(sizes) == len({v for k, v in rows if k == "hot"})
+    assert all(a.hi < b.lo for a, b in zip(hot, hot[1:]))
+
+
+def test_quantiles_and_ranks_of_a_crowded_value_range(spark, monkeypatch):
+    df, rows = crowded(spark)
+    monkeypatch.setattr(Q, "CROWDED", 200)
+    got = {r.k: r for r in exact_quantiles(df, ["k"], "v", {"a": 0.01, "b": 0.5, "c": 0.999}).collect()}
+    ranks = {(r.k, r.v): r.r for r in average_ranks(df, ["k"], "v", "r").collect()}
+    for k in ("hot", "k3", None):
+        own = np.array([v for key, v in rows if key == k])
+        assert [got[k].a, got[k].b, got[k].c] == pytest.approx(list(np.percentile(own, [1, 50, 99.9])), rel=1e-12)
+        place = np.sort(own)
+        for v in own[:: len(own) // 40]:
+            lo, hi = np.searchsorted(place, [v, np.nextafter(v, np.inf)])
+            assert ranks[k, float(v)] == (lo + 1 + hi) / 2
+
+
 def events(spark, n=400, seed=0):
     rnd = random.Random(seed)
     rows = [("hot" if rnd.random() < 0.7 else f"k{rnd.randrange(4)}", round(rnd.uniform(-50, 500), 2), i, rnd.choice([None, 1, 2, 3])) for i in range(n)]
@@ -68,25 +103,34 @@ def test_bucketed_windows_equal_plain_windows(spark, width):
         F.lag("v").over(w).alias("p"), F.lead("v").over(w).alias("n"), F.row_number().over(w).alias("rn"),
     )
     got = O.running_sum(df, ["k"], order, b, F.coalesce("v", F.lit(0)), "s")
-    got = O.last_known(got, ["k"], order, b, F.col("v"), "l")
+    got = O.last_known(got, ["k"], order, b, {"l": F.col("v")})
     got = O.neighbour(got, ["k"], order, b, F.col("v"), "p")
     got = O.neighbour(got, ["k"], order, b, F.col("v"), "n", following=True)
     got = O.position(got, ["k"], order, b, "rn").select("k", "seq", "s", "l", "p", "n", "rn")
     assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
 
 
-def test_bucket_size_follows_the_largest_key(spark, monkeypatch):
+def test_bucket_size_follows_the_rows(spark, monkeypatch):
     monkeypatch.setattr(O, "ROWS_PER_BUCKET", 20)
-    df = events(spark, 300, 9)
-    b = df.select("k", "seq", O.order_bucket(df, ["k"], "t").alias("b"))
+    df = events(spark, 600, 9)
+    b = O.with_bucket(df, O.order_bucket(df, ["k"], ["t", "seq"])).withColumnRenamed(O.BUCKET, "b")
     most = b.groupBy("k", "b").count().agg(F.max("count")).first()[0]
-    assert most < 60 and b.select("b").distinct().count() > 8
+    assert most < 160 and b.select("b").distinct().count() > 12
     order = [F.col("t"), F.col("seq")]
     got = O.neighbour(df, ["k"], order, O.order_bucket(df, ["k"], "t"), F.col("v"), "p").select("k", "seq", "p")
     want = df.select("k", "seq", F.lag("v").over(Window.partitionBy("k").orderBy("t", "seq")).alias("p"))
     assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
     monkeypatch.setattr(O, "ROWS_PER_BUCKET", 10**9)
-    assert df.select(O.order_bucket(df, ["k"], "t")).distinct().count() == 1
+    assert O.with_bucket(df, O.order_bucket(df, ["k"], "t")).select(O.BUCKET).distinct().count() == 1
+
+
+def test_a_burst_is_cut_and_idle_time_is_not(spark):
+    """Half of the rows of one key stand in a thousandth of its time, many at one instant."""
+    rows = [("hot", 500.0 + (i % 400) / 1000, i) for i in range(8000)] + [("hot", i / 8.0, 10_000 + i) for i in range(8000)] + [(None, i * 1.0, i) for i in range(50)]
+    df = spark.createDataFrame(rows, "k string, t double, seq int")
+    b = O.splitters(df, ["k"], ["t", "seq"], 200).added(df).groupBy("k", O.BUCKET).agg(F.count("*").alias("n"), F.min(F.struct("t", "seq")).alias("lo"), F.max(F.struct("t", "seq")).alias("hi"))
+    pieces = sorted((r for r in b.collect() if r.k == "hot"), key=lambda r: r[O.BUCKET])
+    assert len(pieces) > 40 and max(r.n for r in pieces) < 2000 and all(tuple(x.hi) < tuple(y.lo) for x, y in zip(pieces, pieces[1:]))
 
 
 def test_tpot(spark):
@@ -184,6 +228,16 @@ def test_sliding_count_equals_a_range_window(spark):
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
 
 
+@pytest.mark.parametrize("rows", [None, 25])
+def test_sliding_count_of_a_burst(spark, rows):
+    """One client sends all of its requests within a single window, many of them at one instant."""
+    data = [("burst", 100.0 + (i % 60) / 10, i) for i in range(900)] + [("calm", i * 20.0, i) for i in range(60)] + [(None, 7.0, 1), ("calm", None, 99)]
+    df = spark.createDataFrame(data, "k string, t double, seq int")
+    got = {(r.k, r.t, r.seq): r.n for r in T.sliding_count(df, ["k"], "t", 30, "n", rows).collect()}
+    for k, t, seq in data:
+        assert got[k, t, seq] == (None if t is None else sum(1 for a, b, _ in data if a == k and b is not None and t - 30 <= b <= t))
+
+
 def test_results_do_not_depend_on_partitioning(spark, sf):
     from tracegauge.plans import views as V
 

@@ -96,7 +96,7 @@ def test_sections_and_bm25(spark):
 
 def test_synthesis(spark):
     rows = spark.range(4000)
-    a = SY.sample_lengths(rows, "id", [(10.0, 1), (100.0, 3)], 1.0)
+    a = SY.sample_lengths(rows, "id", spark.createDataFrame([(100.0, 3), (10.0, 1)], "upper double, count long"), 1.0)
     share = a.where("length <= 10").count() / 4000
     assert 0.2 < share < 0.3 and a.agg(F.max("length")).first()[0] <= 100
     b = SY.log_normal_lengths(rows, "id", 40.0, 160.0)

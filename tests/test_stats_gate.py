@@ -1,6 +1,7 @@
 import math
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -260,15 +261,40 @@ def test_confirmation(spark):
     assert outcome([8.0]) == outcome([0.0, 8.0]) == "inconclusive"
 
 
-def test_pareto_front_against_brute_force(spark):
+GRID = "grid string, config string, goodput_rps double, ttft_p95_ms double, quality_pct double"
+
+
+@pytest.mark.parametrize("piece", [7, 60, None])
+def test_pareto_front_against_brute_force(spark, piece):
     rng = np.random.default_rng(3)
     rows = [("g", f"c{i}", *map(float, rng.integers(0, 12, 3))) for i in range(300)]
-    got = {r.config for r in OP.pareto_front(spark.createDataFrame(rows, "grid string, config string, goodput_rps double, ttft_p95_ms double, quality_pct double"), 7).collect()}
+    got = {r.config for r in OP.pareto_front(spark.createDataFrame(rows, GRID), piece).collect()}
     v = {c: np.array([g, -p, q]) for _, c, g, p, q in rows}
     want = {c for c, x in v.items() if not any((y >= x).all() and (y > x).any() for y in v.values())}
     assert got == want
 
 
+def test_pareto_fronts_of_nulls_ties_and_several_grids(spark):
+    rows = [("g", "a", 1.0, 5.0, 9.0), ("g", "b", 1.0, 5.0, 9.0), ("g", "c", 1.0, 5.0, 8.0), ("g", "n", None, 5.0, 8.0), ("h", "x", 0.0, 9.0, 0.0), ("h", "y", 0.0, 9.0, -0.0)]
+    assert sorted(r.config for r in OP.pareto_front(spark.createDataFrame(rows, GRID), 2).collect()) == ["a", "b", "n", "x", "y"]
+    assert OP.pareto_front(spark.createDataFrame([], GRID)).count() == 0
+
+
+def test_pareto_front_of_a_hundred_thousand_configs(spark):
+    """Pieces stay small and nothing is paired, also where much of the grid is undominated."""
+    rng = np.random.default_rng(5)
+    x = rng.random((100_000, 3))
+    x[:4000] /= np.linalg.norm(x[:4000], axis=1)[:, None]  # a shell
+    x[4000:] /= 2
+    pdf = pd.DataFrame({"grid": "g", "config": [f"c{i}" for i in range(len(x))], "goodput_rps": x[:, 0], "ttft_p95_ms": -x[:, 1], "quality_pct": x[:, 2]})
+    got = {r.config for r in OP.pareto_front(spark.createDataFrame(pdf), 4000).collect()}
+    assert got == {f"c{i}" for i in np.nonzero(OP._undominated(-x[:, 0], -x[:, 1], -x[:, 2]))[0]} and len(got) > 1000
+    some = rng.choice(len(x), 300)
+    for i in some:  # the sweep itself, point by point
+        beaten = ((x >= x[i]).all(1) & (x > x[i]).any(1)).any()
+        assert (f"c{i}" in got) == (not beaten)
+
+
 # ------------------------------------------------------------------ bootstrap
 
 def test_order_statistic_bootstrap_matches_resampling(spark):

@@ -10,6 +10,57 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
+#: Hexadecimal digits of a digest that make one uniform number, and tries of a gamma draw.
+UNIFORM_DIGITS, GAMMA_TRIES = 10, 6
+
+
+def keyed_digest(*parts: Column) -> Column:
+    """The digest that the uniform numbers of a key are read from: the parts as text, joined by colons."""
+    return F.md5(F.concat_ws(":", *[p.cast("string") for p in parts]).cast("binary"))
+
+
+def uniform_of(digest: Column, i: int = 0) -> Column:
+    """The i-th (0, 1 or 2) uniform number in (0, 1) of a digest: 40 of its bits."""
+    part = F.conv(F.substring(digest, 1 + UNIFORM_DIGITS * i, UNIFORM_DIGITS), 16, 10).cast("double")
+    return (part + 0.5) / float(1 << (4 * UNIFORM_DIGITS))
+
+
+def keyed_uniform(*parts: Column) -> Column:
+    """A uniform number in (0, 1) that depends on the key only, in any engine with md5."""
+    return uniform_of(keyed_digest(*parts))
+
+
+def keyed_normal(*parts: Column) -> Column:
+    """A standard normal number of the key (Box and Muller)."""
+    return _normal(keyed_digest(*parts))
+
+
+def _normal(d: Column) -> Column:
+    return F.sqrt(-2.0 * F.log(uniform_of(d, 0))) * F.cos(F.lit(2 * math.pi) * uniform_of(d, 1))
+
+
+def keyed_gamma(shape: Column, *parts: Column) -> Column:
+    """A gamma number of the key for a shape of at least one: the first of some tries that is accepted (Marsaglia and Tsang).
+
+    A try is refused with probability below 0.05; if all are, the mean of the cubed normal stands in.
+    """
+    d = shape - 1.0 / 3.0
+
+    def attempt(i: Column) -> Column:
+        return F.transform(F.array(keyed_digest(*parts, i)), lambda g: F.transform(F.array(_normal(g)), lambda x: F.transform(
+            F.array(F.pow(1.0 + x / F.sqrt(9.0 * d), F.lit(3.0))),
+            lambda v: F.when((v > 0) & (F.log(uniform_of(g, 2)) < 0.5 * x * x + d - d * v + d * F.log(v)), d * v))[0])[0])[0]
+
+    tries = F.transform(F.lit(list(range(GAMMA_TRIES))), attempt)
+    return F.coalesce(F.get(F.filter(tries, lambda t: t.isNotNull()), F.lit(0)), d)
+
+
+def keyed_beta(a: Column, b: Column, *parts: Column) -> Column:
+    """A Beta(a, b) number of the key, a and b at least one."""
+    x = keyed_gamma(a, *parts, F.lit("a"))
+    return F.transform(F.array(x), lambda g: g / (g + keyed_gamma(b, *parts, F.lit("b"))))[0]
+
+
 _NODES, _WEIGHTS = np.polynomial.legendre.leggauss(160)
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracegauge.functions.text import normalize_value
+from tracegauge.operators.ordered import order_bucket, position
 
 # Prior trust per evidence source, and the method each source belongs to.
 PRIORS = {
@@ -42,7 +43,7 @@ def reconcile(
     ``candidates``: keys, value, source, fact_id, direct and optionally ``n``, how many equal
     candidates the row stands for. Candidates are combined per value before anything is compared,
     so a subject with very many facts costs one row per distinct value. Evidence ids stay as rows;
-    see :func:`evidence`.
+    see :func:`members`.
     """
     keys = list(keys)
     weight = F.col("n") if "n" in candidates.columns else F.lit(1)
@@ -72,17 +73,35 @@ def reconcile(
     )
 
 
-def evidence(candidates: DataFrame, claims: DataFrame, keys: Sequence[str] = ("subject", "predicate"),
-             *, normalize: Callable[[Column], Column] = normalize_value) -> DataFrame:
-    """Bridge rows claim x fact with stance supports/contradicts; a fact that also supports never contradicts.
+def members(candidates: DataFrame, keys: Sequence[str] = ("subject", "predicate"),
+            *, normalize: Callable[[Column], Column] = normalize_value) -> DataFrame:
+    """The stored evidence: keys, fact_id, normalized, one row per fact and value it states.
 
-    One row per (fact, claim of the same subject): the size of the stored bridge table.
+    A claim is a class of equal values, and a fact's stance on it follows from the class the fact belongs to. So this
+    table, which grows with the facts, says all that the bridge of facts and claims says, which grows with their product.
+    """
+    return candidates.select(*keys, "fact_id", normalize(F.col("value")).alias("normalized")).distinct()
+
+
+def evidence(members: DataFrame, claims: DataFrame, keys: Sequence[str] = ("subject", "predicate")) -> DataFrame:
+    """Bridge rows claim x fact with stance supports/contradicts, derived for the claims asked for.
+
+    A fact that also supports a claim never contradicts it.
     """
     keys = list(keys)
-    facts = candidates.select(*keys, normalize(F.col("value")).alias("_fact_norm"), "fact_id").distinct()
-    j = claims.select(*keys, "normalized").join(facts, keys)
-    stance = F.when(F.bool_or(F.col("_fact_norm") == F.col("normalized")), "supports").otherwise("contradicts")
-    return j.groupBy(*keys, "normalized", "fact_id").agg(stance.alias("stance"))
+    asked = claims.select(*keys, "normalized").distinct()
+    own = asked.join(members, [*keys, "normalized"]).select(*keys, "normalized", "fact_id", F.lit("supports").alias("stance"))
+    facts = members.select(*keys, "fact_id").distinct()
+    rest = asked.join(facts, keys).join(members, [*keys, "normalized", "fact_id"], "left_anti")
+    return own.unionByName(rest.select(*keys, "normalized", "fact_id", F.lit("contradicts").alias("stance")))
+
+
+def evidence_counts(members: DataFrame, keys: Sequence[str] = ("subject", "predicate")) -> DataFrame:
+    """Facts for and against every claim, without the bridge: those of its class, and the subject's other ones."""
+    keys = list(keys)
+    facts = members.select(*keys, "fact_id").distinct().groupBy(*keys).agg(F.count("*").alias("_all"))
+    own = members.groupBy(*keys, "normalized").agg(F.count("*").alias("n_supports"))
+    return own.join(facts, keys).select(*keys, "normalized", "n_supports", (F.col("_all") - F.col("n_supports")).alias("n_contradicts"))
 
 
 def contradictions(claims: DataFrame, keys: Sequence[str] = ("subject", "predicate")) -> DataFrame:
@@ -107,10 +126,11 @@ def top_claim(claims: DataFrame, keys: Sequence[str] = ("subject", "predicate"))
 
 
 def primary(claims: DataFrame, keys: Sequence[str] = ("subject", "predicate")) -> DataFrame:
-    """Top-confidence value with the others as alternatives."""
-    strength = F.struct((-F.col("confidence")).alias("o"), F.col("normalized").alias("normalized"), "value", "confidence")
-    s = claims.groupBy(*keys).agg(F.sort_array(F.collect_list(strength)).alias("_v"))
-    return s.select(
-        *keys, F.element_at("_v", 1)["value"].alias("value"), F.element_at("_v", 1)["confidence"].alias("confidence"),
-        F.transform(F.slice("_v", 2, F.greatest(F.size("_v") - 1, F.lit(0))), lambda x: x["value"]).alias("alternatives"),
-    )
+    """Every claim of a subject with its place: 1 is the primary claim, the others are its alternatives, strongest first.
+
+    Rows, not arrays: a subject may have any number of claims. The place is a running count that is cut like any order.
+    """
+    keys = list(keys)
+    placed = claims.select(*keys, "value", "confidence", (-F.col("confidence")).alias("_weak"), "normalized")
+    order = ["_weak", "normalized"]
+    return position(placed, keys, [F.col(c) for c in order], order_bucket(placed, keys, order), "place").drop(*order)

@@ -13,8 +13,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracegauge.functions.stats import percent_change, t_quantile, welch
-from tracegauge.operators.ordered import log_bucket, neighbour, order_bucket, position, running_sum
-from tracegauge.operators.quantiles import exact_quantiles
+from tracegauge.operators.ordered import BUCKET, neighbour, order_bucket, position, running_sum
+from tracegauge.operators.quantiles import exact_quantiles, with_value_bucket
 
 MIN_SAMPLES_PER_RUN = 20
 
@@ -206,7 +206,7 @@ def run_statistics(samples: DataFrame, keys: Sequence[str] = RUN_KEYS) -> DataFr
         *keys, *[F.log(c).alias(c) for c in ("p50", "p75", "p90", "p95")]
     )
     counts = samples.groupBy(*keys, "ttft_ms").agg(F.count("*").alias("_c"))
-    upto = running_sum(counts, keys, [F.col("ttft_ms")], log_bucket(F.col("ttft_ms")), F.col("_c"), "_upto")
+    upto = running_sum(with_value_bucket(counts, keys, "ttft_ms"), keys, [F.col("ttft_ms")], F.col(BUCKET), F.col("_c"), "_upto")
     sized = upto.join(base.select(*keys, "n"), keys)
     k = F.greatest(F.lit(1).cast("long"), F.floor(F.col("n") * 0.1))
     kept = F.greatest(
@@ -219,7 +219,7 @@ def run_statistics(samples: DataFrame, keys: Sequence[str] = RUN_KEYS) -> DataFr
 def within_run_dependence(samples: DataFrame, keys: Sequence[str] = RUN_KEYS, width: float | None = None) -> DataFrame:
     """Share of consecutive samples within 3 % and lag-1 autocorrelation of ln(sample), per run."""
     keys = list(keys)
-    prev = neighbour(samples, keys, [F.col("seq"), F.col("ttft_ms")], order_bucket(samples, keys, "seq", width), F.col("ttft_ms"), "_p")
+    prev = neighbour(samples, keys, [F.col("seq"), F.col("ttft_ms")], order_bucket(samples, keys, ["seq", "ttft_ms"], width), F.col("ttft_ms"), "_p")
     means = samples.groupBy(*keys).agg(F.avg(F.log("ttft_ms")).alias("_m"))
     j = prev.join(means, keys)
     x, p = F.log("ttft_ms") - F.col("_m"), F.log("_p") - F.col("_m")
@@ -305,7 +305,7 @@ def effect_sizes(run_logs: DataFrame, main: str) -> DataFrame:
 def slowest_positions(samples: DataFrame, keys: Sequence[str] = RUN_KEYS, top: int = 4, width: float | None = None) -> DataFrame:
     """Send position of the ``top`` slowest requests of each run (a top-k report)."""
     keys = list(keys)
-    placed = position(samples, keys, [F.col("seq"), F.col("ttft_ms")], order_bucket(samples, keys, "seq", width), "position")
+    placed = position(samples, keys, [F.col("seq"), F.col("ttft_ms")], order_bucket(samples, keys, ["seq", "ttft_ms"], width), "position")
     w = Window.partitionBy(*keys).orderBy(F.col("ttft_ms").desc(), F.col("seq"))
     return placed.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top)
 

@@ -1,8 +1,9 @@
 """Edge-table traversals, many graphs (scans) at once.
 
 Each round joins the frontier with the edges, keeps one row per new node (combined before the
-shuffle) and checkpoints, so lineage stays short and a lost executor costs one round. The edges are
-checkpointed once. The driver only asks whether the frontier is empty.
+shuffle) and writes it, so lineage stays short and a lost executor costs one round. The edges are
+written once. A frontier row has a constant width: a path is kept as a pointer to the node before, and
+whole paths are put together at the end by pointer doubling. The driver only asks whether the frontier is empty.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracegauge.session import ensure_checkpoint_dir
+from tracegauge.session import written
 
 MAX_ROUNDS = 1000
 
@@ -24,33 +25,61 @@ def traverse(
     """Breadth-first reach: keys, [source], node, hop and optionally the first path.
 
     ``edges``: keys, src_key, dst_key. ``starts``: keys, [source], node. The path kept for a node is
-    the lexicographically smallest of the shortest ones.
+    the lexicographically smallest of the shortest ones: paths of one length compare as the ranks of the
+    nodes before do, so a frontier carries its rank, which is its place in a range-partitioned sort.
     """
-    ensure_checkpoint_dir(edges.sparkSession)
     ids = [*keys, *([source] if source else []), "node"]
     # Written once, every round reads it. Spread by whole edges, not by node: a hub's edges then lie in
     # many partitions, where a small (broadcast) frontier meets them in parallel; for a large frontier
     # AQE splits the hub in the shuffled join.
-    e = edges.select(*keys, F.col("src_key").alias("node"), F.col("dst_key").alias("_to")).distinct().checkpoint()
-    first = starts.select(*ids).distinct().withColumn("hop", F.lit(0))
+    e = written(edges.select(*keys, F.col("src_key").alias("node"), F.col("dst_key").alias("_to")).distinct(), "edges")
+    frontier = starts.select(*ids).distinct()
+
+    def kept(rows: DataFrame, hop: int, by: Sequence[str]) -> DataFrame:
+        if with_path:
+            order = [*ids[:-1], *by]
+            rows = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_rank", F.monotonically_increasing_id())
+        return written(rows.withColumn("hop", F.lit(hop)), f"hop{hop}")
+
     if with_path:
-        first = first.withColumn("path", F.array("node"))
-    frontier = first.checkpoint()
-    seen = frontier
+        frontier = frontier.withColumn("_from", F.lit(None).cast(frontier.schema["node"].dataType))
+    seen = frontier = kept(frontier, 0, ["node"])
     for hop in range(1, MAX_ROUNDS + 1):
-        step = frontier.join(e, [*keys, "node"]).drop("node").withColumnRenamed("_to", "node")
         if with_path:
-            step = step.groupBy(*ids).agg(F.min("path").alias("path")).withColumn("path", F.concat("path", F.array("node")))
-            step = step.select(*ids, F.lit(hop).alias("hop"), "path")
+            step = frontier.select(*ids[:-1], F.struct(F.col("_rank"), F.col("node")).alias("_b"), "node").join(e, [*keys, "node"])
+            step = step.groupBy(*ids[:-1], F.col("_to").alias("node")).agg(F.min("_b").alias("_b"))
+            step = step.select(*ids, F.col("_b._rank").alias("_before"), F.col("_b.node").alias("_from"))
         else:
-            step = step.select(*ids).distinct().withColumn("hop", F.lit(hop))
-        frontier = step.join(seen.select(*ids), ids, "left_anti").checkpoint()
+            step = frontier.select(*ids).join(e, [*keys, "node"]).drop("node").withColumnRenamed("_to", "node").select(*ids).distinct()
+        fresh = step.join(seen.select(*ids), ids, "left_anti")
+        frontier = kept(fresh, hop, ["_before", "node"]).drop("_before")
         if frontier.isEmpty():
-            return seen
+            return paths(seen, ids, hop - 1) if with_path else seen
         seen = seen.unionByName(frontier)
     raise RuntimeError(f"no fixed point after {MAX_ROUNDS} rounds")
 
 
+def paths(seen: DataFrame, ids: Sequence[str], longest: int) -> DataFrame:
+    """The whole path of every node from the pointers ``_from``: each round doubles the piece a node holds of its own.
+
+    A piece ends at the node and begins behind ``_up``; the piece of ``_up`` goes in front of it. Rounds are the
+    logarithm of the longest path; only whole pieces are read, and nodes that have reached their start rest.
+    """
+    up = ids[:-1]
+    held = written(seen.select(*ids, "hop", F.col("_from").alias("_up"), F.array("node").alias("path")), "pieces")
+    reach = 1
+    while reach <= longest:
+        # a piece that is complete already is as long as its node's distance
+        front = held.select(*[F.col(c).alias(f"_f_{c}") for c in up], F.col("node").alias("_at"), F.col("_up").alias("_next"), F.col("path").alias("_front"))
+        same = [F.col(c).eqNullSafe(F.col(f"_f_{c}")) for c in up] + [F.col("_up") == F.col("_at")]
+        longer = held.join(front, same, "left").select(
+            *ids, "hop", F.when(F.col("_up").isNotNull(), F.col("_next")).alias("_up"),
+            F.when(F.col("_up").isNotNull(), F.concat("_front", "path")).otherwise(F.col("path")).alias("path"))
+        held = written(longer, "pieces")
+        reach *= 2
+    return held.select(*ids, "hop", "path")
+
+
 def upward_edges(nodes: DataFrame, edges: DataFrame, keys: Sequence[str] = ("scan",)) -> DataFrame:
     """Edges to walk from a changed node to whatever it affects.
 

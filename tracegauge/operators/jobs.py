@@ -29,7 +29,7 @@ def fencing_audit(events: DataFrame, width: float | None = None) -> DataFrame:
     ``events``: job, seq, t, kind ('claim' or 'write'), worker, attempt.
     """
     claim = F.when(F.col("kind") == "claim", F.struct("worker", "attempt"))
-    e = last_known(events, ["job"], [F.col("t"), F.col("seq")], order_bucket(events, ["job"], "t", width), claim, "held")
+    e = last_known(events, ["job"], [F.col("t"), F.col("seq")], order_bucket(events, ["job"], ["t", "seq"], width), {"held": claim})
     fenced = (F.col("kind") == "write") & ~((F.col("held.worker") == F.col("worker")) & (F.col("held.attempt") == F.col("attempt")))
     return e.where("kind = 'write'").select(
         "job", "seq", F.coalesce(fenced, F.lit(True)).alias("fenced"), (5 * F.pow(F.lit(2.0), F.col("attempt") - 1)).alias("backoff_s")
@@ -42,7 +42,7 @@ def one_active_job(triggers: DataFrame, width: float | None = None) -> DataFrame
     A trigger creates a job unless one is active, i.e. unless the latest event of the key before it
     is another trigger (a finish closes the active job).
     """
-    p = neighbour(triggers, ["key"], [F.col("t"), F.col("seq")], order_bucket(triggers, ["key"], "t", width), F.col("kind"), "_prev")
+    p = neighbour(triggers, ["key"], [F.col("t"), F.col("seq")], order_bucket(triggers, ["key"], ["t", "seq"], width), F.col("kind"), "_prev")
     active = F.coalesce(F.col("_prev") == "trigger", F.lit(False))
     return p.where("kind = 'trigger'").select("key", "seq", F.when(active, "attached").otherwise("created").alias("outcome"))
 

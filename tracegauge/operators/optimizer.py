@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
+from collections.abc import Sequence
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracegauge.functions.stats import percent_change, t_quantile, welch
+from tracegauge.operators.ordered import splitters
 
 
 @dataclass(frozen=True)
@@ -71,26 +75,65 @@ def feasibility(runs: DataFrame, quality: DataFrame, baseline: str, policy: Choi
     }).drop("_missed", "_orphan")
 
 
-def _local_front(pdf: pd.DataFrame) -> pd.DataFrame:
-    v = pdf[["goodput_rps", "ttft_p95_ms", "quality_pct"]].to_numpy(float) * [1, -1, 1]
-    keep = [not ((v >= x).all(1) & (v > x).any(1)).any() for x in v]
-    return pdf[keep]
+#: Distinct points of a piece of the Pareto sweep, on the average.
+FRONT_ROWS = 50_000
 
 
-def pareto_front(configs: DataFrame, pieces: int = 64) -> DataFrame:
+def _undominated(x: np.ndarray, y: np.ndarray, z: np.ndarray) -> np.ndarray:
+    """Which of distinct points (smaller is better) no other one dominates: a sweep in the order of x with a staircase of (y, z).
+
+    A dominating point comes earlier in the order (x, y, z). The staircase holds the lowest z so far for every y.
+    """
+    ys: list[float] = []
+    zs: list[float] = []
+    keep = np.zeros(len(x), bool)
+    for i in np.lexsort((z, y, x)).tolist():
+        at = bisect_right(ys, y[i])
+        if at and zs[at - 1] <= z[i]:
+            continue
+        keep[i] = True
+        at = end = bisect_left(ys, y[i])
+        while end < len(zs) and zs[end] >= z[i]:
+            end += 1
+        ys[at:end], zs[at:end] = [y[i]], [z[i]]
+    return keep
+
+
+def _swept(points: DataFrame, piece: str, order: Sequence[str]) -> DataFrame:
+    def sweep(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pdf[_undominated(*(pdf[c].to_numpy(float) for c in order))]
+
+    return points.groupBy("grid", piece).applyInPandas(sweep, points.schema)
+
+
+def pareto_front(configs: DataFrame, rows: int | None = None) -> DataFrame:
     """Configs of a grid that no other config dominates on goodput, p95 and mean quality.
 
-    A dominated config is also dominated by a front member of its own piece or of another one, so
-    each hashed piece drops its dominated rows first and only the piece fronts meet.
+    The points are cut twice into pieces of about ``rows``, wherever they lie: by the order of goodput (``_i``) and by the
+    order of p95 (``_j``). A point that dominates another one is in the same ``_i`` piece, where a sweep finds it, in the
+    same ``_j`` piece, where another sweep does, or before it in both: there only the best quality of all such
+    cells matters, a running minimum over the cells. So no two points are paired, and no group grows with the grid. A config
+    with a NULL metric neither dominates nor is dominated; equal ones stay together.
     """
-    cols = ["grid", "config", "goodput_rps", "ttft_p95_ms", "quality_pct"]
-    piece = configs.select(*cols, F.pmod(F.xxhash64("config"), F.lit(pieces)).alias("_p"))
-    schema = piece.schema
-    fronts = piece.groupBy("grid", "_p").applyInPandas(_local_front, schema).drop("_p")
-    a, b = fronts.alias("a"), fronts.alias("b")
-    ge = (F.col("b.goodput_rps") >= F.col("a.goodput_rps")) & (F.col("b.ttft_p95_ms") <= F.col("a.ttft_p95_ms")) & (F.col("b.quality_pct") >= F.col("a.quality_pct"))
-    gt = (F.col("b.goodput_rps") > F.col("a.goodput_rps")) | (F.col("b.ttft_p95_ms") < F.col("a.ttft_p95_ms")) | (F.col("b.quality_pct") > F.col("a.quality_pct"))
-    return a.join(b, (F.col("a.grid") == F.col("b.grid")) & ge & gt, "left_anti")
+    names = ["goodput_rps", "ttft_p95_ms", "quality_pct"]
+    cols = ["grid", "config", *names]
+    known = F.lit(True)
+    for n in names:
+        known = known & F.col(n).isNotNull()
+    points = configs.where(known).select("grid", (-F.col(names[0])).alias("a"), F.col(names[1]).alias("b"), (-F.col(names[2])).alias("c")).distinct()
+    by_i, by_j = (splitters(points, ["grid"], order, rows or FRONT_ROWS) for order in (["a", "b", "c"], ["b", "c", "a"]))
+    cut = by_j.added(by_i.added(points, "_i"), "_j")
+    left = _swept(_swept(cut, "_i", ["a", "b", "c"]), "_j", ["b", "c", "a"])
+    cells = left.groupBy("grid", "_i", "_j").agg(F.min("c").alias("_m"))
+    # every (piece, piece) of a grid: the square of its number of pieces, which is its points by ``rows``
+    table = cells.select("grid", "_i").distinct().join(cells.select("grid", "_j").distinct(), "grid").join(cells, ["grid", "_i", "_j"], "left")
+    before = lambda key, order: Window.partitionBy("grid", key).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    up = table.withColumn("_up", F.min("_m").over(before("_j", "_i")))
+    best = up.withColumn("_best", F.min("_up").over(before("_i", "_j"))).where("_m IS NOT NULL AND _best IS NOT NULL").select("grid", "_i", "_j", "_best")
+    front = left.join(best, ["grid", "_i", "_j"], "left").where("_best IS NULL OR _best > c")
+    front = front.select("grid", (-F.col("a")).alias(names[0]), F.col("b").alias(names[1]), (-F.col("c")).alias(names[2]))
+    chosen = configs.where(known).select(*cols).join(front, ["grid", *names], "left_semi")
+    return chosen.select(*cols).unionByName(configs.where(~known).select(*cols))
 
 
 def select_config(feasible: DataFrame) -> DataFrame:

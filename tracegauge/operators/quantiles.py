@@ -3,7 +3,8 @@
 ``percentile()`` keeps every distinct value of a group in one aggregation buffer. For groups that
 may hold a third of all rows the functions here count equal values first (map-side combined),
 locate the wanted ranks in a value histogram of bounded size, and sort only the buckets that hold
-those ranks.
+those ranks. A bucket with too many distinct values is divided at the cut points of a quantile
+sketch of its key (``with_value_bucket``), so values that lie close together spread like any others.
 """
 
 from __future__ import annotations
@@ -13,7 +14,35 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracegauge.operators.ordered import BUCKET, log_bucket, running_sum
+from tracegauge.operators.ordered import BUCKET, log_bucket, place, running_sum
+
+#: Distinct values of a log bucket beyond which it is divided, about so many to a piece.
+CROWDED = 1_000_000
+#: Cut points a sketch yields at most; each bucket uses one per CROWDED values.
+SKETCH = 1024
+
+
+def with_value_bucket(counts: DataFrame, keys: Sequence[str], value: str, crowded: int | None = None) -> DataFrame:
+    """``counts`` (one row per distinct key and value) with the bucket of ``value``: non-decreasing, and never crowded.
+
+    The log bucket, divided where it holds more than ``crowded`` distinct values. The cut points come from a quantile
+    sketch of those buckets alone. They are one sorted array, a scalar subquery with one entry per ``crowded`` values, and a
+    value's piece is the number of cut points up to it, found by halving; without crowded buckets the array is empty.
+    """
+    crowded, x = crowded or CROWDED, F.col(value).cast("double")
+    # by the buckets' numbers, so that an empty table of crowded ones ends the work here
+    named = counts.select(*keys, x.alias("_x")).withColumn("_lb", log_bucket(F.col("_x")))
+    full = named.groupBy(*keys, "_lb").agg(F.count("*").alias("_d")).where(F.col("_d") > crowded)
+    full = full.select(*[F.col(k).alias(f"_f_{k}") for k in keys], F.col("_lb").alias("_fb"), "_d")
+    same = [named[k].eqNullSafe(full[f"_f_{k}"]) for k in keys] + [named["_lb"] == full["_fb"]]
+    sketch = F.percentile_approx("_x", [i / SKETCH for i in range(1, SKETCH)], 16 * SKETCH)
+    cuts = named.join(full, same).groupBy(*keys, "_lb").agg(F.max("_d").alias("_d"), sketch.alias("_q"))
+    step = F.greatest(F.lit(1), F.floor(F.lit(SKETCH) / F.ceil(F.col("_d") / crowded))).cast("int")
+    some = F.filter("_q", lambda q, i: (i + 1) % step == 0)
+    points = cuts.select(*keys, F.explode(some).alias("_x")).distinct()
+    points = points.agg(F.array_sort(F.collect_list(F.struct(*keys, "_x"))))
+    own = F.struct(*[F.col(k) for k in keys], x.alias("_x"))
+    return counts.withColumn("_cuts", points.scalar()).withColumn(BUCKET, log_bucket(x) * (1 << 32) + place(F.col("_cuts"), own)).drop("_cuts")
 
 
 def exact_quantiles(
@@ -29,8 +58,8 @@ def exact_quantiles(
         df.where(F.col(value).isNotNull())
         .groupBy(*keys, F.col(value).cast("double").alias("_x"))
         .agg(F.count("*").alias("_c"))
-        .withColumn(BUCKET, log_bucket(F.col("_x")))
     )
+    counts = with_value_bucket(counts, keys, "_x")
     up_to = Window.partitionBy(*keys).orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, 0)
     whole = Window.partitionBy(*keys)
     hist = (
@@ -93,7 +122,8 @@ def exact_quantiles(
 def average_ranks(df: DataFrame, keys: Sequence[str], value: str, out: str) -> DataFrame:
     """One row per distinct (key, value) with its 1-based rank, ties sharing their mean rank."""
     counts = df.groupBy(*keys, value).agg(F.count("*").alias("_c"))
-    upto = running_sum(counts, keys, [F.col(value)], log_bucket(F.col(value)), F.col("_c"), "_upto")
+    counts = with_value_bucket(counts, keys, value)
+    upto = running_sum(counts, keys, [F.col(value)], F.col(BUCKET), F.col("_c"), "_upto")
     rank = F.col("_upto") - (F.col("_c") - 1).cast("double") / 2.0
     return upto.select(*keys, value, rank.alias(out), "_c")
 
@@ -108,8 +138,8 @@ def values_at_ranks(df: DataFrame, keys: Sequence[str], value: str, ranks: DataF
         df.where(F.col(value).isNotNull())
         .groupBy(*keys, F.col(value).cast("double").alias("_x"))
         .agg(F.count("*").alias("_c"))
-        .withColumn(BUCKET, log_bucket(F.col("_x")))
     )
+    counts = with_value_bucket(counts, keys, "_x")
     prior = Window.partitionBy(*keys).orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
     hist = counts.groupBy(*keys, BUCKET).agg(F.sum("_c").alias("_bc")).select(
         *keys, F.coalesce(F.sum("_bc").over(prior), F.lit(0)).alias("_pos"), F.lit(0).alias("_side"), F.col(BUCKET).alias("_hb")

@@ -3,7 +3,8 @@
 The k-th order statistic of a resample of n values is the value at rank floor(n*U), U the k-th
 smallest of n uniforms, which is Beta(k, n-k+1) distributed; the next one follows from it in closed
 form. So a replicate of an interpolated quantile needs two Beta draws and two rank lookups, however
-many samples a run holds. Draws are seeded by the key, so repartitioning does not change a result.
+many samples a run holds. Draws are functions of the key and the replicate's number (``functions.stats``), so
+neither partitioning nor the engine changes a result.
 """
 
 from __future__ import annotations
@@ -14,43 +15,30 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
+from pyspark.sql.types import DoubleType, StructField, StructType
 
+from tracegauge.functions import stats as ST
 from tracegauge.operators.quantiles import values_at_ranks
+from tracegauge.session import written
 
 MIN_SAMPLES = 20
-DRAW = ArrayType(StructType([
-    StructField("rep", LongType()), StructField("lo", LongType()), StructField("hi", LongType()), StructField("frac", DoubleType()),
-]))
-
-
-def _draws(prob: float, reps: int):
-    @F.pandas_udf(DRAW)
-    def draw(n: pd.Series, seed: pd.Series) -> pd.Series:
-        out = []
-        for size, s in zip(n, seed):
-            size = int(size)
-            rng = np.random.default_rng(np.uint64(int(s) & (2**64 - 1)))
-            pos = prob * (size - 1)
-            k = int(np.floor(pos)) + 1  # 1-based order statistic
-            u = rng.beta(k, size - k + 1, reps)
-            above = size - k
-            v = 1 - (1 - u) * rng.random(reps) ** (1.0 / above) if above else u
-            lo = np.minimum((u * size).astype(int), size - 1)
-            hi = np.minimum((v * size).astype(int), size - 1)
-            out.append([{"rep": i, "lo": int(a), "hi": int(b), "frac": pos - np.floor(pos)} for i, (a, b) in enumerate(zip(lo, hi))])
-        return pd.Series(out)
-
-    return draw
 
 
 def quantile_replicates(df: DataFrame, keys: Sequence[str], value: str, prob: float, reps: int, seed: int = 0) -> DataFrame:
     """Bootstrap replicates of one quantile: keys, rep, v."""
     keys = list(keys)
     n = df.where(F.col(value).isNotNull()).groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") >= MIN_SAMPLES)
-    s = F.xxhash64(F.lit(seed), F.lit(prob), *[F.col(k) for k in keys])
-    d = n.withColumn("_s", s).withColumn("_d", _draws(prob, reps)("_n", "_s")).select(*keys, F.explode_outer("_d").alias("d")).select(*keys, "d.*")
-    need = d.select(*keys, F.col("lo").alias("rank")).unionByName(d.select(*keys, F.col("hi").alias("rank"))).distinct()
+    each = n.select(*keys, F.col("_n").cast("double").alias("_n"), F.explode(F.sequence(F.lit(0), F.lit(reps - 1))).alias("rep"))
+    key = [F.lit(seed), F.lit(prob), *[F.col(k) for k in keys], F.col("rep")]
+    pos = F.lit(prob) * (F.col("_n") - 1)
+    k = F.floor(pos) + 1.0  # 1-based order statistic
+    u = each.select(*keys, "rep", "_n", k.alias("_k"), (pos - F.floor(pos)).alias("frac"), ST.keyed_beta(k, F.col("_n") - k + 1, *key).alias("_u"))
+    above = F.col("_n") - F.col("_k")
+    # the next order statistic of the uniforms, given this one
+    v = F.when(above > 0, 1 - (1 - F.col("_u")) * F.pow(ST.keyed_uniform(*key, F.lit("next")), 1.0 / above)).otherwise(F.col("_u"))
+    rank = lambda x: F.least(F.floor(x * F.col("_n")), F.col("_n").cast("long") - 1)
+    d = written(u.select(*keys, "rep", "frac", rank(F.col("_u")).alias("lo"), rank(v).alias("hi")), "replicates")
+    need = d.select(*keys, F.explode(F.array("lo", "hi")).alias("rank")).distinct()
     at = values_at_ranks(df, keys, value, need)
     lo = at.withColumnsRenamed({"rank": "lo", "x": "_a"})
     hi = at.withColumnsRenamed({"rank": "hi", "x": "_b"})
@@ -80,7 +68,7 @@ def hierarchical_change_ci(samples: DataFrame, base: str, other: str, reps: int
     draw = listed.select("trial", "side", "runs", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))).alias("out_rep")).select(
         "trial", "side", "out_rep", "runs", F.posexplode("runs").alias("slot", "_r")
     )
-    h = lambda tag, m: F.pmod(F.xxhash64(F.lit(seed), F.lit(tag), "trial", "side", "out_rep", "slot"), m.cast("long"))
+    h = lambda tag, m: F.floor(ST.keyed_uniform(F.lit(seed), F.lit(tag), F.col("trial"), F.col("side"), F.col("out_rep"), F.col("slot")) * m)
     pick = draw.select(
         "trial", "side", "out_rep", F.get("runs", h("run", F.size("runs")).cast("int")).alias("run"), h("rep", F.lit(reps)).alias("rep")
     )

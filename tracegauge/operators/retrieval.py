@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracegauge.functions.text import strip
-from tracegauge.session import ensure_checkpoint_dir
+from tracegauge.session import written
 
 # Okapi parameters and the floor for terms that occur in more than half of the chunks.
 K1, B, EPSILON = 1.5, 0.75, 0.25
@@ -29,28 +29,26 @@ def terms(text: Column) -> Column:
 def bm25(chunks: DataFrame, queries: DataFrame, top_k: int) -> DataFrame:
     """Top chunks per query. ``chunks``: chunk_id, text; ``queries``: query_id, text.
 
-    The text is tokenized once into postings (chunk, term, tf, length), which are written to the
-    checkpoint folder laid out by chunk. Document frequencies, the corpus size and the scores all
-    read that table. The number of partitions is explicit: postings are small but fan out to one row
-    per query and term, so merging them into few tasks would leave most cores idle, and all parts of
-    a (query, chunk) score meet without another shuffle. Only the top k per query leave a task.
+    One pass counts each term's chunks, the corpus size and its length, combined before the shuffle: a row per distinct
+    term and task moves. A second pass meets the terms of the queries first, so postings of other terms are neither
+    shuffled nor written; where the query terms are few Spark broadcasts them and the postings do not move before they
+    are counted. Only the top k per query leave a task.
     """
-    spark = chunks.sparkSession
-    ensure_checkpoint_dir(spark)
-    width = int(spark.conf.get("spark.sql.shuffle.partitions"))
     tok = chunks.select("chunk_id", terms(F.col("text")).alias("_t"))
-    rows = tok.select("chunk_id", F.size("_t").alias("len"), F.explode_outer("_t").alias("term"))
-    posted = rows.groupBy("chunk_id", "len", "term").agg(F.count("*").alias("tf")).repartition(width, "chunk_id").checkpoint()
-    # a chunk without any token has one row with a NULL term: it counts for the corpus size only
-    stats = posted.groupBy("chunk_id").agg(F.first("len").alias("len")).agg(F.count("*").alias("N"), F.avg("len").alias("avg_len"))
-    n, avg_len = stats.select("N").scalar(), stats.select("avg_len").scalar()
-    df = posted.where("term IS NOT NULL").groupBy("term").agg(F.count("*").alias("df"))
-    raw = df.withColumn("idf", F.log(n - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
+    # a chunk has each of its terms once, and one NULL row with its length for the corpus
+    once = tok.select(F.size("_t").alias("len"), F.explode(F.array_append(F.array_distinct("_t"), F.lit(None))).alias("term"))
+    vocabulary = written(once.groupBy("term").agg(F.count("*").alias("df"), F.sum("len").alias("len")), "vocabulary")
+    corpus = vocabulary.where("term IS NULL")
+    n, avg_len = corpus.select("df").scalar(), corpus.select(F.col("len") / F.col("df")).scalar()
+    raw = vocabulary.where("term IS NOT NULL").withColumn("idf", F.log(n - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     mean_idf = raw.agg(F.avg("idf")).scalar()
-    idf = raw.withColumn("idf", F.when(F.col("idf") < 0, mean_idf * EPSILON).otherwise(F.col("idf")))
+    idf = raw.select("term", F.when(F.col("idf") < 0, mean_idf * EPSILON).otherwise(F.col("idf")).alias("idf"))
     q = queries.select("query_id", F.explode_outer(terms(F.col("text"))).alias("term")).where("term IS NOT NULL").groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
-    hits = posted.join(q.join(idf.select("term", "idf"), "term"), "term")
+    asked = written(q.join(idf, "term"), "asked")
+    wanted = asked.select("term").distinct()
+    places = tok.select("chunk_id", F.size("_t").alias("len"), F.explode_outer("_t").alias("term")).join(wanted, "term", "left_semi")
+    postings = places.groupBy("chunk_id", "len", "term").agg(F.count("*").alias("tf"))
     part = F.col("qtf") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / avg_len))
-    scores = hits.groupBy("query_id", "chunk_id").agg(F.sum(part).alias("score"))
+    scores = postings.join(asked, "term").groupBy("query_id", "chunk_id").agg(F.sum(part).alias("score"))
     w = Window.partitionBy("query_id").orderBy(F.round("score", 9).desc(), "chunk_id")
     return scores.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top_k)

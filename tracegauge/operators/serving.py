@@ -121,7 +121,7 @@ def concurrency_steps(df: DataFrame, keys: Sequence[str], start: Column, end: Co
         F.struct(start.alias("t"), F.lit(1).alias("d")), F.struct(end.alias("t"), F.lit(-1).alias("d"))
     )).alias("m")).select(*keys, "m.t", "m.d")
     marks = marks.groupBy(*keys, "t", "d").agg(F.sum("d").alias("_step"))
-    order, bucket = [F.col("t"), F.col("d")], order_bucket(marks, keys, "t", width)
+    order, bucket = [F.col("t"), F.col("d")], order_bucket(marks, keys, ["t", "d"], width)
     open_ = running_sum(marks, keys, order, bucket, F.col("_step"), "open")
     nxt = neighbour(open_, keys, order, bucket, F.col("t"), "_next", following=True)
     return nxt.select(*keys, "t", "d", "open", (F.col("_next") - F.col("t")).alias("held_s"))

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracegauge.functions.serving import counter_delta, ratio
-from tracegauge.operators.ordered import last_known, log_bucket, neighbour, order_bucket, running_sum, time_bucket
+from tracegauge.operators.ordered import BUCKET, ROWS_PER_BUCKET, last_known, neighbour, order_bucket, running_sum, splitters, time_bucket
+from tracegauge.operators.quantiles import with_value_bucket
 
 # The metrics a server may expose.
 GAUGES = (
@@ -36,7 +37,7 @@ def state_at_send(
     )
     both = carried.unionByName(sample, allowMissingColumns=True)
     order = [F.col("_t"), F.col("_side"), F.col("_seq")]
-    done = last_known(both, [run], order, order_bucket(both, [run], "_t", width), F.col("_sample"), "_at")
+    done = last_known(both, [run], order, order_bucket(both, [run], ["_t", "_side", "_seq"], width), {"_at": F.col("_sample")})
     return done.where("_side = 1").select(run, "_req.*", "_at.*")
 
 
@@ -52,10 +53,9 @@ def counters_at(
     right = samples.select(run, F.col("t").alias("_t"), F.lit(0).alias("_side"), F.col("seq").cast("long").alias("_seq"), *counters)
     both = left.unionByName(right, allowMissingColumns=True)
     order = [F.col("_t"), F.col("_side"), F.col("_seq")]
-    bucket = order_bucket(both, [run], "_t", width)
-    for c in counters:
-        both = last_known(both, [run], order, bucket, F.col(c), f"{c}_at")
-    return both.where("_side = 1").select(run, "_row.*", *[f"{c}_at" for c in counters])
+    bucket = order_bucket(both, [run], ["_t", "_side", "_seq"], width)
+    done = last_known(both, [run], order, bucket, {f"{c}_at": F.col(c) for c in counters})
+    return done.where("_side = 1").select(run, "_row.*", *[f"{c}_at" for c in counters])
 
 
 def window_gauges(
@@ -117,7 +117,7 @@ def counter_rates(
 ) -> DataFrame:
     """Delta of every counter to the previous sample (NULL across a restart or a missing value)."""
     prev = neighbour(
-        samples, keys, [F.col(t), F.col("seq")], order_bucket(samples, keys, t, width),
+        samples, keys, [F.col(t), F.col("seq")], order_bucket(samples, keys, [t, "seq"], width),
         F.struct(F.col(t).alias("t"), *[F.col(c) for c in counters]), "_p",
     )
     return prev.select(
@@ -187,16 +187,28 @@ def spearman(df: DataFrame, keys: Sequence[str], x: str, y: str) -> DataFrame:
 
 def _weighted_ranks(pairs: DataFrame, keys: Sequence[str], value: str, out: str) -> DataFrame:
     counts = pairs.groupBy(*keys, value).agg(F.sum("_n").alias("_c"))
-    upto = running_sum(counts, keys, [F.col(value)], log_bucket(F.col(value)), F.col("_c"), "_upto")
+    upto = running_sum(with_value_bucket(counts, keys, value), keys, [F.col(value)], F.col(BUCKET), F.col("_c"), "_upto")
     return upto.select(*keys, value, (F.col("_upto") - (F.col("_c") - 1).cast("double") / 2.0).alias(out))
 
 
-def sliding_count(events: DataFrame, keys: Sequence[str], t: str, seconds: int, out: str) -> DataFrame:
+def sliding_count(events: DataFrame, keys: Sequence[str], t: str, seconds: float, out: str, rows: int | None = None) -> DataFrame:
     """Events of the key in the ``seconds`` before and including each row.
 
-    Each bucket also sees a copy of the bucket before it, so a busy key is cut along time.
+    The count is a difference of two positions: events up to ``t`` less events before ``t - seconds``. Both are read off one
+    running sum over the counts per time, with marks at the two instants, which is cut wherever the rows are; no window
+    of events is ever held, so a burst inside one window is spread like any other rows. A row without a time counts nothing.
     """
-    b = time_bucket(F.col(t), seconds)
-    rows = events.withColumn("_b", F.explode(F.array(b, b + 1))).withColumn("_own", F.col("_b") == b)
-    w = Window.partitionBy(*keys, "_b").orderBy(t).rangeBetween(-seconds, 0)
-    return rows.withColumn(out, F.count("*").over(w)).where("_own").drop("_b", "_own")
+    keys = list(keys)
+    counts = events.where(F.col(t).isNotNull()).groupBy(*keys, F.col(t).alias("_t")).agg(F.count("*").alias("_n"))
+    # order of equal instants: the mark before the events, the events, the mark behind them
+    mark = lambda at, side, n: F.struct(at.alias("_at"), F.lit(side).alias("_side"), n.alias("_c"))
+    zero = F.lit(0).cast("long")
+    marks = counts.select(*keys, "_t", F.explode(F.array(
+        mark(F.col("_t") - seconds, 0, zero), mark(F.col("_t"), 1, F.col("_n")), mark(F.col("_t"), 2, zero),
+    )).alias("m")).select(*keys, "_t", "m.*")
+    bucket = splitters(marks, keys, ["_at", "_side"], rows or ROWS_PER_BUCKET)
+    upto = running_sum(marks, keys, [F.col("_at"), F.col("_side")], bucket, F.col("_c"), "_upto")
+    at = lambda side: F.max(F.when(F.col("_side") == side, F.col("_upto")))
+    per = upto.groupBy(*[F.col(k).alias(f"_k_{k}") for k in keys], "_t").agg((at(2) - at(0)).alias(out))
+    same = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys] + [F.col(t) == F.col("_t")]
+    return events.join(per, same, "left").select(*events.columns, out)

@@ -63,10 +63,40 @@ def a34(spark, d):
       JOIN (SELECT DISTINCT subject, predicate, lower(trim(value)) AS nv, fact_id FROM claim_candidates) f ON f.subject = c.subject AND f.predicate = c.predicate GROUP BY ALL""",
 )
 def s13(spark, d):
-    e = C.evidence(view(spark, d, "claim_candidates"), _claims(spark, d))
+    e = C.evidence(C.members(view(spark, d, "claim_candidates")), _claims(spark, d))
     return e.select("subject", "normalized", "fact_id", "stance")
 
 
+@query("S13_evidence_members", "claim_candidates", sql="SELECT DISTINCT subject, lower(trim(value)) AS normalized, fact_id FROM claim_candidates")
+def s13m(spark, d):
+    """What is stored: one row per fact and value."""
+    return C.members(view(spark, d, "claim_candidates")).select("subject", "normalized", "fact_id")
+
+
+@query(
+    "S13_evidence_counts", "claim_candidates",
+    sql="""WITH m AS (SELECT DISTINCT subject, predicate, lower(trim(value)) AS normalized, fact_id FROM claim_candidates)
+      SELECT subject, normalized, count(*) AS n_supports, (SELECT count(DISTINCT fact_id) FROM m o WHERE o.subject = m.subject AND o.predicate = m.predicate) - count(*) AS n_contradicts FROM m GROUP BY subject, predicate, normalized""",
+)
+def s13c(spark, d):
+    return C.evidence_counts(C.members(view(spark, d, "claim_candidates"))).select("subject", "normalized", "n_supports", "n_contradicts")
+
+
+@query(
+    "U5_reconcile_callback", "claim_candidates",
+    sql="""WITH c AS (SELECT *, upper(regexp_replace(trim(value), '[^A-Za-z]', '', 'g')) AS nv, """ + PRIOR_SQL + """ AS prior FROM claim_candidates),
+      p AS (SELECT subject, predicate, nv, sum(ln(1 - prior)) AS ls, count(*) AS n_support FROM c GROUP BY ALL),
+      t AS (SELECT subject, predicate, sum(ls) AS total, count(*) AS n FROM p GROUP BY ALL)
+      SELECT subject, nv AS normalized, n_support, CASE WHEN n > 1 THEN 'contested' ELSE 'supported' END AS status,
+        round(round((1 - exp(ls)) * (1 - 0.5 * CASE WHEN n > 1 THEN 1 - exp(total - ls) ELSE 0 END), 9), 3) AS confidence FROM p JOIN t USING (subject, predicate)""",
+)
+def u5(spark, d):
+    """Reconciled under a caller's own normalizer: letters only, upper case."""
+    own = lambda v: F.upper(F.regexp_replace(F.trim(v), "[^A-Za-z]", ""))
+    c = C.reconcile(view(spark, d, "claim_candidates"), normalize=own)
+    return c.select("subject", "normalized", "n_support", "status", "confidence")
+
+
 @query(
     "A35_contradictions", "claim_candidates",
     sql=CLAIMS + """SELECT subject, n_values, value, confidence, row_number() OVER (PARTITION BY subject ORDER BY confidence DESC, normalized) = 1 AS strongest FROM claims WHERE n_values > 1""",
@@ -77,11 +107,11 @@ def a35(spark, d):
 
 @query(
     "G10_primary_claim", "claim_candidates",
-    sql=CLAIMS + """SELECT subject, arg_min(value, rn) AS value, max(confidence) AS confidence, array_to_string(list(value ORDER BY rn) FILTER (rn > 1), '|') AS alternatives
-      FROM (SELECT *, row_number() OVER (PARTITION BY subject ORDER BY confidence DESC, normalized) AS rn FROM claims) GROUP BY subject""",
+    sql=CLAIMS + """SELECT subject, value, confidence, row_number() OVER (PARTITION BY subject ORDER BY confidence DESC, normalized) AS place FROM claims""",
 )
 def g10(spark, d):
-    return C.primary(_claims(spark, d)).select("subject", "value", "confidence", F.array_join("alternatives", "|").alias("alternatives"))
+    """The primary claim (place 1) and its alternatives, a row each."""
+    return C.primary(_claims(spark, d)).select("subject", "value", "confidence", "place")
 
 
 # ---------------------------------------------------------------- diffs

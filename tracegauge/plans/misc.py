@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from tracegauge.functions import mentions as MN
@@ -109,12 +111,49 @@ def a48(spark, d):
     return li.groupBy(F.col("l_suppkey").alias("question")).agg(F.count("*").alias("answers"), F.round(F.avg(ok.cast("double")), 8).alias("share"))
 
 
-# ---------------------------------------------------------------- bootstrap (rows-only)
+# ---------------------------------------------------------------- bootstrap, from keyed random numbers
+
+def _uniform(digest: str, i: int = 0) -> str:
+    """SQL of ``stats.uniform_of``."""
+    n = ST.UNIFORM_DIGITS
+    return f"((('0x' || substr({digest}, {1 + n * i}, {n}))::BIGINT::DOUBLE + 0.5) / {float(1 << (4 * n))!r}::DOUBLE)"
+
+
+def _normal(digest: str) -> str:
+    return f"(sqrt(-2.0 * ln({_uniform(digest, 0)})) * cos({2 * math.pi!r}::DOUBLE * {_uniform(digest, 1)}))"
+
 
-@query("A4_percentile_ci")
+def _replicates(name: str, source: str, keys: str, value: str, probs: tuple[float, ...], reps: int) -> str:
+    """SQL of ``resample.quantile_replicates``: CTE ``name`` (prob, keys, rep, v) of the values in ``source``."""
+    names = [k.strip() for k in keys.split(",")]
+    key = "'0:' || prob::VARCHAR || ':' || " + " || ':' || ".join(f"{k}::VARCHAR" for k in names) + " || ':' || rep::VARCHAR || ':'"
+    return f"""{name}_n AS (SELECT {keys}, count(*)::DOUBLE AS n, list_sort(list({value}::DOUBLE)) AS xs FROM {source} WHERE {value} IS NOT NULL GROUP BY {keys} HAVING count(*) >= 20),
+    {name}_e AS (SELECT {keys}, n, prob, rep, floor(prob * (n - 1)) + 1.0 AS k, prob * (n - 1) - floor(prob * (n - 1)) AS frac
+      FROM {name}_n, (SELECT unnest({list(probs)}::DOUBLE[]) AS prob), (SELECT unnest(range(0, {reps})) AS rep)),
+    {name}_t AS (SELECT *, md5({key} || side || ':' || i::VARCHAR) AS dg, CASE side WHEN 'a' THEN k ELSE n - k + 1 END - 1.0::DOUBLE / 3.0::DOUBLE AS d
+      FROM {name}_e, (SELECT unnest(['a', 'b']) AS side), (SELECT unnest(range(0, {ST.GAMMA_TRIES})) AS i)),
+    {name}_x AS (SELECT *, {_normal('dg')} AS x FROM {name}_t),
+    {name}_v AS (SELECT *, pow(1.0 + x / sqrt(9.0 * d), 3.0) AS v FROM {name}_x),
+    {name}_ok AS (SELECT *, CASE WHEN v > 0 THEN ln({_uniform('dg', 2)}) < 0.5 * x * x + d - d * v + d * ln(v) ELSE FALSE END AS ok FROM {name}_v),
+    {name}_g AS (SELECT {keys}, prob, rep, side, coalesce(arg_min(d * v, i) FILTER (ok), any_value(d)) AS g FROM {name}_ok GROUP BY {keys}, prob, rep, side),
+    {name}_u AS (SELECT {keys}, prob, rep, max(g) FILTER (side = 'a') / (max(g) FILTER (side = 'a') + max(g) FILTER (side = 'b')) AS u FROM {name}_g GROUP BY {keys}, prob, rep),
+    {name}_w AS (SELECT *, CASE WHEN n - k > 0 THEN 1 - (1 - u) * pow({_uniform(f"md5({key} || 'next')")}, 1.0 / (n - k)) ELSE u END AS w FROM {name}_u JOIN {name}_e USING ({keys}, prob, rep)),
+    {name}_r AS (SELECT {keys}, prob, rep, frac, least(floor(u * n), n - 1)::BIGINT + 1 AS lo, least(floor(w * n), n - 1)::BIGINT + 1 AS hi FROM {name}_w),
+    {name} AS (SELECT {keys}, prob, rep, xs[lo] + (xs[hi] - xs[lo]) * frac AS v FROM {name}_r JOIN {name}_n USING ({keys}))"""
+
+
+QUANTILES = {"p50": 0.5, "p95": 0.95, "p99": 0.99}
+
+
+@query(
+    "A4_percentile_ci", "requests",
+    sql="WITH ok AS (SELECT level, ttft_ms FROM requests WHERE ok), " + _replicates("r", "ok", "level", "ttft_ms", tuple(QUANTILES.values()), 400) + """
+      SELECT level, CASE prob WHEN 0.5 THEN 'p50' WHEN 0.95 THEN 'p95' ELSE 'p99' END AS quantile, round(quantile_cont(v, 0.025), 6) AS lo, round(quantile_cont(v, 0.975), 6) AS hi FROM r GROUP BY level, prob""",
+)
 def a4(spark, d):
     r = V.requests(spark, d).where("ok")
-    return RS.percentile_ci(r, ["level"], "ttft_ms", {"p50": 0.5, "p95": 0.95, "p99": 0.99}, reps=400)
+    ci = RS.percentile_ci(r, ["level"], "ttft_ms", QUANTILES, reps=400)
+    return ci.select("level", "quantile", F.round("lo", 6).alias("lo"), F.round("hi", 6).alias("hi"))
 
 
 @query("A24_corrected_rate_ci")
@@ -130,25 +169,55 @@ def a24(spark, d):
     return j.select("lang", "fails", "total", F.col("ci.lo").alias("lo"), F.col("ci.hi").alias("hi"))
 
 
-@query("A45_hierarchical_bootstrap")
+@query(
+    "A45_hierarchical_bootstrap", "gate_samples",
+    sql="WITH s AS (SELECT trial, side, run, ttft_ms FROM gate_samples WHERE side IN ('base', 'head')), " + _replicates("r", "s", "trial, side, run", "ttft_ms", (0.95,), 200) + f""",
+    l AS (SELECT trial, side, list_sort(list(DISTINCT run)) AS runs FROM r GROUP BY ALL),
+    w AS (SELECT *, unnest(range(0, len(runs))) AS slot FROM l, (SELECT unnest(range(0, 200)) AS out_rep)),
+    k AS (SELECT *, trial::VARCHAR || ':' || side || ':' || out_rep::VARCHAR || ':' || slot::VARCHAR AS key FROM w),
+    p AS (SELECT trial, side, out_rep, runs[floor({_uniform("md5('0:run:' || key)")} * len(runs))::BIGINT + 1] AS run, floor({_uniform("md5('0:rep:' || key)")} * 200)::BIGINT AS rep FROM k),
+    m AS (SELECT trial, side, out_rep, quantile_cont(v, 0.5) AS m FROM p JOIN r USING (trial, side, run, rep) GROUP BY ALL),
+    c AS (SELECT trial, out_rep, (max(m) FILTER (side = 'head') - max(m) FILTER (side = 'base')) / max(m) FILTER (side = 'base') * 100 AS c FROM m GROUP BY ALL)
+    SELECT trial, round(quantile_cont(c, 0.025), 6) AS lo, round(quantile_cont(c, 0.975), 6) AS hi FROM c GROUP BY trial""",
+)
 def a45(spark, d):
-    return RS.hierarchical_change_ci(V.gate_samples(spark, d), "base", "head", reps=200)
+    ci = RS.hierarchical_change_ci(V.gate_samples(spark, d), "base", "head", reps=200)
+    return ci.select("trial", F.round("lo", 6).alias("lo"), F.round("hi", 6).alias("hi"))
 
 
 # ---------------------------------------------------------------- synthesis
 
-@query("D1_sample_lengths")
+@query(
+    "D1_sample_lengths",
+    sql=f"""WITH q AS (SELECT quantile_cont(n_chars::DOUBLE, {[i / 12 for i in range(13)]}) AS l FROM documents), s AS (SELECT list_sort(list_distinct(list_transform(l, lambda x: round(x, 9)))) AS edges FROM q),
+    b AS (SELECT CASE WHEN len(edges) < 2 THEN edges[1] ELSE edges[least(greatest(len(list_filter(edges, lambda x: x <= n_chars)), 1), len(edges) - 1) + 1] END AS upper FROM documents, s WHERE n_chars IS NOT NULL),
+    h AS (SELECT upper, count(*) AS c FROM b GROUP BY upper), t AS (SELECT coalesce(lag(upper) OVER (ORDER BY upper), 1.0) AS lo, upper AS hi, sum(c) OVER (ORDER BY upper) / sum(c) OVER () AS share FROM h),
+    u AS (SELECT doc_id, {_uniform("md5('0:' || doc_id::VARCHAR || ':bin')")} AS u, {_uniform("md5('0:' || doc_id::VARCHAR || ':in')")} AS v FROM documents),
+    p AS (SELECT doc_id, v, arg_min(lo, share) AS lo, arg_min(hi, share) AS hi FROM u JOIN t ON u <= share GROUP BY ALL)
+    SELECT doc_id, greatest(1, round(lo + v * (hi - lo)))::INTEGER AS length FROM p""",
+)
 def d1(spark, d):
     docs = V.table(spark, d, "documents")
-    h = S.distribution_histogram(docs.withColumn("_g", F.lit(0)), ["_g"], "n_chars").orderBy("upper").collect()  # at most 12 bins
-    return SY.sample_lengths(docs.select("doc_id"), "doc_id", [(r["upper"], r["count"]) for r in h], 1.0)
+    h = S.distribution_histogram(docs.withColumn("_g", F.lit(0)), ["_g"], "n_chars")
+    return SY.sample_lengths(docs.select("doc_id"), "doc_id", h, 1.0)
 
 
-@query("D2_generate_requests")
+GROUPS = [("support", 0.5, 24), ("search", 0.3, 12)]
+WORDS = ["alpha", "beta", "gamma", "delta", "oven", "order", "ship", "error"]
+
+
+@query(
+    "D2_generate_requests",
+    sql=f"""WITH l AS (SELECT event_id, greatest(1, round(exp({math.log(40.0)!r}::DOUBLE + {(math.log(160.0) - math.log(40.0)) / 1.6448536269514722!r}::DOUBLE * {_normal("md5('0:' || event_id::VARCHAR || ':length')")})))::INTEGER AS length,
+        {_uniform("md5('0:' || event_id::VARCHAR || ':group')")} AS u FROM events),
+    g AS (SELECT event_id, length, CASE WHEN u < 0.5 THEN 'support' WHEN u < 0.8 THEN 'search' END AS prefix_group, least(CASE WHEN u < 0.5 THEN 24 WHEN u < 0.8 THEN 12 ELSE 0 END, length) AS s FROM l)
+    SELECT event_id, length, prefix_group, array_to_string(list_concat(
+      list_transform(range(1, s + 1), lambda i: {WORDS}[floor({_uniform("md5('0:' || prefix_group || ':' || i::VARCHAR)")} * {len(WORDS)})::BIGINT + 1]),
+      list_transform(range(1, length - s + 1), lambda i: {WORDS}[floor({_uniform("md5('0:' || event_id::VARCHAR || ':tail:' || i::VARCHAR)")} * {len(WORDS)})::BIGINT + 1])), ' ') AS prompt FROM g""",
+)
 def d2(spark, d):
     ev = V.table(spark, d, "events").select("event_id")
-    rows = SY.log_normal_lengths(ev, "event_id", 40.0, 160.0)
-    return SY.generate_requests(rows, "event_id", [("support", 0.5, 24), ("search", 0.3, 12)], ["alpha", "beta", "gamma", "delta", "oven", "order", "ship", "error"])
+    return SY.generate_requests(SY.log_normal_lengths(ev, "event_id", 40.0, 160.0), "event_id", GROUPS, WORDS)
 
 
 @query(

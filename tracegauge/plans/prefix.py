@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 from tracegauge.functions.text import TOKEN, approx_token_count
 from tracegauge.operators import prefix as P
@@ -52,6 +55,21 @@ def x1r(spark, d):
     return P.reuse_ratio(r, keys=["lang"]).withColumn("ratio", F.round("ratio", 9))
 
 
+@F.arrow_udf(ArrayType(StringType()))
+def whitespace_tokens(text: pa.Array) -> pa.Array:
+    """A stand-in for a model's tokenizer: whole Arrow batches in, token lists out."""
+    return pc.ascii_split_whitespace(pc.ascii_trim_whitespace(text))
+
+
+@query(
+    "U8_tokenizer_hook",
+    sql=_reuse_ctes("text").replace(f"regexp_extract_all(text, '{TOKEN}')", r"string_split_regex(trim(text, E' \t\n\x0B\f\r'), '[ \t\n\x0B\f\r]+')") + "SELECT seq, n_tokens, n_blocks, reused_blocks FROM r",
+)
+def u8(spark, d):
+    """Prefix reuse with a tokenizer of the caller's."""
+    return P.prefix_reuse(prompts(spark, d), tokenize=whitespace_tokens)
+
+
 GAPS = (50, 200, 1000)
 
 
