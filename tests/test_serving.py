@@ -10,7 +10,7 @@ from tracegauge.operators import ordered as O
 from tracegauge.operators import serving as S
 from tracegauge.operators import telemetry as T
 from tracegauge.operators import quantiles as Q
-from tracegauge.operators.quantiles import average_ranks, exact_quantiles, values_at_ranks, with_value_bucket
+from tracegauge.operators.quantiles import average_ranks, exact_quantiles, values_at_ranks
 
 
 def test_percentiles_of_1_to_100(spark):
@@ -63,8 +63,8 @@ def crowded(spark):
 
 def test_a_crowded_value_range_is_divided(spark):
     df, rows = crowded(spark)
-    counts = df.groupBy("k", "v").agg(F.count("*").alias("c"))
-    pieces = with_value_bucket(counts, ["k"], "v", 200).withColumnRenamed(O.BUCKET, "b").groupBy("k", "b").agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+    counts = Q.counted(df, ["k"], "v", crowded=200)[0]
+    pieces = counts.withColumnRenamed(O.BUCKET, "b").groupBy("k", "b").agg(F.count("*").alias("n"), F.min("_x").alias("lo"), F.max("_x").alias("hi"))
     hot = sorted((r for r in pieces.collect() if r.k == "hot"), key=lambda r: r.b)
     sizes = [r.n for r in hot]
     assert len(sizes) > 60 and max(sizes) <= 3 * np.median(sizes) and sum(sizes) == len({v for k, v in rows if k == "hot"})

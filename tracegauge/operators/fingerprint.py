@@ -9,6 +9,7 @@ from tracegauge.functions.text import approx_token_count, render_prompt
 from tracegauge.operators import serving as S
 from tracegauge.operators.prefix import prefix_reuse, reuse_ratio
 from tracegauge.operators.quantiles import exact_quantiles
+from tracegauge.session import written
 
 
 def traffic_class(
@@ -32,11 +33,14 @@ def traffic_class(
 
 
 def fingerprint(traces: DataFrame) -> DataFrame:
-    """One row describing the workload. ``ts`` is the completion time; start = ts - latency."""
+    """One row describing the workload. ``ts`` is the completion time; start = ts - latency.
+
+    The rendered traces are written once; each part of the row is a scalar subquery over them, so nothing is joined.
+    """
     one = F.lit("all").alias("w")
-    t = traces.withColumn("prompt", render_prompt(F.col("messages"))).withColumn(
+    t = written(traces.withColumn("prompt", render_prompt(F.col("messages"))).withColumn(
         "start", F.col("ts") - F.coalesce("latency_ms", F.lit(0.0)) / 1000.0
-    )
+    ), "traces")
     timed = t.where("ts IS NOT NULL").select(one, "start", "ts")
     arrivals = S.arrival_stats(timed, ["w"], "start").drop("n")
     steps = S.concurrency_steps(timed, ["w"], F.col("start"), F.col("ts"))
@@ -55,6 +59,7 @@ def fingerprint(traces: DataFrame) -> DataFrame:
     )
     reuse = reuse_ratio(prefix_reuse(t.select("seq", "prompt"))).select(one, F.col("ratio").alias("reuse_ratio"))
     j = base
-    for part in (arrivals, peak, inp, outp, models, reuse):
-        j = j.join(part, "w", "left")
+    for i, part in enumerate((arrivals, peak, inp, outp, models, reuse)):
+        names = [c for c in part.columns if c != "w"]
+        j = j.withColumn(f"_p{i}", part.select(F.struct(*names)).scalar()).select(*j.columns, f"_p{i}.*")
     return j.withColumn("traffic_class", traffic_class()).drop("w")

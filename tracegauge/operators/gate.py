@@ -13,8 +13,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracegauge.functions.stats import percent_change, t_quantile, welch
-from tracegauge.operators.ordered import BUCKET, neighbour, order_bucket, position, running_sum
-from tracegauge.operators.quantiles import exact_quantiles, with_value_bucket
+from tracegauge.operators.ordered import neighbour, order_bucket, position
+from tracegauge.operators.quantiles import counted, exact_quantiles, ranks_upto
+from tracegauge.session import written
 
 MIN_SAMPLES_PER_RUN = 20
 
@@ -99,45 +100,60 @@ def failure_rates(samples: DataFrame, keys: Sequence[str] = ("trial",)) -> DataF
     return per_run.groupBy(*keys, "side").agg(F.avg("f").alias("failure_rate"))
 
 
+def run_facts(samples: DataFrame, keys: Sequence[str] = ("trial",)) -> DataFrame:
+    """All that a verdict needs of a run, from one pass: log_mean as ``run_log_means`` has it, and the failed share (f), written.
+
+    A failed request has no latency, but its run counts.
+    """
+    ok = ~F.col("failed") if "failed" in samples.columns else F.lit(True)
+    x = F.when(ok, F.col("ttft_ms"))
+    g = samples.groupBy(*keys, "side", "run").agg(
+        F.count(x).alias("n"), F.min(x).alias("_min"), F.avg(F.when(x > 0, F.log(x))).alias("_m"), F.avg((~ok).cast("double")).alias("f"))
+    valid = (F.col("n") >= MIN_SAMPLES_PER_RUN) & (F.col("_min") > 0)
+    return written(g.select(*keys, "side", "run", "n", F.when(valid, F.col("_m")).alias("log_mean"), "f"), "runs")
+
+
 def gate(
-    samples: DataFrame, base: str, others: Sequence[str], policy: GatePolicy = GatePolicy(), keys: Sequence[str] = ("trial",)
+    samples: DataFrame, base: str, others: Sequence[str], policy: GatePolicy = GatePolicy(), keys: Sequence[str] = ("trial",),
+    runs: DataFrame | None = None,
 ) -> DataFrame:
     """Verdict per comparison. ``samples``: keys, side, run, ttft_ms and, where known, failed.
 
     Every pair of sides gives a row. Where a run of either side lacks samples, the point rule decides
-    (``rule`` = 'point'), and a side without any successful request gives 'error'.
+    (``rule`` = 'point'), and a side without any successful request gives 'error'. The samples are read once
+    (``run_facts``, which may be passed), and those of trials with such a run a second time.
     """
-    keys, has_failures = list(keys), "failed" in samples.columns
-    # a failed request has no latency, but its run counts
-    seen = samples.withColumn("ttft_ms", F.when(~F.col("failed"), F.col("ttft_ms"))) if has_failures else samples
-    pairs = pair_sides(side_stats(run_log_means(seen, [*keys, "side", "run"]), "log_mean", keys), base, others, keys)
+    keys = list(keys)
+    runs = run_facts(samples, keys) if runs is None else runs
+    stats = side_stats(runs, "log_mean", keys).join(runs.groupBy(*keys, "side").agg(F.avg("f").alias("failure_rate")), [*keys, "side"])
+    pairs = written(with_welch(pair_sides(stats, base, others, keys), policy.confidence), "pairs")
     whole = F.col("b_complete") & F.col("o_complete")
     short = pairs.where(~whole).select(*keys).distinct()
-    points = point_rule(seen.where("ttft_ms IS NOT NULL").join(short, keys, "left_semi"), base, others, policy, keys)
-    points = points.select(*keys, "other", *(F.col(c).alias(f"p_{c}") for c in ("baseline", "value", "change_pct", "separated", "verdict")))
-    w = with_welch(pairs, policy.confidence).join(points, [*keys, "other"], "left")
+    names = ("baseline", "value", "change_pct", "separated", "verdict")
+    if short.isEmpty():
+        types = {"separated": "boolean", "verdict": "string"}
+        w = pairs.withColumns({f"p_{c}": F.lit(None).cast(types.get(c, "double")) for c in names})
+    else:
+        seen = samples.where("NOT failed") if "failed" in samples.columns else samples
+        points = point_rule(seen.where("ttft_ms IS NOT NULL").join(short, keys, "left_semi"), base, others, policy, keys)
+        w = pairs.join(points.select(*keys, "other", *(F.col(c).alias(f"p_{c}") for c in names)), [*keys, "other"], "left")
     enough = whole & (F.least("b_runs", "o_runs") >= policy.min_runs)
     of_runs = F.when(enough, interval_verdict(F.col("ci_lo"), F.col("ci_hi"), F.col("change_pct"), policy)).otherwise("inconclusive")
     either = lambda x, point: F.when(whole, x).otherwise(F.col(point))
-    out = w.select(
+    verdict = F.coalesce(either(of_runs, "p_verdict"), F.lit("error"))
+    out = [
         *keys, "base", "other", "b_runs", "o_runs", F.when(whole, "interval").otherwise("point").alias("rule"),
         either(F.exp("b_mean"), "p_baseline").alias("baseline"), either(F.exp("o_mean"), "p_value").alias("value"),
         *(F.when(whole, F.col(c)).alias(c) for c in ("d", "se", "df")),
         either(F.col("change_pct"), "p_change_pct").alias("change_pct"),
         F.when(enough, F.col("ci_lo")).alias("ci_lo"), F.when(enough, F.col("ci_hi")).alias("ci_hi"),
         either(F.round(F.exp("o_min"), 1) > F.round(F.exp("b_max"), 1), "p_separated").alias("separated"),
-        F.coalesce(either(of_runs, "p_verdict"), F.lit("error")).alias("verdict"),
-    )
-    if not has_failures:
-        return out.withColumn("failed_more", F.lit(False))
-    f = pair_sides(failure_rates(samples, keys), base, others, keys).select(
-        *keys, "other", F.col("b_failure_rate"), F.col("o_failure_rate")
-    )
-    j = out.join(f, [*keys, "other"], "left")
+    ]
+    if "failed" not in samples.columns:
+        return w.select(*out, verdict.alias("verdict"), F.lit(False).alias("failed_more"))
     worse = F.coalesce(F.col("o_failure_rate") - F.col("b_failure_rate") > policy.max_extra_failure_rate, F.lit(False))
-    return j.withColumn("failed_more", worse).withColumn(
-        "verdict", F.when(worse & (F.col("verdict") != "error"), "block").otherwise(F.col("verdict"))
-    )
+    decided = F.when(worse & (verdict != "error"), "block").otherwise(verdict)
+    return w.select(*out, decided.alias("verdict"), "b_failure_rate", "o_failure_rate", worse.alias("failed_more"))
 
 
 def tail_advisory(samples: DataFrame, base: str, others: Sequence[str], policy: GatePolicy = GatePolicy()) -> DataFrame:
@@ -173,8 +189,9 @@ def point_rule(
 
 def repair_acceptance(samples: DataFrame, policy: GatePolicy = GatePolicy()) -> DataFrame:
     """Accept a candidate only if it is shown faster than the head and bounded against the base."""
-    vs_base = gate(samples, "base", ["head", "candidate"], policy)
-    vs_head = gate(samples, "head", ["candidate"], policy)
+    runs = run_facts(samples)
+    vs_base = gate(samples, "base", ["head", "candidate"], policy, runs=runs)
+    vs_head = gate(samples, "head", ["candidate"], policy, runs=runs)
     one = lambda df, other, tag: df.where(F.col("other") == other).select(
         "trial", F.col("ci_hi").alias(f"hi_{tag}"), F.col("ci_lo").alias(f"lo_{tag}"),
         F.col("verdict").alias(f"verdict_{tag}"), F.col("failed_more").alias(f"failed_{tag}"),
@@ -202,17 +219,17 @@ def run_statistics(samples: DataFrame, keys: Sequence[str] = RUN_KEYS) -> DataFr
     base = samples.groupBy(*keys).agg(
         F.count("ttft_ms").alias("n"), F.avg(F.log("ttft_ms")).alias("gmean"), F.log(F.avg("ttft_ms")).alias("mean")
     )
-    q = exact_quantiles(samples, keys, "ttft_ms", {"p50": 0.5, "p75": 0.75, "p90": 0.9, "p95": 0.95}).select(
+    held = counted(samples, keys, "ttft_ms")
+    q = exact_quantiles(samples, keys, "ttft_ms", {"p50": 0.5, "p75": 0.75, "p90": 0.9, "p95": 0.95}, held=held).select(
         *keys, *[F.log(c).alias(c) for c in ("p50", "p75", "p90", "p95")]
     )
-    counts = samples.groupBy(*keys, "ttft_ms").agg(F.count("*").alias("_c"))
-    upto = running_sum(with_value_bucket(counts, keys, "ttft_ms"), keys, [F.col("ttft_ms")], F.col(BUCKET), F.col("_c"), "_upto")
+    upto = ranks_upto(keys, held)
     sized = upto.join(base.select(*keys, "n"), keys)
     k = F.greatest(F.lit(1).cast("long"), F.floor(F.col("n") * 0.1))
     kept = F.greatest(
         F.lit(0).cast("long"), F.least(F.col("_upto"), F.col("n") - k) - F.greatest(F.col("_upto") - F.col("_c"), k)
     )
-    trim = sized.groupBy(*keys).agg(F.log(F.sum(kept * F.col("ttft_ms")) / F.sum(kept)).alias("trim"))
+    trim = sized.groupBy(*keys).agg(F.log(F.sum(kept * F.col("_x")) / F.sum(kept)).alias("trim"))
     return base.join(q, keys).join(trim, keys)
 
 
@@ -311,25 +328,39 @@ def slowest_positions(samples: DataFrame, keys: Sequence[str] = RUN_KEYS, top: i
 
 
 def trial_summary(trials: DataFrame, affected: DataFrame) -> DataFrame:
-    """Per set: verdict counts, coverage and spread, without the affected trials and with them."""
+    """Per set: verdict counts, coverage and spread, without the affected trials and with them.
+
+    Medians come from counted values, so a set may hold any number of trials.
+    """
     clean = trials.join(affected.select("set", "trial").distinct(), ["set", "trial"], "left_anti")
     both = clean.withColumn("affected_included", F.lit(False)).unionByName(trials.withColumn("affected_included", F.lit(True)))
+    both = written(both.withColumn("_width", F.col("ci_hi") - F.col("ci_lo")), "trials")
     is_ = lambda v: F.count_if(F.col("verdict") == v)
-    return both.groupBy("set", "affected_included").agg(
+    keys = ["set", "affected_included"]
+    counts = both.groupBy(*keys).agg(
         F.count("*").alias("trials"), is_("pass").alias("n_pass"), is_("inconclusive").alias("n_inconclusive"),
         is_("warn").alias("n_warn"), is_("block").alias("n_block"),
         F.count_if((F.col("ci_lo") <= 0) & (F.col("ci_hi") >= 0)).alias("covers_zero"),
-        F.median("change_pct").alias("change_median"), F.min("change_pct").alias("change_min"),
-        F.max("change_pct").alias("change_max"), F.median(F.col("ci_hi") - F.col("ci_lo")).alias("width_median"),
+        F.min("change_pct").alias("change_min"), F.max("change_pct").alias("change_max"),
     )
+    return with_medians(counts, both, keys, {"change_median": "change_pct", "width_median": "_width"})
+
+
+def with_medians(groups: DataFrame, rows: DataFrame, keys: Sequence[str], medians: dict[str, str]) -> DataFrame:
+    """The groups with the exact median of each named column of their rows (NULL where all are)."""
+    for name, value in medians.items():
+        q = exact_quantiles(rows, keys, value, {name: 0.5}).select(*[F.col(k).alias(f"_q_{k}") for k in keys], name)
+        groups = groups.join(q, [F.col(k).eqNullSafe(F.col(f"_q_{k}")) for k in keys], "left").drop(*[f"_q_{k}" for k in keys])
+    return groups
 
 
 def tail_summary(tail: DataFrame, tol: float = 10.0) -> DataFrame:
     """How often the advisory interval rules a tail regression out, establishes one, or neither."""
     out, est = F.col("ci_hi") <= tol, F.col("ci_lo") > tol
-    return tail.groupBy("other").agg(
+    rows = written(tail.withColumn("_width", F.col("ci_hi") - F.col("ci_lo")), "tail")
+    counts = rows.groupBy("other").agg(
         F.count("*").alias("n"), F.count_if(out).alias("ruled_out"), F.count_if(est).alias("established"),
-        F.count_if(~(out | est)).alias("unresolved"), F.median("change_pct").alias("change_median"),
+        F.count_if(~(out | est)).alias("unresolved"),
         F.min("change_pct").alias("change_min"), F.max("change_pct").alias("change_max"),
-        F.median(F.col("ci_hi") - F.col("ci_lo")).alias("width_median"),
     )
+    return with_medians(counts, rows, ["other"], {"change_median": "change_pct", "width_median": "_width"})

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tracegauge.functions.stats import percent_change, t_quantile, welch
 from tracegauge.operators.ordered import splitters
+from tracegauge.session import written
 
 
 @dataclass(frozen=True)
@@ -57,7 +58,11 @@ def paired_difference(quality: DataFrame, baseline: str, policy: ChoicePolicy =
 
 
 def feasibility(runs: DataFrame, quality: DataFrame, baseline: str, policy: ChoicePolicy) -> DataFrame:
-    """Medians plus why a config is not feasible: failures, latency, quality not shown within tolerance."""
+    """Medians plus why a config is not feasible: failures, latency, quality not shown within tolerance.
+
+    Runs and quality shares are written once, since each is read several times; so is the result.
+    """
+    runs, quality = written(runs, "runs"), written(quality, "quality")
     m = config_medians(runs)
     diffs = paired_difference(quality, baseline, policy)
     missed = (F.col("config") != baseline) & (F.col("lo_pts") < -policy.quality_tol_pts)
@@ -69,10 +74,10 @@ def feasibility(runs: DataFrame, quality: DataFrame, baseline: str, policy: Choi
     too_slow = F.col("ttft_p95_ms") > policy.slo_ttft_p95_ms
     fails = F.col("failure_rate") > policy.max_failure_rate
     bad_quality = (F.coalesce("_missed", F.lit(0)) > 0) | (F.coalesce("_orphan", F.lit(0)) > 0)
-    return j.withColumns({
+    return written(j.withColumns({
         "fails": fails, "too_slow": too_slow, "quality_not_shown": bad_quality,
         "feasible": ~(fails | too_slow | bad_quality), "baseline": F.col("config") == baseline,
-    }).drop("_missed", "_orphan")
+    }).drop("_missed", "_orphan"), "feasible")
 
 
 #: Distinct points of a piece of the Pareto sweep, on the average.
@@ -186,6 +191,7 @@ def _ratio_interval(runs: DataFrame, metric: str, targets: DataFrame, baseline:
 
 def confirm(runs: DataFrame, quality: DataFrame, targets: DataFrame, baseline: str, policy: ChoicePolicy = ChoicePolicy()) -> DataFrame:
     """Outcome of an independent rerun: confirmed, no improvement, constraints, or inconclusive."""
+    runs, quality = written(runs, "runs"), written(quality, "quality")
     t = targets.where("target IS NOT NULL")
     g = _ratio_interval(runs, "goodput_rps", t, baseline, policy, "goodput")
     p = _ratio_interval(runs, "ttft_p95_ms", t, baseline, policy, "ttft")

@@ -4,17 +4,19 @@
 may hold a third of all rows the functions here count equal values first (map-side combined),
 locate the wanted ranks in a value histogram of bounded size, and sort only the buckets that hold
 those ranks. A bucket with too many distinct values is divided at the cut points of a quantile
-sketch of its key (``with_value_bucket``), so values that lie close together spread like any others.
+sketch of its key (``divided``), so values that lie close together spread like any others. The counts and the histogram
+are written while the plan is built: these functions are actions, and their results read small tables.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracegauge.operators.ordered import BUCKET, log_bucket, place, running_sum
+from tracegauge.operators.ordered import BUCKET, log_bucket, place
+from tracegauge.session import written
 
 #: Distinct values of a log bucket beyond which it is divided, about so many to a piece.
 CROWDED = 1_000_000
@@ -22,31 +24,42 @@ CROWDED = 1_000_000
 SKETCH = 1024
 
 
-def with_value_bucket(counts: DataFrame, keys: Sequence[str], value: str, crowded: int | None = None) -> DataFrame:
-    """``counts`` (one row per distinct key and value) with the bucket of ``value``: non-decreasing, and never crowded.
+def counted(df: DataFrame, keys: Sequence[str], value: str, count: Column | None = None, crowded: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(keys, _x, _c, bucket), a row per distinct key and value with its count, and (keys, bucket, _bc, _bs), a row per bucket.
 
-    The log bucket, divided where it holds more than ``crowded`` distinct values. The cut points come from a quantile
-    sketch of those buckets alone. They are one sorted array, a scalar subquery with one entry per ``crowded`` values, and a
-    value's piece is the number of cut points up to it, found by halving; without crowded buckets the array is empty.
+    Both are written: every later step reads them, and none computes the rows again. The bucket never decreases with the
+    value. It is the log bucket, divided where that holds more than ``crowded`` distinct values. The cut points come
+    from a quantile sketch of those buckets alone; they are one sorted array, a scalar subquery with one entry per
+    ``crowded`` values, and a value's piece is the number of cut points up to it, found by halving.
     """
-    crowded, x = crowded or CROWDED, F.col(value).cast("double")
-    # by the buckets' numbers, so that an empty table of crowded ones ends the work here
-    named = counts.select(*keys, x.alias("_x")).withColumn("_lb", log_bucket(F.col("_x")))
-    full = named.groupBy(*keys, "_lb").agg(F.count("*").alias("_d")).where(F.col("_d") > crowded)
-    full = full.select(*[F.col(k).alias(f"_f_{k}") for k in keys], F.col("_lb").alias("_fb"), "_d")
-    same = [named[k].eqNullSafe(full[f"_f_{k}"]) for k in keys] + [named["_lb"] == full["_fb"]]
+    crowded, keys = crowded or CROWDED, list(keys)
+    held = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("_x")).agg((F.count("*") if count is None else F.sum(count)).alias("_c"))
+    counts = written(held.withColumn(BUCKET, log_bucket(F.col("_x"))), "counts")
+    parts = lambda c: c.groupBy(*keys, BUCKET).agg(F.count("*").alias("_d"), F.sum("_c").alias("_bc"), F.sum(F.col("_x") * F.col("_c")).alias("_bs"))
+    hist = written(parts(counts), "buckets")
+    full = hist.where(F.col("_d") > crowded)
+    if not full.isEmpty():
+        counts = divided(counts, full, keys, crowded)
+        hist = parts(counts)
+    return counts, hist
+
+
+def divided(counts: DataFrame, full: DataFrame, keys: Sequence[str], crowded: int) -> DataFrame:
+    """The counts with the buckets in ``full`` cut at quantiles of their values."""
+    full = full.select(*[F.col(k).alias(f"_f_{k}") for k in keys], F.col(BUCKET).alias("_fb"), "_d")
+    same = [F.col(k).eqNullSafe(F.col(f"_f_{k}")) for k in keys] + [F.col(BUCKET) == F.col("_fb")]
     sketch = F.percentile_approx("_x", [i / SKETCH for i in range(1, SKETCH)], 16 * SKETCH)
-    cuts = named.join(full, same).groupBy(*keys, "_lb").agg(F.max("_d").alias("_d"), sketch.alias("_q"))
+    cuts = counts.join(full, same).groupBy(*keys, BUCKET).agg(F.max("_d").alias("_d"), sketch.alias("_q"))
     step = F.greatest(F.lit(1), F.floor(F.lit(SKETCH) / F.ceil(F.col("_d") / crowded))).cast("int")
     some = F.filter("_q", lambda q, i: (i + 1) % step == 0)
-    points = cuts.select(*keys, F.explode(some).alias("_x")).distinct()
-    points = points.agg(F.array_sort(F.collect_list(F.struct(*keys, "_x"))))
-    own = F.struct(*[F.col(k) for k in keys], x.alias("_x"))
-    return counts.withColumn("_cuts", points.scalar()).withColumn(BUCKET, log_bucket(x) * (1 << 32) + place(F.col("_cuts"), own)).drop("_cuts")
+    points = written(cuts.select(*keys, F.explode(some).alias("_x")).distinct(), "cuts").agg(F.array_sort(F.collect_list(F.struct(*keys, "_x"))))
+    piece = place(F.col("_cuts"), F.struct(*keys, "_x"))
+    return counts.withColumn("_cuts", points.scalar()).withColumn(BUCKET, F.col(BUCKET) * (1 << 32) + piece).drop("_cuts")
 
 
 def exact_quantiles(
-    df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float], *, mean: str | None = None
+    df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float], *, mean: str | None = None,
+    held: tuple[DataFrame, DataFrame] | None = None,
 ) -> DataFrame:
     """Linear-interpolated quantiles per key: one row per key, one column per entry of ``probs``.
 
@@ -54,25 +67,16 @@ def exact_quantiles(
     two neighbouring order statistics. NULL values are ignored; ``n`` is the non-NULL count.
     """
     keys = list(keys)
-    counts = (
-        df.where(F.col(value).isNotNull())
-        .groupBy(*keys, F.col(value).cast("double").alias("_x"))
-        .agg(F.count("*").alias("_c"))
-    )
-    counts = with_value_bucket(counts, keys, "_x")
+    counts, parts = held or counted(df, keys, value)
     up_to = Window.partitionBy(*keys).orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, 0)
     whole = Window.partitionBy(*keys)
-    hist = (
-        counts.groupBy(*keys, BUCKET)
-        .agg(F.sum("_c").alias("_bc"), F.sum(F.col("_x") * F.col("_c")).alias("_bs"))
-        .select(
-            *keys,
-            BUCKET,
-            (F.sum("_bc").over(up_to) - F.col("_bc")).alias("_before"),
-            "_bc",
-            F.sum("_bc").over(whole).alias("n"),
-            F.sum("_bs").over(whole).alias("_sum"),
-        )
+    hist = parts.select(
+        *keys,
+        BUCKET,
+        (F.sum("_bc").over(up_to) - F.col("_bc")).alias("_before"),
+        "_bc",
+        F.sum("_bc").over(whole).alias("n"),
+        F.sum("_bs").over(whole).alias("_sum"),
     )
     wanted = F.array_distinct(
         F.flatten(
@@ -82,17 +86,15 @@ def exact_quantiles(
             ])
         )
     )
-    held = hist.withColumn(
+    hit = hist.withColumn(
         "_ranks",
         F.filter(wanted, lambda r: (r >= F.col("_before")) & (r < F.col("_before") + F.col("_bc"))),
     ).where(F.size("_ranks") > 0).withColumnRenamed(BUCKET, "_hb")
-    held = held.select(*[F.col(k).alias(f"_h_{k}") for k in keys], "_hb", "_before", "n", "_sum", "_ranks")
-    # null-safe on the bucket too: a plain equality would add a filter below one of the two uses of
-    # ``counts`` only, and the counting shuffle could no longer be shared
-    cond = [counts[k].eqNullSafe(held[f"_h_{k}"]) for k in keys] + [counts[BUCKET].eqNullSafe(held["_hb"])]
+    hit = hit.select(*[F.col(k).alias(f"_h_{k}") for k in keys], "_hb", "_before", "n", "_sum", "_ranks")
+    cond = [F.col(k).eqNullSafe(F.col(f"_h_{k}")) for k in keys] + [F.col(BUCKET) == F.col("_hb")]
     in_bucket = Window.partitionBy(*keys, BUCKET).orderBy("_x").rowsBetween(Window.unboundedPreceding, 0)
     found = (
-        counts.join(held, cond)
+        counts.join(hit, cond)
         .withColumn("_to", F.col("_before") + F.sum("_c").over(in_bucket))
         .withColumn("_from", F.col("_to") - F.col("_c"))
         .select(
@@ -119,13 +121,22 @@ def exact_quantiles(
     return per_key.select(*out)
 
 
-def average_ranks(df: DataFrame, keys: Sequence[str], value: str, out: str) -> DataFrame:
+def ranks_upto(keys: Sequence[str], held: tuple[DataFrame, DataFrame]) -> DataFrame:
+    """(keys, _x, _c, _upto): every distinct value of ``counted`` with its count and the rows up to it."""
+    counts, parts = held
+    before = Window.partitionBy(*keys).orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
+    carry = parts.select(*[F.col(k).alias(f"_h_{k}") for k in keys], F.col(BUCKET).alias("_hb"), F.coalesce(F.sum("_bc").over(before), F.lit(0)).alias("_before"))
+    inside = Window.partitionBy(*keys, BUCKET).orderBy("_x").rowsBetween(Window.unboundedPreceding, 0)
+    local = counts.withColumn("_upto", F.sum("_c").over(inside))
+    cond = [F.col(k).eqNullSafe(F.col(f"_h_{k}")) for k in keys] + [F.col(BUCKET) == F.col("_hb")]
+    return local.join(carry, cond).select(*keys, "_x", "_c", (F.col("_upto") + F.col("_before")).alias("_upto"))
+
+
+def average_ranks(df: DataFrame, keys: Sequence[str], value: str, out: str, count: Column | None = None) -> DataFrame:
     """One row per distinct (key, value) with its 1-based rank, ties sharing their mean rank."""
-    counts = df.groupBy(*keys, value).agg(F.count("*").alias("_c"))
-    counts = with_value_bucket(counts, keys, value)
-    upto = running_sum(counts, keys, [F.col(value)], F.col(BUCKET), F.col("_c"), "_upto")
+    kind = df.select(value).schema[0].dataType
     rank = F.col("_upto") - (F.col("_c") - 1).cast("double") / 2.0
-    return upto.select(*keys, value, rank.alias(out), "_c")
+    return ranks_upto(keys, counted(df, keys, value, count)).select(*keys, F.col("_x").cast(kind).alias(value), rank.alias(out), "_c")
 
 
 def values_at_ranks(df: DataFrame, keys: Sequence[str], value: str, ranks: DataFrame) -> DataFrame:
@@ -134,14 +145,9 @@ def values_at_ranks(df: DataFrame, keys: Sequence[str], value: str, ranks: DataF
     Two as-of steps: a rank finds its histogram bucket, then its value inside the bucket.
     """
     keys = list(keys)
-    counts = (
-        df.where(F.col(value).isNotNull())
-        .groupBy(*keys, F.col(value).cast("double").alias("_x"))
-        .agg(F.count("*").alias("_c"))
-    )
-    counts = with_value_bucket(counts, keys, "_x")
+    counts, parts = counted(df, keys, value)
     prior = Window.partitionBy(*keys).orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
-    hist = counts.groupBy(*keys, BUCKET).agg(F.sum("_c").alias("_bc")).select(
+    hist = parts.select(
         *keys, F.coalesce(F.sum("_bc").over(prior), F.lit(0)).alias("_pos"), F.lit(0).alias("_side"), F.col(BUCKET).alias("_hb")
     )
     r = ranks.select(*keys, F.col("rank").cast("long").alias("_pos")).distinct().withColumn("_side", F.lit(1))
@@ -156,8 +162,9 @@ def values_at_ranks(df: DataFrame, keys: Sequence[str], value: str, ranks: DataF
         .select(*keys, BUCKET, (F.col("_pos") - F.col("_base")).alias("_pos"), F.lit(1).alias("_side"), F.col("_pos").alias("rank"))
     )
     inside = Window.partitionBy(*keys, BUCKET).orderBy("_x").rowsBetween(Window.unboundedPreceding, 0)
+    placed = written(placed, "placed")
     wanted = placed.select(*[F.col(k).alias(f"_w_{k}") for k in keys], F.col(BUCKET).alias("_wb")).distinct()
-    cond = [counts[k].eqNullSafe(wanted[f"_w_{k}"]) for k in keys] + [counts[BUCKET].eqNullSafe(wanted["_wb"])]
+    cond = [F.col(k).eqNullSafe(F.col(f"_w_{k}")) for k in keys] + [F.col(BUCKET) == F.col("_wb")]
     start = counts.join(wanted, cond, "left_semi").select(*keys, BUCKET, (F.sum("_c").over(inside) - F.col("_c")).alias("_pos"), F.lit(0).alias("_side"), "_x")
     asof = Window.partitionBy(*keys, BUCKET).orderBy("_pos", "_side").rowsBetween(Window.unboundedPreceding, 0)
     return (

@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracegauge.functions.serving import counter_delta, ratio
-from tracegauge.operators.ordered import BUCKET, ROWS_PER_BUCKET, last_known, neighbour, order_bucket, running_sum, splitters, time_bucket
-from tracegauge.operators.quantiles import with_value_bucket
+from tracegauge.operators.ordered import ROWS_PER_BUCKET, last_known, neighbour, order_bucket, running_sum, splitters, time_bucket
+from tracegauge.operators.quantiles import average_ranks
+from tracegauge.session import written
 
 # The metrics a server may expose.
 GAUGES = (
@@ -164,9 +165,9 @@ def spearman(df: DataFrame, keys: Sequence[str], x: str, y: str) -> DataFrame:
     Works on distinct (x, y) pairs with counts, so repeated values cost one row each.
     """
     keys = list(keys)
-    pairs = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(*keys, x, y).agg(F.count("*").alias("_n"))
-    rx = _weighted_ranks(pairs, keys, x, "_rx")
-    ry = _weighted_ranks(pairs, keys, y, "_ry")
+    pairs = written(df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(*keys, x, y).agg(F.count("*").alias("_n")), "pairs")
+    rx = average_ranks(pairs, keys, x, "_rx", F.col("_n")).drop("_c")
+    ry = average_ranks(pairs, keys, y, "_ry", F.col("_n")).drop("_c")
     j = pairs.join(rx, [*keys, x]).join(ry, [*keys, y])
     n = F.sum("_n")
     w = F.col("_n")
@@ -185,12 +186,6 @@ def spearman(df: DataFrame, keys: Sequence[str], x: str, y: str) -> DataFrame:
     return s.select(*keys, "n", "state_max", rho.alias("rho"))
 
 
-def _weighted_ranks(pairs: DataFrame, keys: Sequence[str], value: str, out: str) -> DataFrame:
-    counts = pairs.groupBy(*keys, value).agg(F.sum("_n").alias("_c"))
-    upto = running_sum(with_value_bucket(counts, keys, value), keys, [F.col(value)], F.col(BUCKET), F.col("_c"), "_upto")
-    return upto.select(*keys, value, (F.col("_upto") - (F.col("_c") - 1).cast("double") / 2.0).alias(out))
-
-
 def sliding_count(events: DataFrame, keys: Sequence[str], t: str, seconds: float, out: str, rows: int | None = None) -> DataFrame:
     """Events of the key in the ``seconds`` before and including each row.
 

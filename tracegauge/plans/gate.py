@@ -9,6 +9,7 @@ from tracegauge.operators import gate as G
 from tracegauge.operators.audit import close, verdict_mismatches
 from tracegauge.operators.quantiles import exact_quantiles
 from tracegauge.plans import views as V
+from tracegauge.session import written
 from tracegauge.plans.registry import query, sql_view, t_quantile_ctes
 
 sql_view(
@@ -202,14 +203,13 @@ def a38(spark, d):
 def a39(spark, d):
     """The candidate side carries no drift, so any change it shows is noise."""
     t = _trials(spark, d).where("set = 'candidate'")
-    width = F.col("ci_hi") - F.col("ci_lo")
-    return t.agg(
-        F.count("*").alias("trials"), F.round(F.median("change_pct"), 5).alias("change_median"),
-        F.round(F.median(F.abs("change_pct")), 5).alias("abs_median"), F.round(F.max(F.abs("change_pct")), 5).alias("abs_max"),
-        F.count_if("separated").alias("separated_by_chance"),
-        F.count_if((F.col("ci_lo") <= 0) & (F.col("ci_hi") >= 0)).alias("covers_zero"),
-        F.round(F.median(width), 5).alias("width_median"), F.round(F.max(width), 5).alias("width_max"),
+    t = written(t.withColumns({"_abs": F.abs("change_pct"), "_width": F.col("ci_hi") - F.col("ci_lo")}), "trials")
+    n = t.groupBy("set").agg(
+        F.count("*").alias("trials"), F.max("_abs").alias("abs_max"), F.count_if("separated").alias("separated_by_chance"),
+        F.count_if((F.col("ci_lo") <= 0) & (F.col("ci_hi") >= 0)).alias("covers_zero"), F.max("_width").alias("width_max"),
     )
+    m = G.with_medians(n, t, ["set"], {"change_median": "change_pct", "abs_median": "_abs", "width_median": "_width"})
+    return m.select("trials", "separated_by_chance", "covers_zero", *[F.round(c, 5).alias(c) for c in ("change_median", "abs_median", "abs_max", "width_median", "width_max")])
 
 
 @query(

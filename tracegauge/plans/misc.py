@@ -130,13 +130,13 @@ def _replicates(name: str, source: str, keys: str, value: str, probs: tuple[floa
     return f"""{name}_n AS (SELECT {keys}, count(*)::DOUBLE AS n, list_sort(list({value}::DOUBLE)) AS xs FROM {source} WHERE {value} IS NOT NULL GROUP BY {keys} HAVING count(*) >= 20),
     {name}_e AS (SELECT {keys}, n, prob, rep, floor(prob * (n - 1)) + 1.0 AS k, prob * (n - 1) - floor(prob * (n - 1)) AS frac
       FROM {name}_n, (SELECT unnest({list(probs)}::DOUBLE[]) AS prob), (SELECT unnest(range(0, {reps})) AS rep)),
-    {name}_t AS (SELECT *, md5({key} || side || ':' || i::VARCHAR) AS dg, CASE side WHEN 'a' THEN k ELSE n - k + 1 END - 1.0::DOUBLE / 3.0::DOUBLE AS d
-      FROM {name}_e, (SELECT unnest(['a', 'b']) AS side), (SELECT unnest(range(0, {ST.GAMMA_TRIES})) AS i)),
+    {name}_t AS (SELECT *, md5({key} || arm || ':' || i::VARCHAR) AS dg, CASE arm WHEN 'a' THEN k ELSE n - k + 1 END - 1.0::DOUBLE / 3.0::DOUBLE AS d
+      FROM {name}_e, (SELECT unnest(['a', 'b']) AS arm), (SELECT unnest(range(0, {ST.GAMMA_TRIES})) AS i)),
     {name}_x AS (SELECT *, {_normal('dg')} AS x FROM {name}_t),
     {name}_v AS (SELECT *, pow(1.0 + x / sqrt(9.0 * d), 3.0) AS v FROM {name}_x),
     {name}_ok AS (SELECT *, CASE WHEN v > 0 THEN ln({_uniform('dg', 2)}) < 0.5 * x * x + d - d * v + d * ln(v) ELSE FALSE END AS ok FROM {name}_v),
-    {name}_g AS (SELECT {keys}, prob, rep, side, coalesce(arg_min(d * v, i) FILTER (ok), any_value(d)) AS g FROM {name}_ok GROUP BY {keys}, prob, rep, side),
-    {name}_u AS (SELECT {keys}, prob, rep, max(g) FILTER (side = 'a') / (max(g) FILTER (side = 'a') + max(g) FILTER (side = 'b')) AS u FROM {name}_g GROUP BY {keys}, prob, rep),
+    {name}_g AS (SELECT {keys}, prob, rep, arm, coalesce(arg_min(d * v, i) FILTER (ok), any_value(d)) AS g FROM {name}_ok GROUP BY {keys}, prob, rep, arm),
+    {name}_u AS (SELECT {keys}, prob, rep, max(g) FILTER (arm = 'a') / (max(g) FILTER (arm = 'a') + max(g) FILTER (arm = 'b')) AS u FROM {name}_g GROUP BY {keys}, prob, rep),
     {name}_w AS (SELECT *, CASE WHEN n - k > 0 THEN 1 - (1 - u) * pow({_uniform(f"md5({key} || 'next')")}, 1.0 / (n - k)) ELSE u END AS w FROM {name}_u JOIN {name}_e USING ({keys}, prob, rep)),
     {name}_r AS (SELECT {keys}, prob, rep, frac, least(floor(u * n), n - 1)::BIGINT + 1 AS lo, least(floor(w * n), n - 1)::BIGINT + 1 AS hi FROM {name}_w),
     {name} AS (SELECT {keys}, prob, rep, xs[lo] + (xs[hi] - xs[lo]) * frac AS v FROM {name}_r JOIN {name}_n USING ({keys}))"""

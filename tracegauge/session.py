@@ -49,10 +49,14 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a table in the shared checkpoint folder: computed once, its lineage ends, a lost executor costs nothing.
 
-    Unlike an eager checkpoint it does not compute the rows twice.
+    Unlike an eager checkpoint it does not compute the rows twice. A table that was written here stays as it is.
     """
+    if getattr(df, "_written", False):
+        return df
     spark, schema = df.sparkSession, df.schema
     ensure_checkpoint_dir(spark)
     path = f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(schema).parquet(path)
+    out = spark.read.schema(schema).parquet(path)
+    out._written = True
+    return out
