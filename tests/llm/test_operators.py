@@ -30,6 +30,8 @@ def test_quality_edges(spark):
     assert got[4, texts[4][1]].n_repeat_words == 400 and got[4, texts[4][1]].base_failed
     assert not got[5, texts[7][1]].kept
     kept = quality.clean(df)
+    plans = [x._jdf.queryExecution().optimizedPlan().toString().count("sort_array(transform") for x in (quality.assess(df), kept)]
+    assert plans[0] == plans[1] > 0  # no rule is evaluated twice
     assert kept.columns == df.columns and kept.count() == 4 and quality.clean(df.limit(0)).count() == 0
 
 

@@ -109,7 +109,10 @@ def assess(docs: DataFrame, text: str = "text", into: str = "quality") -> DataFr
 def clean(docs: DataFrame, text: str = "text", n_chars: str | None = "n_chars") -> DataFrame:
     """Kept documents with failing lines removed, in the columns of ``docs``."""
     into = "_".join(["quality", *docs.columns])
-    kept = assess(docs, text, into).where(F.col(into)["kept"])
+    # judged once: without the one-element generator the filter would be pushed below and every rule run again above it
+    judged = assess(docs, text, into)
+    once = judged.select(*(f"`{c}`" for c in docs.columns), F.explode_outer(F.array(F.col(into))).alias(into))
+    kept = once.where(F.col(into)["kept"])
     out = {text: F.col(into)["cleaned"]}
     if n_chars in docs.columns:
         out[n_chars] = F.length(F.col(into)["cleaned"]).cast(docs.schema[n_chars].dataType)

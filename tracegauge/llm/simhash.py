@@ -70,7 +70,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text: str = "text") ->
 
     def make():
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            memo: dict[int, int] = {}
+            memo: dict[bytes, int] = {}
             values = []
             for key, t in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 if key not in memo:
@@ -83,11 +83,12 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text: str = "text") ->
 
     kind = docs.select(id_col).schema[0].dataType.simpleString()
     rows = docs.select(F.col(id_col), text_key(F.col(text)).alias("key"), F.col(text))
-    return map_batches(rows, make, f"`{id_col}` {kind}, key bigint, fp bigint")
+    return map_batches(rows, make, f"`{id_col}` {kind}, key binary, fp bigint")
 
 
 def text_key(text):
-    return F.xxhash64(F.coalesce(text, F.lit("")))
+    """A 128-bit name of the text."""
+    return F.unhex(F.md5(F.coalesce(text, F.lit("")).cast("binary")))
 
 
 # --- the tables ----------------------------------------------------------------------------------
@@ -258,10 +259,17 @@ def clean(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFr
 
 def keep_one(docs: DataFrame, found: DataFrame, id_col: str, text: str) -> DataFrame:
     """The chosen document of each root in ``found`` (id, key, root)."""
-    key = "_".join(["key", *docs.columns])
-    # one row per component; nulls last among the ids
+    return keep_chosen(docs, chosen_rows(found, id_col), id_col, text)
+
+
+def chosen_rows(found: DataFrame, id_col: str) -> DataFrame:
+    """(kept_id, kept_key) of each root: the smallest id, nulls last, then the smallest key."""
     chosen = found.groupBy("root").agg(F.min(F.struct(F.col(id_col).isNull().alias("n"), F.col(id_col).alias("i"), F.col("key").alias("k"))).alias("s"))
-    kept = chosen.select(F.col("s.i").alias("kept_id"), F.col("s.k").alias("kept_key"))
+    return chosen.select(F.col("s.i").alias("kept_id"), F.col("s.k").alias("kept_key"))
+
+
+def keep_chosen(docs: DataFrame, kept: DataFrame, id_col: str, text: str) -> DataFrame:
+    key = "_".join(["key", *docs.columns])
     marked = docs.withColumn(key, text_key(F.col(text)))
     joined = marked.join(kept, F.col(id_col).eqNullSafe(F.col("kept_id")) & (F.col(key) == F.col("kept_key")), "left_semi")
     return joined.dropDuplicates([id_col, key]).select(*(f"`{c}`" for c in docs.columns))
