@@ -204,9 +204,9 @@ def passages(units, n, seed):
     return rows + rows[:6]
 
 
-@pytest.mark.parametrize("hot", [repeats.HOT_GROUP, 3])
+@pytest.mark.parametrize("hot", [repeats.GROUP, 3])
 def test_repeated_bytes_and_words_equal_a_plain_search(spark, monkeypatch, hot):
-    monkeypatch.setattr(repeats, "HOT_GROUP", hot)
+    monkeypatch.setattr(repeats, "GROUP", hot)
     rows = passages("abé \n", 40, 1)
     df = frame(spark, [(i, "".join(p)) for i, p in rows] + [(900, None), (901, "")])
     got = Counter((r.doc_id, r.n_bytes, r.n_removed, bytes(r.kept)) for r in suffixes.remove_repeats(df).collect())
@@ -217,6 +217,42 @@ def test_repeated_bytes_and_words_equal_a_plain_search(spark, monkeypatch, hot):
     assert got == Counter((i, n, g, " ".join(k)) for i, n, g, k in plain_removal([*rows, (900, []), (901, [])], 50))
 
 
+def common_passage(words, n, length, seed):
+    """Most texts hold one passage, whole or from a place on, between words of their own; some of those are shared by two."""
+    rng = random.Random(seed)
+    middle = [rng.choice(words) for _ in range(length)]
+    out = []
+    for i in range(n):
+        own = [f"{rng.choice(words)}" for _ in range(rng.randrange(70))]
+        a = rng.choice([0, 0, 0, 1, 7])
+        text = [*own, *(middle[a:] if i % 8 else []), *[rng.choice(words) for _ in range(rng.randrange(70))]]
+        out.append((i, text if i % 10 or not out else list(out[-1][1][3:])))
+    return out
+
+
+@pytest.mark.parametrize("group", [repeats.GROUP, 5])
+def test_one_passage_in_most_texts(spark, monkeypatch, group):
+    monkeypatch.setattr(repeats, "GROUP", group)
+    rows = common_passage("abcdefgh é\n", 120, 130, 3)
+    got = Counter((r.doc_id, r.n_removed, bytes(r.kept)) for r in suffixes.remove_repeats(frame(spark, [(i, "".join(t)) for i, t in rows])).collect())
+    assert got == Counter((i, g, bytes(k)) for i, _, g, k in plain_removal([(i, list("".join(t).encode())) for i, t in rows], 50))
+    rows = common_passage([f"w{i}" for i in range(40)], 90, 130, 4)
+    got = Counter((r.doc_id, r.n_removed, r.kept) for r in relative_lz.remove_repeats(frame(spark, [(i, " ".join(t)) for i, t in rows])).collect())
+    assert got == Counter((i, g, " ".join(k)) for i, _, g, k in plain_removal(rows, 50))
+
+
+def test_surroundings_of_a_crowded_gram_become_few(spark):
+    rows = common_passage([f"w{i}" for i in range(3000)], 400, 130, 9)
+    docs = repeats.keyed(frame(spark, [(i, " ".join(t)) for i, t in rows]), "doc_id", "text")
+    firsts = docs.groupBy("k1", "k2").agg(F.min("ord").alias("ord"))
+    places = repeats.materialize(repeats.surroundings(docs, firsts, repeats.shared_anchors(docs, relative_lz.SHAPE), relative_lz.SHAPE), "places")
+    crowded = repeats.crowded_grams(places)
+    before = places.join(crowded, "gram", "left_semi")
+    after = repeats.trimmed(before, relative_lz.SHAPE)
+    most = lambda df: df.select("gram", "c1", "c2").distinct().groupBy("gram").count().agg(F.max("count")).first()[0]
+    assert most(before) > 150 and most(after) < 60
+
+
 def test_maximal_repeats_list_all_occurrences():
     strings = [b"xxabcabcdyy", b"zabcabcdw", b"abcabc"]
     got = {(d, frozenset(zip(n.tolist(), o.tolist(), strict=True))) for d, n, o in suffixes.maximal_repeats(strings, 3)}

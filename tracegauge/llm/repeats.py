@@ -5,9 +5,11 @@ run of that many units holds an anchor: the unit ``gram`` with the least hash am
 content alone. Equal runs have equal anchors, so:
 
 1. anchors of all texts are counted by hash; those in one text only take no further part;
-2. each remaining anchor's surroundings (all runs that hold it lie in them) go to the solver by the gram; those of a gram
-   with more than HOT_GROUP of them go by the gram together with half of what a run may reach on its right, and again
-   with as much on its left, since a run reaches that far on one side at least;
+2. each remaining anchor's surroundings (all runs that hold it lie in them) go to the solver by the gram. Where a gram has
+   more of them than a task's share, runs are counted first (combined before the shuffle), and surroundings are cut
+   to the stretches whose runs stand in two documents: where a passage begins or ends, N different
+   surroundings become one. What is left of such a gram goes by the gram together with half of what a run may reach on
+   its right, and again with as much on its left, since a run reaches that far on one side at least;
 3. the solver (the operator's own method) finds which stretches of a surrounding stand in which earliest document;
 4. answers go back to every occurrence, and are united per text.
 
@@ -33,8 +35,10 @@ _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 #: Units hashed at once, and bytes of surroundings solved at once (whole groups).
 CHUNK = 1 << 19
 BLOCK_BYTES = 2 << 20
-#: Surroundings of one gram beyond which they are dealt out by more than the gram.
-HOT_GROUP = 50_000
+#: Surroundings of one gram that a solver's task may hold, where its share of all is larger.
+GROUP = 50_000
+#: Bytes of text to a bucket of anchors.
+BUCKET_BYTES = 64 << 20
 LAST = (1 << 63) - 1
 
 
@@ -112,7 +116,7 @@ def keyed(docs: DataFrame, id_col: str, text: str) -> DataFrame:
 
 def _packed(n: int, no: np.ndarray, keys: np.ndarray, h: np.ndarray, at: np.ndarray, known: np.ndarray) -> pa.RecordBatch:
     """Anchors of a batch as one row per bucket. known: 1 needs no answer and may go anywhere, 2 is shared and speaks for those."""
-    bucket = np.where(known == 1, no % n, (h % np.uint64(n)).astype(np.int64))
+    bucket = np.where(known == 1, keys[no] % n, (h % np.uint64(n)).astype(np.int64))
     order = np.argsort(bucket, kind="stable")
     bucket, key, h, at, known = bucket[order], keys[no[order]], h[order], at[order], known[order]
     cuts = np.nonzero(np.diff(bucket))[0] + 1
@@ -121,9 +125,15 @@ def _packed(n: int, no: np.ndarray, keys: np.ndarray, h: np.ndarray, at: np.ndar
                                       names=["bucket", "key", "hash", "at", "known"])
 
 
+def buckets(rows: DataFrame) -> int:
+    """Buckets of anchors: as many as the session shuffles to, more where Spark expects more text than they should hold."""
+    size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return max(partitions(rows.sparkSession), size // BUCKET_BYTES if size < 1 << 60 else 0)
+
+
 def shared_anchors(rows: DataFrame, shape: Shape) -> DataFrame:
     """(k1, at): one row per text that has any, with the places of its anchors that stand in another text as well."""
-    n = partitions(rows.sparkSession)
+    n = buckets(rows)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -249,12 +259,73 @@ def surroundings(rows: DataFrame, firsts: DataFrame, shared: DataFrame, shape: S
 Solver = Callable[[list[bytes], list[int]], list[tuple[int, int, int]]]
 
 
+def crowded_grams(places: DataFrame) -> DataFrame:
+    """Grams with more surroundings than half of a task's even share, or than a task may hold."""
+    per = places.groupBy("gram").count()
+    total = per.agg(F.coalesce(F.sum("count"), F.lit(0))).first()[0]
+    share = min(GROUP, total // (2 * partitions(places.sparkSession)))
+    return materialize(per.where(F.col("count") > share).select("gram"), "crowded")
+
+
+def trimmed(hot: DataFrame, shape: Shape) -> DataFrame:
+    """The surroundings ``hot``, cut to the stretches whose runs stand in two documents; ``start``, ``at``, ``body`` and its hash follow."""
+    width = shape.units("").itemsize
+    of = ["gram", "c1", "c2"]
+    contents = materialize(hot.groupBy(*of).agg(F.min("ord").alias("lo"), F.max("ord").alias("hi"), F.first("body").alias("body")), "contents")
+
+    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            row, at, h = [], [], []
+            for r, body in enumerate(b.column(5).to_pylist()):
+                found = gram_hashes(np.frombuffer(body, f"u{width}"), shape.length)
+                row.append(np.full(len(found), r))
+                at.append(np.arange(len(found), dtype=np.int32))
+                h.append(found.view(np.int64))
+            if row:
+                take = pa.array(np.concatenate(row))
+                yield pa.RecordBatch.from_arrays([*(b.column(i).take(take) for i in range(5)), pa.array(np.concatenate(at)), pa.array(np.concatenate(h))],
+                                                 names=[*of, "lo", "hi", "i", "run"])
+
+    listed = contents.select(*of, "lo", "hi", "body").mapInArrow(runs, "gram bigint, c1 bigint, c2 bigint, lo bigint, hi bigint, i int, run bigint")
+    shared = listed.groupBy("gram", "run").agg(F.min("lo").alias("a"), F.max("hi").alias("b")).where("a < b").select("gram", "run")
+    kept = listed.select(*of, "i", "run").join(shared, ["gram", "run"]).groupBy(*of).agg(F.sort_array(F.collect_list("i")).alias("i"))
+    found = contents.select(*of, "body").join(kept, of)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            row, lo, body = [], [], []
+            for r, (raw, at) in enumerate(zip(b.column(3).to_pylist(), b.column(4).to_pylist(), strict=True)):
+                # from the first such run to the last: all runs hold the gram, so what is left does
+                row.append(r)
+                lo.append(at[0])
+                body.append(raw[at[0] * width:(at[-1] + shape.length) * width])
+            if row:
+                d = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, body)), "<i8").reshape(-1, 2)
+                yield pa.RecordBatch.from_arrays(
+                    [*(b.column(i).take(pa.array(row)) for i in range(3)), pa.array(lo, pa.int32()), pa.array(body, pa.binary()), pa.array(d[:, 0].copy()), pa.array(d[:, 1].copy())],
+                    names=[*of, "skip", "part", "d1", "d2"])
+
+    parts = found.mapInArrow(cut, "gram bigint, c1 bigint, c2 bigint, skip int, part binary, d1 bigint, d2 bigint")
+    out = hot.drop("body").join(parts, of)
+    return out.select("k1", "k2", "ord", (F.col("start") + F.col("skip")).alias("start"), (F.col("at") - F.col("skip")).alias("at"),
+                      F.col("part").alias("body"), F.col("d1").alias("c1"), F.col("d2").alias("c2"), "gram")
+
+
+def dealt(places: DataFrame, shape: Shape) -> tuple[DataFrame, list[DataFrame]]:
+    """The places (a written table), with those of crowded grams trimmed and marked ``hot``, and the tables they are in."""
+    crowded = crowded_grams(places)
+    if crowded.isEmpty():
+        return places.withColumn("hot", F.lit(False)), [places, crowded]
+    hot = materialize(places.join(crowded, "gram", "left_semi").select(places.columns), "hot")
+    calm = places.join(crowded, "gram", "left_anti").select(*places.columns, F.lit(False).alias("hot"))
+    out = materialize(calm.unionByName(trimmed(hot, shape).withColumn("hot", F.lit(True))), "dealt")
+    discard(hot, crowded, places)
+    return out, [out]
+
+
 def answers(places: DataFrame, shape: Shape, solve: Solver) -> DataFrame:
     """(c1, c2, least, spans): the smallest id that distinct surroundings stand in, and their stretches known from smaller ones."""
     n = partitions(places.sparkSession)
-    crowded = materialize(places.groupBy("gram").count().where(F.col("count") > HOT_GROUP).select("gram"), "crowded")
-    none = crowded.isEmpty()
-    ready = places.withColumn("hot", F.lit(False)) if none else places.join(crowded.withColumn("hot", F.lit(True)), "gram", "left")
     digest = xxhash.xxh3_64_digest
 
     def sides(body: bytes, at: int, width: int) -> Iterator[bytes]:
@@ -280,7 +351,7 @@ def answers(places: DataFrame, shape: Shape, solve: Solver) -> DataFrame:
             least, top, key = o[pick], o[order[ends]], gram[pick].copy()
             hot = rows.column(4).to_numpy(zero_copy_only=False)
             parts = [(np.arange(len(pick)), key)]
-            if (crowd := np.nonzero(hot == True)[0]).size:  # noqa: E712  null is not hot
+            if (crowd := np.nonzero(hot)[0]).size:
                 pairs = [(i, int.from_bytes(digest(s), "little", signed=True))
                          for i in crowd.tolist() for s in sides(rows.column(6)[i].as_py(), rows.column(5)[i].as_py(), width)]
                 calm = np.setdiff1d(np.arange(len(pick)), crowd)
@@ -321,7 +392,7 @@ def answers(places: DataFrame, shape: Shape, solve: Solver) -> DataFrame:
                 [pa.array([keys[i][0] for i in told], pa.int64()), pa.array([keys[i][1] for i in told], pa.int64()),
                  pa.array([least[i] for i in told], pa.int64()), pa.array([spans.get(i, []) for i in told], span)], names=["c1", "c2", "least", "spans"])
 
-    thinned = ready.select("ord", "c1", "c2", "gram", "hot", "at", "body").mapInArrow(
+    thinned = places.select("ord", "c1", "c2", "gram", "hot", "at", "body").mapInArrow(
         thin, "key bigint, ord bigint, top bigint, body binary, c1 bigint, c2 bigint")
     return thinned.repartition(n, "key").sortWithinPartitions("key").mapInArrow(
         run, "c1 bigint, c2 bigint, least bigint, spans array<struct<start: bigint, end: bigint>>")
@@ -351,18 +422,20 @@ def repeats(docs: DataFrame, shape: Shape, solve: Solver, id_col: str = "doc_id"
     shared = materialize(shared_anchors(rows, shape), "anchors")
     places = materialize(surroundings(rows, firsts, shared, shape), "surroundings")
     discard(shared)
+    places, tables = dealt(places, shape)
     told = materialize(answers(places, shape, solve), "answers")
     width = shape.units("").itemsize
     all_of = F.struct(F.col("start").alias("start"), (F.col("start") + F.col("size")).alias("end"))
     parts = F.transform("spans", lambda x: F.struct((F.col("start") + x["start"]).alias("start"), (F.col("start") + x["end"]).alias("end")))
+    # contents may come from the groups of several grams; an answer for a later document says nothing about an earlier one
     met = places.select("k1", "k2", "ord", "start", "c1", "c2", (F.octet_length("body") / width).cast("long").alias("size")).join(told, ["c1", "c2"])
-    spans = met.select("k1", "k2", "ord", F.when(F.col("ord") > F.col("least"), F.array(all_of)).otherwise(parts).alias("spans")).where(F.size("spans") > 0)
+    spans = met.select("k1", "k2", "ord", F.when(F.col("ord") > F.col("least"), F.array(all_of)).when(F.col("ord") == F.col("least"), parts).alias("spans")).where(F.size("spans") > 0)
     del met
     gathered = spans.groupBy("k1", "k2", "ord").agg(F.flatten(F.collect_list("spans")).alias("spans"))
     del spans
     spans = materialize(gathered, "spans")
     del gathered
-    discard(places, told)
+    discard(*tables, told)
     release_shuffles(docs.sparkSession)
     decided = firsts.join(spans, ["k1", "k2", "ord"], "left").withColumn("own", F.lit(True))
     return rows.join(decided, ["k1", "k2", "ord"], "left").select(

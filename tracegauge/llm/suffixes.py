@@ -26,47 +26,74 @@ GRAM = 16
 SHAPE = Shape(lambda text: np.frombuffer((text or "").encode(), np.uint8), LENGTH, GRAM)
 
 
-def maximal_repeats(strings: list[bytes], length: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(depth, string numbers, offsets) of every left-diverse group of suffixes that share ``depth`` >= ``length`` bytes and no more."""
-    sizes = np.array([len(s) for s in strings])
+def repeat_intervals(strings: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(owner, offset, depth, first, last, sizes): the suffix array's string numbers and offsets, and its left-diverse intervals.
+
+    Only suffixes whose first ``length`` bytes stand twice are in the array. They come in classes by the hash of those
+    bytes; within a class they are in order of what follows, which is all that has to be compared.
+    """
+    sizes = np.array([len(s) for s in strings], np.int64)
+    none = np.zeros(0, np.int64)
     if not len(sizes) or sizes.max() < length:
-        return
+        return none, none, none, none, none, sizes
     text = np.frombuffer(b"".join(strings), np.uint8)
     starts = np.cumsum(np.r_[0, sizes[:-1]])
     owner = np.repeat(np.arange(len(strings)), sizes)
     room = np.repeat(starts + sizes, sizes) - np.arange(len(text))
-    # only suffixes whose first ``length`` bytes stand twice can be in a group
     h = gram_hashes(text, length)
     whole = np.nonzero(room[:len(h)] >= length)[0]
     order = whole[np.argsort(h[whole], kind="stable")]
-    same = h[order][1:] == h[order][:-1]
-    twice = np.r_[same, False] | np.r_[False, same]
-    suffix = np.sort(order[twice])
+    cls = h[order]
+    heads = np.r_[0, np.nonzero(cls[1:] != cls[:-1])[0] + 1] if len(order) else none
+    # the byte on the left; a string's first byte has a left of its own. If all lefts are equal in a class, so they are
+    # in every interval inside: only the other classes are sorted
+    left = np.where(order > starts[owner[order]], text[order - 1].astype(np.int64), 256 + np.arange(len(order)))
+    kept = np.minimum.reduceat(left, heads) != np.maximum.reduceat(left, heads) if len(order) else np.zeros(0, bool)
+    n = np.diff(np.r_[heads, len(order)])
+    held = np.repeat(kept, n)
+    suffix, left, n = order[held], left[held], n[kept]
     if not len(suffix):
-        return
-    width = int(room[suffix].max())
-    width += -width % 8
-    padded = np.r_[text, np.zeros(width, np.uint8)]
-    table = np.lib.stride_tricks.sliding_window_view(padded, width)[suffix]
-    table[np.arange(width) >= room[suffix][:, None]] = 0
-    words = table.view(">u8").astype(np.uint64)
-    array = np.lexsort((room[suffix], *words.T[::-1]))
-    suffix, table = suffix[array], table[array]
+        return none, none, none, none, none, sizes
+    heads = np.cumsum(np.r_[0, n[:-1]])
+    ends = heads + n
+    rest = room[suffix] - length
+    width = int(rest.max())
+    width += -width % 8 or (8 if not width else 0)
+    padded = np.r_[text, np.zeros(width + length, np.uint8)]
+    table = np.lib.stride_tricks.sliding_window_view(padded, width)[suffix + length]
+    table[np.arange(width) >= rest[:, None]] = 0
+    # the order of two suffixes does not matter
+    many = np.nonzero(np.repeat(n > 2, n))[0]
+    words = table[many].view(">u8").astype(np.uint64)
+    array = np.arange(len(suffix))
+    array[many] = many[np.lexsort((rest[many], *words.T[::-1], np.repeat(np.arange(len(n)), n)[many]))]
+    suffix, left, table, rest = suffix[array], left[array], table[array], rest[array]
     differ = table[1:] != table[:-1]
     common = np.where(differ.any(axis=1), differ.argmax(axis=1), width)
-    common = np.minimum(common, np.minimum(room[suffix[1:]], room[suffix[:-1]]))
-    # the byte on the left; a string's first byte has a left of its own
-    inner = suffix > starts[owner[suffix]]
-    left = np.where(inner, text[suffix - 1].astype(np.int64), 256 + np.arange(len(suffix)))
-    # stretches of the array that share ``length`` bytes; if all lefts are equal there, so they are in every interval inside
-    breaks = np.nonzero(common < length)[0] + 1
-    heads = np.r_[0, breaks]
-    low, high = np.minimum.reduceat(left, heads), np.maximum.reduceat(left, heads)
-    for lo, hi, one, two in zip(heads.tolist(), [*breaks.tolist(), len(suffix)], low, high, strict=True):
-        if hi - lo > 1 and one != two:
-            for depth, a, b in _intervals(common[lo:hi - 1].tolist(), left[lo:hi].tolist()):
-                group = suffix[lo + a:lo + b + 1]
-                yield depth, owner[group], group - starts[owner[group]]
+    common = np.minimum(common, np.minimum(rest[1:], rest[:-1])) + length
+    two = n == 2  # such a class is one interval
+    depth, first, last = [common[heads[two]]], [heads[two]], [heads[two] + 1]
+    more = []
+    for lo, hi in zip(heads[~two].tolist(), ends[~two].tolist(), strict=True):
+        more += [(d, lo + a, lo + b) for d, a, b in _intervals(common[lo:hi - 1].tolist(), left[lo:hi].tolist())]
+    if more:
+        for out, column in zip((depth, first, last), np.array(more, np.int64).T, strict=True):
+            out.append(column)
+    return owner[suffix], suffix - starts[owner[suffix]], *(np.concatenate(x) for x in (depth, first, last)), sizes
+
+
+def members(first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places in the array of all members of the intervals, one interval after the other, and the intervals' starts therein."""
+    n = last - first + 1
+    at = np.cumsum(np.r_[0, n[:-1]])
+    return np.repeat(first - at, n) + np.arange(int(n.sum())), at
+
+
+def maximal_repeats(strings: list[bytes], length: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(depth, string numbers, offsets) of every left-diverse group of suffixes that share ``depth`` >= ``length`` bytes and no more."""
+    owner, offset, depth, first, last, _ = repeat_intervals(strings, length)
+    for d, a, b in zip(depth.tolist(), first.tolist(), last.tolist(), strict=True):
+        yield d, owner[a:b + 1], offset[a:b + 1]
 
 
 def _intervals(common: list[int], left: list[int]) -> Iterator[tuple[int, int, int]]:
@@ -89,15 +116,18 @@ def _intervals(common: list[int], left: list[int]) -> Iterator[tuple[int, int, i
 
 def solve(strings: list[bytes], least: list[int]) -> list[tuple[int, int, int]]:
     """Of each string, what its repeats with strings of smaller ids cover: all occurrences of a group but those of its smallest id."""
-    ids, sizes = np.array(least), np.array([len(s) for s in strings])
-    found = [(np.empty(0, np.int64),) * 3]
-    for depth, numbers, offsets in maximal_repeats(strings, LENGTH):
-        own = ids[numbers]
-        later = own > own.min()
-        if later.any():
-            found.append((numbers[later], offsets[later], offsets[later] + depth))
-    number, first, last = (np.concatenate(x) for x in zip(*found, strict=True))
-    return covered(np.cumsum(np.r_[0, sizes[:-1]]), int(sizes.sum()), number, first, last) if len(number) else []
+    owner, offset, depth, first, last, sizes = repeat_intervals(strings, LENGTH)
+    if not len(depth):
+        return []
+    place, at = members(first, last)
+    number = owner[place]
+    own = np.array(least)[number]
+    n = last - first + 1
+    later = own > np.repeat(np.minimum.reduceat(own, at), n)
+    number, start = number[later], offset[place[later]]
+    if not len(number):
+        return []
+    return covered(np.cumsum(np.r_[0, sizes[:-1]]), int(sizes.sum()), number, start, start + np.repeat(depth, n)[later])
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
