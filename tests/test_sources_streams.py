@@ -127,43 +127,63 @@ def stream_of(spark, df, folder, parts):
     return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(flat)
 
 
-def test_live_rates_across_micro_batches_equal_batch(spark, sf, tmp_path):
+def shuffled(df, late=3600):
+    """File numbers that bring rows up to ``late`` seconds after newer ones, and mix every file."""
+    span = df.agg(F.max("t")).first()[0] / 5
+    jitter = F.pmod(F.xxhash64("seq"), F.lit(1000)) / 1000.0 * min(late, span) * 0.9
+    return df.withColumn("_f", F.floor((F.col("t") + jitter) / span).cast("int")), [f"_f = {i}" for i in range(7)], df.agg(F.max("t")).first()[0] - late
+
+
+def test_live_rates_of_unordered_micro_batches_equal_batch(spark, sf, tmp_path):
     from tracegauge.operators.telemetry import live_rates
 
     use_rocksdb(spark)
     w = V.telemetry_wide(spark, sf)
-    s = stream_of(spark, w, str(tmp_path), ["seq < 300", "seq >= 300 AND seq < 301", "seq >= 301 AND seq < 700", "seq >= 700"])
-    got = run_available(SL.live_rates(s)).select("run_id", "seq", F.round("prefix_hit_rate", 9).alias("a"), F.round("gen_tok_s", 9).alias("b"))
-    want = live_rates(w, ["run_id"]).select("run_id", "seq", F.round("prefix_hit_rate", 9).alias("a"), F.round("gen_tok_s", 9).alias("b"))
+    held, parts, upto = shuffled(w, 86400)
+    s = stream_of(spark, held, str(tmp_path), parts)
+    got = run_available(SL.live_rates(s, "1 day")).select("run_id", "seq", F.round("prefix_hit_rate", 9).alias("a"), F.round("gen_tok_s", 9).alias("b"))
+    want = live_rates(w, ["run_id"]).where(F.col("t") < upto).select("run_id", "seq", F.round("prefix_hit_rate", 9).alias("a"), F.round("gen_tok_s", 9).alias("b"))
     nan = lambda rows: sorted(tuple(None if x != x else x for x in r) for r in map(tuple, rows))
     key = lambda rows: sorted(nan(rows), key=str)
-    assert key(got.collect()) == key(want.collect())
+    assert key(got.collect()) == key(want.collect()) and got.count() > 100
 
 
-def test_one_active_job_across_micro_batches(spark, sf, tmp_path):
+def test_one_active_job_of_unordered_micro_batches(spark, sf, tmp_path):
     from tracegauge.operators.jobs import one_active_job
     from tracegauge.plans.misc import _triggers
 
     use_rocksdb(spark)
     t = _triggers(spark, sf)
-    s = stream_of(spark, t, str(tmp_path), ["seq < 400", "seq >= 400 AND seq < 800", "seq >= 800"])
-    got = run_available(SJ.one_active_job(s)).select("key", "seq", "outcome")
-    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, one_active_job(t).select("key", "seq", "outcome").collect()))
+    held, parts, upto = shuffled(t, 86400)
+    got = run_available(SJ.one_active_job(stream_of(spark, held, str(tmp_path), parts), "1 day")).select("key", "seq", "outcome")
+    want = one_active_job(t).join(t.where(F.col("t") < upto).select("key", "seq"), ["key", "seq"]).select("key", "seq", "outcome")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and got.count() > 100
 
 
-def test_rate_limit_across_micro_batches_replays(spark, sf, tmp_path):
+def test_rate_limit_of_unordered_micro_batches_replays(spark, sf, tmp_path):
     use_rocksdb(spark)
     e = V.table(spark, sf, "events").select((F.col("user_id") % 5).alias("key"), F.col("event_id").alias("seq"), V.clock(F.col("ts")).alias("t"))
-    s = stream_of(spark, e, str(tmp_path), ["seq < 300", "seq >= 300 AND seq < 600", "seq >= 600"])
-    got = {r.seq: r.accepted for r in run_available(SJ.rate_limit(s, 3, 20000.0)).collect()}
+    held, parts, upto = shuffled(e, 86400)
+    got = {r.seq: r.accepted for r in run_available(SJ.rate_limit(stream_of(spark, held, str(tmp_path), parts), 3, 20000.0, "1 day")).collect()}
     hits, want = {}, {}
     for r in sorted(e.collect(), key=lambda r: (r.t, r.seq)):
         live = [x for x in hits.get(r.key, []) if r.t - x <= 20000.0]
-        want[r.seq] = len(live) < 3
-        hits[r.key] = live + [r.t] * want[r.seq]
+        if r.t < upto:
+            want[r.seq] = len(live) < 3
+        hits[r.key] = live + [r.t] * (len(live) < 3)
     assert got == want and len(set(got.values())) == 2
 
 
+def test_an_idle_key_forgets(spark, tmp_path):
+    """What is carried ends with the idle time; rows of a burst come out in pieces."""
+    use_rocksdb(spark)
+    rows = [("a", i, float(t), "start") for i, t in enumerate([10, 20, 30, 5000, 5001])] + [("b", 9, 40.0, "start"), ("c", 10, 90_000.0, "start")]
+    df = spark.createDataFrame([(ord(k), i, t, x) for k, i, t, x in rows], "key long, seq long, t double, kind string")
+    s = stream_of(spark, df, str(tmp_path), ["t < 25", "t >= 25 AND t < 6000", "t >= 6000"])
+    got = {r.seq: r.outcome for r in run_available(SJ.one_active_job(s, "1 minute", 1_000_000)).collect()}
+    assert got == {0: "created", 1: "attached", 2: "attached", 3: "created", 4: "attached", 9: "created"}
+
+
 def test_secret_spans_in_sql(spark):
     from tracegauge.functions.tables import register
 

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from tracegauge.streaming.ordered import InOrder, in_order
+
 
 def unique_deliveries(push: DataFrame, poll: DataFrame, delay: str) -> DataFrame:
     """Each delivery id once, whichever source brings it first, within the watermark delay."""
@@ -21,39 +23,31 @@ def within_lookback(deliveries: DataFrame, start: Column, lookback: str = "10 mi
     return deliveries.withColumn("late", F.col("delivered_at") < start - F.expr(f"INTERVAL {lookback}"))
 
 
-class _OneActive(StatefulProcessor):
-    """State per key: the id of the active job, empty when none is queued or running."""
+class _OneActive(InOrder):
+    """Carries the id of the active job, nothing when none is queued or running."""
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.active = handle.getValueState("active", "job BIGINT")
+    def __init__(self, idle_ms: int | None) -> None:
+        super().__init__([("t", "DOUBLE"), ("seq", "BIGINT"), ("kind", "STRING")], ["t", "seq"], "job BIGINT", ["key", "seq", "job", "outcome"], idle_ms)
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        p = pd.concat(list(rows)).sort_values(["t", "seq"])
-        job = self.active.get()[0] if self.active.exists() else None
-        out = []
-        for seq, kind in zip(p["seq"], p["kind"]):
+    def rows(self, key, rows, state):
+        job, out = state[0][0] if state else None, []
+        for _, seq, kind in rows:
             if kind == "finish":
                 job = None
             elif job is None:
-                job = int(seq)
-                out.append((key[0], int(seq), job, "created"))
+                job = seq
+                out.append((key[0], seq, job, "created"))
             else:
-                out.append((key[0], int(seq), job, "attached"))
-        if job is None:
-            self.active.clear()
-        else:
-            self.active.update((job,))
-        yield pd.DataFrame(out, columns=["key", "seq", "job", "outcome"])
+                out.append((key[0], seq, job, "attached"))
+        return [] if job is None else [(job,)], out
 
-    def close(self) -> None:
-        pass
 
+def one_active_job(triggers: DataFrame, late: str = "1 hour", idle_ms: int | None = None) -> DataFrame:
+    """Triggers (key, seq, t, kind) to created or attached, with the job they belong to, in event order.
 
-def one_active_job(triggers: DataFrame) -> DataFrame:
-    """Triggers (key, seq, t, kind) to created or attached, with the job they belong to."""
-    return triggers.select("key", "seq", "t", "kind").groupBy("key").transformWithStateInPandas(
-        statefulProcessor=_OneActive(), outputStructType="key BIGINT, seq BIGINT, job BIGINT, outcome STRING", outputMode="Append", timeMode="None"
-    )
+    A trigger comes out once the watermark has passed it. ``idle_ms`` gives up a job whose key stays silent for so long.
+    """
+    return in_order(triggers, "key", F.col("t"), _OneActive(idle_ms), "key BIGINT, seq BIGINT, job BIGINT, outcome STRING", late)
 
 
 class _Lease(StatefulProcessor):
@@ -95,37 +89,26 @@ def lost_leases(heartbeats: DataFrame, lease_s: int, max_attempts: int, late: st
     )
 
 
-class _RateLimit(StatefulProcessor):
-    """State per client: the times of the last accepted requests, at most ``limit`` of them."""
+class _RateLimit(InOrder):
+    """Carries the times of the last accepted requests, at most ``limit`` of them; they are idle after the window."""
 
     def __init__(self, limit: int, window_s: float) -> None:
+        super().__init__([("t", "DOUBLE"), ("seq", "BIGINT")], ["t", "seq"], "t DOUBLE", ["key", "seq", "accepted"], int(window_s * 1000) + 1000)
         self.limit, self.window_s = limit, window_s
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.hits = handle.getListState("hits", "t DOUBLE")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        p = pd.concat(list(rows)).sort_values(["t", "seq"])
-        hits = [x[0] for x in self.hits.get()] if self.hits.exists() else []
-        accepted = []
-        for t in p["t"]:
+    def rows(self, key, rows, state):
+        hits, out = [x[0] for x in state], []
+        for t, seq in rows:
             hits = [x for x in hits if t - x <= self.window_s]
-            accepted.append(len(hits) < self.limit)
-            if accepted[-1]:
-                hits.append(float(t))
-        self.hits.put([(x,) for x in hits]) if hits else self.hits.clear()
-        yield pd.DataFrame({"key": key[0], "seq": p["seq"], "accepted": accepted})
-
-    def close(self) -> None:
-        pass
+            out.append((key[0], seq, len(hits) < self.limit))
+            if out[-1][2]:
+                hits.append(t)
+        return [(x,) for x in hits], out
 
 
-def rate_limit(requests: DataFrame, limit: int = 3, window_s: float = 600.0) -> DataFrame:
-    """Accept at most ``limit`` requests of a client per window; refused ones do not count (key, seq, t)."""
-    return requests.select("key", "seq", "t").groupBy("key").transformWithStateInPandas(
-        statefulProcessor=_RateLimit(limit, window_s), outputStructType="key BIGINT, seq BIGINT, accepted BOOLEAN",
-        outputMode="Append", timeMode="None",
-    )
+def rate_limit(requests: DataFrame, limit: int = 3, window_s: float = 600.0, late: str = "1 hour") -> DataFrame:
+    """Accept at most ``limit`` requests of a client per window, in event order; refused ones do not count (key, seq, t)."""
+    return in_order(requests, "key", F.col("t"), _RateLimit(limit, window_s), "key BIGINT, seq BIGINT, accepted BOOLEAN", late)
 
 
 def event_feed(events: DataFrame, after_id: int, terminal: tuple[str, ...] = ("done", "failed")) -> DataFrame:

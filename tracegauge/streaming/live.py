@@ -4,57 +4,55 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from tracegauge.streaming.ordered import InOrder, in_order
+
 COUNTERS = ("prefix_cache_queries", "prefix_cache_hits", "generation_tokens")
 RATES = "run_id STRING, seq BIGINT, t DOUBLE, window_s DOUBLE, prefix_hit_rate DOUBLE, prefix_hit_rate_total DOUBLE, gen_tok_s DOUBLE"
 STATE = "t DOUBLE, q DOUBLE, h DOUBLE, g DOUBLE"
 HISTORY_SAMPLES = 90
+#: A source that is silent for longer starts afresh.
+IDLE_MS = 90 * 86_400_000
 
 
-def _increase(now: pd.Series, before: pd.Series) -> pd.Series:
-    d = now - before
-    return d.where(d >= 0)
+def _increase(now: float | None, before: float | None) -> float | None:
+    return None if now is None or before is None or now < before else now - before
 
 
-class _Rates(StatefulProcessor):
-    """Keeps one sample (time and three counters) per source."""
+def _ratio(a: float | None, b: float | None) -> float | None:
+    return None if a is None or not b else a / b
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", STATE)
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        p = pd.concat(list(rows)).sort_values(["t", "seq"]).reset_index(drop=True)
-        cols = p[["t", *COUNTERS]].astype(float)
-        prev = cols.shift(1)
-        old = self.last.get() if self.last.exists() else None
-        if old is not None:
-            prev.iloc[0] = [np.nan if x is None else x for x in old]
-        # an offline sample (no counter answered) cuts the chain; the next one starts afresh
-        dq, dh, dg = (_increase(cols[c], prev[c]) for c in COUNTERS)
-        dt = cols["t"] - prev["t"]
-        out = pd.DataFrame({
-            "run_id": key[0], "seq": p["seq"], "t": p["t"], "window_s": dt.round(3),
-            "prefix_hit_rate": (dh / dq).where(dq != 0),
-            "prefix_hit_rate_total": (cols[COUNTERS[1]] / cols[COUNTERS[0]]).where(cols[COUNTERS[0]] != 0),
-            "gen_tok_s": (dg / dt).where(dt > 0),
-        })
-        self.last.update(tuple(None if np.isnan(x) else float(x) for x in cols.iloc[-1]))
-        yield out
+class _Rates(InOrder):
+    """Carries one sample (time and three counters) per source."""
 
-    def close(self) -> None:
-        pass
+    def __init__(self, idle_ms: int | None) -> None:
+        columns = [("t", "DOUBLE"), ("seq", "BIGINT"), *((c, "DOUBLE") for c in COUNTERS)]
+        names = ["run_id", "seq", "t", "window_s", "prefix_hit_rate", "prefix_hit_rate_total", "gen_tok_s"]
+        super().__init__(columns, ["t", "seq"], STATE, names, idle_ms)
 
+    def rows(self, key, rows, state):
+        before, out = state[0] if state else (None,) * 4, []
+        for t, seq, q, h, g in rows:
+            # an offline sample (no counter answered) cuts the chain; the next one starts afresh
+            dt = None if before[0] is None else t - before[0]
+            dq, dh, dg = (_increase(now, old) for now, old in zip((q, h, g), before[1:], strict=True))
+            speed = None if dg is None or dt is None or dt <= 0 else dg / dt
+            out.append((key[0], seq, t, None if dt is None else round(dt, 3), _ratio(dh, dq), _ratio(h, q), speed))
+            before = (t, q, h, g)
+        return [before], out
 
-def live_rates(samples: DataFrame) -> DataFrame:
-    """Stream of wide samples (run_id, seq, t, counters) to rates; NULL across a restart."""
-    return samples.select("run_id", "seq", "t", *COUNTERS).groupBy("run_id").transformWithStateInPandas(
-        statefulProcessor=_Rates(), outputStructType=RATES, outputMode="Append", timeMode="None"
-    )
+
+def live_rates(samples: DataFrame, late: str = "1 hour", idle_ms: int | None = IDLE_MS) -> DataFrame:
+    """Stream of wide samples (run_id, seq, t, counters) to rates, in event order; NULL across a restart.
+
+    A sample comes out once the watermark has passed it.
+    """
+    return in_order(samples, "run_id", F.col("t"), _Rates(idle_ms), RATES, late)
 
 
 class _History(StatefulProcessor):
