@@ -70,44 +70,80 @@ _TYPES = {
 
 #: Judged, and (the last three) read over.
 KEYWORDS = {
-    "type", "required", "properties", "enum", "minimum", "maximum", "minLength", "maxLength", "pattern", "minItems", "maxItems",
+    "type", "required", "properties", "additionalProperties", "items", "enum", "const", "anyOf", "oneOf", "allOf", "not",
+    "minimum", "maximum", "exclusiveMinimum", "exclusiveMaximum", "minLength", "maxLength", "pattern", "minItems", "maxItems",
     "title", "description", "$schema",
 }
 
 
-def schema_violation(v: Column, schema: dict[str, Any], path: str = "$") -> Column:
-    """First violation of a JSON schema subset: the keywords in ``KEYWORDS``; any other raises ``ValueError``."""
+def _json(value: Any) -> Column:
+    return F.lit(json.dumps(value, ensure_ascii=False, separators=(",", ":")))
+
+
+def schema_violation(v: Column, schema: dict[str, Any] | bool, at: Column | None = None) -> Column:
+    """First violation of a JSON schema by a variant: the keywords in ``KEYWORDS``; any other raises ``ValueError``.
+
+    ``at`` is the path of the value, NULL for the whole document. A value's own rules come before those of its parts.
+    """
+    at = F.lit(None).cast("string") if at is None else at
+    label = F.coalesce(at, F.lit("(root)"))
+    none = F.lit(None).cast("string")
+    if schema is True:
+        return none
+    if schema is False:
+        return F.concat(label, F.lit(" is not allowed"))
     if unknown := sorted(set(schema) - KEYWORDS):
         raise ValueError(f"unsupported schema keyword {', '.join(unknown)}")
-    here = v if path == "$" else F.try_variant_get(v, path, "variant")
-    kind = F.schema_of_variant(here)
-    label = F.lit("(root)" if path == "$" else path[2:].replace(".", "/"))
+    kind = F.schema_of_variant(v)
+    below = lambda name: F.concat_ws("/", at, name)
+    says = lambda text: F.concat(label, F.lit(f" {text}"))
     rules = []
     if "type" in schema:
-        rules.append((~_TYPES[schema["type"]](kind), F.concat(label, F.lit(f" is not of type {schema['type']}"))))
+        types = schema["type"] if isinstance(schema["type"], list) else [schema["type"]]
+        rules.append((~reduce(or_, (_TYPES[t](kind) for t in types)), says(f"is not of type {' or '.join(types)}")))
+    child = lambda name: F.try_variant_get(v, "$['" + name.replace("'", "\\'") + "']", "variant")
     for r in schema.get("required", []):
-        rules.append((F.try_variant_get(v, f"{path}.{r}", "variant").isNull(), F.concat(label, F.lit(f" lacks {r}"))))
-    for key, op in (("minimum", "<"), ("maximum", ">")):
+        rules.append((child(r).isNull(), says(f"lacks {r}")))
+    x = F.try_variant_get(v, "$", "double")
+    for key, out in (("minimum", lambda m: x < m), ("maximum", lambda m: x > m), ("exclusiveMinimum", lambda m: x <= m), ("exclusiveMaximum", lambda m: x >= m)):
         if key in schema:
-            x = F.try_variant_get(v, path, "double")
-            out = x < schema[key] if op == "<" else x > schema[key]
-            rules.append((F.coalesce(out, F.lit(False)), F.concat(label, F.lit(f" outside {key}"))))
-    word, items = F.try_variant_get(v, path, "string"), F.try_variant_get(v, path, "array<variant>")
+            rules.append((_TYPES["number"](kind) & F.coalesce(out(schema[key]), F.lit(False)), says(f"outside {key}")))
+    word, items = F.try_variant_get(v, "$", "string"), F.try_variant_get(v, "$", "array<variant>")
     for key, of, size in (("Length", "STRING", F.length(word)), ("Items", "ARRAY", F.size(items))):
         for end, out in (("min", lambda n, m: n < m), ("max", lambda n, m: n > m)):
             if end + key in schema:
-                rules.append((kind.startswith(of) & out(size, schema[end + key]), F.concat(label, F.lit(f" breaks {end}{key}"))))
+                rules.append((kind.startswith(of) & out(size, schema[end + key]), says(f"breaks {end}{key}")))
     if "pattern" in schema:
-        rules.append(((kind == "STRING") & ~word.rlike(schema["pattern"]), F.concat(label, F.lit(" does not match the pattern"))))
+        rules.append(((kind == "STRING") & ~word.rlike(schema["pattern"]), says("does not match the pattern")))
     if "enum" in schema:
-        same = [F.to_json(here) == F.lit(json.dumps(e, ensure_ascii=False, separators=(",", ":"))) for e in schema["enum"]]
-        rules.append((~reduce(or_, same, F.lit(False)), F.concat(label, F.lit(" not in enum"))))
-    own = F.coalesce(*[F.when(c, m) for c, m in rules]) if rules else F.lit(None).cast("string")
-    nested = [
-        F.when(F.try_variant_get(v, f"{path}.{name}", "variant").isNotNull(), schema_violation(v, sub, f"{path}.{name}"))
-        for name, sub in schema.get("properties", {}).items()
-    ]
-    return F.coalesce(own, *nested)
+        rules.append((~reduce(or_, [F.to_json(v) == _json(e) for e in schema["enum"]], F.lit(False)), says("not in enum")))
+    if "const" in schema:
+        rules.append((F.to_json(v) != _json(schema["const"]), says("is not the constant")))
+    fits = lambda key: [schema_violation(v, sub, at).isNull().cast("int") for sub in schema[key]]
+    if "anyOf" in schema:
+        rules.append((reduce(lambda a, b: a + b, fits("anyOf")) == 0, says("fits none of anyOf")))
+    if "oneOf" in schema:
+        rules.append((reduce(lambda a, b: a + b, fits("oneOf")) != 1, says("does not fit exactly one of oneOf")))
+    if "not" in schema:
+        rules.append((schema_violation(v, schema["not"], at).isNull(), says("fits what it must not")))
+    own = [F.when(c, m) for c, m in rules] + [schema_violation(v, sub, at) for sub in schema.get("allOf", [])]
+    known = list(schema.get("properties", {}))
+    parts = []
+    if schema.get("additionalProperties", True) is not True:
+        fields = F.when(kind.startswith("OBJECT"), F.map_entries(F.try_variant_get(v, "$", "map<string,variant>")))
+        rest = F.filter(fields, lambda e: ~e["key"].isin(known)) if known else fields
+        if schema["additionalProperties"] is False:
+            names = F.array_sort(F.transform(rest, lambda e: e["key"]))
+            own.append(F.when(F.size(names) > 0, F.concat(label, F.lit(" has unexpected "), F.array_join(names, ", "))))
+        else:
+            bad = F.filter(F.transform(rest, lambda e: schema_violation(e["value"], schema["additionalProperties"], below(e["key"]))), lambda m: m.isNotNull())
+            parts.append(F.get(bad, F.lit(0)))
+    for name, sub in schema.get("properties", {}).items():
+        parts.append(F.when(child(name).isNotNull(), schema_violation(child(name), sub, below(F.lit(name)))))
+    if "items" in schema:
+        each = F.when(kind.startswith("ARRAY"), F.transform(items, lambda e, i: schema_violation(e, schema["items"], below(i.cast("string")))))
+        parts.append(F.get(F.filter(each, lambda m: m.isNotNull()), F.lit(0)))
+    return F.coalesce(none, *own, *parts)
 
 
 @check("json_schema_valid")

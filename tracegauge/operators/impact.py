@@ -37,16 +37,63 @@ def unmapped_hunks(spans: DataFrame, hunks: DataFrame) -> DataFrame:
     return app.join(hit[0].unionByName(hit[1]).distinct(), ["scan", "hunk_id"], "left_anti")
 
 
-def file_fallbacks(changed: DataFrame, modelled: DataFrame) -> DataFrame:
-    """Changed files the analysis cannot account for, with the reason."""
+def hunk_fallbacks(spans: DataFrame, hunks: DataFrame) -> DataFrame:
+    """Changed application code that maps to no known span, with the reason."""
+    h = unmapped_hunks(spans, hunks)
+    return h.select("scan", "path", F.concat("path", F.lit(":"), F.col("new_start").cast("string"), F.lit(" changes code that maps to no graph node")).alias("reason"))
+
+
+def app_reads(code: DataFrame, changed: DataFrame) -> DataFrame:
+    """(scan, path, at): changed files whose name application code quotes, and where it first does."""
+    name = F.element_at(F.split("path", "/"), -1)
+    named = changed.select("scan", "path", name.alias("name")).distinct()
+    return mentions(code, named.select("scan", "name").distinct()).join(named, ["scan", "name"]).select("scan", "path", "at")
+
+
+def file_fallbacks(changed: DataFrame, modelled: DataFrame, reads: DataFrame | None = None, unparsed: DataFrame | None = None) -> DataFrame:
+    """Changed files the analysis cannot account for, with the reason.
+
+    ``reads`` (scan, path, at): files that application code reads. ``unparsed`` (scan, path): head files that do not parse.
+    """
     c = classify_file(F.col("path"))
+    none = F.lit(None).cast("string")
+    known = changed.withColumns({"at": none, "bad": F.lit(False)})
+    if reads is not None:
+        known = known.drop("at").join(reads.select("scan", "path", "at"), ["scan", "path"], "left")
+    if unparsed is not None:
+        known = known.drop("bad").join(unparsed.select("scan", "path").distinct().withColumn("bad", F.lit(True)), ["scan", "path"], "left")
+    broken = F.coalesce("bad", F.lit(False)) & (c == "app") & (F.col("status") != "removed")
+    read = F.col("at").isNotNull() & c.isin("other_source", "unknown", "docs")
     reason = (
-        F.when(c == "other_source", F.concat("path", F.lit(": source the analysis does not parse")))
+        F.when(broken, F.concat("path", F.lit(" does not parse as Python")))
+        .when(read, F.concat("path", F.lit(" is read by application code ("), "at", F.lit(") and maps to no graph node")))
+        .when(c == "other_source", F.concat("path", F.lit(": source the analysis does not parse")))
         .when(c == "unknown", F.concat("path", F.lit(": a file the analysis does not model")))
         .when((c == "app") & F.col("status").isin("added", "removed"), F.concat("path", F.lit(" was "), "status", F.lit(" and maps to no graph node")))
     )
-    rows = changed.withColumn("reason", reason).where("reason IS NOT NULL")
-    return rows.join(modelled.select("scan", "path").distinct(), ["scan", "path"], "left_anti").select("scan", "path", "reason")
+    rows = known.withColumns({"reason": reason, "_broken": broken}).where("reason IS NOT NULL")
+    seen = modelled.select("scan", "path").distinct().withColumn("_known", F.lit(True))
+    kept = rows.join(seen, ["scan", "path"], "left").where("_broken OR _known IS NULL")  # spans of the base do not excuse a broken head
+    return kept.select("scan", "path", "reason")
+
+
+def touched_keys(spans: DataFrame, hunks: DataFrame, base_nodes: DataFrame, head_nodes: DataFrame, owners: DataFrame) -> DataFrame:
+    """(scan, key, via) of what a change touches: spans under a hunk, the functions that own them, and nodes whose attributes differ.
+
+    ``base_nodes``, ``head_nodes``: scan, key, digest of the attributes that are no positions. ``owners``: scan, key, owner.
+    """
+    by_hunk = touched_by_hunks(spans, hunks)
+    owned = by_hunk.join(owners, ["scan", "key"]).select("scan", F.col("owner").alias("key"))
+    both = base_nodes.select("scan", "key", F.col("digest").alias("_b")).join(head_nodes.select("scan", "key", F.col("digest").alias("_h")), ["scan", "key"], "full_outer")
+    differ = both.where(~F.col("_b").eqNullSafe(F.col("_h"))).select("scan", "key")
+    tagged = [df.withColumn("via", F.lit(v)) for df, v in ((by_hunk, "hunk"), (owned, "owner"), (differ, "attributes"))]
+    return tagged[0].unionByName(tagged[1]).unionByName(tagged[2]).groupBy("scan", "key").agg(F.min("via").alias("via"))
+
+
+def lost_prefix(base: DataFrame, head: DataFrame) -> DataFrame:
+    """(scan, key, path) of system messages whose start was stable on the base and is not on the head (dynamic_head false to true)."""
+    was = base.where("NOT dynamic_head").select("scan", "key")
+    return head.where("dynamic_head").join(was, ["scan", "key"], "left_semi").select("scan", "key", "path")
 
 
 def mentions(files: DataFrame, names: DataFrame) -> DataFrame:

@@ -111,7 +111,8 @@ def call_without_timeout(c: Context) -> DataFrame:
 
 @rule
 def no_fallback(c: Context) -> DataFrame:
-    has = B.retry_libraries(c.facts, c.dependencies).select("scan")
+    """Neither a retry library in use nor a second endpoint behind a gateway."""
+    has = B.retry_libraries(c.facts, c.dependencies).select("scan").unionByName(c.facts.fallback.select("scan"))
     return finding(c.with_calls().join(has, "scan", "left_anti"), "rel.fallback_gateway", "P2", 0.8, None, n_sites=F.col("n_sites"))
 
 

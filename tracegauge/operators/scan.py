@@ -54,6 +54,7 @@ class Facts:
     config_access: DataFrame
     doc_mention: DataFrame
     retry_import: DataFrame
+    fallback: DataFrame
 
     @classmethod
     def names(cls) -> list[str]:
@@ -188,6 +189,11 @@ def retry_libraries(f: Facts, dependencies: DataFrame) -> DataFrame:
     return dependencies.where("category = 'retry'").select("scan", "name").distinct().join(imported, ["scan", "name"], "left_semi")
 
 
+def service_flag_key() -> Column:
+    """Key of a serving flag: the file that declares the service, the service, the flag."""
+    return F.concat(F.lit("config:"), "file", F.lit("#"), "service", F.lit(".--"), "flag")
+
+
 def dependency_names(f: Facts) -> DataFrame:
     """Requirement lines to normalized distribution names with their known category."""
     name = F.lower(F.regexp_replace(F.trim(F.regexp_extract("line", DEPENDENCY_NAME, 1)), "_", "-"))
@@ -287,8 +293,8 @@ def full_graph(f: Facts) -> tuple[DataFrame, DataFrame]:
     model = F.concat(F.lit("model:"), "model")
     boundary = F.concat(F.lit("boundary:"), "path", F.lit("::"), "name", F.lit("#approval"))
     served = clients.where("serving_key IS NOT NULL")
-    flag_key = F.concat(F.lit("config:docker-compose.yml#"), "service", F.lit(".--"), "flag")
-    flag_rows = flags.join(f.serving.select("scan", "key", "service"), ["scan", "key"]).join(
+    flag_key = service_flag_key()
+    flag_rows = flags.join(f.serving.select("scan", "key", "file", "service"), ["scan", "key"]).join(
         served.select("scan", F.col("serving_key").alias("key")).distinct(), ["scan", "key"], "left_semi"
     )
     reads = f.config_access.join(comps, ["scan", "key"], "left_semi").join(

@@ -12,6 +12,7 @@ from tracegauge.operators import rules as R
 from tracegauge.plans import views as V
 from tracegauge.plans.graph import ACTIONS, ALL, CALLS, DEPS, EDGES, GRAPH_VIEWS, REACH, facts, graph
 from tracegauge.plans.claims_joins import claims_ctes
+from tracegauge.session import written
 from tracegauge.plans.registry import query, shared_view, view
 
 sql = lambda s: s.replace("'", "''")
@@ -37,7 +38,7 @@ RULE_SQL = {
     "tool_without_approval": f("sec.tool_approval_boundary", "'P0'", "0.6", "actions WHERE side_effect IN ('write', 'external') AND NOT gated", "add_approval_boundary", "key"),
     "approval_regression_guard": f("sec.approval_gate_regression_test", "'P1'", "0.7", "actions WHERE gated", "security_test_approval_gate", "key"),
     "call_without_timeout": f("rel.llm_timeout", "'P0'", "0.9", "calls WHERE NOT has_timeout GROUP BY scan", "add_llm_timeout", n="count(*)"),
-    "no_fallback": f("rel.fallback_gateway", "'P2'", "0.8", "wc WHERE NOT EXISTS (SELECT 1 FROM deps d JOIN retry_import i ON i.scan = d.scan AND i.library = d.name WHERE d.category = 'retry' AND d.scan = wc.scan)", None, n="n"),
+    "no_fallback": f("rel.fallback_gateway", "'P2'", "0.8", "wc WHERE scan NOT IN (SELECT scan FROM fallback) AND NOT EXISTS (SELECT 1 FROM deps d JOIN retry_import i ON i.scan = d.scan AND i.library = d.name WHERE d.category = 'retry' AND d.scan = wc.scan)", None, n="n"),
     "grounding": f("eval.citation_contract", "'P1'", "0.85", f"(SELECT scan, arg_min(key, id) AS key FROM prompt WHERE regexp_matches(text, '{R.CITATION_INSTRUCTION}') AND scan IN (SELECT scan FROM present) GROUP BY scan)", "eval_citation_required", "key")
     + " UNION ALL " + f("eval.grounding_judge", "'P1'", "c * 0.9", "present", "eval_grounding_judge"),
     "no_regression_suite": f("eval.regression_suite", "'P1'", "0.85", "wc WHERE scan NOT IN (SELECT scan FROM deps WHERE category = 'eval') AND scan NOT IN (SELECT scan FROM llm_call WHERE is_test)", "eval_regression_suite", n="n"),
@@ -290,7 +291,15 @@ SUITE = (
 )
 CHANGED = "changed AS (SELECT DISTINCT coalesce(b.scan, h.scan) AS scan, coalesce(b.path, h.path) AS path, CASE WHEN b.id IS NULL THEN 'added' WHEN h.id IS NULL THEN 'removed' ELSE 'modified' END AS status FROM files b FULL JOIN head_files h ON b.id = h.id AND b.path = h.path WHERE md5(b.text) IS DISTINCT FROM md5(h.text))"
 OVER = "CASE WHEN {n} = 0 THEN s.line_start < {lo} AND {lo} <= s.line_end ELSE s.line_start <= {lo} + {n} - 1 AND {lo} <= s.line_end END"
-TOUCHED = f"""touched AS (SELECT DISTINCT s.scan, s.key FROM spans s JOIN hunks h ON s.scan = h.scan AND s.path = h.path AND ({OVER.format(lo='h.new_start', n='h.new_lines')} OR {OVER.format(lo='h.old_start', n='h.old_lines')}))"""
+TOUCHED = f"""hunked AS (SELECT DISTINCT s.scan, s.key FROM spans s JOIN hunks h ON s.scan = h.scan AND s.path = h.path AND ({OVER.format(lo='h.new_start', n='h.new_lines')} OR {OVER.format(lo='h.old_start', n='h.old_lines')})),
+    touches AS (SELECT scan, key, 'hunk' AS via FROM hunked UNION ALL SELECT o.scan, o.owner, 'owner' FROM owners o JOIN hunked USING (scan, key)
+      UNION ALL SELECT scan, key, 'attributes' FROM base_attrs b FULL JOIN head_attrs h USING (scan, key) WHERE b.digest IS DISTINCT FROM h.digest),
+    touched AS (SELECT scan, key, min(via) AS via FROM touches GROUP BY scan, key)"""
+TOUCH_NEED = ("spans", "hunks", "owners", "base_attrs", "head_attrs")
+
+
+def _touched(spark, d):
+    return I.touched_keys(*(view(spark, d, n) for n in ("spans", "hunks", "base_attrs", "head_attrs", "owners")))
 
 
 def _changed(spark, d):
@@ -298,18 +307,33 @@ def _changed(spark, d):
     return J.tree_diff(b, h, ["scan", "id", "path"], "sha").select("scan", "path", "status").distinct()
 
 
-@query("O2_touched_keys", "spans", "hunks", sql=f"WITH {TOUCHED} SELECT scan, key FROM touched")
+@query("O2_touched_keys", *TOUCH_NEED, sql=f"WITH {TOUCHED} SELECT scan, key, via FROM touched")
 def o2(spark, d):
-    return I.touched_by_hunks(view(spark, d, "spans"), view(spark, d, "hunks"))
+    """Spans under a hunk, the functions that own them, and nodes whose attributes differ, added and removed ones too."""
+    return _touched(spark, d)
+
 
+FALLBACK = f"""reads AS (SELECT c.scan, c.path, min(a.path) || ':2' AS read_at FROM changed c JOIN (SELECT scan, path, regexp_extract(text, '"data/([^"]*)"', 1) AS name FROM app_code) a ON a.scan = c.scan AND a.name = split_part(c.path, '/', -1) GROUP BY ALL),
+    judged AS (SELECT c.*, {CLASSIFY} AS class, r.read_at, u.scan IS NOT NULL AS bad FROM changed c LEFT JOIN reads r USING (scan, path) LEFT JOIN unparsed u USING (scan, path)),
+    file_fallbacks AS (SELECT scan, path, CASE WHEN bad AND class = 'app' AND status <> 'removed' THEN path || ' does not parse as Python'
+      WHEN read_at IS NOT NULL AND class IN ('other_source', 'unknown', 'docs') THEN path || ' is read by application code (' || read_at || ') and maps to no graph node'
+      WHEN class = 'other_source' THEN path || ': source the analysis does not parse' WHEN class = 'unknown' THEN path || ': a file the analysis does not model'
+      WHEN class = 'app' AND status <> 'modified' THEN path || ' was ' || status || ' and maps to no graph node' END AS reason
+      FROM judged c WHERE (bad AND class = 'app' AND status <> 'removed') OR NOT EXISTS (SELECT 1 FROM spans s WHERE s.scan = c.scan AND s.path = c.path)),
+    unmapped AS (SELECT scan, path, hunk_id, new_start FROM hunks h WHERE NOT EXISTS (SELECT 1 FROM spans s WHERE s.scan = h.scan AND s.path = h.path AND ({OVER.format(lo='h.new_start', n='h.new_lines')} OR {OVER.format(lo='h.old_start', n='h.old_lines')}))),
+    fallbacks AS (SELECT scan, path, reason FROM file_fallbacks WHERE reason IS NOT NULL
+      UNION ALL SELECT scan, path, path || ':' || new_start::VARCHAR || ' changes code that maps to no graph node' FROM unmapped)"""
+FALL_NEED = ("files", "head_files", "spans", "hunks", "unparsed", "app_code")
 
-FALLBACK = f"""fallbacks AS (SELECT scan, path, CASE {CLASSIFY} WHEN 'other_source' THEN path || ': source the analysis does not parse' WHEN 'unknown' THEN path || ': a file the analysis does not model'
-    WHEN 'app' THEN CASE WHEN status <> 'modified' THEN path || ' was ' || status || ' and maps to no graph node' END END AS reason FROM changed c WHERE NOT EXISTS (SELECT 1 FROM spans s WHERE s.scan = c.scan AND s.path = c.path))"""
 
+def _file_fallbacks(spark, d, changed):
+    reads = I.app_reads(view(spark, d, "app_code"), changed)
+    return I.file_fallbacks(changed, view(spark, d, "spans"), reads, view(spark, d, "unparsed"))
 
-@query("G6_file_fallbacks", "files", "head_files", "spans", sql=f"WITH {CHANGED}, {FALLBACK} SELECT scan, path, reason FROM fallbacks WHERE reason IS NOT NULL")
+
+@query("G6_file_fallbacks", *FALL_NEED, sql=f"WITH {CHANGED}, {FALLBACK} SELECT scan, path, reason FROM file_fallbacks WHERE reason IS NOT NULL")
 def g6(spark, d):
-    return I.file_fallbacks(_changed(spark, d), view(spark, d, "spans"))
+    return _file_fallbacks(spark, d, _changed(spark, d))
 
 
 @query(
@@ -320,23 +344,23 @@ def g6h(spark, d):
     return I.unmapped_hunks(view(spark, d, "spans"), view(spark, d, "hunks")).select("scan", "path", "hunk_id")
 
 
-UNSTABLE = "unstable AS (SELECT s.scan, s.key, s.path FROM system_message s JOIN touched t ON t.scan = s.scan AND t.key = s.key WHERE s.dynamic_head)"
+UNSTABLE = "unstable AS (SELECT h.scan, h.key, h.path FROM system_message h JOIN base_messages b ON b.scan = h.scan AND b.key = h.key WHERE h.dynamic_head AND NOT b.dynamic_head)"
 
 
 def _unstable(spark, d):
-    t = I.touched_by_hunks(view(spark, d, "spans"), view(spark, d, "hunks"))
-    return view(spark, d, "system_message").where("dynamic_head").join(t, ["scan", "key"], "left_semi").select("scan", "key", "path")
+    """System messages that were prefix-stable on the base and are not on the head."""
+    return I.lost_prefix(view(spark, d, "base_messages"), view(spark, d, "system_message"))
 
 
 @query(
-    "G7_localize", "spans", "hunks", "system_message",
-    sql=f"WITH {TOUCHED}, {UNSTABLE} SELECT u.scan, u.key, h.path, h.hunk_id, CASE WHEN new_lines > 1 THEN 1.0 ELSE 0.6 END::DOUBLE AS score FROM unstable u JOIN hunks h ON h.scan = u.scan AND h.path = u.path",
+    "G7_localize", "hunks", "system_message", "base_messages",
+    sql=f"WITH {UNSTABLE} SELECT u.scan, u.key, h.path, h.hunk_id, CASE WHEN new_lines > 1 THEN 1.0 ELSE 0.6 END::DOUBLE AS score FROM unstable u JOIN hunks h ON h.scan = u.scan AND h.path = u.path",
 )
 def g7(spark, d):
     return I.localize(view(spark, d, "hunks"), _unstable(spark, d))
 
 
-SEL_NEED = (*GRAPH_VIEWS, "spans", "hunks", "files", "head_files")
+SEL_NEED = (*GRAPH_VIEWS, *TOUCH_NEED, *FALL_NEED, "base_messages")
 
 
 def _glob_like(p):
@@ -367,17 +391,19 @@ def _selection_sql():
 
 
 def selection(spark, d):
+    """The selection of every scan. Walking the graph and the tables that several steps read are actions."""
     fs = facts(spark, d)
     nodes, edges = graph(fs)
     nodes = nodes.select("scan", "key", "kind").checkpoint()
-    touched = I.touched_by_hunks(view(spark, d, "spans"), view(spark, d, "hunks")).join(nodes.select("scan", "key"), ["scan", "key"], "left_semi")
-    aff = G.affected(nodes, edges, touched).select("scan", F.col("node").alias("key"), "path")
-    changed = _changed(spark, d)
+    touched = written(_touched(spark, d).join(nodes.select("scan", "key"), ["scan", "key"], "left_semi").select("scan", "key"), "touched")
+    aff = written(G.affected(nodes, edges, touched).select("scan", F.col("node").alias("key"), "path"), "affected")
+    changed = written(_changed(spark, d), "changed")
     by_node = touched.join(nodes, ["scan", "key"]).select("scan", CH.categorize_change(F.col("kind"), F.col("key")).alias("category"))
     cls = CH.classify_file(F.col("path"))
     by_file = changed.select("scan", F.when(cls.isin("dependency", "tests", "repo_meta", "docs"), cls).alias("category"))
     cats = by_node.unionByName(by_file).where("category IS NOT NULL").distinct()
-    return I.select_items(fs.fn.select("scan").distinct(), SUITE, aff, cats, changed, I.file_fallbacks(changed, view(spark, d, "spans")), _unstable(spark, d))
+    whole = _file_fallbacks(spark, d, changed).unionByName(I.hunk_fallbacks(view(spark, d, "spans"), view(spark, d, "hunks")))
+    return I.select_items(fs.fn.select("scan").distinct(), SUITE, aff, cats, changed, whole, _unstable(spark, d))
 
 
 @query("G5_impact_selection", *SEL_NEED, sql="WITH " + _selection_sql() + " SELECT scan, item, selected, reason FROM sel")
@@ -401,7 +427,7 @@ def j10(spark, d):
     ensure_checkpoint_dir(spark)
     nodes, edges = graph(facts(spark, d))
     nodes = nodes.select("scan", "key", "kind").checkpoint()
-    touched = I.touched_by_hunks(view(spark, d, "spans"), view(spark, d, "hunks")).join(nodes.select("scan", "key"), ["scan", "key"], "left_semi")
+    touched = _touched(spark, d).join(nodes.select("scan", "key"), ["scan", "key"], "left_semi").select("scan", "key")
     aff = G.affected(nodes, edges, touched).select("scan", F.col("node").alias("key"), "path")
     return I.first_hits(aff, SUITE).where("hit IS NOT NULL").select("scan", "item", F.col("hit.key").alias("hit"))
 

@@ -168,26 +168,26 @@ def g15k(spark, d):
 @query(
     "G16_config_links", *ALL, "flags",
     sql=SCAN + """ SELECT DISTINCT a.scan, a.key AS src_key, c.key AS dst_key FROM config_access a JOIN config_key c ON c.scan = a.scan AND c.keypath = a.keypath JOIN comps p ON p.scan = a.scan AND p.key = a.key
-      UNION SELECT f.scan, f.key, 'config:docker-compose.yml#' || s.service || '.--' || f.flag FROM flags f JOIN serving s ON s.scan = f.scan AND s.key = f.key""",
+      UNION SELECT f.scan, f.key, 'config:' || s.file || '#' || s.service || '.--' || f.flag FROM flags f JOIN serving s ON s.scan = f.scan AND s.key = f.key""",
 )
 def g16(spark, d):
     """Config keys that reachable code reads, and one node per flag of a serving command."""
     f = facts(spark, d)
     comps = B.components(f, B.route_reach(f)).select("scan", "key")
     reads = f.config_access.join(comps, ["scan", "key"], "left_semi").join(f.config_key.select("scan", "keypath", F.col("key").alias("dst_key")), ["scan", "keypath"])
-    flags = B.parse_flags(f.serving).join(f.serving.select("scan", "key", "service"), ["scan", "key"])
+    flags = B.parse_flags(f.serving).join(f.serving.select("scan", "key", "file", "service"), ["scan", "key"])
     return reads.select("scan", F.col("key").alias("src_key"), "dst_key").unionByName(
-        flags.select("scan", F.col("key").alias("src_key"), F.concat(F.lit("config:docker-compose.yml#"), "service", F.lit(".--"), "flag").alias("dst_key"))
+        flags.select("scan", F.col("key").alias("src_key"), B.service_flag_key().alias("dst_key"))
     ).distinct()
 
 
 @query(
-    "G18_reliability", *CALL_VIEWS, "dependency", "retry_import",
+    "G18_reliability", *CALL_VIEWS, "dependency", "retry_import", "fallback",
     sql=f"""WITH {CALLS}, {DEPS} SELECT DISTINCT scan, 'eval_framework' AS predicate, name AS value FROM deps WHERE category = 'eval'
       UNION SELECT DISTINCT scan, 'tracing_library', name FROM deps WHERE category = 'tracing'
       UNION SELECT DISTINCT d.scan, 'retry_library', name FROM deps d WHERE category = 'retry' AND EXISTS (SELECT 1 FROM retry_import i WHERE i.scan = d.scan AND i.library = d.name)
       UNION SELECT scan, 'llm_in_tests', 'tests call an LLM (' || count(*)::VARCHAR || ' call sites)' FROM llm_call WHERE is_test GROUP BY scan
-      UNION SELECT scan, 'timeout', key FROM calls WHERE has_timeout""",
+      UNION SELECT scan, 'timeout', key FROM calls WHERE has_timeout UNION SELECT scan, 'fallback', key FROM fallback""",
 )
 def g18(spark, d):
     """Existing reliability measures; a retry dependency counts only where the code imports it."""
@@ -201,6 +201,7 @@ def g18(spark, d):
         .unionByName(row(B.retry_libraries(f, deps), "retry_library", F.col("name")))
         .unionByName(row(tests, "llm_in_tests", F.concat(F.lit("tests call an LLM ("), F.col("n").cast("string"), F.lit(" call sites)"))))
         .unionByName(row(_calls(f).where("has_timeout"), "timeout", F.col("key")))
+        .unionByName(row(f.fallback, "fallback", F.col("key")))
     )
 
 
@@ -392,7 +393,7 @@ FULL = f"""{REACH}, {ACTIONS}, {INTERESTING}, {CALLS},
   caps AS (SELECT * FROM (SELECT h.scan, h.route, 'workflow:' || r.path || '::' || r.label AS workflow, 'capability:' || h.route || '::' || CASE WHEN what = 'tool' THEN 'action_' || h.name WHEN p.l AND p.t THEN 'rag_answer' WHEN p.l AND what = 'llm' THEN 'llm_generation' END AS capability, member, r.handler_key
     FROM hit h JOIN (SELECT scan, route, bool_or(what = 'llm') AS l, bool_or(what = 'retriever') AS t FROM hit GROUP BY ALL) p ON p.scan = h.scan AND p.route = h.route JOIN route r ON r.scan = h.scan AND r.key = h.route) WHERE capability IS NOT NULL),
   sv AS (SELECT scan, key, serving_key FROM resolved WHERE serving_key IS NOT NULL),
-  fr AS (SELECT f.scan, f.key, 'config:docker-compose.yml#' || s.service || '.--' || f.flag AS fkey FROM flags f JOIN serving s USING (scan, key) WHERE EXISTS (SELECT 1 FROM sv WHERE sv.scan = f.scan AND sv.serving_key = f.key)),
+  fr AS (SELECT f.scan, f.key, 'config:' || s.file || '#' || s.service || '.--' || f.flag AS fkey FROM flags f JOIN serving s USING (scan, key) WHERE EXISTS (SELECT 1 FROM sv WHERE sv.scan = f.scan AND sv.serving_key = f.key)),
   rd AS (SELECT a.scan, a.key, k.key AS config FROM config_access a JOIN comps c ON c.scan = a.scan AND c.key = a.key JOIN config_key k ON k.scan = a.scan AND k.keypath = a.keypath),
   gn AS (SELECT scan, key, 'component' AS kind FROM comps UNION SELECT scan, key, 'component' FROM calls UNION SELECT scan, key, 'route' FROM route UNION SELECT scan, key, 'prompt' FROM prompt WHERE NOT is_test
     UNION SELECT scan, key, 'prompt' FROM system_message UNION SELECT scan, key, 'endpoint' FROM llm_client UNION SELECT scan, serving_key, 'serving_config' FROM sv UNION SELECT scan, 'model:' || model, 'model' FROM calls WHERE model IS NOT NULL

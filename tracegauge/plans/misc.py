@@ -39,21 +39,29 @@ def k7(spark, d):
     return RT.bm25(s, q, 5).select("query_id", "chunk_id", "rank", F.round("score", 5).alias("score"))
 
 
+shared_view(
+    "arch_docs",
+    """SELECT id, path, CASE WHEN id % 24 = 0 THEN '# Service ' || CAST(id AS STRING) || chr(10) ELSE '' END || text
+        || CASE WHEN lang = 'de' THEN chr(10) || 'We serve GPT-4o-mini and Qwen2.5-0.5B. on vLLM with a vector store; token = "q8Zr4Lk2Vw9Xt7Bn" ' WHEN lang = 'es' THEN chr(10) || 'TGI and llama-3.1 for RAG' ELSE '' END AS text
+      FROM {files}""",
+    "files",
+)
+_RAG = MN.RETRIEVAL
+
+
 @query(
-    "P24_doc_mentions",
-    sql=r"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS l, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS line FROM (
-        SELECT doc_id, text || CASE WHEN lang = 'de' THEN chr(10) || 'We serve GPT-4o-mini and Qwen2.5-0.5B. on vLLM with a vector store.' WHEN lang = 'es' THEN chr(10) || 'TGI and llama-3.1 for RAG' ELSE '' END AS text FROM documents))
-      SELECT doc_id, line::INTEGER AS line, kind, value FROM (
-        SELECT doc_id, line, 'model' AS kind, 'GPT-4o-mini' AS value FROM l WHERE l LIKE 'We serve GPT%' UNION ALL SELECT doc_id, line, 'model', 'Qwen2.5-0.5B' FROM l WHERE l LIKE 'We serve GPT%'
-        UNION ALL SELECT doc_id, line, 'model', 'llama-3.1' FROM l WHERE l LIKE 'TGI and%' UNION ALL SELECT doc_id, line, 'engine', 'vllm' FROM l WHERE regexp_matches(l, '(?i)\bvllm\b')
-        UNION ALL SELECT doc_id, line, 'engine', 'tgi' FROM l WHERE regexp_matches(l, '\bTGI\b')
-        UNION ALL SELECT doc_id, line, 'retrieval', regexp_extract(l, '(?i)\b(retriev\w*|vector (?:store|database|search)|embeddings?|RAG|pgvector|bm25|semantic search|documentation search|knowledge base)\b', 1) FROM l
-          WHERE regexp_matches(l, '(?i)\b(retriev\w*|vector (?:store|database|search)|embeddings?|RAG|pgvector|bm25|semantic search|documentation search|knowledge base)\b'))""",
+    "P24_doc_mentions", "arch_docs",
+    sql=rf"""WITH a AS (SELECT id, path, string_split(text, chr(10)) AS ls, text FROM arch_docs WHERE regexp_matches(path, '{MN.ARCHITECTURE_DOC}')),
+      l AS (SELECT id, unnest(ls) AS l, unnest(range(1, len(ls) + 1)) AS line FROM a),
+      m AS (SELECT id, line, l, 'model' AS kind, unnest(['GPT-4o-mini', 'Qwen2.5-0.5B']) AS value, unnest(['openai', 'qwen']) AS provider FROM l WHERE l LIKE 'We serve GPT%'
+        UNION ALL SELECT id, line, l, 'model', 'llama-3.1', 'meta' FROM l WHERE l LIKE 'TGI and%' UNION ALL SELECT id, line, l, 'engine', 'vllm', NULL FROM l WHERE regexp_matches(l, '(?i)\bvllm\b')
+        UNION ALL SELECT id, line, l, 'engine', 'tgi', NULL FROM l WHERE regexp_matches(l, '\bTGI\b') UNION ALL SELECT id, line, l, 'retrieval', regexp_extract(l, '{_RAG}', 1), NULL FROM l WHERE regexp_matches(l, '{_RAG}'))
+      SELECT id, line::INTEGER AS line, kind, value, provider, substr(replace(trim(l), 'q8Zr4Lk2Vw9Xt7Bn', '[REDACTED:assigned_secret]'), 1, 300) AS excerpt FROM m
+      UNION ALL SELECT id, 1, 'title', substr(ls[1], 3), NULL, substr(ls[1], 3) FROM a WHERE path LIKE 'README%' AND ls[1] LIKE '# Service%'""",
 )
 def p24(spark, d):
-    extra = F.when(F.col("lang") == "de", "\nWe serve GPT-4o-mini and Qwen2.5-0.5B. on vLLM with a vector store.").when(F.col("lang") == "es", "\nTGI and llama-3.1 for RAG").otherwise("")
-    t = V.table(spark, d, "documents").select("doc_id", F.concat("text", extra).alias("text"))
-    return MN.doc_mentions(t, ["doc_id"])
+    """Models with their makers, engines and retrieval words of architecture documents, with redacted excerpts; titles of readmes."""
+    return MN.doc_mentions(view(spark, d, "arch_docs"), ["id"])
 
 
 @query(

@@ -67,11 +67,13 @@ shared_view(
     """SELECT event_id AS snapshot_id, '# HELP x' || chr(10) || 'vllm:num_requests_running{{m="a"}} ' || CAST(user_id AS STRING) || chr(10) || 'vllm:num_requests_running{{m="b}} c"}} ' || CAST(event_id % 10 AS STRING)
       || chr(10) || 'lat_bucket{{le="1"}} 5' || chr(10) || 'lat_created 1.5' || chr(10) || 'broken abc' || chr(10) || 'nan_metric NaN' || chr(10) || '' || chr(10)
       || CASE WHEN event_id % 3 = 0 THEN 'vllm:prefix_cache_hits ' WHEN event_id % 3 = 1 THEN 'vllm:prefix_cache_hits_total ' ELSE 'other_hits ' END || CASE WHEN event_id % 13 = 0 THEN '-1' ELSE CAST(user_id * 3 AS STRING) END || ' 1700000000'
-      || CASE WHEN event_id % 6 = 1 THEN chr(10) || 'vllm:prefix_cache_hits 999' ELSE '' END AS body FROM {events}""",
+      || CASE WHEN event_id % 6 = 1 THEN chr(10) || 'vllm:prefix_cache_hits 999' ELSE '' END
+      || CASE WHEN event_id % 4 = 2 THEN chr(10) || 'sglang:num_running_reqs 4' || chr(10) || 'sglang:num_queue_reqs{{engine="x"}} ' || CAST(event_id % 7 AS STRING) || chr(10) || 'sglang:token_usage 0.25' ELSE '' END AS body FROM {events}""",
 )
 METRICS_SQL = """WITH m AS (SELECT event_id AS snapshot_id, 'vllm:num_requests_running' AS metric, (user_id + event_id % 10)::DOUBLE AS value FROM events
     UNION ALL SELECT event_id, CASE event_id % 3 WHEN 0 THEN 'vllm:prefix_cache_hits' WHEN 1 THEN 'vllm:prefix_cache_hits_total' ELSE 'other_hits' END, CASE WHEN event_id % 13 = 0 THEN -1 ELSE user_id * 3 END FROM events
-    UNION ALL SELECT event_id, 'vllm:prefix_cache_hits', 999 FROM events WHERE event_id % 6 = 1)"""
+    UNION ALL SELECT event_id, 'vllm:prefix_cache_hits', 999 FROM events WHERE event_id % 6 = 1
+    UNION ALL SELECT event_id, unnest(['sglang:num_running_reqs', 'sglang:num_queue_reqs', 'sglang:token_usage']), unnest([4.0, event_id % 7, 0.25])::DOUBLE FROM events WHERE event_id % 4 = 2)"""
 
 
 @query("S4_parse_metrics_text", sql=METRICS_SQL + " SELECT snapshot_id, metric, value FROM m")
@@ -90,7 +92,8 @@ def s5(spark, d):
 @query(
     "S6_canonical_metrics",
     sql=METRICS_SQL + """ SELECT snapshot_id, 'running' AS canonical, value FROM m WHERE metric = 'vllm:num_requests_running' UNION ALL
-      SELECT snapshot_id, 'prefix_cache_hits', arg_min(value, CASE metric WHEN 'vllm:prefix_cache_hits_total' THEN 0 ELSE 1 END) FROM m WHERE metric LIKE 'vllm:prefix%' GROUP BY snapshot_id""",
+      SELECT snapshot_id, 'prefix_cache_hits', arg_min(value, CASE metric WHEN 'vllm:prefix_cache_hits_total' THEN 0 ELSE 1 END) FROM m WHERE metric LIKE 'vllm:prefix%' GROUP BY snapshot_id
+      UNION ALL SELECT snapshot_id, CASE metric WHEN 'sglang:num_queue_reqs' THEN 'waiting' ELSE 'kv_cache_usage' END, value FROM m WHERE metric IN ('sglang:num_queue_reqs', 'sglang:token_usage')""",
 )
 def s6(spark, d):
     return M.canonical_metrics(M.parse_metrics_text(view(spark, d, "snapshots")))

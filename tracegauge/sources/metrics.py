@@ -11,9 +11,9 @@ from tracegauge.functions.text import strip
 
 # Engine metric names per canonical name, preferred alias first.
 METRIC_ALIASES = {
-    "running": ["vllm:num_requests_running"],
-    "waiting": ["vllm:num_requests_waiting"],
-    "kv_cache_usage": ["vllm:kv_cache_usage_perc", "vllm:gpu_cache_usage_perc"],
+    "running": ["vllm:num_requests_running", "sglang:num_running_reqs"],
+    "waiting": ["vllm:num_requests_waiting", "sglang:num_queue_reqs"],
+    "kv_cache_usage": ["vllm:kv_cache_usage_perc", "vllm:gpu_cache_usage_perc", "sglang:token_usage"],
     "prefix_cache_queries": ["vllm:prefix_cache_queries_total", "vllm:prefix_cache_queries", "vllm:gpu_prefix_cache_queries_total"],
     "prefix_cache_hits": ["vllm:prefix_cache_hits_total", "vllm:prefix_cache_hits", "vllm:gpu_prefix_cache_hits_total"],
 }
