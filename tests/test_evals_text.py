@@ -242,3 +242,43 @@ def test_snapshot_check(spark):
     assert run(base) == "PASS"
     assert run([(a, s, q, f"user\n{s} shared head\n", r) for a, s, q, _, r in base]) == "FAIL"
     assert run([(a, s, q + "x", p, r) for a, s, q, p, r in base]) == "INCONCLUSIVE"
+
+
+SCHEMAS = [
+    ({"items": {"type": "integer"}}, [("[1, 2]", None), ('[1, "a"]', "1 is not of type integer"), ("[]", None), ("3", None)]),
+    ({"properties": {"a": {"items": {"properties": {"b": {"const": None}}}}}}, [('{"a": [{"b": null}]}', None), ('{"a": [{}, {"b": 0}]}', "a/1/b is not the constant")]),
+    ({"additionalProperties": False, "properties": {"a": True}}, [('{"a": 1}', None), ('{"z": 1, "y": 2}', "(root) has unexpected y, z"), ("[]", None)]),
+    ({"additionalProperties": {"type": "string"}}, [('{"a": "x"}', None), ('{"a": "x", "b": 1}', "b is not of type string"), ("{}", None)]),
+    ({"anyOf": [{"type": "null"}, {"type": "string", "minLength": 2}]}, [("null", None), ('"ab"', None), ('"a"', "(root) fits none of anyOf")]),
+    ({"oneOf": [{"type": "number"}, {"const": 1}]}, [("2", None), ("1", "(root) does not fit exactly one of oneOf"), ('"x"', "(root) does not fit exactly one of oneOf")]),
+    ({"allOf": [{"type": "number"}, {"exclusiveMaximum": 3}]}, [("2.5", None), ("3", "(root) outside exclusiveMaximum"), ("true", "(root) is not of type number")]),
+    ({"not": {"type": ["string", "null"]}}, [("1", None), ("null", "(root) fits what it must not")]),
+    ({"const": {"a": [1, "x"]}}, [('{"a": [1, "x"]}', None), ('{"a": [1]}', "(root) is not the constant")]),
+]
+
+
+@pytest.mark.parametrize("schema,cases", SCHEMAS, ids=[next(iter(s)) for s, _ in SCHEMAS])
+def test_schema_keywords(spark, schema, cases):
+    df = spark.createDataFrame([(i, o) for i, (o, _) in enumerate(cases)], "case_id int, output string")
+    r = C.CHECKS["json_schema_valid"](schema=schema)
+    got = {x.case_id: (x.r.verdict, x.r.reason) for x in df.select("case_id", r.alias("r")).collect()}
+    assert [got[i] for i in range(len(cases))] == [("PASS", "valid against schema") if bad is None else ("FAIL", f"schema violation: {bad}") for _, bad in cases]
+
+
+def test_unknown_schema_keyword_is_an_error(spark):
+    with pytest.raises(ValueError, match="unsupported schema keyword"):
+        C.CHECKS["json_schema_valid"](schema={"properties": {"a": {"dependentRequired": {}}}})
+
+
+def test_document_facts(spark):
+    from tracegauge.functions.mentions import doc_mentions
+
+    rows = [
+        ("README.md", "# Crates\n\nServed by vLLM, model gpt-4o. and claude-3; secret = \"h7Kq2Zx9Lm4Wb8Vt\"  "), ("docs/architecture.md", "# Not a title\nTGI with RAG"),
+        ("notes/todo.md", "vllm gpt-4o"), ("system-overview.txt", "x" * 400 + " pgvector"), ("README.rst", "")]
+    df = spark.createDataFrame([(i, p, t) for i, (p, t) in enumerate(rows)], "id int, path string, text string")
+    got = {(r.id, r.line, r.kind, r.value, r.provider): r.excerpt for r in doc_mentions(df, ["id"]).collect()}
+    line = 'Served by vLLM, model gpt-4o. and claude-3; secret = "[REDACTED:assigned_secret]"'
+    assert got == {
+        (0, 1, "title", "Crates", None): "Crates", (0, 3, "engine", "vllm", None): line, (0, 3, "model", "gpt-4o", "openai"): line, (0, 3, "model", "claude-3", "anthropic"): line,
+        (1, 2, "engine", "tgi", None): "TGI with RAG", (1, 2, "retrieval", "RAG", None): "TGI with RAG", (3, 1, "retrieval", "pgvector", None): "x" * 300}

@@ -234,3 +234,54 @@ def test_identity_ignores_field_order(spark):
     two = CH.content_identity([("c", F.col("c")), ("b", F.col("b")), ("a", F.col("a"))])
     r = df.select(one, two, CH.content_identity([("a", F.col("a")), ("b", F.lit(2)), ("c", F.col("c"))])).first()
     assert r[0] == r[1] != r[2]
+
+
+CHANGED = "scan string, path string, status string"
+
+
+def test_fallbacks_name_their_reason(spark):
+    changed = spark.createDataFrame([
+        ("s", "app/a.py", "modified"), ("s", "app/b.py", "added"), ("s", "app/c.py", "modified"), ("s", "data/rows.csv", "modified"), ("s", "docs/guide.md", "modified"),
+        ("s", "docs/other.md", "modified"), ("s", "web/x.tsx", "modified"), ("s", "data/none.bin", "modified"), ("s", "app/d.py", "removed"), ("t", "data/rows.csv", "modified"),
+        ("s", "tests/test_a.py", "modified"), ("s", "app/e.py", "added")], CHANGED)
+    spans = spark.createDataFrame([("s", "app/a.py"), ("s", "app/c.py"), ("s", "app/e.py")], "scan string, path string")
+    code = spark.createDataFrame([("s", "app/a.py", "x = 1\nopen('data/rows.csv')\nload(\"docs/guide.md\")"), ("s", "notes.txt", "'none.bin'"), ("t", "app/z.py", "rows.csv unquoted")], "scan string, path string, text string")
+    bad = spark.createDataFrame([("s", "app/c.py"), ("s", "app/d.py")], "scan string, path string")
+    reads = I.app_reads(code, changed)
+    assert {(r.scan, r.path, r.at) for r in reads.collect()} == {("s", "data/rows.csv", "app/a.py:2"), ("s", "docs/guide.md", "app/a.py:3")}
+    got = {(r.scan, r.path): r.reason for r in I.file_fallbacks(changed, spans, reads, bad).collect()}
+    assert got == {
+        ("s", "app/b.py"): "app/b.py was added and maps to no graph node", ("s", "app/c.py"): "app/c.py does not parse as Python",
+        ("s", "data/rows.csv"): "data/rows.csv is read by application code (app/a.py:2) and maps to no graph node",
+        ("s", "docs/guide.md"): "docs/guide.md is read by application code (app/a.py:3) and maps to no graph node",
+        ("s", "web/x.tsx"): "web/x.tsx: source the analysis does not parse", ("s", "data/none.bin"): "data/none.bin: a file the analysis does not model",
+        ("s", "app/d.py"): "app/d.py was removed and maps to no graph node", ("t", "data/rows.csv"): "data/rows.csv: a file the analysis does not model"}
+
+
+def test_a_hunk_in_unknown_code_selects_the_full_suite(spark):
+    spans = spark.createDataFrame([("s", "component:app/a.py::f", "app/a.py", 10, 20), ("t", "component:app/a.py::f", "app/a.py", 10, 20)], "scan string, key string, path string, line_start int, line_end int")
+    hunk = "scan string, path string, hunk_id int, new_start int, new_lines int, old_start int, old_lines int"
+    hunks = spark.createDataFrame([("s", "app/a.py", 1, 12, 2, 12, 1), ("t", "app/a.py", 2, 40, 2, 40, 1), ("t", "tests/test_a.py", 3, 1, 1, 1, 1)], hunk)
+    got = [(r.scan, r.reason) for r in I.hunk_fallbacks(spans, hunks).collect()]
+    assert got == [("t", "app/a.py:40 changes code that maps to no graph node")]
+    none = lambda schema: spark.createDataFrame([], schema)
+    scans = spark.createDataFrame([("s",), ("t",)], "scan string")
+    suite = (I.SuiteItem("unit:x", "unit", ("component:app/zzz*",), ("code",)),)
+    sel = I.select_items(scans, suite, none("scan string, key string, path array<string>"), none("scan string, category string"), none(CHANGED), I.hunk_fallbacks(spans, hunks), none("scan string, key string"))
+    assert {(r.scan, r.selected, r.reason) for r in sel.collect()} == {
+        ("s", False, "exercises nothing this change touches"), ("t", True, "full suite: app/a.py:40 changes code that maps to no graph node")}
+
+
+def test_touched_keys_and_lost_prefixes(spark):
+    spans = spark.createDataFrame([("s", "call", "p", 1, 5), ("s", "far", "p", 50, 60)], "scan string, key string, path string, line_start int, line_end int")
+    hunks = spark.createDataFrame([("s", "p", 1, 3, 1, 3, 1)], "scan string, path string, hunk_id int, new_start int, new_lines int, old_start int, old_lines int")
+    digest = "scan string, key string, digest string"
+    base = spark.createDataFrame([("s", "same", "a"), ("s", "differs", "a"), ("s", "gone", "a"), ("s", "null", None)], digest)
+    head = spark.createDataFrame([("s", "same", "a"), ("s", "differs", "b"), ("s", "new", "a"), ("s", "null", None), ("s", "call", "x")], digest)
+    owners = spark.createDataFrame([("s", "call", "f"), ("s", "far", "g")], "scan string, key string, owner string")
+    got = {r.key: r.via for r in I.touched_keys(spans, hunks, base, head, owners).collect()}
+    assert got == {"call": "attributes", "f": "owner", "differs": "attributes", "gone": "attributes", "new": "attributes"}
+    m = "scan string, key string, path string, dynamic_head boolean"
+    was = spark.createDataFrame([("s", "a#system", "p", False), ("s", "b#system", "p", True), ("s", "c#system", "p", False)], m)
+    now = spark.createDataFrame([("s", "a#system", "p", True), ("s", "b#system", "p", True), ("s", "c#system", "p", False), ("s", "d#system", "p", True)], m)
+    assert [r.key for r in I.lost_prefix(was, now).collect()] == ["a#system"]
