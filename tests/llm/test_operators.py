@@ -4,6 +4,7 @@ import hashlib
 import io
 import random
 import re
+import time
 from collections import Counter
 
 import pytest
@@ -53,6 +54,43 @@ def test_licences_equal_a_plain_search(spark):
             assert bool(fuzzy) == any(m.label == n.label and m.edits <= n.edits for m in r.matches)
 
 
+def test_every_notice_is_found_with_its_place_and_edits(spark):
+    """Each notice exact, with a changed letter, and twice in a row; places, spans, edits and score of all of them."""
+    rows, want = [], {}
+    for i, n in enumerate(licenses.NOTICES):
+        words = n.phrase.split()
+        typo = n.phrase.replace("e", "x", 1)
+        rows += [(3 * i, f"So. {n.phrase.upper()}; so"), (3 * i + 1, f"a {typo}"), (3 * i + 2, f"{typo}, {n.phrase} - {typo}")]
+        size = len(words)
+        want[3 * i] = [(1, size, 0)]
+        want[3 * i + 1] = [(1, size, int(typo != n.phrase))]
+        want[3 * i + 2] = [(k * size, (k + 1) * size - 1, int(k != 1 and typo != n.phrase)) for k in range(3)]
+    texts = dict(rows)
+    for r in licenses.scan(frame(spark, rows)).collect():
+        n = licenses.NOTICES[r.doc_id // 3]
+        own = [m for m in r.matches if m.label == n.label and m.last_word - m.first_word == len(n.phrase.split()) - 1]
+        assert [(m.first_word, m.last_word, m.edits) for m in own] == want[r.doc_id], (n.phrase, r)
+        low = [re.sub(r"[^a-z0-9]+", " ", texts[r.doc_id][m.start:m.end].lower()) for m in own]
+        assert all(x in (n.phrase, n.phrase.replace("e", "x", 1)) for x in low)
+        assert r.score == max(1 - m.edits / len(licenses.NOTICES[k].phrase) for m in r.matches for k in [next(k for k, o in enumerate(licenses.NOTICES) if o.label == m.label)]) or r.score >= 1 - 1 / len(n.phrase)
+    both = licenses.scan(frame(spark, [(1, "mit licence or mit license"), (2, "mit license " * 3000)])).collect()
+    assert {r.doc_id: len([m for m in r.matches if m.label == "mit"]) for r in both} == {1: 2, 2: 3000}
+
+
+def test_personal_data_of_a_very_long_text_is_linear():
+    crf = pii.SemiCRF(pii.train().w)
+    piece = "Mail anna.berg@mail.example.org or call +49 30 1234 5678 from 10.20.30.40, says Dr. Ines Vogel of 12 Lind Road. "
+    seconds = []
+    for n in (500, 4000):
+        t = time.perf_counter()
+        base, spans = pii.find(piece * n, crf)
+        seconds.append(time.perf_counter() - t)
+        assert len(base) == 3 * n and set(base) <= set(spans)
+        plain = [(a, b, k) for a, b, k in spans if (a, b, k) not in set(base)][:200]
+        assert not any(x < b and a < y for a, b, _ in plain for x, y, _ in base[:1000])
+    assert seconds[1] < 20 * seconds[0] + 1  # eight times the text
+
+
 @pytest.mark.parametrize("block", [decontaminate.BLOCK_CHARS, 60])
 def test_decontamination_equals_a_plain_search(spark, block):
     rng = random.Random(2)

@@ -11,7 +11,7 @@ space. Null or wordless text has no words and no matches; ids may be null or rep
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -80,17 +80,22 @@ class _Searcher:
                 continue
             if n.base:
                 exact += ((s, n.label) for s in starts if s > 0 and line.startswith(b" " + body + b" ", s - 1))
-            for lo, hi in _merged(starts, len(body), n.edits):
-                lo, hi = max(0, lo), min(len(line), hi)
+            done = 0
+            for lo, hi in _windows(starts, len(body), n.edits):
+                if hi <= done:
+                    continue
+                lo, hi = max(lo, done), min(len(line), hi)
                 # whole words only, so that no character is cut
                 lo, hi = line.rfind(b" ", 0, lo + 1), line.find(b" ", max(0, hi - 1)) + 1
-                window, before = line[lo:hi].decode(), line.count(b" ", 0, lo)
-                for m in fuzzy.finditer(window):
-                    first = before + window.count(" ", 0, m.start()) - 1
-                    last = first + window.count(" ", m.start(), m.end())
-                    edits = sum(m.fuzzy_counts)
-                    found.append({"label": n.label, "base": n.base and edits == 0, "first_word": first, "last_word": last,
-                                  "edits": edits, "score": 1 - edits / len(n.phrase)})
+                m = fuzzy.search(window := line[lo:hi].decode())
+                if m is None:
+                    continue
+                done = lo + len(window[:m.end()].encode())
+                first = line.count(b" ", 0, lo) + window.count(" ", 0, m.start()) - 1
+                last = first + window.count(" ", m.start(), m.end())
+                edits = sum(m.fuzzy_counts)
+                found.append({"label": n.label, "base": n.base and edits == 0, "first_word": first, "last_word": last,
+                              "edits": edits, "score": 1 - edits / len(n.phrase)})
         if found:
             spans = [m.span() for m in _WORD_ANY_CASE.finditer(text)]
             for m in found:
@@ -100,16 +105,14 @@ class _Searcher:
                 max((m["score"] for m in found), default=0.0))
 
 
-def _merged(starts: set[int], length: int, edits: int) -> list[tuple[int, int]]:
-    """Candidate windows, with room for the edits and one word border on each side; overlapping ones joined."""
-    out: list[tuple[int, int]] = []
+def _windows(starts: set[int], length: int, edits: int) -> Iterator[tuple[int, int]]:
+    """A window around each candidate, from left to right: any match of its seed lies inside, however the edits fall.
+
+    The best match of a window is taken and the search goes on behind it, so two notices next to each other both come
+    back, and a text of nothing but notices costs one short search each.
+    """
     for s in sorted(starts):
-        lo, hi = s - edits - 1, s + length + edits + 1
-        if out and lo <= out[-1][1]:
-            out[-1] = (out[-1][0], hi)
-        else:
-            out.append((lo, hi))
-    return out
+        yield s - 2 * edits - 1, s + length + 2 * edits + 1
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text: str = "text", notices: tuple[Notice, ...] = NOTICES) -> DataFrame:

@@ -14,8 +14,10 @@ from __future__ import annotations
 import math
 import random
 import re
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -350,6 +352,7 @@ def find(text: str | None, crf: SemiCRF) -> tuple[list[Span], list[Span]]:
     text = text or ""
     base = base_spans(text)
     taken = sorted((a, b) for a, b, _ in base)
+    starts, ends = [a for a, _ in taken], list(accumulate((b for _, b in taken), max))
     more = []
     done = 0
     for lo, hi in neighbourhoods(text):
@@ -357,7 +360,8 @@ def find(text: str | None, crf: SemiCRF) -> tuple[list[Span], list[Span]]:
         done = hi
         for a, b, kind in crf.best(text[lo:hi]):
             a, b = a + lo, b + lo
-            if not any(x < b and a < y for x, y in taken):
+            before = bisect_left(starts, b)  # base spans that begin before this one ends; does one of them end in it?
+            if not before or ends[before - 1] <= a:
                 more.append((a, b, kind))
     return base, sorted(base + more, key=order)
 

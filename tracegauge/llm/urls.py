@@ -54,7 +54,10 @@ def judge(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url: str
     n = partitions(spark)
     split = pages.select(F.col(id_col), host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"))
     keyed = split.withColumn("key", F.concat(host_key(F.col("host")), F.lit(" "), F.col("path")))
-    sample = keyed.select(F.substring("key", 1, BOUND_LENGTH).alias("k"), F.xxhash64("key", id_col).alias("h")).orderBy("h").limit(SAMPLE)
+    # by hash, and only hashes below a bound that leaves about 4 * SAMPLE rows in all, whatever the number of tasks
+    share = min(1.0, 4 * SAMPLE / max(1, pages.count()))
+    hashed = keyed.select(F.substring("key", 1, BOUND_LENGTH).alias("k"), F.xxhash64("key", id_col).alias("h"))
+    sample = hashed.where(F.pmod("h", F.lit(1 << 32)) < int(share * (1 << 32))).orderBy("h").limit(SAMPLE)
     keys = sorted((r.k for r in sample.collect()), key=str.encode)
     bounds = [keys[i * len(keys) // n].encode() for i in range(1, n)] if keys else []
 
