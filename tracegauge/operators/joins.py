@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracegauge.operators.ordered import order_bucket, position
-from tracegauge.session import ensure_checkpoint_dir
+from tracegauge.session import written
 
 
 def overlaps(start: Column, end: Column, lo: Column, n: Column) -> Column:
@@ -93,27 +93,21 @@ def match_one_to_one(truth: DataFrame, pred: DataFrame, keys: Sequence[str], id_
     return j.select(*keys, "truth_id", "pred_id", outcome.alias("outcome"))
 
 
-def match_greedy(candidates: DataFrame, max_rounds: int = 100) -> DataFrame:
+def match_greedy(candidates: DataFrame) -> DataFrame:
     """Each truth, in order, takes its first unused prediction among the candidate pairs (t, p).
 
     A pair is certain when p is the first remaining choice of t and t the first remaining taker of
-    p. All certain pairs are taken per round; each round is checkpointed, so a lost executor does
-    not replay the rounds before.
+    p. All certain pairs are taken per round, at least that of the first remaining t; each round is written,
+    so a lost executor does not replay the rounds before.
     """
-    spark = candidates.sparkSession
-    ensure_checkpoint_dir(spark)
-    left = candidates.select("t", "p").distinct().checkpoint()
+    left = written(candidates.select("t", "p").distinct(), "candidates")
     taken = None
-    for _ in range(max_rounds):
-        if left.isEmpty():
-            break
+    while not left.isEmpty():
         best_p = left.groupBy("t").agg(F.min("p").alias("p"))
         best_t = left.groupBy("p").agg(F.min("t").alias("t"))
-        sure = best_p.join(best_t, ["t", "p"]).checkpoint()
+        sure = written(best_p.join(best_t, ["t", "p"]), "sure")
         taken = sure if taken is None else taken.unionByName(sure)
-        left = left.join(sure.select("t"), "t", "left_anti").join(sure.select("p"), "p", "left_anti").checkpoint()
-    else:
-        raise RuntimeError(f"matching did not settle in {max_rounds} rounds; raise max_rounds")
+        left = written(left.join(sure.select("t"), "t", "left_anti").join(sure.select("p"), "p", "left_anti"), "candidates")
     return candidates.select("t", "p").limit(0) if taken is None else taken
 
 

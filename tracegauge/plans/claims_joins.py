@@ -208,8 +208,8 @@ def j15(spark, d):
 @query(
     "J14_paired_workload",
     sql="""WITH a AS (SELECT conv_id, turn, text FROM conversations WHERE role = 'user')
-      SELECT (conv_id % 3)::BIGINT AS repeat, count(*) AS n, count(*) AS same_query, count(*) FILTER (conv_id % 7 <> 0) AS a_equals_b, count(*) AS prefix_placed,
-        count(*) FILTER (conv_id % 11 <> 0) AS metadata_paired FROM a GROUP BY 1""",
+      SELECT (conv_id % 3)::BIGINT AS repeat, count(*) AS n, count(*) FILTER (conv_id % 5 <> 0) AS same_query, count(*) FILTER (conv_id % 7 <> 0) AS a_equals_b, count(*) FILTER (conv_id % 8 <> 0) AS prefix_placed,
+        count(*) FILTER (conv_id % 11 <> 0 AND conv_id % 8 <> 0) AS metadata_paired FROM a GROUP BY 1""",
 )
 def j14(spark, d):
     """Four conditions of the same request: equal queries, A = B, metadata before (C) or after (D) the prefix."""
@@ -220,9 +220,12 @@ def j14(spark, d):
         F.struct(F.lit("A").alias("cond"), prefix.alias("system")),
         F.struct(F.lit("B").alias("cond"), F.when(F.col("conv_id") % 7 == 0, F.lit("Shared prefix!")).otherwise(prefix).alias("system")),
         F.struct(F.lit("C").alias("cond"), F.concat(meta, F.lit("\n\n"), prefix).alias("system")),
-        F.struct(F.lit("D").alias("cond"), F.concat(prefix, F.lit("\n\n"), F.when(F.col("conv_id") % 11 == 0, F.lit("req ?")).otherwise(meta)).alias("system")),
+        F.struct(F.lit("D").alias("cond"), F.when(F.col("conv_id") % 8 == 0, F.concat(meta, F.lit("\n\n"), prefix)).otherwise(
+            F.concat(prefix, F.lit("\n\n"), F.when(F.col("conv_id") % 11 == 0, F.lit("req ?")).otherwise(meta))).alias("system")),
     )
     long = c.select("conv_id", "turn", "text", F.explode(rows).alias("r")).select("conv_id", "turn", "text", "r.*")
+    # another question in one condition of some conversations
+    long = long.withColumn("text", F.when((F.col("cond") == "C") & (F.col("conv_id") % 5 == 0), F.concat("text", F.lit("?"))).otherwise(F.col("text")))
     at = lambda k: F.max(F.when(F.col("cond") == k, F.col("system")))
     w = long.groupBy("conv_id", "turn").agg(
         F.countDistinct("text").alias("q"), at("A").alias("a"), at("B").alias("b"), at("C").alias("c"), at("D").alias("d")
