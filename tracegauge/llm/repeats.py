@@ -13,7 +13,7 @@ content alone. Equal runs have equal anchors, so:
 3. the solver (the operator's own method) finds which stretches of a surrounding stand in which earliest document;
 4. answers go back to every occurrence, and are united per text.
 
-Equal texts take part once, as the text of their smallest id; every later copy is a repeat as a whole. Surroundings
+Ids are whole numbers. Equal texts take part once, as the text of their smallest id; every later copy is a repeat as a whole. Surroundings
 that many texts share are solved once per distinct content, so a passage in a third of all texts is one entry of one
 group, and its occurrences meet the answer in a join that Spark may split. Hashes shrink with the text, nothing is capped.
 """
@@ -287,7 +287,8 @@ def trimmed(hot: DataFrame, shape: Shape) -> DataFrame:
                                                  names=[*of, "lo", "hi", "i", "run"])
 
     listed = contents.select(*of, "lo", "hi", "body").mapInArrow(runs, "gram bigint, c1 bigint, c2 bigint, lo bigint, hi bigint, i int, run bigint")
-    shared = listed.groupBy("gram", "run").agg(F.min("lo").alias("a"), F.max("hi").alias("b")).where("a < b").select("gram", "run")
+    # written, so that the join below is between two tables and a run that most of them have may be split
+    shared = materialize(listed.groupBy("gram", "run").agg(F.min("lo").alias("a"), F.max("hi").alias("b")).where("a < b").select("gram", "run"), "runs")
     kept = listed.select(*of, "i", "run").join(shared, ["gram", "run"]).groupBy(*of).agg(F.sort_array(F.collect_list("i")).alias("i"))
     found = contents.select(*of, "body").join(kept, of)
 
@@ -307,8 +308,11 @@ def trimmed(hot: DataFrame, shape: Shape) -> DataFrame:
 
     parts = found.mapInArrow(cut, "gram bigint, c1 bigint, c2 bigint, skip int, part binary, d1 bigint, d2 bigint")
     out = hot.drop("body").join(parts, of)
-    return out.select("k1", "k2", "ord", (F.col("start") + F.col("skip")).alias("start"), (F.col("at") - F.col("skip")).alias("at"),
-                      F.col("part").alias("body"), F.col("d1").alias("c1"), F.col("d2").alias("c2"), "gram")
+    out = out.select("k1", "k2", "ord", (F.col("start") + F.col("skip")).alias("start"), (F.col("at") - F.col("skip")).alias("at"),
+                     F.col("part").alias("body"), F.col("d1").alias("c1"), F.col("d2").alias("c2"), "gram")
+    done = materialize(out, "trimmed")
+    discard(contents, shared)
+    return done
 
 
 def dealt(places: DataFrame, shape: Shape) -> tuple[DataFrame, list[DataFrame]]:
@@ -317,10 +321,10 @@ def dealt(places: DataFrame, shape: Shape) -> tuple[DataFrame, list[DataFrame]]:
     if crowded.isEmpty():
         return places.withColumn("hot", F.lit(False)), [places, crowded]
     hot = materialize(places.join(crowded, "gram", "left_semi").select(places.columns), "hot")
+    cut = trimmed(hot, shape)
+    discard(hot)
     calm = places.join(crowded, "gram", "left_anti").select(*places.columns, F.lit(False).alias("hot"))
-    out = materialize(calm.unionByName(trimmed(hot, shape).withColumn("hot", F.lit(True))), "dealt")
-    discard(hot, crowded, places)
-    return out, [out]
+    return calm.unionByName(cut.withColumn("hot", F.lit(True))), [places, crowded, cut]
 
 
 def answers(places: DataFrame, shape: Shape, solve: Solver) -> DataFrame:
