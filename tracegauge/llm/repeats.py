@@ -9,7 +9,8 @@ content alone. Equal runs have equal anchors, so:
    more of them than a task's share, runs are counted first (combined before the shuffle), and surroundings are cut
    to the stretches whose runs stand in two documents: where a passage begins or ends, N different
    surroundings become one. What is left of such a gram goes by the gram together with half of what a run may reach on
-   its right, and again with as much on its left, since a run reaches that far on one side at least;
+   its right, and again with as much on its left, since a run reaches that far on one side at least, as do grams with
+   more than GROUP surroundings;
 3. the solver (the operator's own method) finds which stretches of a surrounding stand in which earliest document;
 4. answers go back to every occurrence, and are united per text.
 
@@ -37,6 +38,8 @@ CHUNK = 1 << 19
 BLOCK_BYTES = 2 << 20
 #: Surroundings of one gram that a solver's task may hold, where its share of all is larger.
 GROUP = 50_000
+#: Times as many, beyond which they are reduced before they are dealt out.
+TRIMMED = 4
 #: Bytes of text to a bucket of anchors.
 BUCKET_BYTES = 64 << 20
 LAST = (1 << 63) - 1
@@ -260,11 +263,13 @@ Solver = Callable[[list[bytes], list[int]], list[tuple[int, int, int]]]
 
 
 def crowded_grams(places: DataFrame) -> DataFrame:
-    """Grams with more surroundings than half of a task's even share, or than a task may hold."""
+    """(gram, trim): grams with more surroundings than GROUP or than half of a task's even share, to be dealt out by more
+    than the gram; ``trim`` marks those beyond that share or several times GROUP, to be reduced first."""
     per = places.groupBy("gram").count()
     total = per.agg(F.coalesce(F.sum("count"), F.lit(0))).first()[0]
-    share = min(GROUP, total // (2 * partitions(places.sparkSession)))
-    return materialize(per.where(F.col("count") > share).select("gram"), "crowded")
+    share = total // (2 * partitions(places.sparkSession))
+    held = per.where(F.col("count") > min(GROUP, share))
+    return materialize(held.select("gram", (F.col("count") > min(TRIMMED * GROUP, share)).alias("trim")), "crowded")
 
 
 def trimmed(hot: DataFrame, shape: Shape) -> DataFrame:
@@ -318,13 +323,14 @@ def trimmed(hot: DataFrame, shape: Shape) -> DataFrame:
 def dealt(places: DataFrame, shape: Shape) -> tuple[DataFrame, list[DataFrame]]:
     """The places (a written table), with those of crowded grams trimmed and marked ``hot``, and the tables they are in."""
     crowded = crowded_grams(places)
-    if crowded.isEmpty():
-        return places.withColumn("hot", F.lit(False)), [places, crowded]
-    hot = materialize(places.join(crowded, "gram", "left_semi").select(places.columns), "hot")
+    flags = crowded.withColumn("hot", F.lit(True))
+    marked = places.join(flags, "gram", "left").select(*places.columns, F.coalesce("hot", F.lit(False)).alias("hot"), F.coalesce("trim", F.lit(False)).alias("trim"))
+    if crowded.where("trim").isEmpty():
+        return marked.drop("trim"), [places, crowded]
+    hot = materialize(places.join(crowded.where("trim"), "gram", "left_semi").select(places.columns), "hot")
     cut = trimmed(hot, shape)
     discard(hot)
-    calm = places.join(crowded, "gram", "left_anti").select(*places.columns, F.lit(False).alias("hot"))
-    return calm.unionByName(cut.withColumn("hot", F.lit(True))), [places, crowded, cut]
+    return marked.where("NOT trim").drop("trim").unionByName(cut.withColumn("hot", F.lit(True))), [places, crowded, cut]
 
 
 def answers(places: DataFrame, shape: Shape, solve: Solver) -> DataFrame:
