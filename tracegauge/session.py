@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -41,7 +43,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     if shared:
         sc.setCheckpointDir(shared)
     elif sc.master.startswith("local"):
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="tracegauge-ckpt-"))
+        own = tempfile.mkdtemp(prefix="tracegauge-ckpt-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)  # ours alone, and nothing outlives the process
+        sc.setCheckpointDir(own)
     else:
         raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
 
@@ -50,6 +54,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a table in the shared checkpoint folder: computed once, its lineage ends, a lost executor costs nothing.
 
     Unlike an eager checkpoint it does not compute the rows twice. A table that was written here stays as it is.
+    Tables lie under the application's own checkpoint folder, which may go when the application has ended.
     """
     if getattr(df, "_written", False):
         return df
